@@ -30,40 +30,76 @@ from pyspark.sql import types as T
 from questlake.llm.common import ids_array, parallelism, pieces, utf8_rows, written
 
 SIZE = 2048
-MOST_CACHED = 300_000
+MOST_CACHED = 1_000_000
 #: Characters for which white-space words can be tokenized apart: printable ASCII, Latin letters that NFC and lower-casing keep apart.
+#: Their lower case in Python is that of the tokenizer.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-įĲ-ɏ]")
 
 
+_SIGNS = re.compile(r"[^\w\s][.,]|_[.,]")
+
+
 class WordCached:
     """Token ids of whole texts; for plain texts each distinct white-space word is tokenized once a worker."""
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # the same merges for words that are one lower-cased run of letters each: nothing to normalize, white space cuts
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.letters = Tokenizer.from_str(json.dumps(spec))
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x250) if chr(i).isalpha()}
         self.cache: dict[str, bytes] = {}
 
     def _all(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words; those of letters alone go through the merges together and are cut at word-end tokens."""
+        odd = [w for w in words if not w.isalpha()]
+        rest = [w for w in words if w.isalpha()]
+        out = dict(zip(odd, self._all(odd)))
+        for at in range(0, len(rest), 2048):
+            some = rest[at : at + 2048]
+            (got,) = self.letters.encode_batch_fast([" ".join(some).translate(self.shown)], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[i:j] for i, j in zip([0, *stops], stops)], strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
         plain = [not _PLAIN.search(x) and "<|" not in x for x in texts]
         odd = iter(self._all([x for x, p in zip(texts, plain) if not p]))
-        split = [x.split() if p else None for x, p in zip(texts, plain)]
-        missing = list({w for ws in split if ws for w in ws if w not in cache})
-        extra: dict[str, bytes] = dict(zip(missing, self._all(missing)))
-        room = MOST_CACHED - len(cache)
-        if room > 0:
-            cache.update((w, extra[w]) for w in missing[:room] if len(w) < 100)
-        if extra:
-            get = cache.get
-            return [next(odd) if ws is None else b"".join([extra[w] if (i := get(w)) is None else i for w in ws]) for ws in split]
-        return [next(odd) if ws is None else b"".join(map(cache.__getitem__, ws)) for ws in split]
+        split = [self._split(x) if p else None for x, p in zip(texts, plain)]
+        extra = self._words(list(set().union(*filter(None, split)).difference(cache)))
+        if not extra:
+            return [next(odd) if ws is None else b"".join(map(cache.__getitem__, ws)) for ws in split]
+        if len(cache) < MOST_CACHED:
+            cache.update(extra)
+            return [next(odd) if ws is None else b"".join(map(cache.__getitem__, ws)) for ws in split]
+        get = cache.get
+        return [next(odd) if ws is None else b"".join([extra[w] if (i := get(w)) is None else i for w in ws]) for ws in split]
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """White-space words; a full stop or comma that ends one is a word of its own unless it ends a run of signs."""
+        text = text.lower()
+        if not _SIGNS.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        return text.split()
 
 
 _LOADED: dict[str, WordCached] = {}
@@ -204,5 +240,5 @@ def pack(rows: DataFrame, partitions: int, size: int = SIZE) -> DataFrame:
 
 def packed_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
-    rows = tokenized_pieces(docs, tokenizer, size, id_col, text_col)
+    rows = written(tokenized_pieces(docs, tokenizer, size, id_col, text_col), "pieces")  # a range sort reads its input twice
     return pack(rows, parallelism(docs, 1), size)
