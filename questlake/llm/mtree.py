@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from questlake.llm.common import written
 
-PAGE = 64
+PAGE = 256
 BLOCK = 8192
 EPS = 1e-6
 
@@ -43,7 +43,7 @@ class Node:
     children: list["Node"]
 
 
-def build(ids: np.ndarray, vectors: np.ndarray, top: float, page: int = PAGE) -> tuple[Node, np.ndarray, np.ndarray]:
+def build(ids: np.ndarray, vectors: np.ndarray, top: float, page: int = PAGE) -> tuple[Node, np.ndarray]:
     """Bulk-load: split by farthest pivots until a page holds the rows."""
     norms = np.einsum("ij,ij->i", vectors, vectors)
     points = np.concatenate([vectors, np.sqrt(np.maximum(0.0, top - norms))[:, None]], axis=1)
@@ -74,12 +74,12 @@ def build(ids: np.ndarray, vectors: np.ndarray, top: float, page: int = PAGE) ->
         return Node(False, rows[:0], pivots, np.array([near[x, g].max() for g, x in kept]), np.linalg.norm(pivots - pivot, axis=1), [split(rows[x], centres[g]) for g, x in kept])
 
     root = points.mean(axis=0) if len(points) else np.zeros(vectors.shape[1] + 1)
-    return split(np.arange(len(ids)), root), root, vectors
+    return split(np.arange(len(ids)), root), root
 
 
-def search(tree: tuple[Node, np.ndarray, np.ndarray], ids: np.ndarray, query: np.ndarray, own: int, k: int, top: float) -> list[tuple[int, int]]:
+def search(tree: tuple[Node, np.ndarray], ids: np.ndarray, query: np.ndarray, own: int, k: int, top: float) -> list[tuple[int, int]]:
     """The k best (score, id) of a block; best-first over page bounds."""
-    root, pivot, vectors = tree
+    root, pivot = tree
     q = np.append(query, 0.0)
     shift = query @ query + top
     bound = lambda dist: (shift - dist * dist) / 2 + EPS * (1 + shift)  # noqa: E731  the highest score at that distance
@@ -99,9 +99,11 @@ def search(tree: tuple[Node, np.ndarray, np.ndarray], ids: np.ndarray, query: np
         if not len(live):
             continue
         if node.leaf:
-            rows = node.rows[live]
-            scores = np.rint(vectors[rows] @ query).astype(np.int64)
-            for s, i in zip(scores.tolist(), ids[rows].tolist()):
+            whole = len(live) == len(node.rows)
+            scores = np.rint((node.pivots if whole else node.pivots[live]) @ q).astype(np.int64)
+            near = np.flatnonzero(scores >= worst)
+            rows = node.rows[live[near]]
+            for s, i in zip(scores[near].tolist(), ids[rows].tolist()):
                 if i == own:
                     continue
                 if len(best) < k:
