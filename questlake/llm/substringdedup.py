@@ -135,14 +135,14 @@ def _texts(part: Part, mask: np.ndarray) -> list[tuple]:
     return out
 
 
-def _run(docs, finish, fields, id_col, text_col, window, gram):
-    return dedup(docs, Spec(window, gram, True), lambda met: by_index(met, window), lambda v, doc: v > 1, finish, fields, True, id_col, text_col)
+def _run(docs, finish, fields, id_col, text_col, window, gram, hot=4096):
+    return dedup(docs, Spec(window, gram, True, hot), lambda met: by_index(met, window), lambda v, doc: v > 1, finish, fields, True, id_col, text_col)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 8) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 8, hot: int = 4096) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) a document."""
     fields = [("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
-    return _run(docs, _rows, fields, id_col, text_col, window, gram)
+    return _run(docs, _rows, fields, id_col, text_col, window, gram, hot)
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 8) -> DataFrame:

@@ -151,7 +151,7 @@ def _rows(part: Part, mask: np.ndarray) -> list[tuple]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 20, hot: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) a document."""
     fields = [("doc_id", pa.int64(), "long"), ("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
-    return dedup(docs, Spec(window, gram, False), lambda met: by_suffix_sort(met, window), lambda v, doc: v < doc, _rows, fields, False, id_col, text_col)
+    return dedup(docs, Spec(window, gram, False, hot), lambda met: by_suffix_sort(met, window), lambda v, doc: v < doc, _rows, fields, False, id_col, text_col)

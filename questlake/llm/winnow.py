@@ -6,8 +6,9 @@ repeat are found among the stretches whose gram repeats. The passes are:
 1. documents are dealt to shards by a hash of the id, in a bucketed table, so that later passes shuffle no text;
 2. each shard gives its distinct gram hashes, in blocks by hash range (pre-aggregated: a gram of a hot passage counts once a shard);
    each range tells every shard which of its grams repeat;
-3. each shard gives the distinct stretches (runs of windows with one repeated gram) with what it knows of them; a gram that occurs in many
-   shards gives single windows instead, spread by their own hash, so that no common passage lands in one task;
+3. each shard gives the distinct stretches (runs of windows with one repeated gram) with what it knows of them; a gram with very many
+   distinct stretches (the edges of a common passage) gives single windows instead, spread by their own hash, so that no task gets
+   them all;
 4. a resolver compares the contents that meet (see suffixdedup and substringdedup) and answers for each window;
 5. each shard applies the answers to its documents.
 
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from questlake.llm.common import ids_array, parallelism, scratch_path, utf8_arrays, utf8_rows, written
 
 CHUNK = 1 << 20
-HOT = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POW: list[np.ndarray] = []
 
@@ -64,15 +64,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Spec:
+    """hot: distinct stretches of a gram, summed over shards, beyond which its windows are spread."""
+
     window: int
     gram: int
     words: bool
+    hot: int = 4096
 
-    def runs(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stretches (first window start, last + 1, 48-bit hash of the one least gram); none crosses a document."""
+    def runs(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Stretches (first window start, last + 1, 48-bit hash of the one least gram, hash of the content); none crosses a document."""
         n, k = len(symbols), self.gram
         if n < self.window:
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64)
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         h = prefix_hashes(symbols)
         low = mixed((h[k:] - h[:-k]) * powers(n - k + 1)[1])
         # the place in the low bits ends a stretch where another gram of the same hash takes over
@@ -89,7 +92,9 @@ class Spec:
         edge = low[1:] != low[:-1]
         starts = np.flatnonzero(valid & np.r_[True, ~valid[:-1] | edge])
         stops = np.flatnonzero(valid & np.r_[~valid[1:] | edge, True]) + 1
-        return starts, stops, low[starts] >> np.uint64(16)
+        whole = mixed((h[stops + self.window - 1] - h[starts]) * powers(n)[1][starts])
+        # least hashes crowd near zero; mixed again, they spread over all ranges
+        return starts, stops, mixed(low[starts] & ~np.uint64(0xFFFF)) >> np.uint64(16), whole
 
 
 class Part:
@@ -98,7 +103,7 @@ class Part:
     def __init__(self, spec: Spec, ids: np.ndarray, data: np.ndarray, words: list[bytes], offsets: np.ndarray):
         self.spec, self.ids, self.data, self.words, self.offsets = spec, ids, data, words, offsets
         symbols = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) if spec.words else data.astype(np.uint64) + np.uint64(1)
-        self.starts, self.stops, self.grams = spec.runs(symbols, offsets)
+        self.starts, self.stops, self.grams, self.whole = spec.runs(symbols, offsets)
         self.doc = np.searchsorted(offsets, self.starts, side="right") - 1
 
     def content(self, a: int, b: int) -> bytes:
@@ -157,48 +162,66 @@ def shard_table(docs: DataFrame, id_col: str, text_col: str, shards: int) -> Dat
 
 
 def gram_blocks(shards: DataFrame, spec: Spec, partitions: int, other_document: bool) -> DataFrame:
-    """(bucket, shard, grams, multi): a shard's distinct gram hashes by range; multi: those that repeat inside the shard."""
+    """(bucket, shard, grams, multi, kinds): a shard's distinct gram hashes by range; multi: those that repeat inside the shard, with the
+    number of distinct contents around them."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        grams, docs = [], []
+        grams, docs, whole = [], [], []
         for part in parts(spec, table):
             grams.append(part.grams)
             docs.append(part.ids[part.doc])
-        h, d = np.concatenate(grams), np.concatenate(docs)
-        if other_document:
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            fresh = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
-            h = h[fresh]
-        else:
-            h = np.sort(h)
-        h, n = np.unique(h, return_counts=True)
+            whole.append(part.whole)
+        h, d, c = np.concatenate(grams), np.concatenate(docs), np.concatenate(whole)
+        order = np.lexsort((d, h)) if other_document else np.argsort(h, kind="stable")
+        h, d, c = h[order], d[order], c[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
+        last = np.r_[first[1:], len(h)][: len(first)] - 1
+        again = d[last] != d[first] if other_document else last > first
+        # distinct contents of the grams that repeat here; only those of several stretches can have more than one
+        sizes = last - first + 1
+        rows = np.repeat(sizes > 1, sizes)
+        g, c = np.repeat(np.arange(len(first)), sizes)[rows], c[rows]
+        order = np.lexsort((c, g))
+        g, c = g[order], c[order]
+        fresh = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])] if len(g) else np.zeros(0, bool)
+        kinds = np.clip(np.bincount(g[fresh], minlength=len(first)), 1, 65535).astype(np.uint16)
+        h = h[first]
         bucket = _bucket(h, partitions)
-        rows = [(int(bucket[a]), shard, _pack48(h[a:b]), _pack48(h[a:b][n[a:b] > 1])) for a, b in _cut(bucket)]
-        cols = list(zip(*rows)) or [[], [], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "shard", "grams", "multi"])
+        rows = []
+        for a, b in _cut(bucket):
+            m = np.flatnonzero(again[a:b]) + a
+            rows.append((int(bucket[a]), shard, _pack48(h[a:b]), _pack48(h[m]), kinds[m].tobytes()))
+        cols = list(zip(*rows)) or [[], [], [], [], []]
+        kind = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kind)], names=["bucket", "shard", "grams", "multi", "kinds"])
 
-    return shards.groupBy("shard").applyInArrow(run, "bucket long, shard long, grams binary, multi binary")
+    return shards.groupBy("shard").applyInArrow(run, "bucket long, shard long, grams binary, multi binary, kinds binary")
 
 
-def repeated_grams(blocks: DataFrame, partitions: int) -> DataFrame:
-    """(shard, grams): per hash range, the shard's gram hashes that repeat; the top bit marks those in many shards."""
+def repeated_grams(blocks: DataFrame, partitions: int, hot: int) -> DataFrame:
+    """(shard, grams): per hash range, the shard's gram hashes that repeat; the top bit marks those with very many contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, grams, again = [], [], []
+        shards, grams, again, kinds = [], [], [], []
         for batch in batches:
             shards += batch.column(1).to_pylist()
             grams += map(_unpack48, batch.column(2).to_pylist())
             again += map(_unpack48, batch.column(3).to_pylist())
+            kinds += [np.frombuffer(b, np.uint16) for b in batch.column(4).to_pylist()]
         if not shards:
             return
         each = np.concatenate(grams)
-        h, n = np.unique(np.concatenate([each, *again]), return_counts=True)
-        n = n[np.searchsorted(h, each)]
-        flagged = each | np.where(n > HOT, np.uint64(1 << 63), np.uint64(0))
+        h, n = np.unique(each, return_counts=True)
+        multi, extra = np.searchsorted(h, np.concatenate(again)), np.zeros(len(h), np.int64)
+        np.add.at(extra, multi, np.concatenate(kinds).astype(np.int64) - 1)
+        repeats = n > 1
+        repeats[multi] = True
+        at = np.searchsorted(h, each)
+        flagged = each | np.where((n + extra > hot)[at], np.uint64(1 << 63), np.uint64(0))
+        repeats = repeats[at]
         ends = np.cumsum([len(g) for g in grams])
-        out = [(s, flagged[e - len(g) : e][n[e - len(g) : e] > 1]) for s, g, e in zip(shards, grams, ends)]
+        out = [(s, flagged[e - len(g) : e][repeats[e - len(g) : e]]) for s, g, e in zip(shards, grams, ends)]
         out = [(s, x.tobytes()) for s, x in out if len(x)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out]), pa.array([x for _, x in out], pa.binary())], names=["shard", "grams"])
@@ -345,9 +368,9 @@ def removed_spans(stretches: Stretches, answers: dict[int, tuple[bytes, bytes]],
 
 def dedup(docs: DataFrame, spec: Spec, resolver: Callable[[Met], list[np.ndarray]], gone: Callable[[np.ndarray, int], np.ndarray], finish: Callable[[Part, np.ndarray], list[tuple]], fields: list[tuple[str, pa.DataType, str]], count: bool, id_col: str, text_col: str) -> DataFrame:
     """Run the passes; ``finish`` makes the rows of a part from the mask of its removed symbols."""
-    n = parallelism(docs, 3)
+    n = parallelism(docs, 6)
     shards = shard_table(docs, id_col, text_col, n)
-    grams = written(repeated_grams(gram_blocks(shards, spec, n, not count), n), "grams")
+    grams = written(repeated_grams(gram_blocks(shards, spec, n, not count), n, spec.hot), "grams")
     blocks = stretch_blocks(shards, grams.repartition(n, "shard"), spec, n, count)
     answers = resolved(blocks, n, resolver)
     side = grams.select("shard", F.lit(None).cast("long").alias("bucket"), F.col("grams").alias("a"), F.lit(None).cast("binary").alias("b"))
