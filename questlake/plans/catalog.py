@@ -1,6 +1,580 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries over the driver's tables and, where SQL can express them, their DuckDB SQL.
+
+The tables stand in for question-answering data: documents are questions or passages (lang is the source), benchmark items are
+queries, conversations are trajectories, events are evaluation results and rollouts (event_type is the termination reason, user_id
+the question).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from questlake.functions import scoring
+from questlake.functions import text as tx
+from questlake.operators import isolation, metrics, protocol, qa, resume, retrieval, rollout, sampling, trajectory
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+PROMPT = "Answer the question. Search if you need to."
+LANGS = ["de", "en", "es", "fr"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("qkey", tx.normalize_question("text"))
+
+
+def sql_qkey(c: str) -> str:
+    return rf"trim(regexp_replace(replace(lower({c}), 'ß', 'ss'), '\s+', ' ', 'g'))"
+
+
+KEYED = f"SELECT *, {sql_qkey('text')} AS qkey FROM documents"
+PUNCT = tx.PUNCTUATION.replace("'", "''")
+
+
+def sql_tokens(c: str) -> str:
+    return rf"list_filter(string_split_regex(translate(lower({c}), '{PUNCT}', ''), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the'))"
+
+
+# 1 text keys, deduplication, isolation
+
+
+@query(f"SELECT doc_id, sha256(qkey) AS qkey_sha256 FROM ({KEYED})")
+def normalize_question_keys(spark, sf_dir):
+    return keyed(spark, sf_dir).select("doc_id", F.sha2("qkey", 256).alias("qkey_sha256"))
+
+
+@query(f"SELECT lang, count(*) AS questions, count(DISTINCT qkey) AS unique_questions FROM ({KEYED}) GROUP BY lang")
+def unique_questions_by_source(spark, sf_dir):
+    return keyed(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("questions"), F.countDistinct("qkey").alias("unique_questions"))
+
+
+@query(f"SELECT doc_id, first_value(doc_id) OVER (PARTITION BY qkey ORDER BY doc_id) AS kept_id FROM ({KEYED}) QUALIFY doc_id <> kept_id")
+def first_occurrence_dedup(spark, sf_dir):
+    """The report of rows that lose to an earlier one."""
+    return isolation.first_occurrences(keyed(spark, sf_dir).select("doc_id", "qkey"), "qkey", "doc_id", F.col("doc_id")).where("doc_id <> kept_id").select("doc_id", "kept_id")
+
+
+@query(f"SELECT doc_id, lang FROM ({KEYED}) QUALIFY row_number() OVER (PARTITION BY qkey ORDER BY CASE lang WHEN 'en' THEN 0 ELSE 1 END, lang, doc_id) = 1")
+def min_uid_cross_source_dedup(spark, sf_dir):
+    rank = F.when(F.col("lang") == "en", 0).otherwise(1)
+    return isolation.first_by(keyed(spark, sf_dir).select("doc_id", "lang", "qkey"), "qkey", rank, F.col("lang"), F.col("doc_id")).select("doc_id", "lang")
+
+
+def _sides(spark, sf_dir):
+    k = keyed(spark, sf_dir).select("doc_id", "lang", "qkey")
+    protected = F.col("doc_id") % 10 == 0
+    return k.where(~protected), k.where(protected)
+
+
+SIDES = f"k AS ({KEYED}), p AS (SELECT * FROM k WHERE doc_id % 10 = 0), c AS (SELECT * FROM k WHERE doc_id % 10 <> 0)"
+
+
+@query(f"WITH {SIDES} SELECT doc_id FROM c WHERE qkey NOT IN (SELECT qkey FROM p)")
+def leakage_anti_join(spark, sf_dir):
+    rest, protected = _sides(spark, sf_dir)
+    return isolation.isolated(rest, protected, ["qkey"]).select("doc_id")
+
+
+@query(f"WITH {SIDES} SELECT doc_id FROM c WHERE qkey IN (SELECT qkey FROM p)")
+def leakage_semi_report(spark, sf_dir):
+    rest, protected = _sides(spark, sf_dir)
+    return isolation.leaks(rest, protected, "qkey").select("doc_id")
+
+
+@query(f"""
+    WITH k AS ({KEYED}), p AS (SELECT * FROM k WHERE doc_id % 10 = 0), o AS (
+        SELECT doc_id, qkey, CASE WHEN doc_id % 10 = 0 THEN 'protected_id' WHEN qkey IN (SELECT qkey FROM p) THEN 'protected_question' END AS r FROM k
+    )
+    SELECT doc_id, coalesce(r, CASE WHEN row_number() OVER (PARTITION BY qkey, r IS NULL ORDER BY doc_id) > 1 THEN 'duplicate_question' END) AS reason FROM o
+""")
+def skip_reason_isolation(spark, sf_dir):
+    k = keyed(spark, sf_dir).select("doc_id", "qkey")
+    return isolation.skip_reasons(k, k.where(F.col("doc_id") % 10 == 0), "doc_id", "qkey", [F.col("doc_id")]).select("doc_id", "reason")
+
+
+@query(f"WITH {SIDES} SELECT sha256(qkey) AS qkey_sha256 FROM (SELECT qkey FROM c INTERSECT SELECT qkey FROM p)")
+def overlap_keys(spark, sf_dir):
+    return isolation.overlap(*_sides(spark, sf_dir), "qkey").select(F.sha2("qkey", 256).alias("qkey_sha256"))
+
+
+@query("SELECT qkey, n FROM (SELECT lower(trim(lang)) AS qkey, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
+def duplicate_ids(spark, sf_dir):
+    return isolation.duplicates(table(spark, sf_dir, "documents").select(F.lower(F.trim("lang")).alias("qkey")), "qkey").withColumnRenamed("count", "n")
+
+
+# 2 sampling
+
+
+@query("""
+    SELECT doc_id, lang, CASE WHEN r <= 100 THEN 'train' ELSE 'validation' END AS split
+    FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('123:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 120
+""")
+def seeded_split_by_source(spark, sf_dir):
+    return sampling.split_by_source(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 100, 20).select("doc_id", "lang", "split")
+
+
+@query("""
+    SELECT doc_id, lang, position FROM (
+        SELECT *, row_number() OVER (ORDER BY turn, lang) AS position
+        FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('123:' || doc_id), doc_id) AS turn FROM documents)
+    ) WHERE position <= 40
+""")
+def round_robin_select(spark, sf_dir):
+    return sampling.round_robin(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 40).select("doc_id", "lang", "position")
+
+
+QUOTA = """
+    n AS (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS a FROM documents GROUP BY lang),
+    q AS (SELECT lang, n, 150 * n // a AS w, 150 * n % a AS r FROM n),
+    quota AS (SELECT lang, n, (w + CASE WHEN row_number() OVER (ORDER BY r DESC, lang) <= 150 - sum(w) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM q)
+"""
+
+
+@query(f"WITH {QUOTA} SELECT lang, n, quota FROM quota")
+def largest_remainder_quota(spark, sf_dir):
+    return sampling.quotas(table(spark, sf_dir, "documents"), "lang", 150)
+
+
+@query(f"""
+    WITH {QUOTA}
+    SELECT d.doc_id, d.lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('123:' || doc_id), doc_id) AS r FROM documents) d
+    JOIN quota USING (lang) WHERE r <= quota
+""")
+def quota_sample(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    r = sampling.ranked(docs, "lang", *sampling.seeded(123, "doc_id"))
+    return r.join(sampling.quotas(docs, "lang", 150), "lang").where("rank <= quota").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 50")
+def pilot_stratified_sample(spark, sf_dir):
+    return sampling.ranked(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", F.col("doc_id")).where("rank <= 50").select("doc_id", "lang")
+
+
+# 3 retrieval
+
+BM25 = r"""
+    dt AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS w FROM documents),
+    qt AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS w FROM benchmark),
+    c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM dt),
+    p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM dt) GROUP BY ALL),
+    s AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    a AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(w) AS term FROM qt) GROUP BY ALL),
+    h AS (
+        SELECT item_id, doc_id, round(sum(qf * ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * dl / avgdl))), 6) AS score
+        FROM a JOIN s USING (term) JOIN p USING (term) CROSS JOIN c GROUP BY ALL
+    ),
+    top AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM h QUALIFY rank <= 3)
+"""
+
+
+def _hits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return retrieval.search(retrieval.build_index(docs), table(spark, sf_dir, "benchmark")), docs
+
+
+@query(f"WITH {BM25} SELECT item_id, rank, doc_id, round(score, 4) AS score FROM top")
+def bm25_top3(spark, sf_dir):
+    hits, _ = _hits(spark, sf_dir)
+    return hits.withColumn("score", F.round("score", 4))
+
+
+TITLE = r"CASE WHEN instr(text, chr(10)) > 0 THEN trim(regexp_replace(split_part(text, chr(10), 1), '^\s+|\s+$', '', 'g'), '\"') ELSE '' END".replace('\\"', '"')
+BODY = r"regexp_replace(CASE WHEN instr(text, chr(10)) > 0 THEN substring(text, instr(text, chr(10)) + 1) ELSE text END, '\A\s+|\s+\z', '', 'g')"
+
+
+@query(f"""
+    WITH {BM25}
+    SELECT item_id, chr(10) || chr(10) || '<information>' || string_agg('[' || rank || '] Title: ' || {TITLE} || chr(10) || 'Content: ' || {BODY}, chr(10) || chr(10) ORDER BY rank) || '</information>' || chr(10) || chr(10) AS observation
+    FROM top JOIN documents USING (doc_id) GROUP BY item_id
+""")
+def format_observation(spark, sf_dir):
+    hits, docs = _hits(spark, sf_dir)
+    return retrieval.observations(retrieval.with_passages(hits, docs))
+
+
+@query(f"SELECT doc_id, {TITLE} AS title, sha256({BODY}) AS body_sha256 FROM documents")
+def split_titles(spark, sf_dir):
+    title, body = tx.split_title(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.sha2(body, 256).alias("body_sha256"))
+
+
+# 4 protocol and trajectories
+
+RAW = [
+    "<think>t</think><search>W</search><|im_end|>",
+    "<think>t</think> <answer> W </answer><|im_end|>",
+    "<think>t</think><search>A</search><search>W</search><|im_end|>",
+    "<think>t</think><search>A</search><answer>W</answer><|im_end|>",
+    "<think> </think><search>W</search><|im_end|>",
+    "<think>t</think><answer> </answer><|im_end|>",
+    "<think>t</think><search>W</search>",
+    "<think>t</think><think>u</think><search>W</search><|im_end|>",
+    "<information>W</information><think>t</think><search>W</search><|im_end|>",
+    "<think><search>W</search></think><answer>W</answer><|im_end|>",
+    "<think>t</think><search>W</search> <|im_end|>",
+    "<think>t</think><answer>W<|endoftext|></answer><|im_end|>",
+]
+
+
+def _raw(spark, sf_dir):
+    forms = F.array(*[F.lit(x) for x in RAW])
+    word = F.substring_index(F.substring("text", 1, 40), " ", 1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace(F.element_at(forms, (F.col("doc_id") % len(RAW) + 1).cast("int")), F.lit("W"), word).alias("raw"))
+
+
+RAW_SQL = "r AS (SELECT doc_id, replace(CASE doc_id % {n} {cases} END, 'W', split_part(substring(text, 1, 40), ' ', 1)) AS raw FROM documents)".format(n=len(RAW), cases=" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(RAW)))
+ACT_SQL = r"""
+    m AS (SELECT *, regexp_extract_all(raw, '(?s)<search>.*?</search>|<answer>.*?</answer>') AS ms FROM r),
+    n AS (SELECT *, trim(regexp_extract(ms[1], '(?s)^<(?:search|answer)>(.*)</(?:search|answer)>$', 1), ' ' || chr(9) || chr(10)) AS body, regexp_extract(ms[1], '^<(search|answer)>', 1) AS kind,
+        NOT contains(raw, '<information>') AND NOT contains(raw, '</information>') AND len(ms) = 1 AS one FROM m)
+"""
+RES = r"</?(?:think|search|answer|information)>|<\|(?:im_end|endoftext)\|>"
+
+
+@query(f"WITH {RAW_SQL}, {ACT_SQL} SELECT doc_id, CASE WHEN one AND body <> '' THEN kind ELSE 'invalid' END AS type, CASE WHEN one AND body <> '' THEN body ELSE '' END AS content FROM n")
+def parse_action(spark, sf_dir):
+    return _raw(spark, sf_dir).select("doc_id", protocol.parse_action(F.col("raw")).alias("a")).select("doc_id", "a.type", "a.content")
+
+
+@query(rf"""
+    WITH {RAW_SQL}, {ACT_SQL},
+    s AS (SELECT *, '(?s)^<think>(.*?)</think>\s*<search>(.*?)</search><\|im_end\|>$' AS ps, '(?s)^<think>(.*?)</think>\s*<answer>(.*?)</answer><\|im_end\|>$' AS pa FROM n),
+    t AS (SELECT *, CASE WHEN regexp_matches(raw, ps) THEN ps WHEN regexp_matches(raw, pa) THEN pa END AS pat FROM s),
+    u AS (SELECT *, CASE WHEN pat = ps THEN 'search' ELSE 'answer' END AS k,
+        trim(CASE WHEN pat = ps THEN regexp_extract(raw, '(?s)^<think>(.*?)</think>\s*<search>(.*?)</search><\|im_end\|>$', 1) ELSE regexp_extract(raw, '(?s)^<think>(.*?)</think>\s*<answer>(.*?)</answer><\|im_end\|>$', 1) END) AS think,
+        trim(CASE WHEN pat = ps THEN regexp_extract(raw, '(?s)^<think>(.*?)</think>\s*<search>(.*?)</search><\|im_end\|>$', 2) ELSE regexp_extract(raw, '(?s)^<think>(.*?)</think>\s*<answer>(.*?)</answer><\|im_end\|>$', 2) END) AS act FROM t),
+    v AS (SELECT *, CASE WHEN NOT ends_with(raw, '<|im_end|>') THEN 'missing_im_end'
+        WHEN contains(raw, '�') THEN 'decode_error'
+        WHEN len(string_split(raw, '<think>')) <> 2 OR len(string_split(raw, '</think>')) <> 2 THEN 'invalid_think_count'
+        WHEN contains(raw, '<information>') OR contains(raw, '</information>') THEN 'forged_information'
+        WHEN pat IS NULL THEN 'raw_protocol_mismatch' WHEN think = '' THEN 'empty_think' WHEN act = '' THEN 'empty_action'
+        WHEN regexp_matches(think, '{RES}') THEN 'reserved_tag_in_think' WHEN regexp_matches(act, '{RES}') THEN 'reserved_tag_in_action' END AS error FROM u)
+    SELECT doc_id, error IS NULL AS strict_valid,
+        CASE WHEN error IS NULL THEN true WHEN error IN ('forged_information', 'empty_action', 'reserved_tag_in_action') THEN false ELSE one AND body <> '' AND NOT regexp_matches(body, '{RES}') END AS valid_action,
+        CASE WHEN error IS NULL THEN think ELSE '' END AS reasoning_content, CASE WHEN error IS NULL THEN k ELSE 'invalid' END AS type, CASE WHEN error IS NULL THEN act ELSE '' END AS content, error
+    FROM v
+""")
+def parse_raw_generation(spark, sf_dir):
+    p = protocol.parse_raw(F.col("raw"), F.endswith("raw", F.lit("<|im_end|>")))
+    return _raw(spark, sf_dir).select("doc_id", p.alias("p")).select("doc_id", "p.strict_valid", "p.valid_action", "p.reasoning_content", "p.type", "p.content", "p.error")
+
+
+def _events(spark, sf_dir):
+    """Conversations as events: a think before each assistant turn, the last of which answers, users inform."""
+    conv = table(spark, sf_dir, "conversations")
+    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
+    acts = conv.withColumn("last", last).where("role = 'assistant' OR (role = 'user' AND turn > 0)")
+    pair = lambda k, c: F.struct(F.lit(k).alias("type"), c.alias("content"))
+    text = F.substring("text", 1, 60)
+    made = F.when(F.col("role") == "user", F.array(pair("information", text))).otherwise(F.array(pair("think", F.lit("t")), F.struct(F.when(F.col("turn") == F.col("last"), "answer").otherwise("search").alias("type"), text.alias("content"))))
+    return acts.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", made.alias("e")))), lambda x: x["e"])).alias("events"))
+
+
+EVENTS_SQL = """
+    v AS (SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM conversations),
+    w AS (SELECT * FROM v WHERE role = 'assistant' OR (role = 'user' AND turn > 0)),
+    e AS (SELECT conv_id, count(*) FILTER (role = 'assistant' AND turn < last) AS searches, count(*) FILTER (role = 'user') AS infos, count(*) FILTER (role = 'assistant') AS acts FROM w GROUP BY conv_id)
+"""
+
+
+@query(f"WITH {EVENTS_SQL} SELECT conv_id, searches::INTEGER AS search_count, infos = searches AS consistent FROM e")
+def trajectory_search_count(spark, sf_dir):
+    n = trajectory.search_count(F.col("events"))
+    return _events(spark, sf_dir).select("conv_id", n.alias("search_count"), trajectory.consistent(F.col("events"), n).alias("consistent"))
+
+
+@query()
+def render_messages(spark, sf_dir):
+    r = trajectory.render(F.col("events"), F.concat(F.lit("q"), F.col("conv_id").cast("string")), PROMPT)
+    return _events(spark, sf_dir).select("conv_id", r.alias("r")).select("conv_id", F.to_json("r.messages").alias("messages"), "r.error")
+
+
+def _depths(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    return conv.groupBy("conv_id").agg((F.count_if(F.col("role") == "assistant") - 1).alias("search_count"), F.when(F.col("conv_id") % 2 == 0, "nq").otherwise("hotpotqa").alias("source"))
+
+
+@query("""
+    WITH d AS (SELECT conv_id, count(*) FILTER (role = 'assistant') - 1 AS n, CASE WHEN conv_id % 2 = 0 THEN 'nq' ELSE 'hotpotqa' END AS source FROM conversations GROUP BY conv_id)
+    SELECT coalesce(source, 'total') AS source, count(*) FILTER (n = 0) AS depth_0, count(*) FILTER (n = 1) AS depth_1, count(*) FILTER (n = 2) AS depth_2, count(*) FILTER (n = 3) AS depth_3, count(*) FILTER (n = 4) AS depth_4, count(*) AS total
+    FROM d GROUP BY ROLLUP (source)
+""")
+def source_depth_crosstab(spark, sf_dir):
+    return metrics.depth_crosstab(_depths(spark, sf_dir))
+
+
+# 5 scoring
+
+
+def _answers(spark, sf_dir):
+    """The last assistant text of a conversation against its user texts as gold answers."""
+    conv = table(spark, sf_dir, "conversations")
+    said = F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn")))
+    return conv.groupBy("conv_id").agg(said.alias("prediction"), F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))), lambda x: x["text"]).alias("golds")).where("prediction IS NOT NULL AND size(golds) > 0")
+
+
+SCORES_SQL = f"""
+    a AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'assistant') AS prediction, list(text ORDER BY turn) FILTER (role = 'user') AS golds FROM conversations GROUP BY conv_id),
+    b AS (SELECT conv_id, {sql_tokens('prediction')} AS p, unnest(golds) AS gold FROM a WHERE prediction IS NOT NULL AND len(golds) > 0),
+    c AS (SELECT conv_id, p, {sql_tokens('gold')} AS g FROM b),
+    d AS (SELECT conv_id, p, g, coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda y: y = t))))), 0)::DOUBLE AS o FROM c),
+    s AS (SELECT conv_id, max(CASE WHEN p = g THEN 1.0 ELSE 0.0 END)::DOUBLE AS em, max(round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN (CASE WHEN len(p) = len(g) THEN 1.0 ELSE 0.0 END) ELSE 2.0 * o / (len(p) + len(g)) END, 6))::DOUBLE AS f1 FROM d GROUP BY conv_id)
+"""
+
+
+@query(f"WITH {SCORES_SQL} SELECT conv_id, em, f1 FROM s")
+def answer_em_f1(spark, sf_dir):
+    em, f1 = scoring.best_scores(F.col("prediction"), F.col("golds"))
+    return _answers(spark, sf_dir).select("conv_id", em.alias("em"), F.round(f1, 6).alias("f1"))
+
+
+@query(f"""
+    WITH t AS (SELECT conv_id, turn, {sql_tokens("text")} AS p, {sql_tokens("'The ' || text || '!'")} AS g FROM conversations)
+    SELECT conv_id, turn, (p = g AND turn % 3 <> 0 AND conv_id % 2 = 0)::INTEGER::DOUBLE AS reward FROM t
+""")
+def reward_exact_match(spark, sf_dir):
+    """A gold answer in another spelling counts where the turn answers (not every third) and is strict (even conversations)."""
+    golds = F.array(F.lit("no such answer"), F.concat(F.lit("The "), F.col("text"), F.lit("!")))
+    reason = F.when(F.col("turn") % 3 != 0, "answer").otherwise("max_turns")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", scoring.reward(F.col("text"), golds, reason, F.col("conv_id") % 2 == 0).alias("reward"))
+
+
+# 6 results and rollouts
+
+REASON = "CASE event_type WHEN 'purchase' THEN 'answer' WHEN 'signup' THEN 'answer' WHEN 'view' THEN 'max_turns' WHEN 'click' THEN 'invalid_action' ELSE 'input_too_long' END"
+RESULTS = f"""
+    SELECT event_id, event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'nq' ELSE 'hotpotqa' END AS source, event_type AS question, props AS prediction, {REASON} AS termination_reason,
+        CAST(event_id % 2 AS DOUBLE) AS em, CAST(event_id % 4 AS DOUBLE) / 4 AS f1, event_id % 5 AS search_count,
+        event_id % 5 + 1 AS total_turns, event_id % 5 AS valid_action_count, event_id % 3 AS strict_protocol_count, 1 AS eos_count
+    FROM events
+"""
+
+
+def _results(spark, sf_dir):
+    """Evaluation results from events."""
+    return spark.sql(RESULTS.replace("FROM events", "FROM {e}"), e=table(spark, sf_dir, "events"))
+
+
+def _pair(spark, sf_dir):
+    left = _results(spark, sf_dir)
+    right = left.withColumn("em", F.when(F.col("id") % 7 == 0, 1.0).otherwise(F.col("em"))).withColumn("search_count", F.col("search_count") + (F.col("id") % 11 == 0).cast("int")).withColumn("termination_reason", F.when(F.col("id") % 13 == 0, "answer").otherwise(F.col("termination_reason")))
+    return left, right
+
+
+PAIR_SQL = f"l AS ({RESULTS}), r AS (SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN 1.0 ELSE em END AS em, search_count + (id % 11 = 0)::INTEGER AS search_count, CASE WHEN id % 13 = 0 THEN 'answer' ELSE termination_reason END AS termination_reason) FROM l)"
+
+
+def sql_metrics(rows: str) -> str:
+    share = lambda a, b: f"coalesce(round({a}::DOUBLE / nullif({b}, 0), 6), 0.0)::DOUBLE"
+    n, turns = "count(*)", "sum(total_turns)"
+    reason = lambda r: f"count(*) FILTER (termination_reason = '{r}')"
+    return f"""
+        SELECT coalesce(source, 'overall') AS source, count(*) AS samples, {share('sum(em)', n)} AS answer_em, {share('sum(f1)', n)} AS answer_f1,
+            {share('sum(valid_action_count)', turns)} AS valid_action_rate, {share('sum(strict_protocol_count)', turns)} AS strict_raw_protocol_rate, {share('sum(eos_count)', turns)} AS eos_rate,
+            {share(reason('answer'), n)} AS answer_completion_rate, {share('sum(search_count)', n)} AS average_search_count, {share(reason('max_turns'), n)} AS max_turns_rate,
+            {reason('input_too_long')} AS input_too_long_count, {share(reason('input_too_long'), n)} AS input_too_long_rate
+        FROM {rows} GROUP BY ROLLUP (source)
+    """
+
+
+@query(f"WITH l AS ({RESULTS}) {sql_metrics('l')}")
+def agent_metrics_by_source(spark, sf_dir):
+    return metrics.agent_metrics(_results(spark, sf_dir), ["nq", "hotpotqa"])
+
+
+@query(f"WITH {PAIR_SQL} SELECT l.id, l.source, l.em AS left_em, r.em AS right_em, r.em - l.em AS em_delta, (r.search_count - l.search_count)::BIGINT AS search_count_delta, l.termination_reason AS left_termination_reason, r.termination_reason AS right_termination_reason FROM l JOIN r USING (id)")
+def paired_comparison(spark, sf_dir):
+    p = metrics.paired(*_pair(spark, sf_dir))
+    return p.select("id", "source", "left_em", "right_em", "em_delta", F.col("search_count_delta").cast("long").alias("search_count_delta"), "left_termination_reason", "right_termination_reason")
+
+
+@query(f"WITH {PAIR_SQL} SELECT l.id FROM l JOIN r USING (id) WHERE l.search_count <> r.search_count OR l.termination_reason <> r.termination_reason")
+def paired_differences(spark, sf_dir):
+    return metrics.differing(metrics.paired(*_pair(spark, sf_dir))).select("id")
+
+
+@query(f"WITH {PAIR_SQL} SELECT count(*) FILTER (l.em = 1 AND r.em = 1) AS both_right, count(*) FILTER (l.em = 1 AND r.em = 0) AS left_only, count(*) FILTER (l.em = 0 AND r.em = 1) AS right_only, count(*) FILTER (l.em = 0 AND r.em = 0) AS both_wrong FROM l JOIN r USING (id)")
+def contingency_2x2(spark, sf_dir):
+    return metrics.contingency(metrics.paired(*_pair(spark, sf_dir)))
+
+
+@query(f"""
+    WITH {PAIR_SQL}, ml AS ({sql_metrics('l')}), mr AS ({sql_metrics('r')}),
+    ul AS (UNPIVOT ml ON {', '.join(metrics.RATES)} INTO NAME metric VALUE v), ur AS (UNPIVOT mr ON {', '.join(metrics.RATES)} INTO NAME metric VALUE v)
+    SELECT source, metric, round(ur.v - ul.v, 6) AS delta FROM ul JOIN ur USING (source, metric)
+""")
+def metric_delta(spark, sf_dir):
+    left, right = (metrics.agent_metrics(x, ["nq", "hotpotqa"]) for x in _pair(spark, sf_dir))
+    return metrics.metric_deltas(left, right)
+
+
+ROLLOUTS = f"""
+    SELECT event_id AS rollout_id, user_id // 10 * 100 + event_id % 100 AS question_id, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status,
+        CASE WHEN user_id % 3 = 0 THEN 1.0 WHEN user_id % 3 = 1 THEN 0.0 ELSE CAST(event_id % 2 AS DOUBLE) END AS reward, {REASON} AS termination_reason, event_id % 4 <> 0 AS strict_protocol_valid, event_id % 5 AS search_count
+    FROM events
+"""
+
+
+def _rollouts(spark, sf_dir):
+    return spark.sql(ROLLOUTS.replace("FROM events", "FROM {e}").replace("//", "div"), e=table(spark, sf_dir, "events"))
+
+
+GROUPS_SQL = f"""
+    x AS ({ROLLOUTS}), sel AS (SELECT DISTINCT question_id FROM x UNION SELECT -1),
+    g0 AS (SELECT question_id, count(*) AS record_count, count(*) FILTER (status = 'ok') AS valid_count, coalesce(sum(reward) FILTER (status = 'ok'), 0.0)::DOUBLE AS reward_sum FROM x GROUP BY question_id),
+    g AS (SELECT question_id, coalesce(record_count, 0) AS record_count, coalesce(valid_count, 0) AS valid_count, coalesce(reward_sum, 0.0) AS reward_sum FROM sel LEFT JOIN g0 USING (question_id)),
+    k AS (SELECT *, CASE WHEN record_count <> 4 OR valid_count <> 4 THEN 'incomplete' WHEN reward_sum = 4 THEN 'all_one' WHEN reward_sum > 0 THEN 'mixed' ELSE 'all_zero' END AS category FROM g)
+"""
+
+
+def _groups(spark, sf_dir):
+    r = _rollouts(spark, sf_dir)
+    asked = r.select("question_id").unionByName(spark.range(1).select((F.col("id") - 1).alias("question_id")))
+    return metrics.rollout_groups(r, 4, asked)
+
+
+@query(f"WITH {GROUPS_SQL} SELECT question_id, record_count, valid_count, reward_sum, category FROM k")
+def rollout_group_classify(spark, sf_dir):
+    return _groups(spark, sf_dir).drop("rewards")
+
+
+@query(f"WITH x AS ({ROLLOUTS}) SELECT question_id, to_json(coalesce(list(reward::DOUBLE ORDER BY rollout_id) FILTER (status = 'ok'), [])) AS rewards FROM x GROUP BY question_id")
+def rollout_reward_lists(spark, sf_dir):
+    return metrics.rollout_groups(_rollouts(spark, sf_dir), 4).select("question_id", "rewards")
+
+
+@query(f"""
+    WITH {GROUPS_SQL},
+    a AS (SELECT count(*) AS record_count, count(*) FILTER (status = 'ok') AS valid_record_count, count(*) FILTER (status <> 'ok') AS failed_record_count,
+        round(avg((termination_reason = 'answer')::INTEGER) FILTER (status = 'ok'), 6) AS answer_completion_rate, round(avg(strict_protocol_valid::INTEGER) FILTER (status = 'ok'), 6) AS strict_protocol_validity,
+        round(avg(reward) FILTER (status = 'ok'), 6) AS mean_reward, round(avg(search_count) FILTER (status = 'ok'), 6) AS mean_search_count FROM x),
+    b AS (SELECT count(*) AS group_count, count(*) FILTER (category <> 'incomplete') AS complete_group_count, count(*) FILTER (category = 'incomplete') AS incomplete_group_count,
+        round(count(*) FILTER (category = 'mixed') / nullif(count(*) FILTER (category <> 'incomplete'), 0)::DOUBLE, 6) AS informative_group_ratio,
+        round(count(*) FILTER (category = 'all_zero') / nullif(count(*) FILTER (category <> 'incomplete'), 0)::DOUBLE, 6) AS all_zero_ratio,
+        round(count(*) FILTER (category = 'all_one') / nullif(count(*) FILTER (category <> 'incomplete'), 0)::DOUBLE, 6) AS all_one_ratio FROM k)
+    SELECT *, 4 AS expected_rollouts FROM a CROSS JOIN b
+""")
+def rollout_summary(spark, sf_dir):
+    return metrics.rollout_summary(_rollouts(spark, sf_dir), _groups(spark, sf_dir), 4)
+
+
+@query(f"WITH l AS ({RESULTS}) SELECT termination_reason, count(*) AS n FROM l GROUP BY 1")
+def termination_distribution(spark, sf_dir):
+    return metrics.distribution(_results(spark, sf_dir), "termination_reason")
+
+
+# 7 cleaning, records, resume
+
+
+def _raw_qa(spark, sf_dir):
+    """Documents as raw rows: the first words as question, some spellings of them as answers."""
+    head = F.substring("text", 1, 60)
+    answers = F.array(head, F.lower(head), F.concat(F.lit("  "), head), F.lit("x  y"), F.lit(" "))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit("train_"), F.col("doc_id").cast("string")).alias("id"), head.alias("question"), answers.alias("golden_answers"))
+
+
+CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+HEAD = CLEAN.format("substring(text, 1, 60)")
+
+
+@query(f"SELECT 'nq_train_' || doc_id AS uid, 'nq' AS source, {HEAD} AS question, CASE WHEN {HEAD} = '' THEN 'x y' ELSE {HEAD} || '|x y' END AS gold_answers FROM documents")
+def clean_qa(spark, sf_dir):
+    rows = qa.canonical(_raw_qa(spark, sf_dir), "nq", "id", "train")
+    return rows.select("uid", "source", "question", F.array_join("gold_answers", "|").alias("gold_answers"))
+
+
+@query("""
+    SELECT coalesce(lang, 'overall') AS source_split, count(*) AS read,
+        sum(CASE WHEN regexp_matches(h, '^\\s|\\s$|[\\t\\n\\r]|\\s\\s') THEN 2 ELSE 0 END + 3)::BIGINT AS normalized, sum(2)::BIGINT AS duplicates
+    FROM (SELECT lang, substring(text, 1, 60) AS h FROM documents) GROUP BY ROLLUP (lang)
+""".replace("\\\\", "\\"))
+def cleaning_counters(spark, sf_dir):
+    return qa.counters(_raw_qa(spark, sf_dir).withColumnRenamed("lang", "source_split"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE 'train_' || doc_id NOT IN ({', '.join(repr(x) for x in qa.EXCLUDED)})")
+def static_exclusion(spark, sf_dir):
+    return qa.without_excluded(_raw_qa(spark, sf_dir), "id").select("doc_id")
+
+
+@query("SELECT lang AS data_source, doc_id AS id, 'train' AS split, 2 AS messages, lang AS ground_truth FROM documents")
+def trainer_records(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source"), F.col("text").alias("question"), F.array("lang").alias("answers"))
+    r = qa.trainer_records(rows, "train", PROMPT)
+    return r.select("data_source", "extra_info.id", "extra_info.split", F.size("prompt").alias("messages"), F.array_join("reward_model.ground_truth", "|").alias("ground_truth"))
+
+
+@query("SELECT doc_id AS uid FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0")
+def resume_anti_join(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"))
+    return resume.remaining(d, d.where("uid % 3 = 0"), d.where("uid % 3 <> 0 AND uid % 5 = 0"))
+
+
+@query("SELECT doc_id AS ordinal FROM documents WHERE doc_id < 100 AND doc_id % 17 = 0")
+def prefix_check(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "lang", "source")
+    done = d.where("ordinal < 100").withColumn("source", F.when(F.col("ordinal") % 17 == 0, "changed").otherwise(F.col("source")))
+    return resume.prefix_mismatches(done, d, ["lang", "source"])
+
+
+@query("SELECT count(*) AS differences FROM documents WHERE doc_id % 100 = 0")
+def readback_equality(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return isolation.differences(d, d.where("doc_id % 100 <> 0")).agg(F.count("*").alias("differences"))
+
+
+@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0")
+def quality_filter(spark, sf_dir):
+    """Extension: the documented teacher filter, with labels as validity flags."""
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0"), "doc_id").select("doc_id")
+
+
+@query("""
+    WITH t AS (SELECT doc_id, n_chars % 3000 AS a, n_chars % 9000 AS b FROM documents), s AS (
+        SELECT doc_id, CASE WHEN a = b AND a > 2048 THEN 'input_too_long' WHEN least(6144 - (b - a), 8192 - b) <= 0 THEN 'length_limit' ELSE 'ok' END AS status, least(512, least(6144 - (b - a), 8192 - b)) AS m FROM t
+    ) SELECT doc_id, status, CASE WHEN status = 'ok' THEN m ELSE 0 END::BIGINT AS max_new_tokens FROM s
+""")
+def budget_model(spark, sf_dir):
+    b = rollout.next_budget(F.col("n_chars") % 3000, F.col("n_chars") % 9000)
+    return table(spark, sf_dir, "documents").select("doc_id", b.alias("b")).select("doc_id", "b.status", F.col("b.max_new_tokens").cast("long").alias("max_new_tokens"))
+
+
+@query()
+def agent_loop(spark, sf_dir):
+    """The whole loop with a deterministic stand-in for the model: search with the question, then answer."""
+    docs = table(spark, sf_dir, "documents")
+    index = retrieval.build_index(docs)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+
+    def generate(messages, turn):
+        word = F.translate(F.substring(F.element_at(messages, 2)["content"], 1, 80), "<>", "")
+        act = F.when(F.size(messages) > 2 + 2 * (F.length(word) % 3), F.concat(F.lit("<answer>"), word, F.lit("</answer>"))).otherwise(F.concat(F.lit("<search>"), word, F.lit("</search>")))
+        return F.concat(F.lit("<think>step"), F.lit(str(turn)), F.lit("</think>"), act, F.lit("<|im_end|>"))
+
+    def find(queries):
+        hits = retrieval.search(index, queries, query_id="question_id", text_col="query")
+        rows = retrieval.with_passages(hits, docs)
+        return rows.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "text"))), lambda h: h).alias("hits"))
+
+    done = rollout.run_agent(asked, generate, find, PROMPT)
+    cols = trajectory.loop_columns(F.col("steps"))
+    return done.select("question_id", "termination_reason", *[c.alias(n) for n, c in cols.items()])
