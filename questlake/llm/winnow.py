@@ -335,38 +335,47 @@ def resolved(blocks: DataFrame, partitions: int, resolver: Callable[[Met], list[
     return blocks.repartition(partitions, "bucket").mapInArrow(run, "shard long, bucket long, counts binary, answers binary")
 
 
-def removed_spans(stretches: Stretches, answers: dict[int, tuple[bytes, bytes]], spec: Spec, gone: Callable[[np.ndarray, int], np.ndarray]) -> Iterator[tuple[Part, np.ndarray]]:
-    """Each part with a mask of the symbols that windows cover for which ``gone(answers, id)`` holds."""
-    value: list[np.ndarray] = [np.zeros(0, np.int64)] * len(stretches.anchor)
+def removed_spans(stretches: Stretches, answers: dict[int, tuple[bytes, bytes]], spec: Spec, gone: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[Part, np.ndarray]]:
+    """Each part with a mask of the symbols that windows cover for which ``gone(answers, ids)`` holds."""
+    n = len(stretches.anchor)
+    one, many = np.zeros(n, np.int64), np.zeros(n, bool)  # the answer of contents that have one for all windows
+    value: dict[int, np.ndarray] = {}
     for bucket, at in stretches.blocks:
         counts, flat = answers[bucket]
-        n, v = np.frombuffer(counts, np.int32), np.frombuffer(flat, np.int64)
-        ends = np.cumsum(n)
-        for i, e, m in zip(at.tolist(), ends.tolist(), n.tolist()):
-            value[i] = v[e - m : e]
+        m, v = np.frombuffer(counts, np.int32), np.frombuffer(flat, np.int64)
+        ends = np.cumsum(m)
+        one[at] = v[ends - m]
+        for k in np.flatnonzero(m > 1).tolist():
+            value[int(at[k])] = v[ends[k] - m[k] : ends[k]]
+            many[at[k]] = True
     w = spec.window
-    uses, u = stretches.uses, 0
+    of_part = np.array([k for k, _, _ in stretches.uses], np.int64)
     for k, part in enumerate(stretches.parts):
+        uses = stretches.uses[np.searchsorted(of_part, k) : np.searchsorted(of_part, k, side="right")]
         cover = np.zeros(int(part.offsets[-1]) + 1, np.int32)
         ids = part.ids[part.doc]
-        while u < len(uses) and uses[u][0] == k:
-            _, r, which = uses[u]
-            u += 1
-            a, b, doc = int(part.starts[r]), int(part.stops[r]), int(ids[r])
-            got = np.array([value[i][0] for i in which]) if isinstance(which, list) else value[which]
-            bad = gone(got, doc)
-            if len(bad) == 1:
-                if bad[0]:
-                    cover[a] += 1
-                    cover[b + w - 1] -= 1
-                continue
-            p = a + np.flatnonzero(bad)
-            np.add.at(cover, p, 1)
-            np.add.at(cover, p + w, -1)
+        plain = [(r, i) for _, r, i in uses if not isinstance(i, list)]
+        if plain:
+            r, i = np.array(plain).T
+            flagged = ~many[i] & gone(one[i], ids[r])
+            np.add.at(cover, part.starts[r[flagged]], 1)
+            np.add.at(cover, part.stops[r[flagged]] + w - 1, -1)
+            some = np.flatnonzero(many[i])
+            rest = list(zip(r[some].tolist(), [value[x] for x in i[some].tolist()]))
+        else:
+            rest = []
+        rest += [(r, one[i]) for _, r, i in uses if isinstance(i, list)]
+        if rest:
+            m = np.array([len(v) for _, v in rest])
+            r = np.array([r for r, _ in rest])
+            at = np.repeat(part.starts[r], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            at = at[gone(np.concatenate([v for _, v in rest]), np.repeat(ids[r], m))]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + w, -1)
         yield part, np.cumsum(cover[:-1]) > 0
 
 
-def dedup(docs: DataFrame, spec: Spec, resolver: Callable[[Met], list[np.ndarray]], gone: Callable[[np.ndarray, int], np.ndarray], finish: Callable[[Part, np.ndarray], list[tuple]], fields: list[tuple[str, pa.DataType, str]], count: bool, id_col: str, text_col: str) -> DataFrame:
+def dedup(docs: DataFrame, spec: Spec, resolver: Callable[[Met], list[np.ndarray]], gone: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[Part, np.ndarray], list[tuple]], fields: list[tuple[str, pa.DataType, str]], count: bool, id_col: str, text_col: str) -> DataFrame:
     """Run the passes; ``finish`` makes the rows of a part from the mask of its removed symbols."""
     n = parallelism(docs, 6)
     shards = shard_table(docs, id_col, text_col, n)
