@@ -14,19 +14,24 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from questlake.llm.common import add_columns, utf8_rows
 
 MARK = "▁"
-_UNITS = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MOST_CACHED = 400_000
+_UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Stands before a unit that has no space mark; texts that hold it take the general way.
+_BARE = "\x01"
+#: A sign after something other than a letter, or what the quick way doesn't cut exactly.
+_GENERAL = re.compile(f"^ |  | $|[{MARK}{_BARE}]")
+_SIGNS = re.compile(r"[\W\d_][.,]")
+MOST_CACHED = 800_000
 
 
 class PrefixBPE:
@@ -51,6 +56,10 @@ class PrefixBPE:
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece reaches over a word's start")
         self.chars = {c for p in self.id for c in p}
+        pairs = {(a, b) for p in self.id for a, b in zip(p, p[1:])}
+        #: No piece joins a letter to a full stop or comma, or holds a line end, so units end there.
+        self.signs = not any(b in ".," and re.fullmatch(r"[^\W\d_]", a) for a, b in pairs)
+        self.lines = "\n" not in self.chars
         self.machine = ahocorasick.Automaton()
         for p, i in self.id.items():
             self.machine.add_word(p, (i, len(p)))
@@ -125,23 +134,32 @@ class PrefixBPE:
         return out + (self.known(run) if run else [])
 
     def unit(self, unit: str) -> tuple[bytes, bytes]:
-        """A unit's ids as little-endian 32-bit integers, and what they decode to."""
-        got = self.cache.get(unit)
-        if got is None:
-            ids = self.ids(unit)
-            got = np.array(ids, "<u4").tobytes(), b"".join([self.shown[i] for i in ids])
-            if len(self.cache) < MOST_CACHED and len(unit) < 200:
-                self.cache[unit] = got
-        return got
+        """A unit's ids as little-endian 32-bit integers, and what they decode to. A unit starts with a space unless it is bare."""
+        ids = self.ids(unit[1:] if unit[:1] == _BARE else MARK + unit)
+        return np.array(ids, "<u4").tobytes(), b"".join([self.shown[i] for i in ids])
+
+    def units(self, text: str) -> list[str]:
+        """The text's units, the first with the space that encoding puts before a text."""
+        if _GENERAL.search(text):
+            marked = MARK + text.replace(" ", MARK)
+            return [u[1:] if u[0] == MARK else _BARE + u for u in _UNITS.findall(marked)]
+        if self.signs and not _SIGNS.search(text):
+            text = text.replace(", ", f" {_BARE}, ").replace(". ", f" {_BARE}. ").replace(".\n", f" {_BARE}.\n")
+        if self.lines:
+            text = text.replace("\n", f" {_BARE}\n {_BARE}")
+        return text.split(" ")
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Ids with begin and end, packed, and the decoded text as UTF-8."""
         begin, end = np.array([self.bos], "<u4").tobytes(), np.array([self.eos], "<u4").tobytes()
         if not text:
             return begin + end, b""
-        marked = MARK + text.replace(" ", MARK)
-        get, unit = self.cache.get, self.unit
-        got = [get(u) or unit(u) for u in _UNITS.findall(marked)]
+        units, cache = self.units(text), self.cache
+        extra = {u: self.unit(u) for u in set(units).difference(cache)}
+        if len(cache) < MOST_CACHED:
+            cache.update((u, x) for u, x in extra.items() if len(u) < 200)
+        get = cache.get
+        got = [get(u) or extra[u] for u in units]
         shown = b"".join([b for _, b in got]).decode(errors="replace")
         return begin + b"".join([a for a, _ in got]) + end, shown.removeprefix(" ").encode()
 
