@@ -168,7 +168,7 @@ def predicted(docs: DataFrame, model: ByteCNN, text_col: str = "text", keep: lis
             np.add.at(total, owner, probs)
             total /= np.maximum(1, np.diff(offsets))[:, None]
             best = total.argmax(axis=1)
-            letters = [bool(_LETTER.search(bytes(data[a : a + 200]).decode(errors="ignore")) or _LETTER.search(bytes(data[a:b]).decode())) for a, b in zip(offsets[:-1], offsets[1:])]
+            letters = [bool(_LETTER.search(bytes(data[a : min(b, a + 200)]).decode(errors="ignore")) or _LETTER.search(bytes(data[a:b]).decode())) for a, b in zip(offsets[:-1], offsets[1:])]
             return [[net.langs[k] if ok else UND for k, ok in zip(best, letters)], [min(1.0, float(total[i, k])) if ok else 0.0 for i, (k, ok) in enumerate(zip(best, letters))]]
 
         return fn
