@@ -19,8 +19,8 @@ from questlake.llm import langid, packing, simhash, substringdedup, toxicity
 from questlake.llm.common import scratch_path, table
 from questlake.llm.registry import tokenizer_path
 
-#: Four classes: a best one below this is hardly likelier than the others.
-LEAST_LANGUAGE_SCORE = 0.35
+#: With four classes a best one below this is hardly likelier than the others.
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
