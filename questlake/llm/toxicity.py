@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Token scores are log-odds ratios between toxic and clean documents, smoothed by an informative Dirichlet prior (document
-frequencies of both classes together) and kept where their z-score is significant; a drift makes the expected score of clean text
-negative. A linear scan finds all maximal scoring segments of a document; the best one's score is calibrated as an extreme
+frequencies of both classes together) and kept where a likelihood-ratio test is significant among that many words; a drift makes
+the expected score of clean text negative. A linear scan finds all maximal scoring segments of a document; the best one's score is calibrated as an extreme
 value, lambda * S - ln(K n) (lambda solves the moment equation over clean tokens, K is fitted on clean maxima), and a logistic
 curve over that figure and the count of significant segments gives the score.
 
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import math
 import string
+import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -88,12 +90,12 @@ class Model:
         return [(places[a][0], places[b - 1][1], s) for a, b, s in segments(packed)], len(words)
 
     def features(self, text: bytes) -> tuple[float, float]:
-        """The best segment as an extreme value, and the log count of segments that are significant at 0.05."""
+        """Logs of the best segment as an extreme value and of the number of segments that are significant at 0.05."""
         found, n = self.spans(text)
         if not found:
             return 0.0, 0.0
         norm = [self.lam * s - self.ln_k - math.log(n) for *_, s in found]
-        return max(0.0, max(norm)), math.log1p(sum(x > 2.97 for x in norm))
+        return math.log1p(max(0.0, max(norm))), math.log1p(sum(x > 2.97 for x in norm))
 
     def score(self, text: bytes) -> float:
         a, b = self.features(text)
@@ -114,42 +116,107 @@ def _lambda(values: np.ndarray) -> float:
     return lo
 
 
-def fit(rows: list[tuple[bytes, int]], prior: float = 20.0, z_min: float = 3.0, drift: float = 0.25) -> Model:
-    """Fit on (text, label) rows: driver-side, bounded by the sample."""
+def _root_g2(a: int, n1: int, b: int, n0: int) -> float:
+    """The root of the likelihood-ratio statistic of a in n1 against b in n0."""
+    share = (a + b) / (n1 + n0)
+    parts = ((a, n1 * share), (n1 - a, n1 * (1 - share)), (b, n0 * share), (n0 - b, n0 * (1 - share)))
+    return math.sqrt(max(0.0, 2 * sum(x * math.log(x / e) for x, e in parts if x)))
+
+
+def copies(texts: Iterable[list[bytes]], n_texts: int, minima: int = 8) -> list[int]:
+    """A group number for each text; texts that share one of some least hashes of their five-word shingles are of one group."""
+    up = list(range(n_texts))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    known: dict[tuple[int, int], int] = {}
+    for i, w in enumerate(texts):
+        h = np.fromiter(map(zlib.crc32, w), np.uint64, len(w))
+        n = max(1, len(h) - 4)
+        mix = np.zeros(n, np.uint64)
+        for k in range(min(5, len(h))):
+            mix = mix * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+        for k in range(minima):
+            x = (mix ^ (mix >> np.uint64(29))) * np.uint64(2 * k + 0xBF58476D1CE4E5B9)
+            first = known.setdefault((k, int((x ^ (x >> np.uint64(32))).min())), i)
+            a, b = sorted((root(first), root(i)))
+            up[b] = a
+    number: dict[int, int] = {}
+    return [number.setdefault(root(i), len(number)) for i in range(n_texts)]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Newton steps, halved until the penalised likelihood rises."""
+    loss = lambda w: float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + ridge * (w @ w) / 2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        now, rate = loss(w), 1.0
+        while rate > 1e-6 and not loss(w + rate * step) < now:
+            rate /= 2
+        if rate <= 1e-6:
+            break
+        w = w + rate * step
+    return w
+
+
+def _words(seen: list[tuple[Counter, Counter]], sizes: list[list[int]], prior: float, drift: float, clean: list[list[bytes]]) -> Model:
+    """Word scores and extreme-value parameters from document frequencies (clean, toxic) and tokens of clean texts."""
     model = Model(drift=drift)
-    n1 = sum(y for _, y in rows)
-    n0 = len(rows) - n1
-    rate = n1 / len(rows) if rows else 0.0
-    base = math.log(rate / (1 - rate)) if 0 < rate < 1 else (50.0 if rate else -50.0)
-    model.weights = (0.0, 0.0, base)
-    if not n1 or not n0:
-        return model
-    seen = (Counter(), Counter())
-    for text, y in rows:
-        seen[y].update(set(tokens(text)))
-    total = seen[0] + seen[1]
+    n0, n1 = sum(a for a, _ in sizes), sum(b for _, b in sizes)
+    c0, c1 = Counter(), Counter()
+    for a, b in seen:
+        c0.update(a)
+        c1.update(b)
+    total = {w: df for w, df in (c0 + c1).items() if df >= 3}
+    z_min = math.sqrt(2 * math.log(max(2, len(total))))  # the largest z that chance gives among so many words
     for w, df in total.items():
-        if df < 3:
-            continue
-        alpha = prior * df / len(rows)
-        y1, y0, m1, m0 = seen[1][w] + alpha, seen[0][w] + alpha, n1 + prior, n0 + prior
-        delta = math.log(y1 / (m1 - y1)) - math.log(y0 / (m0 - y0))
-        if abs(delta) >= z_min * math.sqrt(1 / y1 + 1 / y0):
-            model.scores[w] = delta
-    clean = [x for x, y in rows if not y]
+        if n0 and n1 and _root_g2(c1[w], n1, c0[w], n0) >= z_min:
+            alpha = prior * df / (n0 + n1)
+            y1, y0, m1, m0 = c1[w] + alpha, c0[w] + alpha, n1 + prior, n0 + prior
+            model.scores[w] = math.log(y1 / (m1 - y1)) - math.log(y0 / (m0 - y0))
     if any(s > 0 for s in model.scores.values()):
-        drawn = np.array([model.scores.get(w, 0.0) - drift for x in clean for w in tokens(x)[:400]] or [-drift])
+        drawn = np.array([model.scores.get(w, 0.0) - drift for x in clean for w in x] or [-drift])
         model.lam = _lambda(drawn)
-        best = [(max((s for *_, s in found), default=0.0), n) for found, n in map(model.spans, clean) if n]
+        best = [(max((s for *_, s in found), default=0.0), n) for found, n in (model.spans(b" ".join(x)) for x in clean) if n]
         model.ln_k = float(np.mean([model.lam * s - math.log(n) for s, n in best if s] or [0.0])) - 0.5772
-    x = np.array([[*model.features(t), 1.0] for t, _ in rows])
-    y = np.array([v for _, v in rows], float)
-    w = np.array([0.0, 0.0, base])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        grad = x.T @ (y - p) - 0.01 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(3)
-        w = w + np.linalg.solve(hess, grad)
+    return model
+
+
+def fit(rows: list[tuple[bytes, int]], prior: float = 20.0, drift: float = 0.25, folds: int = 5) -> Model:
+    """Fit on (text, label) rows: driver-side, bounded by the sample.
+
+    Exact and near copies count once, or each rare word of a copied text would look like evidence. The logistic curve is fitted on
+    figures of texts whose group the word scores haven't seen (cross-fitting).
+    """
+    n1 = sum(y for _, y in rows)
+    rate = n1 / len(rows) if rows else 0.0
+    base = math.log(rate / (1 - rate)) if 0 < rate < 1 else (50.0 if rate else -50.0)
+    if not 0 < rate < 1:
+        return Model(drift=drift, weights=(0.0, 0.0, base))
+    group = copies((tokens(t) for t, _ in rows), len(rows))
+    parts: list[list[tuple[bytes, int]]] = [[] for _ in range(folds)]
+    seen, sizes, clean = [(Counter(), Counter()) for _ in parts], [[0, 0] for _ in parts], [[] for _ in parts]
+    words: dict[tuple[int, int], set[bytes]] = {}
+    for (text, y), g in zip(rows, group):
+        parts[g % folds].append((text, y))
+        if (g, y) not in words and not y and len(clean[g % folds]) < 200:
+            clean[g % folds].append(tokens(text))
+        words.setdefault((g, y), set()).update(tokens(text))
+    for (g, y), some in words.items():
+        seen[g % folds][y].update(some)
+        sizes[g % folds][y] += 1
+    x, y = [], []
+    for k, part in enumerate(parts):
+        others = [i for i in range(folds) if i != k]
+        model = _words([seen[i] for i in others], [sizes[i] for i in others], prior, drift, [c for i in others for c in clean[i]])
+        x += [[*model.features(t), 1.0] for t, _ in part]
+        y += [v for _, v in part]
+    w = _logistic(np.array(x), np.array(y, float), np.array([0.0, 0.0, base]))
+    model = _words(seen, sizes, prior, drift, [c for part in clean for c in part])
     model.weights = tuple(float(v) for v in w)
     return model
 
