@@ -562,7 +562,8 @@ def budget_model(spark, sf_dir):
 def agent_loop(spark, sf_dir):
     """The whole loop with a deterministic stand-in for the model: search with the question, then answer."""
     docs = table(spark, sf_dir, "documents")
-    index = retrieval.build_index(docs)
+    built = retrieval.build_index(docs)
+    index = retrieval.Index(*map(rollout.cut, (built.postings, built.stats, built.corpus)))  # every turn reads it
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
     def generate(messages, turn):
