@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from questlake.functions import scoring
 from questlake.functions import text as tx
 from questlake.operators import isolation, metrics, protocol, qa, resume, retrieval, rollout, sampling, trajectory
+from questlake.session import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +35,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
