@@ -12,8 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from questlake.session import importable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +63,7 @@ def scan_partitions(df: DataFrame) -> int:
 
 def parallelism(df: DataFrame, factor: int) -> int:
     """Partitions for data that grows with ``df``."""
+    importable(df.sparkSession)
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(conf, factor * scan_partitions(df))
 
@@ -93,6 +97,7 @@ def add_columns(df: DataFrame, needed: list[str], fields: ArrowFields, start: Ca
     ``start`` runs once a task and gives the function from a batch to one array (or list) per field. Columns kept that have the
     name of a new one are replaced. ``needed`` are the inputs of that function.
     """
+    importable(df.sparkSession)
     names = [n for n, _, _ in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     cols = list(dict.fromkeys([*keep, *needed]))

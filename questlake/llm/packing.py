@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from questlake.llm.common import ids_array, parallelism, pieces, utf8_rows, written
+from questlake.session import importable
 
 SIZE = 2048
 MOST_CACHED = 1_000_000
@@ -129,6 +130,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
