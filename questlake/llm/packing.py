@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from questlake.llm.common import ids_array, parallelism, pieces, utf8_rows, written
+from questlake.llm.common import ids_array, parallelism, pieces, written
 from questlake.session import importable
 
 SIZE = 2048
@@ -37,7 +37,8 @@ MOST_CACHED = 1_000_000
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-įĲ-ɏ]")
 
 
-_SIGNS = re.compile(r"[^\w\s][.,]|_[.,]")
+#: A sign before a full stop or comma; the rarer character is looked for first.
+_SIGNS = re.compile(r"[.,](?<=(?:[^\w\s]|_).)")
 
 
 class WordCached:
@@ -84,15 +85,20 @@ class WordCached:
         cache = self.cache
         plain = [not _PLAIN.search(x) and "<|" not in x for x in texts]
         odd = iter(self._all([x for x, p in zip(texts, plain) if not p]))
-        split = [self._split(x) if p else None for x, p in zip(texts, plain)]
-        extra = self._words(list(set().union(*filter(None, split)).difference(cache)))
-        if not extra:
-            return [next(odd) if ws is None else b"".join(map(cache.__getitem__, ws)) for ws in split]
+        get, out, open_ = cache.get, [], []
+        for x, p in zip(texts, plain):
+            words = self._split(x) if p else None
+            found = [next(odd)] if words is None else list(map(get, words))
+            if None in found:
+                open_.append((found, [(k, words[k]) for k, y in enumerate(found) if y is None]))
+            out.append(found)
+        extra = self._words(list({w for _, rest in open_ for _, w in rest}))
+        for found, rest in open_:
+            for k, w in rest:
+                found[k] = extra[w]
         if len(cache) < MOST_CACHED:
             cache.update(extra)
-            return [next(odd) if ws is None else b"".join(map(cache.__getitem__, ws)) for ws in split]
-        get = cache.get
-        return [next(odd) if ws is None else b"".join([extra[w] if (i := get(w)) is None else i for w in ws]) for ws in split]
+        return list(map(b"".join, out))
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -120,7 +126,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col:
         for whole in batches:
             for batch in pieces(whole):
                 ids, out = ids_array(batch.column(0)), []
-                got = loaded(tokenizer).encode([x.decode() for x in utf8_rows(batch.column(1))])
+                got = loaded(tokenizer).encode([x or "" for x in batch.column(1).to_pylist()])
                 for doc, packed in zip(ids.tolist(), got):
                     packed += sep
                     for k in range(0, len(packed), 4 * size):
