@@ -29,6 +29,8 @@ from questlake.llm.common import add_columns, parallelism, utf8_rows, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 RADIUS = 4
+#: A fingerprint is hot if it has more than this part of all rows; so fewer than this many are broadcast.
+HOT_SHARES = 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -171,10 +173,16 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS) -> DataFrame:
     """One row a document: its id, ``fp`` and ``component_id`` (the smallest id reachable by links)."""
     prints = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words, ["id"]), "fp")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
     edges = links(classes, parallelism(docs, 2), radius)
     roots = components(edges)
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "least", "root")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("lowest")), "root").select("fp", "lowest")
-    final = classes.join(named, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
-    return prints.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    final = written(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("lowest", "least").alias("component_id")), "named")
+    # fingerprints of very many rows meet those rows where they lie; by their share there are at most HOT_SHARES of them
+    rows = final.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARES > rows
+    here = F.broadcast(final.where(hot).select("fp", "component_id"))
+    rest = prints.join(here, "fp", "left_anti").join(final.where(~hot).select("fp", "component_id"), "fp")
+    both = prints.join(here, "fp").unionByName(rest)
+    return both.select(F.col("id").alias(id_col), "fp", "component_id")
