@@ -145,8 +145,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _run(docs, _rows, fields, id_col, text_col, window, gram, hot)
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 8) -> DataFrame:
-    """``docs`` with repeated windows taken out of the text; documents that lose no word keep theirs as it is. Ids must be unique."""
+def cleaned(docs: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = 8) -> DataFrame:
+    """``docs`` with repeated windows taken out of the text; documents that lose no word keep theirs as it is. Rows are told apart by
+    a key of their own, so ids may repeat or be null."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     fields = [("_id", pa.int64(), "long"), ("_kept", pa.string(), "string")]
-    less = written(_run(docs, _texts, fields, id_col, text_col, window, gram), "kept")
-    return docs.join(less, F.col(id_col) == less._id, "left").select(*[F.coalesce("_kept", F.col(f"`{text_col}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    less = written(_run(rows, _texts, fields, "_row", text_col, window, gram), "kept")
+    return rows.join(less, rows._row == less._id, "left").select(*[F.coalesce("_kept", F.col(f"`{text_col}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -64,3 +64,20 @@ def test_rows_that_repeat_an_id_leave_one(spark):
     got = corpus_pipeline.near_dedup(spark, df, SF)
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1]
     assert substringdedup.cleaned(got).count() == 2
+
+
+def test_unrelated_texts_under_one_id_or_none_stay(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    a, b, z = text("a"), text("b"), text("z")
+    rows = [(None, a), (None, b), (None, b), (None, text("c")), (7, z), (7, text("d")), (5, text("d")), (9, z)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (None, b), (None, text("c")), (7, z), (5, text("d"))], key=repr)
+
+
+def test_rows_without_id_lose_repeated_windows(spark):
+    w = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, f"a {w}"), (None, f"b {w}"), (7, f"c {w}"), (7, f"d {w}"), (7, "e")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.substring_filter(spark, df, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(None, "a", 1), (None, "b", 1), (7, "c", 1), (7, "d", 1), (7, "e", 1)], key=repr)
