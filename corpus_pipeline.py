@@ -5,7 +5,7 @@ again as the next one's input:
 
 1. toxicity: documents that score at or above the threshold go;
 2. language ID: documents without letters (``und``) or whose best class is hardly likelier than the rest go;
-3. SimHash near-dedup: of each group of linked documents the one with the smallest id stays (of one id, that with the least text hash);
+3. near-dedup (five-word shingles, Jaccard similarity of 0.8 or more): of each group of linked documents the one with the smallest id stays (of one id, that with the least text hash);
 4. substring dedup: windows of 35 words that repeat anywhere are taken out of the texts; ``n_chars`` follows;
 5. best-fit packing: the remaining texts as pieces in sequences of at most 2048 tokens.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questlake.llm import langid, packing, simhash, substringdedup, toxicity
+from questlake.llm import langid, nearcopies, packing, substringdedup, toxicity
 from questlake.llm.common import scratch_path, table, written
 from questlake.llm.registry import tokenizer_path
 
@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows the one with the least (doc_id, text) stays, null ids first. Only rows of one group compete, so
     unrelated texts that share an id, or have none, all stay."""
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = simhash.near_duplicates(rows, "_row").select("_row", F.col("component_id").alias("_group"))
+    groups = nearcopies.near_duplicates(rows, "_row").select("_row", F.col("component_id").alias("_group"))
     order = rows.select("_row", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"))
     kept = order.join(groups, "_row").groupBy("_group").agg(F.min(F.struct("doc_id", "_text", "_row")).alias("_least")).select("_least._row")
     return rows.join(kept, "_row", "left_semi").select(docs.columns)
@@ -54,7 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity_filter),
     ("language_id", language_filter),
-    ("simhash_near_dedup", near_dedup),
+    ("near_dedup", near_dedup),
     ("substring_dedup", substring_filter),
     ("best_fit_packing", pack),
 ]

@@ -126,12 +126,13 @@ def _rows(part: Part, mask: np.ndarray) -> list[tuple]:
 
 
 def _texts(part: Part, mask: np.ndarray) -> list[tuple]:
-    """Only documents that lose words, with their remaining text."""
+    """Only documents that lose words: a digest of their words and the remaining text."""
     out = []
-    for doc, a, b in zip(part.ids.tolist(), part.offsets[:-1].tolist(), part.offsets[1:].tolist()):
+    for a, b in zip(part.offsets[:-1].tolist(), part.offsets[1:].tolist()):
         m = mask[a:b]
         if m.any():
-            out.append((doc, b" ".join([w for w, g in zip(part.words[a:b], m.tolist()) if not g]).decode()))
+            words = part.words[a:b]
+            out.append((hashlib.sha256(b" ".join(words)).hexdigest(), b" ".join([w for w, g in zip(words, m.tolist()) if not g]).decode()))
     return out
 
 
@@ -145,10 +146,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _run(docs, _rows, fields, id_col, text_col, window, gram, hot)
 
 
-def cleaned(docs: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = 8) -> DataFrame:
-    """``docs`` with repeated windows taken out of the text; documents that lose no word keep theirs as it is. Rows are told apart by
-    a key of their own, so ids may repeat or be null."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    fields = [("_id", pa.int64(), "long"), ("_kept", pa.string(), "string")]
-    less = written(_run(rows, _texts, fields, "_row", text_col, window, gram), "kept")
-    return rows.join(less, rows._row == less._id, "left").select(*[F.coalesce("_kept", F.col(f"`{text_col}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 8) -> DataFrame:
+    """``docs`` with repeated windows taken out of the text; documents that lose no word keep theirs as it is. The words alone decide
+    what goes, so rows are matched by a digest of their words, and ids may repeat or be null."""
+    fields = [("_words", pa.string(), "string"), ("_kept", pa.string(), "string")]
+    less = written(_run(docs, _texts, fields, id_col, text_col, window, gram), "kept").dropDuplicates(["_words"])
+    words = F.sha2(F.trim(F.regexp_replace(F.col(f"`{text_col}`"), r"[\x20\x09-\x0D]+", " ")), 256)
+    return docs.join(less, words == less._words, "left").select(*[F.coalesce("_kept", F.col(f"`{text_col}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -91,3 +91,27 @@ def top_k(rows: list[tuple[int, list[float] | None]], k: int = 5) -> list[tuple]
         best = sorted(((-int(sum(a * b for a, b in zip(v, w))), i) for i, w in good if i != q))[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return out
+
+
+def near_copies(docs: list[tuple[int, str | None]], words: int = 5, least: float = 0.8) -> dict[int, int]:
+    """The smallest id reachable by links of texts whose word shingles have a Jaccard similarity of ``least`` or more."""
+    sets, up = {}, {i: i for i, _ in docs}
+    for i, t in docs:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets, key=lambda i: len(sets[i]))
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if len(sets[i]) < least * len(sets[j]) - 1e-9:
+                break
+            n = len(sets[i] & sets[j])
+            if n / (len(sets[i]) + len(sets[j]) - n) >= least:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {i: root(i) for i in sets}

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from questlake.llm import substringdedup
+from questlake.llm import nearcopies, substringdedup
 
 pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 SF = "/root/testdata/sf0.01"
@@ -81,3 +82,21 @@ def test_rows_without_id_lose_repeated_windows(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.substring_filter(spark, df, SF).collect()]
     assert sorted(got, key=repr) == sorted([(None, "a", 1), (None, "b", 1), (7, "c", 1), (7, "d", 1), (7, "e", 1)], key=repr)
+
+
+def test_near_copies_of_five_word_similarity_leave_one(spark, stages):
+    docs = [(r.doc_id, r.text) for r in stages[2].collect()]
+    assert {r.doc_id for r in stages[3].collect()} == {i for i, root in brute.near_copies(docs).items() if i == root}
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_copies_in_blocks(spark, block):
+    rnd = random.Random(3)
+    base, docs = [[f"{k}_{i}" for i in range(80)] for k in range(6)], [(900, None), (901, " "), (902, "A b"), (903, "a  B"), (904, "b a")]
+    for i in range(120):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.randrange(5)):
+            w[rnd.randrange(len(w))] = f"new{rnd.randrange(9)}"
+        docs.append((i, " ".join(w)))
+    got = nearcopies.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", block=block)
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute.near_copies(docs)
