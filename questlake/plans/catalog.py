@@ -286,7 +286,7 @@ def _events(spark, sf_dir):
     last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
     acts = conv.withColumn("last", last).where("role = 'assistant' OR (role = 'user' AND turn > 0)")
     pair = lambda k, c: F.struct(F.lit(k).alias("type"), c.alias("content"))
-    text = F.substring("text", 1, 60)
+    text = F.col("text")
     made = F.when(F.col("role") == "user", F.array(pair("information", text))).otherwise(F.array(pair("think", F.lit("t")), F.struct(F.when(F.col("turn") == F.col("last"), "answer").otherwise("search").alias("type"), text.alias("content"))))
     return acts.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", made.alias("e")))), lambda x: x["e"])).alias("events"))
 
@@ -569,7 +569,7 @@ def agent_loop(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
     def generate(messages, turn):
-        word = F.translate(F.substring(F.element_at(messages, 2)["content"], 1, 80), "<>", "")
+        word = F.translate(F.element_at(messages, 2)["content"], "<>", "")
         act = F.when(F.size(messages) > 2 + 2 * (F.length(word) % 3), F.concat(F.lit("<answer>"), word, F.lit("</answer>"))).otherwise(F.concat(F.lit("<search>"), word, F.lit("</search>")))
         return F.concat(F.lit("<think>step"), F.lit(str(turn)), F.lit("</think>"), act, F.lit("<|im_end|>"))
 
