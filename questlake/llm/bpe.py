@@ -7,7 +7,8 @@ tokens are compatible if merging their joined characters by rank gives just them
 table. Characters outside the vocabulary become byte pieces.
 
 Defined cases: null and empty texts give only the begin and end ids; repeated rows repeat their result; texts of any length are
-encoded whole.
+encoded whole; ties in merging go to the leftmost pair, as in the library; an empty table gives no rows; columns named like the
+results are replaced by them, other extra columns are kept (or only those named in ``keep``).
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from questlake.llm.common import add_columns, utf8_rows
 
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Stands before a unit that has no space mark; texts that hold it take the general way.
+#: Stands before a unit that has no space mark, on the quick way only: texts that hold the character themselves take the general way,
+#: whose units are pairs.
 _BARE = "\x01"
 #: A sign after something other than a letter, or what the quick way doesn't cut exactly.
 _GENERAL = re.compile(f"^ |  | $|[{MARK}{_BARE}]")
 _SIGNS = re.compile(r"[\W\d_][.,]")
 MOST_CACHED = 800_000
+Unit = str | tuple[bool, str]
 
 
 class PrefixBPE:
@@ -66,7 +69,7 @@ class PrefixBPE:
         self.machine.make_automaton()
         self.text = {i: p for p, i in self.id.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache: dict[Unit, tuple[bytes, bytes]] = {}
 
     def merged(self, s: str) -> list[str]:
         """Merging by rank, leftmost first, as the definition says; used for pairs of tokens only."""
@@ -133,16 +136,18 @@ class PrefixBPE:
             out += [self.byte_at + b for b in c.encode()]
         return out + (self.known(run) if run else [])
 
-    def unit(self, unit: str) -> tuple[bytes, bytes]:
-        """A unit's ids as little-endian 32-bit integers, and what they decode to. A unit starts with a space unless it is bare."""
-        ids = self.ids(unit[1:] if unit[:1] == _BARE else MARK + unit)
+    def unit(self, unit: Unit) -> tuple[bytes, bytes]:
+        """A unit's ids as little-endian 32-bit integers, and what they decode to. A string starts with a space unless it is bare; a pair
+        says whether its text does."""
+        bare, rest = unit if isinstance(unit, tuple) else (True, unit[1:]) if unit[:1] == _BARE else (False, unit)
+        ids = self.ids(rest if bare else MARK + rest)
         return np.array(ids, "<u4").tobytes(), b"".join([self.shown[i] for i in ids])
 
-    def units(self, text: str) -> list[str]:
+    def units(self, text: str) -> list[Unit]:
         """The text's units, the first with the space that encoding puts before a text."""
         if _GENERAL.search(text):
             marked = MARK + text.replace(" ", MARK)
-            return [u[1:] if u[0] == MARK else _BARE + u for u in _UNITS.findall(marked)]
+            return [(False, u[1:]) if u[0] == MARK else (True, u) for u in _UNITS.findall(marked)]
         if self.signs and not _SIGNS.search(text):
             text = text.replace(", ", f" {_BARE}, ").replace(". ", f" {_BARE}. ").replace(".\n", f" {_BARE}.\n")
         if self.lines:
@@ -157,7 +162,7 @@ class PrefixBPE:
         units, cache = self.units(text), self.cache
         extra = {u: self.unit(u) for u in set(units).difference(cache)}
         if len(cache) < MOST_CACHED:
-            cache.update((u, x) for u, x in extra.items() if len(u) < 200)
+            cache.update((u, x) for u, x in extra.items() if len(x[0]) < 800)
         get = cache.get
         got = [get(u) or extra[u] for u in units]
         shown = b"".join([b for _, b in got]).decode(errors="replace")
