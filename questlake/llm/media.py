@@ -5,7 +5,9 @@ boxes; ``probe`` walks nested boxes of any such file, decodes the sample tables
 codec, duration and the byte ranges of key frames without touching the payload; ``payload`` reads the stored samples back.
 
 Defined cases: null and empty texts store 64 zero bytes; equal texts give equal files; long texts are stored whole; a broken or
-foreign file gives None from ``probe`` instead of an error.
+foreign file gives None from ``probe`` instead of an error: tables that are longer than their boxes, counts beyond what the file can
+hold, samples outside it and boxes nested too deep are refused before memory is taken for them. Repeated rows repeat their result; an
+empty table gives no rows; columns named like the results are replaced, other extra columns are kept (or only those in ``keep``).
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ UNIT = 64
 RATE = 8000
 CHUNK_UNITS = 64
 KEY_EVERY = 16
+#: Boxes nested deeper than this make a file foreign; real ones need about eight levels.
+DEEPEST = 32
 #: Boxes that hold boxes (fixed values of the format).
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 _UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -73,10 +77,13 @@ def container(data: bytes) -> bytes:
     return ftyp + _box(b"mdat", data) + movie
 
 
-def boxes(view: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, end) of each box, nested ones too; bodies aren't read. 64-bit and to-the-end sizes are known."""
-    end = len(view) if end is None else end
-    while start + 8 <= end:
+def boxes(view: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, body start, end) of each box, nested ones too, in order; bodies aren't read. 64-bit and to-the-end sizes are known."""
+    open_: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(view))]
+    while open_:
+        path, start, end = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", view, start)
         body = start + 8
         if size == 1:
@@ -85,15 +92,20 @@ def boxes(view: memoryview, start: int = 0, end: int | None = None, path: tuple[
         stop = end if size == 0 else start + size
         if stop > end or stop < body:
             raise ValueError(f"box {kind!r} at {start} ends outside its parent")
+        if len(path) >= DEEPEST:
+            raise ValueError("boxes are nested too deep")
         here = (*path, kind)
         yield here, body, stop
+        open_.append((path, stop, end))
         if kind in _NESTED:
-            yield from boxes(view, body, stop, here)
-        start = stop
+            open_.append((here, body, stop))
 
 
-def _table(view: memoryview, at: int, kind: str, width: int = 1, skip: int = 4) -> np.ndarray:
+def _table(view: memoryview, at: int, end: int, kind: str, width: int = 1, skip: int = 4) -> np.ndarray:
+    """A box's rows; their number is checked against the box before anything is read."""
     (n,) = struct.unpack_from(">I", view, at + skip)
+    if at + skip + 4 + n * width * np.dtype(kind).itemsize > end:
+        raise ValueError("a table is longer than its box")
     return np.frombuffer(view, kind, n * width, at + skip + 4).reshape(n, width).astype(np.int64)
 
 
@@ -113,26 +125,33 @@ def tracks(data: bytes) -> list[dict]:
         elif kind == b"stsd":
             t["codec"] = bytes(view[at + 12 : at + 16]).decode("latin-1")
         elif kind == b"stts":
-            t["stts"] = _table(view, at, ">u4", 2)
+            t["stts"] = _table(view, at, end, ">u4", 2)
         elif kind == b"stsc":
-            t["stsc"] = _table(view, at, ">u4", 3)
+            t["stsc"] = _table(view, at, end, ">u4", 3)
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", view, at + 4)
-            t["sizes"] = np.full(n, same, np.int64) if same else _table(view, at, ">u4", skip=8)[:, 0]
+            if same * n > len(view):
+                raise ValueError("more samples than the file can hold")
+            t["sizes"] = np.full(n, same, np.int64) if same else _table(view, at, end, ">u4", skip=8)[:, 0]
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = _table(view, at, ">u4" if kind == b"stco" else ">u8")[:, 0]
+            t["chunks"] = _table(view, at, end, ">u4" if kind == b"stco" else ">u8")[:, 0]
         elif kind == b"stss":
-            t["stss"] = _table(view, at, ">u4")[:, 0]
+            t["stss"] = _table(view, at, end, ">u4")[:, 0]
     for t in found:
         runs, chunks, sizes = t["stsc"], t["chunks"], t["sizes"]
-        first = runs[:, 0] - 1
+        n, first = len(sizes), runs[:, 0] - 1
         per = np.repeat(runs[:, 1], np.diff(np.r_[first, len(chunks)]))
-        chunk = np.repeat(np.arange(len(chunks)), per)[: len(sizes)]
-        before = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else sizes
-        start = np.r_[0, np.cumsum(per)[:-1]]
-        t["offsets"] = chunks[chunk] + before - before[start[chunk]]
-        steps = np.repeat(t["stts"][:, 1], t["stts"][:, 0])[: len(sizes)]
-        t["times"] = np.cumsum(steps) - steps
+        ends = np.cumsum(per)  # forged counts cost no memory: tables are looked up, not expanded
+        steps = np.cumsum(t["stts"][:, 0])
+        if n and (not len(ends) or ends[-1] < n or not len(steps) or steps[-1] < n):
+            raise ValueError("the tables cover fewer samples than there are")
+        chunk = np.searchsorted(ends, np.arange(n), side="right")
+        before = np.r_[0, np.cumsum(sizes)]
+        t["offsets"] = chunks[chunk] + before[:n] - before[np.minimum(ends[chunk] - per[chunk], n)]
+        if n and int((t["offsets"] + sizes).max()) > len(view):
+            raise ValueError("a sample lies outside the file")
+        each = t["stts"][np.searchsorted(steps, np.arange(n), side="right"), 1] if n else sizes
+        t["times"] = np.cumsum(each) - each
         key = np.full(len(sizes), t["stss"] is None)
         if t["stss"] is not None:
             key[t["stss"] - 1] = True
