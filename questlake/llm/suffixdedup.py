@@ -7,8 +7,11 @@ common extension of at least the window are equal windows, verified byte by byte
 
 A byte goes if a window that covers it also starts in a document with a smaller id; windows are judged on the input.
 
+A stretch that is the only content around its gram has no equal windows inside (of equal windows the leftmost least gram differs in
+place), so its suffixes aren't sorted: its windows' least id is that of its copies.
+
 Defined cases: null texts are empty; texts shorter than a window stay whole; rows that repeat an id don't delete each other (no
-id is smaller); ties can't arise; a null id counts as the least; an empty table gives no rows.
+id is smaller); ties can't arise; a null id counts as the least; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from questlake.llm.winnow import Met, Part, Spec, dedup, powers, prefix_hashes
+from questlake.llm.winnow import Met, Part, Rule, Spec, dedup, in_runs, powers, prefix_hashes
 
 WINDOW = 50
 
@@ -91,14 +94,14 @@ def sorted_suffixes(text: np.ndarray, suffix: np.ndarray, group: np.ndarray, win
     return order, same
 
 
-def by_suffix_sort(met: Met, window: int = WINDOW) -> list[np.ndarray]:
-    """The least id of each window's occurrences: one figure if it holds for the whole content."""
+def by_suffix_sort(met: Met, window: int = WINDOW) -> list[bytes]:
+    """The least id of each window's occurrences, or b"" for rows none of whose documents has a greater id than any of its windows."""
     least: dict[bytes, int] = {}
-    groups: dict[int, set[bytes]] = {}
+    groups: dict[int, dict[bytes, None]] = {}
     for c, h, v in zip(met.contents, met.anchors.tolist(), met.values.tolist()):
         if (was := least.get(c)) is None or v < was:
             least[c] = v
-        groups.setdefault(h, set()).add(c)
+        groups.setdefault(h, {})[c] = None
     windows: dict[bytes, np.ndarray] = {}
     batch: list[list[bytes]] = []
     held = 0
@@ -106,8 +109,8 @@ def by_suffix_sort(met: Met, window: int = WINDOW) -> list[np.ndarray]:
     def flush() -> None:
         if not batch:
             return
-        text = np.frombuffer(b"".join(c for g in batch for c in g), np.uint8)
         flat = [c for g in batch for c in g]
+        text = np.frombuffer(b"".join(flat), np.uint8)
         sizes = np.array([len(c) for c in flat])
         at = np.cumsum(sizes) - sizes
         n = sizes - window + 1
@@ -134,15 +137,16 @@ def by_suffix_sort(met: Met, window: int = WINDOW) -> list[np.ndarray]:
         batch.clear()
 
     for g in groups.values():
-        if len(g) > 1:
-            some = sorted(g)
-            batch.append(some)
-            held += sum(map(len, some))
+        if len(g) > 1:  # one content has no equal windows inside: its suffixes need no order
+            batch.append(sorted(g))
+            held += sum(map(len, g))
             if held > 1 << 20:
                 flush()
                 held = 0
     flush()
-    return [windows[c] if c in windows else np.array([least[c]]) for c in met.contents]
+    packed = {c: (int(v.min()), in_runs(v)) for c, v in windows.items()}
+    alone = lambda c: (least[c], least[c].to_bytes(8, "little", signed=True))
+    return [a if low < last else b"" for c, last in zip(met.contents, met.lasts.tolist()) for low, a in (packed.get(c) or alone(c),)]
 
 
 def _rows(part: Part, mask: np.ndarray) -> list[tuple]:
@@ -159,4 +163,5 @@ def _rows(part: Part, mask: np.ndarray) -> list[tuple]:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 20, hot: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) a document."""
     fields = [("doc_id", pa.int64(), "long"), ("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
-    return dedup(docs, Spec(window, gram, False, hot), lambda met: by_suffix_sort(met, window), lambda v, doc: v < doc, _rows, fields, False, id_col, text_col)
+    rule = Rule(lambda met: by_suffix_sort(met, window), False, np.iinfo(np.int64).max, lambda v, doc: v < doc, _rows, fields)
+    return dedup(docs, Spec(window, gram, False, hot), rule, id_col, text_col)

@@ -1,18 +1,19 @@
 """Repeated windows of symbols over whole corpora, without shuffling every window.
 
-A window of W symbols is represented by its least hashed gram (winnowing): equal windows have equal least grams, so windows that
-repeat are found among the stretches whose gram repeats. The passes are:
-
-1. documents are dealt to shards by a hash of the id, in a bucketed table, so that later passes shuffle no text;
-2. each shard gives its distinct gram hashes, in blocks by hash range (pre-aggregated: a gram of a hot passage counts once a shard);
-   each range tells every shard which of its grams repeat;
-3. each shard gives the distinct stretches (runs of windows with one repeated gram) with what it knows of them; a gram with very many
-   distinct stretches (the edges of a common passage) gives single windows instead, spread by their own hash, so that no task gets
-   them all;
-4. a resolver compares the contents that meet (see suffixdedup and substringdedup) and answers for each window;
+A window of W symbols is represented by its least hashed gram (winnowing), the fingerprint: equal windows have equal least grams, so
+windows that repeat are found among the stretches whose gram repeats. The passes are:
+
+1. documents are dealt to shards in a bucketed table, so that later passes shuffle no text;
+2. each shard gives its distinct gram hashes, a row each (pre-aggregated: a gram of a hot passage counts once a shard); those that
+   repeat go back to the shards that have them;
+3. each shard gives the distinct stretches (runs of windows with one repeated gram) with what it knows of them, a row each; a gram with
+   very many distinct stretches (the edges of a common passage) gives single windows instead, spread by their own hash, so that no
+   task gets them all;
+4. rows meet sorted by gram, and a resolver compares the contents (see suffixdedup and substringdedup) and answers for each window;
 5. each shard applies the answers to its documents.
 
-Equality is always decided on contents; hashes only bring candidates together.
+Rows grow with the grams, whatever the number of shards. Equality is always decided on contents; hashes only bring candidates
+together.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questlake.llm.common import ids_array, parallelism, scratch_path, utf8_arrays, utf8_rows, written
+from questlake.llm.common import clear_scratch, ids_array, parallelism, pieces, scratch_path, utf8_arrays, utf8_rows, written
 
 CHUNK = 1 << 20
+SLAB = 1 << 15
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POW: list[np.ndarray] = []
 
@@ -73,22 +76,26 @@ class Spec:
 
     def runs(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Stretches (first window start, last + 1, 48-bit hash of the one least gram, hash of the content); none crosses a document."""
-        n, k = len(symbols), self.gram
-        if n < self.window:
+        n = len(symbols) - self.window + 1
+        if n < 1:
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        valid = np.zeros(n, bool)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            valid[a : max(a, b - self.window + 1)] = True
+        slabs = [(at, *self._slab(symbols[at : at + SLAB + self.window - 1], valid[at : at + SLAB])) for at in range(0, n, SLAB)]
+        return np.concatenate([at + x for at, x, *_ in slabs]), np.concatenate([at + x for at, _, x, *_ in slabs]), *(np.concatenate([s[k] for s in slabs]) for k in (3, 4))
+
+    def _slab(self, symbols: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The stretches of at most SLAB windows. Of equal least grams the leftmost counts, by a place of 16 bits that a slab can't exceed."""
+        n, k = len(symbols), self.gram
         h = prefix_hashes(symbols)
         low = mixed((h[k:] - h[:-k]) * powers(n - k + 1)[1])
-        # the place in the low bits ends a stretch where another gram of the same hash takes over
-        low = (low & ~np.uint64(0xFFFF)) | (np.arange(len(low), dtype=np.uint64) & np.uint64(0xFFFF))
+        low = (low & ~np.uint64(0xFFFF)) | np.arange(len(low), dtype=np.uint64)
         size, want = 1, self.window - k + 1
         while size < want:
             step = min(size, want - size)
             low = np.minimum(low[:-step], low[step:])
             size += step
-        valid = np.zeros(n - self.window + 2, bool)
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            valid[a : max(a, b - self.window + 1)] = True
-        valid = valid[:-1]
         edge = low[1:] != low[:-1]
         starts = np.flatnonzero(valid & np.r_[True, ~valid[:-1] | edge])
         stops = np.flatnonzero(valid & np.r_[~valid[1:] | edge, True]) + 1
@@ -132,38 +139,61 @@ def parts(spec: Spec, table: pa.Table) -> Iterator[Part]:
         first = last
 
 
-def _pack48(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def cut(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of equal keys start and end."""
+    at = _first(keys).tolist()
+    return zip(at, [*at[1:], len(keys)])
+
 
+def _first(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
 
-def _unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
 
+def bucketed(df: DataFrame, path: str, by: str, buckets: int, ordered: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt (and sorted) by ``by`` so that grouping by it needs no shuffle.
+
+    Its catalog entry is temporary: ``forget`` drops it, the files stay where ``path`` says.
+    """
+    name = f"questlake_{uuid.uuid4().hex}"
+    out = df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").format("parquet")
+    (out.sortBy(by) if ordered else out).saveAsTable(name)
+    _TABLES.append(name)
+    return df.sparkSession.table(name)
 
-def _bucket(h48: np.ndarray, n: int) -> np.ndarray:
-    return ((h48 >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
+_TABLES: list[str] = []
 
-def _cut(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-    return zip(at.tolist(), [*at[1:].tolist(), len(keys)])
 
+def tables_made() -> int:
+    return len(_TABLES)
 
-def shard_table(docs: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
-    """(id, text, shard) bucketed by shard in the shared folder, so that grouping by shard needs no further shuffle."""
-    spark, name = docs.sparkSession, f"questlake_{uuid.uuid4().hex}"
-    path = scratch_path(spark, "shards")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    rows.repartition(shards, "shard").write.bucketBy(shards, "shard").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+
+def known_buckets(spark: SparkSession, path: str, schema: str, by: str, buckets: int) -> DataFrame:
+    """A table that ``bucketed`` wrote, sorted, maybe in an earlier session."""
+    name = f"questlake_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    _TABLES.append(name)
     return spark.table(name)
 
 
-def gram_blocks(shards: DataFrame, spec: Spec, partitions: int, other_document: bool) -> DataFrame:
-    """(bucket, shard, grams, multi, kinds): a shard's distinct gram hashes by range; multi: those that repeat inside the shard, with the
-    number of distinct contents around them."""
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Drop the catalog entries made since then; files are removed with the scratch folders."""
+    while len(_TABLES) > since:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+
+
+def shard_table(docs: DataFrame, id_col: str, text_col: str, path: str, shards: int, first: int = 0) -> DataFrame:
+    """(id, text, shard): rows are dealt to shards whatever their ids, so that null or repeated ids don't meet in one of them."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return bucketed(rows.withColumn("shard", first + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))), path, "shard", shards)
+
+
+GRAMS = "gram long, shard long, n int, kinds int"
+
+
+def gram_rows(shards: DataFrame, spec: Spec, other_document: bool) -> DataFrame:
+    """A shard's distinct gram hashes. n is 2 for those that repeat inside the shard (in another document), else 1; kinds is the number of
+    distinct contents around them."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -175,7 +205,7 @@ def gram_blocks(shards: DataFrame, spec: Spec, partitions: int, other_document:
         h, d, c = np.concatenate(grams), np.concatenate(docs), np.concatenate(whole)
         order = np.lexsort((d, h)) if other_document else np.argsort(h, kind="stable")
         h, d, c = h[order], d[order], c[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
+        first = _first(h)
         last = np.r_[first[1:], len(h)][: len(first)] - 1
         again = d[last] != d[first] if other_document else last > first
         # distinct contents of the grams that repeat here; only those of several stretches can have more than one
@@ -185,72 +215,61 @@ def gram_blocks(shards: DataFrame, spec: Spec, partitions: int, other_document:
         order = np.lexsort((c, g))
         g, c = g[order], c[order]
         fresh = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])] if len(g) else np.zeros(0, bool)
-        kinds = np.clip(np.bincount(g[fresh], minlength=len(first)), 1, 65535).astype(np.uint16)
-        h = h[first]
-        bucket = _bucket(h, partitions)
-        rows = []
-        for a, b in _cut(bucket):
-            m = np.flatnonzero(again[a:b]) + a
-            rows.append((int(bucket[a]), shard, _pack48(h[a:b]), _pack48(h[m]), kinds[m].tobytes()))
-        cols = list(zip(*rows)) or [[], [], [], [], []]
-        kind = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kind)], names=["bucket", "shard", "grams", "multi", "kinds"])
+        kinds = np.maximum(np.bincount(g[fresh], minlength=len(first)), 1).astype(np.int32)
+        cols = h[first].astype(np.int64), np.full(len(first), shard, np.int64), again.astype(np.int32) + np.int32(1), kinds
+        return pa.table([pa.array(x) for x in cols], names=["gram", "shard", "n", "kinds"])
 
-    return shards.groupBy("shard").applyInArrow(run, "bucket long, shard long, grams binary, multi binary, kinds binary")
+    return shards.groupBy("shard").applyInArrow(run, GRAMS)
 
 
-def repeated_grams(blocks: DataFrame, partitions: int, hot: int) -> DataFrame:
-    """(shard, grams): per hash range, the shard's gram hashes that repeat; the top bit marks those with very many contents."""
+def repeated_grams(rows: DataFrame, partitions: int, hot: int) -> DataFrame:
+    """(shard, gram): each shard's gram hashes that repeat anywhere; bit 62 marks those with very many contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, grams, again, kinds = [], [], [], []
+        cols = [[], [], [], []]
         for batch in batches:
-            shards += batch.column(1).to_pylist()
-            grams += map(_unpack48, batch.column(2).to_pylist())
-            again += map(_unpack48, batch.column(3).to_pylist())
-            kinds += [np.frombuffer(b, np.uint16) for b in batch.column(4).to_pylist()]
-        if not shards:
+            for c, x in zip(cols, batch.columns):
+                c.append(x.to_numpy())
+        if not cols[0]:
             return
-        each = np.concatenate(grams)
-        h, n = np.unique(each, return_counts=True)
-        multi, extra = np.searchsorted(h, np.concatenate(again)), np.zeros(len(h), np.int64)
-        np.add.at(extra, multi, np.concatenate(kinds).astype(np.int64) - 1)
-        repeats = n > 1
-        repeats[multi] = True
-        at = np.searchsorted(h, each)
-        flagged = each | np.where((n + extra > hot)[at], np.uint64(1 << 63), np.uint64(0))
-        repeats = repeats[at]
-        ends = np.cumsum([len(g) for g in grams])
-        out = [(s, flagged[e - len(g) : e][repeats[e - len(g) : e]]) for s, g, e in zip(shards, grams, ends)]
-        out = [(s, x.tobytes()) for s, x in out if len(x)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out]), pa.array([x for _, x in out], pa.binary())], names=["shard", "grams"])
-
-    return blocks.repartition(partitions, "bucket").mapInArrow(run, "shard long, grams binary")
+        gram, shard, n, kinds = map(np.concatenate, cols)
+        order = np.argsort(gram, kind="stable")
+        gram, shard, n, kinds = gram[order], shard[order], n[order], kinds[order]
+        first = _first(gram)
+        sizes = np.diff(np.r_[first, len(gram)])
+        again = np.repeat(np.add.reduceat(n, first) > 1, sizes)
+        flag = np.repeat(np.add.reduceat(kinds.astype(np.int64), first) > hot, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(shard[again]), pa.array(gram[again] | flag[again].astype(np.int64) << 62)], names=["shard", "gram"])
+
+    return rows.repartition(partitions, "gram").mapInArrow(run, "shard long, gram long")
 
 
 class Stretches:
     """A shard's distinct contents, in a fixed order, and where each of its stretches found them.
 
-    value: least id (or the number of occurrences) of each content. uses: (part, run, first content number, windows each or 0).
+    value: least id (or the number of occurrences) of each content; last: the greatest id. uses: (part, run, content number, or numbers
+    of single windows).
     """
 
-    def __init__(self, spec: Spec, table: pa.Table, grams: list[bytes], partitions: int, count: bool):
-        flags = np.frombuffer(b"".join(grams), np.uint64)
-        known = np.sort(flags & np.uint64((1 << 48) - 1))
-        hot = set((flags[flags >> np.uint64(63) == 1] & np.uint64((1 << 48) - 1)).tolist())
-        self.parts, self.contents, self.anchor, self.value, self.uses = [], {}, [], [], []
-        at, anchor, value, w = self.contents, self.anchor, self.value, spec.window
+    def __init__(self, spec: Spec, table: pa.Table, grams: np.ndarray, count: bool):
+        known = np.sort(grams & ((1 << 48) - 1)).astype(np.uint64)
+        hot = set((grams[grams >> 62 != 0] & ((1 << 48) - 1)).tolist())
+        self.parts, self.contents, self.anchor, self.value, self.last, self.uses = [], {}, [], [], [], []
+        at, anchor, value, last, w = self.contents, self.anchor, self.value, self.last, spec.window
 
         def seen(content: bytes, h: int, doc: int) -> int:
             i = at.setdefault(content, len(anchor))
             if i == len(anchor):
                 anchor.append(h)
                 value.append(1 if count else doc)
-            elif count:
+                last.append(doc)
+                return i
+            if count:
                 value[i] += 1
             elif doc < value[i]:
                 value[i] = doc
+            if doc > last[i]:
+                last[i] = doc
             return i
 
         for k, part in enumerate(parts(spec, table)):
@@ -268,102 +287,106 @@ class Stretches:
                     self.uses.append((k, r, places))
                 else:
                     self.uses.append((k, r, seen(part.content(a, b + w - 1), h, doc)))
-        h = np.array(self.anchor, np.uint64)
-        bucket = _bucket(h, partitions)
-        self.order = np.argsort(bucket, kind="stable")
-        self.blocks = [(int(bucket[self.order[a]]), self.order[a:b]) for a, b in _cut(bucket[self.order])]
 
 
-def stretch_blocks(shards: DataFrame, grams: DataFrame, spec: Spec, partitions: int, count: bool) -> DataFrame:
-    """(bucket, shard, anchors, sizes, contents, vals): distinct contents of each shard, packed by the range of their hash."""
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    names = ["bucket", "shard", "anchors", "sizes", "contents", "vals"]
+CONTENTS = "anchor long, shard long, number int, content binary, value long, last long"
+
+
+def stretch_rows(shards: DataFrame, grams: DataFrame, spec: Spec, partitions: int, count: bool) -> DataFrame:
+    """The distinct contents of each shard around its repeated grams, a row each; ``anchor`` brings those together that may share windows."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    names = [x.split()[0] for x in CONTENTS.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if left.num_rows and right.num_rows:
-            s = Stretches(spec, left, right.column("grams").to_pylist(), partitions, count)
-            contents, shard = list(s.contents), left.column("shard")[0].as_py()
-            anchor, value = np.array(s.anchor, np.uint64), np.array(s.value, np.int64)
-            for bucket, at in s.blocks:
-                mine = [contents[i] for i in at.tolist()]
-                rows.append((bucket, shard, anchor[at].tobytes(), np.array([len(c) for c in mine], np.int32).tobytes(), b"".join(mine), value[at].tobytes()))
-        cols = list(zip(*rows)) or [[]] * 6
+        if not (left.num_rows and right.num_rows):
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        s = Stretches(spec, left, right.column("gram").to_numpy(), count)
+        n, shard = len(s.anchor), left.column("shard")[0].as_py()
+        cols = (s.anchor, np.full(n, shard), np.arange(n, dtype=np.int32), list(s.contents), s.value, s.last)
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    both = shards.groupBy("shard").cogroup(grams.groupBy("shard"))
-    return both.applyInArrow(run, "bucket long, shard long, anchors binary, sizes binary, contents binary, vals binary")
+    return shards.groupBy("shard").cogroup(grams.repartition(partitions, "shard").groupBy("shard")).applyInArrow(run, CONTENTS)
 
 
 @dataclass
 class Met:
-    """What met in one partition: anchors, contents, values, in order of blocks."""
+    """Contents that met, those of one anchor next to each other."""
 
     anchors: np.ndarray
     contents: list[bytes]
     values: np.ndarray
-    block: np.ndarray
+    lasts: np.ndarray
 
 
-def resolved(blocks: DataFrame, partitions: int, resolver: Callable[[Met], list[np.ndarray]]) -> DataFrame:
-    """(shard, bucket, counts, answers): ``resolver`` gives an array of answers a content: one for all of its windows, or one each."""
+def in_runs(values: np.ndarray) -> bytes:
+    """An answer: one figure, or figures and how many windows in turn have them."""
+    first = _first(values)
+    if len(first) == 1:
+        return values[:1].astype("<i8").tobytes()
+    return values[first].astype("<i8").tobytes() + np.diff(np.r_[first, len(values)]).astype("<i4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, anchors, contents, values, block = [], [], [], [], []
-        for batch in batches:
-            for bucket, shard, a, sizes, text, v in zip(*(c.to_pylist() for c in batch.columns)):
-                n = np.frombuffer(sizes, np.int32)
-                ends = np.cumsum(n)
-                contents += [text[e - m : e] for e, m in zip(ends.tolist(), n.tolist())]
-                anchors.append(np.frombuffer(a, np.uint64))
-                values.append(np.frombuffer(v, np.int64))
-                block.append(np.full(len(n), len(keys)))
-                keys.append((shard, bucket))
-        if not keys:
-            return
-        met = Met(np.concatenate(anchors), contents, np.concatenate(values), np.concatenate(block))
-        answers = resolver(met)
-        at = 0
-        rows = []
-        for (shard, bucket), b in zip(keys, block):
-            mine = answers[at : at + len(b)]
-            at += len(b)
-            rows.append((shard, bucket, np.array([len(x) for x in mine], np.int32).tobytes(), np.concatenate(mine).tobytes()))
-        cols = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "bucket", "counts", "answers"])
 
-    return blocks.repartition(partitions, "bucket").mapInArrow(run, "shard long, bucket long, counts binary, answers binary")
+def resolved(rows: DataFrame, partitions: int, resolver: Callable[[Met], list[bytes]], batch_bytes: int = 1 << 20) -> DataFrame:
+    """(shard, number, answer): ``resolver`` gives ``in_runs`` of an answer a window, or b"" where nothing goes.
 
+    Rows come sorted by anchor, so a task holds the contents of few anchors at once.
+    """
 
-def removed_spans(stretches: Stretches, answers: dict[int, tuple[bytes, bytes]], spec: Spec, gone: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[Part, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            answers = resolver(Met(t.column(0).to_numpy(), t.column(3).to_pylist(), t.column(4).to_numpy(), t.column(5).to_numpy()))
+            some = [i for i, a in enumerate(answers) if a]
+            at = pa.array(some, pa.int64())
+            return pa.RecordBatch.from_arrays([t.column(1).combine_chunks().take(at), t.column(2).combine_chunks().take(at), pa.array([answers[i] for i in some], pa.binary())], names=["shard", "number", "answer"])
+
+        size = 0
+        for whole in batches:
+            for batch in pieces(whole, batch_bytes):
+                anchors = batch.column(0).to_numpy()
+                if held and size > batch_bytes:
+                    # close what is held where a new anchor starts
+                    cut = int(np.searchsorted(anchors, held[-1].column(0)[-1].as_py(), side="right"))
+                    if cut < len(anchors):
+                        held.append(batch.slice(0, cut))
+                        yield out()
+                        held.clear()
+                        size, batch = 0, batch.slice(cut)
+                held.append(batch)
+                size += batch.nbytes
+        if held:
+            yield out()
+
+    return rows.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "shard long, number int, answer binary")
+
+
+def removed_spans(stretches: Stretches, numbers: np.ndarray, answers: pa.ChunkedArray, spec: Spec, neutral: int, gone: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[Part, np.ndarray]]:
     """Each part with a mask of the symbols that windows cover for which ``gone(answers, ids)`` holds."""
-    n = len(stretches.anchor)
-    one, many = np.zeros(n, np.int64), np.zeros(n, bool)  # the answer of contents that have one for all windows
-    value: dict[int, np.ndarray] = {}
-    for bucket, at in stretches.blocks:
-        counts, flat = answers[bucket]
-        m, v = np.frombuffer(counts, np.int32), np.frombuffer(flat, np.int64)
-        ends = np.cumsum(m)
-        one[at] = v[ends - m]
-        for k in np.flatnonzero(m > 1).tolist():
-            value[int(at[k])] = v[ends[k] - m[k] : ends[k]]
-            many[at[k]] = True
+    one, many = np.full(len(stretches.anchor), neutral, np.int64), {}
+    for i, a in zip(numbers.tolist(), answers.to_pylist()):
+        if len(a) == 8:
+            one[i] = int.from_bytes(a, "little", signed=True)
+        else:
+            k = len(a) // 12
+            many[i] = np.repeat(np.frombuffer(a, "<i8", k), np.frombuffer(a, "<i4", k, 8 * k))
+    several = np.zeros(len(one), bool)
+    several[list(many)] = True
     w = spec.window
     of_part = np.array([k for k, _, _ in stretches.uses], np.int64)
     for k, part in enumerate(stretches.parts):
         uses = stretches.uses[np.searchsorted(of_part, k) : np.searchsorted(of_part, k, side="right")]
         cover = np.zeros(int(part.offsets[-1]) + 1, np.int32)
         ids = part.ids[part.doc]
-        plain = [(r, i) for _, r, i in uses if not isinstance(i, list)]
-        if plain:
+        rest = []
+        if plain := [(r, i) for _, r, i in uses if not isinstance(i, list)]:
             r, i = np.array(plain).T
-            flagged = ~many[i] & gone(one[i], ids[r])
+            flagged = ~several[i] & gone(one[i], ids[r])
             np.add.at(cover, part.starts[r[flagged]], 1)
             np.add.at(cover, part.stops[r[flagged]] + w - 1, -1)
-            some = np.flatnonzero(many[i])
-            rest = list(zip(r[some].tolist(), [value[x] for x in i[some].tolist()]))
-        else:
-            rest = []
+            some = np.flatnonzero(several[i])
+            rest = [(x, many[y]) for x, y in zip(r[some].tolist(), i[some].tolist())]
         rest += [(r, one[i]) for _, r, i in uses if isinstance(i, list)]
         if rest:
             m = np.array([len(v) for _, v in rest])
@@ -375,24 +398,45 @@ def removed_spans(stretches: Stretches, answers: dict[int, tuple[bytes, bytes]],
         yield part, np.cumsum(cover[:-1]) > 0
 
 
-def dedup(docs: DataFrame, spec: Spec, resolver: Callable[[Met], list[np.ndarray]], gone: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[Part, np.ndarray], list[tuple]], fields: list[tuple[str, pa.DataType, str]], count: bool, id_col: str, text_col: str) -> DataFrame:
-    """Run the passes; ``finish`` makes the rows of a part from the mask of its removed symbols."""
-    n = parallelism(docs, 6)
-    shards = shard_table(docs, id_col, text_col, n)
-    grams = written(repeated_grams(gram_blocks(shards, spec, n, not count), n, spec.hot), "grams")
-    blocks = stretch_blocks(shards, grams.repartition(n, "shard"), spec, n, count)
-    answers = resolved(blocks, n, resolver)
-    side = grams.select("shard", F.lit(None).cast("long").alias("bucket"), F.col("grams").alias("a"), F.lit(None).cast("binary").alias("b"))
-    side = side.unionByName(answers.select("shard", "bucket", F.col("counts").alias("a"), F.col("answers").alias("b"))).repartition(n, "shard")
-    schema = pa.schema([(f, t) for f, t, _ in fields])
+@dataclass(frozen=True)
+class Rule:
+    """How contents are judged. count: values are numbers of occurrences, not least ids. neutral: the answer of contents that get none.
+    gone: whether a window goes, of answers and document ids. finish: the rows of a part, from the mask of its removed symbols."""
+
+    resolver: Callable[[Met], list[bytes]]
+    count: bool
+    neutral: int
+    gone: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    finish: Callable[[Part, np.ndarray], list[tuple]]
+    fields: list[tuple[str, pa.DataType, str]]
+
+
+def applied(shards: DataFrame, grams: DataFrame, answers: DataFrame, spec: Spec, rule: Rule, partitions: int) -> DataFrame:
+    """The rows that ``rule.finish`` makes of each shard's documents."""
+    side = grams.select("shard", "gram", F.lit(None).cast("int").alias("number"), F.lit(None).cast("binary").alias("answer"))
+    side = side.unionByName(answers.select("shard", F.lit(None).cast("long").alias("gram"), "number", "answer")).repartition(partitions, "shard")
+    schema, finish, count, neutral, gone = pa.schema([(f, t) for f, t, _ in rule.fields]), rule.finish, rule.count, rule.neutral, rule.gone
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows:
-            got = list(zip(*(right.column(c).to_pylist() for c in ("bucket", "a", "b")))) if right.num_rows else []
-            s = Stretches(spec, left, [a for k, a, _ in got if k is None], n, count)
-            for part, mask in removed_spans(s, {k: (a, b) for k, a, b in got if k is not None}, spec, gone):
+            known, told = right.filter(pc.field("gram").is_valid()), right.filter(pc.field("number").is_valid())
+            s = Stretches(spec, left, known.column("gram").to_numpy(), count)
+            for part, mask in removed_spans(s, told.column("number").to_numpy(), told.column("answer"), spec, neutral, gone):
                 rows += finish(part, mask)
         return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema) if rows else schema.empty_table()
 
-    return shards.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(run, ", ".join(f"{f} {t}" for f, _, t in fields))
+    return shards.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(run, ", ".join(f"{f} {t}" for f, _, t in rule.fields))
+
+
+def dedup(docs: DataFrame, spec: Spec, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """Run the passes. The result is written, and the tables that led to it are dropped."""
+    spark, n, mark = docs.sparkSession, parallelism(docs, 6), len(_TABLES)
+    paths = [scratch_path(spark, "shards"), scratch_path(spark, "grams")]
+    shards = shard_table(docs, id_col, text_col, paths[0], n)
+    grams = written(repeated_grams(gram_rows(shards, spec, not rule.count), n, spec.hot), "grams", paths[1])
+    answers = resolved(stretch_rows(shards, grams, spec, n, rule.count), n, rule.resolver)
+    out = written(applied(shards, grams, answers, spec, rule, n), "deduplicated")
+    forget(spark, mark)
+    clear_scratch(paths)
+    return out
