@@ -1,116 +1,154 @@
 """Substring dedup of word windows with a log-structured fingerprint index.
 
-Candidate stretches come from ``winnow``. Each hash range keeps an index of window fingerprints in sorted immutable runs. Arrivals
-come in batches; a batch is sorted, merge-joined with every run, matches are verified on the words, and the batch becomes a new
-run. When a run is no longer much larger than the one after it, the two are merged, so there are few runs and each entry is rewritten
-a logarithmic number of times. After the last batch an entry's count tells whether its window occurs more than once.
+A window's fingerprint is the hash of its least gram (see ``winnow``). ``FingerprintLog`` keeps the fingerprints of all batches in
+sorted immutable runs in the shared folder; each new batch is merge-joined with the runs and becomes a run itself, and runs of
+similar size are merged. What the joins find is verified on the words: contents that share a fingerprint meet, and equal windows are
+counted.
 
 A word goes if a window of 35 words that covers it also starts anywhere else, in the same document included; windows are judged on
-the input.
+the input. ``substring_dedup`` judges all documents of its input, which it takes in as several batches; ``incremental`` judges a new
+batch against the history.
 
 Defined cases: null texts have no words; texts shorter than a window stay whole; repeated rows are occurrences, so both lose their
-windows; null ids are kept; an empty table gives no rows.
+windows; null ids are kept; an empty table gives no rows; extra columns are ignored, or kept by ``cleaned`` whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questlake.llm.common import written
-from questlake.llm.winnow import Met, Part, Spec, dedup
+from questlake.llm.common import clear_scratch, hadoop_fs, parallelism, scratch_path, written
+from questlake.llm.winnow import GRAMS, Met, Part, Rule, Spec, applied, bucketed, cut, forget, gram_rows, in_runs, known_buckets, resolved, shard_table, stretch_rows, tables_made
+from questlake.session import importable
 
 WINDOW = 35
-
-
-class RunIndex:
-    """Sorted immutable runs of (fingerprint, entry number); entries hold the window and its count."""
-
-    def __init__(self, ratio: int = 3):
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.windows: list[bytes] = []
-        self.counts: list[int] = []
-        self.ratio = ratio
-
-    def append(self, batch: dict[bytes, int]) -> None:
-        """Count a batch's distinct windows: merge-join with the history, verify, add a run of the new ones, compact."""
-        words = list(batch)
-        prints = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        order = np.argsort(prints, kind="stable")
-        new = np.ones(len(words), bool)
-        for keys, entries in self.runs:
-            lo, hi = np.searchsorted(keys, prints[order], "left"), np.searchsorted(keys, prints[order], "right")
-            for k in np.flatnonzero(lo < hi).tolist():
-                i = int(order[k])
-                for e in entries[lo[k] : hi[k]].tolist():  # more than one only if fingerprints collide
-                    if self.windows[e] == words[i]:
-                        self.counts[e] += batch[words[i]]
-                        new[i] = False
-        fresh = order[new[order]]
-        first = len(self.windows)
-        self.windows += [words[i] for i in fresh.tolist()]
-        self.counts += [batch[words[i]] for i in fresh.tolist()]
-        if len(fresh):
-            self.runs.append((prints[fresh], np.arange(first, first + len(fresh))))
-        while len(self.runs) > 1 and len(self.runs[-2][0]) < self.ratio * len(self.runs[-1][0]):
-            (a, x), (b, y) = self.runs[-2:]
-            at = np.searchsorted(a, b, "right") + np.arange(len(b))
-            keys, entries = np.empty(len(a) + len(b), np.uint64), np.empty(len(a) + len(b), np.int64)
-            rest = np.ones(len(keys), bool)
-            rest[at] = False
-            keys[at], entries[at], keys[rest], entries[rest] = b, y, a, x
-            self.runs[-2:] = [(keys, entries)]
-
-    def count(self, words: list[bytes]) -> np.ndarray:
-        """Occurrences of each window; 0 for those never seen."""
-        prints = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        out = np.zeros(len(words), np.int64)
-        for keys, entries in self.runs:
-            lo, hi = np.searchsorted(keys, prints, "left"), np.searchsorted(keys, prints, "right")
-            for k in np.flatnonzero(lo < hi).tolist():
-                for e in entries[lo[k] : hi[k]].tolist():
-                    if self.windows[e] == words[k]:
-                        out[k] = self.counts[e]
-        return out
-
-
-def windows_of(content: bytes, window: int) -> list[bytes]:
-    w = content.split()
-    return [b" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
-
-
-def by_index(met: Met, window: int = WINDOW, blocks_a_batch: int = 16) -> list[np.ndarray]:
-    """How often each window of the contents occurs. Contents alone with their gram and without inner repeats need no index."""
-    alone: dict[int, dict[bytes, int]] = {}
-    for c, h, v in zip(met.contents, met.anchors.tolist(), met.values.tolist()):
-        g = alone.setdefault(h, {})
-        g[c] = g.get(c, 0) + v
-    index, cut = RunIndex(), {c: windows_of(c, window) for c in dict.fromkeys(met.contents)}
-    lone = {h: len(g) == 1 and len(set(w := cut[next(iter(g))])) == len(w) for h, g in alone.items()}
-    batch: dict[bytes, int] = {}
-    last = 0
-    for c, h, v, b in zip(met.contents, met.anchors.tolist(), met.values.tolist(), met.block.tolist()):
-        if b // blocks_a_batch != last and batch:
-            index.append(batch)
-            batch, last = {}, b // blocks_a_batch
-        if not lone[h]:
-            for x in cut[c]:
-                batch[x] = batch.get(x, 0) + v
-    index.append(batch)
-    counts: dict[bytes, np.ndarray] = {}
-    out = []
-    for c, h in zip(met.contents, met.anchors.tolist()):
-        if lone[h]:
-            out.append(np.array([alone[h][c]]))
-            continue
-        if c not in counts:
-            counts[c] = index.count(cut[c])
-        out.append(counts[c])
+#: Arrivals that a one-off run deals its input into.
+BATCHES = 3
+
+
+RUN = "gram long, n int, kinds long"
+
+
+class FingerprintLog:
+    """The index of the fingerprints of all batches so far: sorted immutable runs in a folder that all executors share.
+
+    ``append`` takes a batch of arrivals: its fingerprints are sorted and merge-joined with every run; those that now repeat are noted;
+    the batch's own become a new run. When a run is no longer much larger than the one after it, the two are merged, so there are few
+    runs and each entry is rewritten a logarithmic number of times. ``deduplicated`` verifies what was noted on the words themselves.
+
+    Runs are bucketed and sorted by fingerprint, so joins shuffle nothing. A manifest, replaced after each batch, lists what is valid;
+    ``FingerprintLog`` on the same folder goes on from it. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, spec: Spec, buckets: int = 64, ratio: int = 3):
+        self.spark, self.path, self.spec, self.ratio = spark, path.rstrip("/"), spec, ratio
+        importable(spark)
+        self.state = {"buckets": buckets, "window": spec.window, "gram": spec.gram, "batches": [], "runs": [], "repeats": []}
+        fs, p = hadoop_fs(spark, f"{self.path}/manifest.json")
+        if fs.exists(p):
+            self.state = json.loads(spark.read.text(p.toString(), wholetext=True).first()[0])
+            if (self.state["window"], self.state["gram"]) != (spec.window, spec.gram):
+                raise ValueError("the log holds fingerprints of other windows")
+        self.tables: dict[str, DataFrame] = {}
+
+    def _commit(self) -> None:
+        fs, temp = hadoop_fs(self.spark, f"{self.path}/manifest-{uuid.uuid4().hex}")
+        out = fs.create(temp, True)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        _, final = hadoop_fs(self.spark, f"{self.path}/manifest.json")
+        fs.delete(final, False)
+        fs.rename(temp, final)
+
+    def _put(self, df: DataFrame, kind: str, by: str, buckets: int) -> tuple[str, DataFrame]:
+        path = f"{self.path}/{kind}-{uuid.uuid4().hex}"
+        self.tables[path] = bucketed(df, path, by, buckets, ordered=True)
+        return path, self.tables[path]
+
+    def _get(self, path: str, schema: str, by: str, buckets: int) -> DataFrame:
+        """A table of this folder, with its buckets, in this session or a later one."""
+        if path not in self.tables:
+            self.tables[path] = known_buckets(self.spark, path, schema, by, buckets)
+        return self.tables[path]
+
+    def _run(self, run: dict) -> DataFrame:
+        return self._get(run["path"], RUN, "gram", self.state["buckets"])
+
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
+        """Take a batch in; its number."""
+        s, n = self.state, parallelism(docs, 6)
+        first, buckets = sum(b["shards"] for b in s["batches"]), s["buckets"]
+        path = f"{self.path}/shards-{uuid.uuid4().hex}"
+        self.tables[path] = shard_table(docs, id_col, text_col, path, n, first)
+        grams, table = self._put(gram_rows(self.tables[path], self.spec, False), "grams", "gram", buckets)
+        mine = table.groupBy("gram").agg(F.sum("n").cast("int").alias("n"), F.sum("kinds").alias("kinds"))
+        met = mine
+        for i, run in enumerate(s["runs"]):
+            other = self._run(run).select("gram", F.col("n").alias(f"n{i}"), F.col("kinds").alias(f"kinds{i}"))
+            met = met.join(other.hint("merge"), "gram", "left")
+        total = lambda c: sum((F.coalesce(f"{c}{i}", F.lit(0)) for i in range(len(s["runs"]))), F.col(c))
+        found = met.select("gram", total("kinds").cast("long").alias("kinds"), total("n").alias("n")).where("n > 1").select("gram", "kinds")
+        s["repeats"].append(self._put(found, "repeats", "gram", buckets)[0])
+        made, run = self._put(mine, "run", "gram", buckets)
+        s["runs"].append({"path": made, "rows": run.count()})
+        s["batches"].append({"path": path, "grams": grams, "first": first, "shards": n})
+        while len(s["runs"]) > 1 and s["runs"][-2]["rows"] < self.ratio * s["runs"][-1]["rows"]:
+            a, b = s["runs"][-2:]
+            both = self._run(a).unionByName(self._run(b)).groupBy("gram").agg(F.sum("n").cast("int").alias("n"), F.sum("kinds").alias("kinds"))
+            made, run = self._put(both, "run", "gram", buckets)
+            s["runs"][-2:] = [{"path": made, "rows": run.count()}]
+        self._commit()
+        return len(s["batches"]) - 1
+
+    def deduplicated(self, rule: Rule, batch: int | None = None) -> DataFrame:
+        """What ``rule`` makes of all documents, or of one batch's, judged against everything in the log."""
+        s, buckets, n = self.state, self.state["buckets"], max((b["shards"] for b in self.state["batches"]), default=1)
+        repeats = [self._get(p, "gram long, kinds long", "gram", buckets) for p in s["repeats"]]
+        known = reduce(DataFrame.unionByName, repeats).groupBy("gram").agg((F.max("kinds") > self.spec.hot).alias("hot"))
+        each = [(b, self._get(b["path"], "id long, text string, shard long", "shard", b["shards"]), self._get(b["grams"], GRAMS, "gram", buckets)) for b in s["batches"]]
+        if batch is not None:
+            known = known.join(each[batch][2].select("gram"), "gram", "left_semi")
+        known = written(known, "known")
+        flagged = F.when(F.col("hot"), F.col("gram").bitwiseOR(F.lit(1 << 62))).otherwise(F.col("gram")).alias("gram")
+        sides = [written(g.join(known, "gram").select("shard", flagged), "side") for _, _, g in each]
+        contents = reduce(DataFrame.unionByName, [stretch_rows(t, side, self.spec, b["shards"], rule.count) for (b, t, _), side in zip(each, sides)])
+        answers = written(resolved(contents, sum(b["shards"] for b in s["batches"]), rule.resolver), "answers")
+        out = []
+        for k, ((b, t, _), side) in enumerate(zip(each, sides)):
+            if batch in (None, k):
+                here = answers.where(F.col("shard").between(b["first"], b["first"] + b["shards"] - 1))
+                out.append(applied(t, side, here, self.spec, rule, b["shards"]))
+        return reduce(DataFrame.unionByName, out)
+
+
+def by_words(met: Met, window: int = WINDOW) -> list[bytes]:
+    """Verification: which windows of the contents occur more than once, by their words; b"" where none does.
+
+    A window is compared with those of the contents that share its fingerprint; no others can be equal.
+    """
+    out: list[bytes] = []
+    for a, b in cut(met.anchors):
+        seen: dict[bytes, int] = {}
+        mine, distinct = [], {}
+        for c, v in zip(met.contents[a:b], met.values[a:b].tolist()):
+            if c not in distinct:
+                ends = [i for i, x in enumerate(c) if x == 32] + [len(c)]
+                starts = [0, *(e + 1 for e in ends[:-1])]
+                distinct[c] = [c[i:j] for i, j in zip(starts, ends[window - 1 :])]
+            for x in distinct[c]:
+                seen[x] = seen.get(x, 0) + v
+            mine.append(c)
+        told = {c: np.array([seen[x] > 1 for x in w], np.int64) for c, w in distinct.items()}
+        packed = {c: in_runs(v) if v.any() else b"" for c, v in told.items()}
+        out += [packed[c] for c in mine]
     return out
 
 
@@ -136,20 +174,40 @@ def _texts(part: Part, mask: np.ndarray) -> list[tuple]:
     return out
 
 
-def _run(docs, finish, fields, id_col, text_col, window, gram, hot=4096):
-    return dedup(docs, Spec(window, gram, True, hot), lambda met: by_index(met, window), lambda v, doc: v > 1, finish, fields, True, id_col, text_col)
+def _run(docs, finish, fields, id_col, text_col, window, gram, hot=4096, batches=BATCHES):
+    spark, mark, spec = docs.sparkSession, tables_made(), Spec(window, gram, True, hot)
+    path = scratch_path(spark, "fingerprints")
+    log = FingerprintLog(spark, path, spec, parallelism(docs, 2))
+    for k in range(batches):
+        log.append(docs.where(F.pmod(F.spark_partition_id(), F.lit(batches)) == k) if batches > 1 else docs, id_col, text_col)
+    out = written(log.deduplicated(Rule(lambda met: by_words(met, window), True, 0, lambda v, doc: v > 0, finish, fields)), "deduplicated")
+    forget(spark, mark)
+    clear_scratch([path])
+    return out
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 8, hot: int = 4096, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) a document; the input arrives in ``batches``, by its scan's partitions."""
+    fields = [("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
+    return _run(docs, _rows, fields, id_col, text_col, window, gram, hot, batches)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 8, hot: int = 4096) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) a document."""
+def incremental(log: FingerprintLog, arrivals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``substring_dedup`` for a batch that is taken into ``log``, judged against its history and itself."""
     fields = [("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
-    return _run(docs, _rows, fields, id_col, text_col, window, gram, hot)
+    k = log.append(arrivals, id_col, text_col)
+    window = log.spec.window
+    return log.deduplicated(Rule(lambda met: by_words(met, window), True, 0, lambda v, doc: v > 0, _rows, fields), k)
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 8) -> DataFrame:
     """``docs`` with repeated windows taken out of the text; documents that lose no word keep theirs as it is. The words alone decide
-    what goes, so rows are matched by a digest of their words, and ids may repeat or be null."""
-    fields = [("_words", pa.string(), "string"), ("_kept", pa.string(), "string")]
-    less = written(_run(docs, _texts, fields, id_col, text_col, window, gram), "kept").dropDuplicates(["_words"])
-    words = F.sha2(F.trim(F.regexp_replace(F.col(f"`{text_col}`"), r"[\x20\x09-\x0D]+", " ")), 256)
-    return docs.join(less, words == less._words, "left").select(*[F.coalesce("_kept", F.col(f"`{text_col}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    what goes, so rows are matched by a digest of their words: ids may repeat or be null, and other columns may have any name."""
+    fields = [("words", pa.string(), "string"), ("kept", pa.string(), "string")]
+    less = _run(docs, _texts, fields, id_col, text_col, window, gram).dropDuplicates(["words"])
+    # the document's columns travel as one struct, so that none of them can clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.col("doc").getField(text_col)
+    words = F.sha2(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), 256)
+    joined = whole.withColumn("words", words).join(less, "words", "left")
+    return joined.select(*[F.coalesce("kept", F.col("doc").getField(c)).alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import brute
 import numpy as np
 import pytest
 
-from questlake.llm import simhash, substringdedup, suffixdedup
+from questlake.llm import simhash, substringdedup, suffixdedup, winnow
 
 SCHEMA = "doc_id long, text string, lang string, shard string, fp string"
 
@@ -115,9 +116,76 @@ def test_hash_collisions_fall_back_to_bytes():
     assert order.tolist() == [0, 6, 3] and same.tolist() == [False, True, False]
 
 
-def test_run_index_counts_and_compacts():
-    index = substringdedup.RunIndex()
-    for k in range(20):
-        index.append({b"w%d" % (k % 7): 1, b"u%d" % k: 2})
-    assert index.count([b"w0", b"w6", b"u3", b"none"]).tolist() == [3, 2, 2, 0]
-    assert len(index.runs) <= 4
+def test_fingerprint_log_goes_on_from_its_folder_and_compacts(spark, tmp_path):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda k: " ".join(rnd.choice(words) for _ in range(k))
+    passage, old = text(50), [(i, text(60)) for i in range(12)]
+    old[3] = (3, f"{text(5)} {passage} {text(5)}")
+    spec, path, seen = substringdedup.Spec(35, 8, True), str(tmp_path / "log"), []
+    sizes = []
+    for k in range(6):
+        log = substringdedup.FingerprintLog(spark, path, spec, buckets=4)  # opened anew for each batch
+        batch = old if k == 0 else [(100 * k + i, text(60)) for i in range(2)] + [(100 * k + 9, f"{text(3)} {passage if k in (2, 5) else text(50)}")]
+        seen += batch
+        got = {r[0]: tuple(r)[1:] for r in substringdedup.incremental(log, frame(spark, batch)).collect()}
+        want = brute.substring_dedup(seen)
+        assert got == {i: want[i] for i, _ in batch}  # judged against the history and itself
+        sizes.append([r["rows"] for r in log.state["runs"]])
+    assert max(map(len, sizes)) in (2, 3) and all(a >= log.ratio * b for x in sizes for a, b in zip(x, x[1:]))
+    with pytest.raises(ValueError):
+        substringdedup.FingerprintLog(spark, path, substringdedup.Spec(30, 8, True))
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_batches_of_arrival_don_t_matter(spark, batches):
+    docs = corpus(4)
+    got = {r[0]: tuple(r)[1:] for r in substringdedup.substring_dedup(frame(spark, docs).repartition(5), batches=batches).collect()}
+    assert got == brute.substring_dedup(docs)
+
+
+def test_repeats_inside_one_stretch_of_a_long_text(spark):
+    """A run of one word around a place that is a multiple of 65536, in a text without other repeats."""
+    w = [f"u{i}" for i in range(65_516)] + ["same"] * 40 + [f"v{i}" for i in range(300)]
+    docs = [(1, " ".join(w))]
+    assert {r[0]: tuple(r)[1:] for r in substringdedup.substring_dedup(frame(spark, docs)).collect()} == brute.substring_dedup(docs)
+
+
+def test_rows_that_are_shuffled_don_t_grow_with_the_shards(spark):
+    spec, rows = winnow.Spec(35, 8, True), []
+    text = " ".join(f"w{i % 977}" for i in range(4000))
+    docs = spark.createDataFrame([(None, f"{text} d{i}") for i in range(12)], "doc_id long, text string")
+    for n in (4, 32):
+        shards = docs.selectExpr("doc_id AS id", "text", f"pmod(xxhash64(text), {n}) AS shard")
+        grams = winnow.gram_rows(shards, spec, False)
+        known = winnow.repeated_grams(grams, n, spec.hot)
+        rows.append((grams.count(), known.count(), winnow.stretch_rows(shards, known, spec, n, True).count()))
+    # documents have the same grams, so each row is a gram of a shard that holds some
+    assert all(b <= 12 / 3 * a for a, b in zip(*rows))
+
+
+def test_rows_without_id_are_spread_over_shards(spark, tmp_path):
+    docs = spark.range(400).selectExpr("CAST(NULL AS long) AS doc_id", "'same text' AS text")
+    sizes = [r["count"] for r in winnow.shard_table(docs, "doc_id", "text", str(tmp_path / "s"), 8).groupBy("shard").count().collect()]
+    winnow.forget(spark)
+    assert len(sizes) == 8 and max(sizes) < 100
+
+
+def test_tables_and_folders_of_a_run_go(spark):
+    from questlake.llm import common
+
+    before = {t.name for t in spark.catalog.listTables()}
+    for f in (substringdedup.substring_dedup, suffixdedup.suffix_dedup):
+        common.clear_scratch()
+        f(frame(spark, corpus(1, 10))).collect()
+        assert {t.name for t in spark.catalog.listTables()} == before
+        common.clear_scratch()
+        assert not os.listdir(common.shared_dir(spark).removeprefix("file:"))
+
+
+def test_cleaned_with_clashing_columns(spark):
+    w = " ".join(f"w{i}" for i in range(40))
+    names = ["doc_id", "text", "_id", "_kept", "_words", "words", "kept", "doc", "text b"]
+    docs = spark.createDataFrame([(1, f"a {w}", *"123456", None), (1, f"b {w}", *"abcdef", "z")], ", ".join(f"`{n}` string" if i else "doc_id long" for i, n in enumerate(names)))
+    got = sorted((tuple(r) for r in substringdedup.cleaned(docs).collect()), key=repr)
+    assert got == [(1, "a", *"123456", None), (1, "b", *"abcdef", "z")]
