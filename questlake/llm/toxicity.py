@@ -6,10 +6,13 @@ the expected score of clean text negative. A linear scan finds all maximal scori
 value, lambda * S - ln(K n) (lambda solves the moment equation over clean tokens, K is fitted on clean maxima), and a logistic
 curve over that figure and the count of significant segments gives the score.
 
-The model is fitted on at most ``sample`` labelled rows, taken by a hash of the id. Scoring covers whole texts.
+The model is fitted on at most ``sample`` labelled rows of ``sample_bytes`` together, taken by a hash of the id; all their clean texts
+calibrate it. Scoring covers whole texts.
 
 Defined cases: null and empty texts have no segment and get the base score; labels that disagree count as toxic; null labels are
-ignored; without labels of both classes each score is the training rate of toxic rows (0 if there are none).
+ignored; without labels of both classes each score is the training rate of toxic rows (0 if there are none); rows of one id share
+its label, and exact copies among them train once; very long texts are scored whole, but train only if they fit the bound; an empty
+table gives no rows; a column named ``tox_score`` is replaced, other extra columns are kept (or only those in ``keep``).
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from __future__ import annotations
 import math
 import string
 import zlib
-from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -29,7 +31,9 @@ from pyspark.sql import types as T
 
 from questlake.llm.common import add_columns, utf8_rows
 
+#: Bounds of the rows that the model is fitted on: their number, and the bytes of their texts together.
 SAMPLE = 6000
+SAMPLE_BYTES = 24 << 20
 THRESHOLD = 0.3
 _SPACED = string.punctuation + string.digits + string.whitespace
 _TABLE = bytes.maketrans((string.ascii_uppercase + _SPACED).encode(), (string.ascii_lowercase + " " * len(_SPACED)).encode())
@@ -76,9 +80,12 @@ class Model:
         """Positive maximal segments in token positions, and the number of tokens."""
         words = tokens(text)
         get = self.scores.get
-        hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
+        return self.placed([(i, s) for i, s in enumerate(map(get, words)) if s is not None]), len(words)
+
+    def placed(self, hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
+        """The segments of scored tokens (position, score); the drift counts for those between them."""
         if not any(s > 0 for _, s in hits):
-            return [], len(words)
+            return []
         packed, places, last = [], [], 0
         for i, s in hits:
             if i > last:
@@ -87,7 +94,7 @@ class Model:
             packed.append(s - self.drift)
             places.append((i, i + 1))
             last = i + 1
-        return [(places[a][0], places[b - 1][1], s) for a, b, s in segments(packed)], len(words)
+        return [(places[a][0], places[b - 1][1], s) for a, b, s in segments(packed)]
 
     def features(self, text: bytes) -> tuple[float, float]:
         """Logs of the best segment as an extreme value and of the number of segments that are significant at 0.05."""
@@ -123,8 +130,9 @@ def _root_g2(a: int, n1: int, b: int, n0: int) -> float:
     return math.sqrt(max(0.0, 2 * sum(x * math.log(x / e) for x, e in parts if x)))
 
 
-def copies(texts: Iterable[list[bytes]], n_texts: int, minima: int = 8) -> list[int]:
-    """A group number for each text; texts that share one of some least hashes of their five-word shingles are of one group."""
+def copies(texts: Iterable[np.ndarray], n_texts: int, minima: int = 8) -> list[int]:
+    """A group number for each text (hashes of its tokens); texts that share one of some least hashes of their five-word shingles are of
+    one group."""
     up = list(range(n_texts))
 
     def root(i: int) -> int:
@@ -133,8 +141,7 @@ def copies(texts: Iterable[list[bytes]], n_texts: int, minima: int = 8) -> list[
         return i
 
     known: dict[tuple[int, int], int] = {}
-    for i, w in enumerate(texts):
-        h = np.fromiter(map(zlib.crc32, w), np.uint64, len(w))
+    for i, h in enumerate(texts):
         n = max(1, len(h) - 4)
         mix = np.zeros(n, np.uint64)
         for k in range(min(5, len(h))):
@@ -163,26 +170,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01)
     return w
 
 
-def _words(seen: list[tuple[Counter, Counter]], sizes: list[list[int]], prior: float, drift: float, clean: list[list[bytes]]) -> Model:
-    """Word scores and extreme-value parameters from document frequencies (clean, toxic) and tokens of clean texts."""
-    model = Model(drift=drift)
-    n0, n1 = sum(a for a, _ in sizes), sum(b for _, b in sizes)
-    c0, c1 = Counter(), Counter()
-    for a, b in seen:
-        c0.update(a)
-        c1.update(b)
-    total = {w: df for w, df in (c0 + c1).items() if df >= 3}
-    z_min = math.sqrt(2 * math.log(max(2, len(total))))  # the largest z that chance gives among so many words
-    for w, df in total.items():
-        if n0 and n1 and _root_g2(c1[w], n1, c0[w], n0) >= z_min:
-            alpha = prior * df / (n0 + n1)
-            y1, y0, m1, m0 = c1[w] + alpha, c0[w] + alpha, n1 + prior, n0 + prior
-            model.scores[w] = math.log(y1 / (m1 - y1)) - math.log(y0 / (m0 - y0))
-    if any(s > 0 for s in model.scores.values()):
-        drawn = np.array([model.scores.get(w, 0.0) - drift for x in clean for w in x] or [-drift])
-        model.lam = _lambda(drawn)
-        best = [(max((s for *_, s in found), default=0.0), n) for found, n in (model.spans(b" ".join(x)) for x in clean) if n]
-        model.ln_k = float(np.mean([model.lam * s - math.log(n) for s, n in best if s] or [0.0])) - 0.5772
+def _words(vocabulary: list[bytes], seen: np.ndarray, sizes: np.ndarray, prior: float, drift: float, clean: list[np.ndarray]) -> Model:
+    """Word scores and extreme-value parameters from document frequencies (clean, toxic) and the tokens of all clean texts."""
+    model, (n0, n1), (c0, c1) = Model(drift=drift), sizes.tolist(), seen
+    some = np.flatnonzero(c0 + c1 >= 3)
+    z_min = math.sqrt(2 * math.log(max(2, len(some))))  # the largest z that chance gives among so many words
+    score = np.zeros(len(vocabulary))
+    if n0 and n1:
+        for w, a, b in zip(some.tolist(), c1[some].tolist(), c0[some].tolist()):
+            if _root_g2(a, n1, b, n0) >= z_min:
+                alpha = prior * (a + b) / (n0 + n1)
+                y1, y0, m1, m0 = a + alpha, b + alpha, n1 + prior, n0 + prior
+                score[w] = model.scores[vocabulary[w]] = math.log(y1 / (m1 - y1)) - math.log(y0 / (m0 - y0))
+    if (score > 0).any():
+        drawn = score[np.concatenate(clean)] - drift if clean else np.zeros(0)
+        model.lam = _lambda(drawn if len(drawn) else np.array([-drift]))
+        best = []
+        for x in clean:
+            at = np.flatnonzero(score[x])
+            if found := model.placed(list(zip(at.tolist(), score[x[at]].tolist()))):
+                best.append(model.lam * max(s for *_, s in found) - math.log(len(x)))
+        model.ln_k = float(np.mean(best or [0.0])) - 0.5772
     return model
 
 
@@ -197,26 +205,30 @@ def fit(rows: list[tuple[bytes, int]], prior: float = 20.0, drift: float = 0.25,
     base = math.log(rate / (1 - rate)) if 0 < rate < 1 else (50.0 if rate else -50.0)
     if not 0 < rate < 1:
         return Model(drift=drift, weights=(0.0, 0.0, base))
-    group = copies((tokens(t) for t, _ in rows), len(rows))
-    parts: list[list[tuple[bytes, int]]] = [[] for _ in range(folds)]
-    seen, sizes, clean = [(Counter(), Counter()) for _ in parts], [[0, 0] for _ in parts], [[] for _ in parts]
-    words: dict[tuple[int, int], set[bytes]] = {}
-    for (text, y), g in zip(rows, group):
-        parts[g % folds].append((text, y))
-        if (g, y) not in words and not y and len(clean[g % folds]) < 200:
-            clean[g % folds].append(tokens(text))
-        words.setdefault((g, y), set()).update(tokens(text))
-    for (g, y), some in words.items():
-        seen[g % folds][y].update(some)
-        sizes[g % folds][y] += 1
+    number: dict[bytes, int] = {}
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t, _ in rows]
+    vocabulary = list(number)
+    hashed = np.fromiter(map(zlib.crc32, vocabulary), np.uint64, len(vocabulary))
+    group = copies((hashed[x] for x in ids), len(rows))
+    of_group: dict[tuple[int, int], list[int]] = {}
+    for i, (g, (_, y)) in enumerate(zip(group, rows)):
+        of_group.setdefault((g, y), []).append(i)
+    seen, sizes = np.zeros((folds, 2, len(vocabulary)), np.int64), np.zeros((folds, 2), np.int64)
+    clean: list[list[np.ndarray]] = [[] for _ in range(folds)]
+    for (g, y), some in of_group.items():
+        seen[g % folds, y, np.unique(np.concatenate([ids[i] for i in some]))] += 1
+        sizes[g % folds, y] += 1
+        if not y and len(ids[some[0]]):
+            clean[g % folds].append(ids[some[0]])
     x, y = [], []
-    for k, part in enumerate(parts):
-        others = [i for i in range(folds) if i != k]
-        model = _words([seen[i] for i in others], [sizes[i] for i in others], prior, drift, [c for i in others for c in clean[i]])
-        x += [[*model.features(t), 1.0] for t, _ in part]
-        y += [v for _, v in part]
+    for k in range(folds):
+        rest = [i for i in range(folds) if i != k]
+        model = _words(vocabulary, seen[rest].sum(axis=0), sizes[rest].sum(axis=0), prior, drift, [c for i in rest for c in clean[i]])
+        mine = [i for i, g in enumerate(group) if g % folds == k]
+        x += [[*model.features(rows[i][0]), 1.0] for i in mine]
+        y += [rows[i][1] for i in mine]
     w = _logistic(np.array(x), np.array(y, float), np.array([0.0, 0.0, base]))
-    model = _words(seen, sizes, prior, drift, [c for part in clean for c in part])
+    model = _words(vocabulary, seen.sum(axis=0), sizes.sum(axis=0), prior, drift, [c for part in clean for c in part])
     model.weights = tuple(float(v) for v in w)
     return model
 
@@ -226,18 +238,26 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents that aren't held out. Only the bounded set of ids is broadcast."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on labelled rows that aren't held out: the first ``sample`` of them by a hash of the id, and of these, in that order, all whose
+    texts still fit into ``sample_bytes``. Rows are chosen by figures alone; only the texts chosen come to the driver."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = found.dropDuplicates(["id"]).select("id", "y", "text").collect()
-    return fit([((r.text or "").encode(), int(r.y > 0)) for r in sorted(rows, key=lambda r: r.id)])
+    found = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    sized = found.select("id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    taken, left = set(), sample_bytes
+    for r in sized.orderBy(F.xxhash64("id"), "id", "h").limit(sample).collect():
+        if (r.id, r.h) not in taken and r.n <= left:
+            taken.add((r.id, r.h))
+            left -= r.n
+    picked = docs.sparkSession.createDataFrame(sorted(taken), "id long, h long")
+    rows = found.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "y", "text").collect()
+    return fit([(r.text.encode(), int(r.y > 0)) for r in sorted(rows, key=lambda r: (r.id, r.h))])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``tox_score`` (0 to 1) and ``tox_spans`` (number of significant passages)."""
+    """``docs`` with ``tox_score`` (0 to 1); ``passages`` gives the significant passages themselves."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
