@@ -8,7 +8,9 @@ The training rows are a bounded sample: at most about ``per_lang`` texts of each
 ``windows`` windows of each, spread over the whole text.
 
 Defined cases: a null text or one without a letter gets ``und`` and score 0; rows without a language don't train; without any
-labelled row each text is ``und``; repeated rows are classified alike; extra columns are ignored or kept on request.
+labelled row each text is ``und``; repeated rows are classified alike; classes that tie go to the first name; very long texts are
+read whole, in windows; an empty table gives no rows; columns named like the results are replaced, other extra columns are kept (or
+only those in ``keep``).
 """
 
 from __future__ import annotations
@@ -149,6 +151,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(wins, np.array([y for _, y in pairs], int), langs)
 
 
+def threshold(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bins: int = 100) -> float:
+    """The score below which a prediction is more likely wrong than right, by all labelled rows that are held out (0 if there are none).
+
+    It is the end of that run of score bins, from the least up, which holds the most wrong predictions beyond the right ones.
+    """
+    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
+    rows = docs.where(held_out(id_col) & lang.isNotNull()).select(text.alias("text"), lang.alias("lang"))
+    got = predicted(rows, model, keep=["lang"]).where(F.col("lang_pred") != UND)
+    per = got.groupBy(F.least(F.floor(F.col("lang_score") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.sum(F.when(F.col("lang_pred") == F.col("lang"), -1).otherwise(1)).alias("wrong"))
+    wrong = np.zeros(bins, np.int64)
+    for r in per.collect():  # at most a row a bin
+        wrong[r.bin] = r.wrong
+    sums = np.cumsum(wrong)
+    best = int(sums.argmax())
+    return (best + 1) / bins if sums[best] > 0 else 0.0
+
+
 def predicted(docs: DataFrame, model: ByteCNN, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``, from all windows of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
