@@ -5,12 +5,13 @@ segment differs in at most one (4 // 3). Two segments differ in at most one bit
 that bit is deleted; so each fingerprint is indexed under its 64 one-wildcard variants, equal variants meet, and Hamming
 distance verifies them.
 
-Only distinct fingerprints enter the index, so groups of copies of any size count once. The variants travel as packed blocks;
-each index bucket checks its equal-key runs and gives a spanning forest of the links, never all pairs. Components come from
-alternating large-star and small-star rounds over tables in the shared folder.
+Only distinct fingerprints enter the index, so groups of copies of any size count once. Fingerprints are dealt by the equal half of
+a segment, and its variants are made where they meet; each task checks its equal-key runs and gives a spanning forest of the links,
+never all pairs. Components come from alternating large-star and small-star rounds over tables in the shared folder.
 
 Defined cases: null or blank texts have fingerprint zero and link like any other; repeated rows and ties keep one row each in the
-output; a null doc_id counts as the least id; an empty table gives an empty result; extra columns are ignored.
+output; a null doc_id is never the smallest id, so only a component without any id has none; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,25 +27,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from questlake.llm.common import add_columns, parallelism, utf8_rows, written
+from questlake.llm.graph import components, joined
+from questlake.session import importable
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 RADIUS = 4
-#: A fingerprint is hot if it has more than this part of all rows; so fewer than this many are broadcast.
-HOT_SHARES = 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint_of(text: bytes, words: int = 4) -> int:
-    """Majority bits of XXH64 (seed 42) over word shingles; A-Z lower-cased, ASCII white space splits."""
-    w = text.lower().split()
+def shingle_hashes(w: list[bytes], words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles; a shorter text is one, a text without words none."""
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    n = max(1, len(w) - words + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, max(1, len(w) - words + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    if not len(h):
+        return 0
     by_byte = h.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(by_byte[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint_of(text: bytes, words: int = 4) -> int:
+    """The fingerprint of a text: A-Z lower-cased, ASCII white space splits."""
+    return majority(shingle_hashes(text.lower().split(), words))
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4, keep: list[str] | None = None) -> DataFrame:
@@ -56,23 +66,24 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4, keep:
     return add_columns(docs, [text_col], [("fp", pa.int64(), T.LongType())], start, keep)
 
 
-def _keys(fps: np.ndarray, variant: np.ndarray) -> np.ndarray:
-    """The key of each fingerprint under its variant number (0 to 63): the number and the segment without one bit."""
-    out = np.empty(len(fps), np.uint64)
+def _halves() -> list[tuple[int, int, int, int]]:
+    """(first bit, bits, first bit of the other half, its bits) for both halves of each segment."""
+    out = []
     for at, width in SEGMENTS:
-        m = (variant >= at) & (variant < at + width)
-        seg = (fps[m] >> np.uint64(at)) & np.uint64((1 << width) - 1)
-        bit = (variant[m] - at).astype(np.uint64)
-        low = (np.uint64(1) << bit) - np.uint64(1)
-        out[m] = ((seg >> np.uint64(1)) & ~low) | (seg & low)
-    return out | (variant.astype(np.uint64) << np.uint64(22))
+        low = width // 2
+        out += [(at, low, at + low, width - low), (at + low, width - low, at, low)]
+    return out
+
+
+def _bits(fps: np.ndarray, at: int, width: int) -> np.ndarray:
+    return (fps >> np.uint64(at)) & np.uint64((1 << width) - 1)
 
 
-def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    x = keys * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((x >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+def _wildcards(part: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The segment halves without one bit, for each bit in turn."""
+    for bit in range(width):
+        low = np.uint64((1 << bit) - 1)
+        yield ((part >> np.uint64(1)) & ~low) | (part & low)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,72 +128,64 @@ def _links_in(keys: np.ndarray, fps: np.ndarray, radius: int, most: int = 1 << 2
 
 
 def links(distinct: DataFrame, partitions: int, radius: int = RADIUS) -> DataFrame:
-    """Spanning links (u, v), u > v, among the distinct ``fp`` of ``distinct``; connectivity is that of all links."""
+    """Spanning links (u, v), u > v, among the distinct ``fp`` of ``distinct``; connectivity is that of all links.
+
+    Of two segments that differ in at most one bit, one half is equal. So a fingerprint is dealt by the six halves of its segments, a
+    row each, and the one-wildcard variants of a segment are made and joined where its half is.
+    """
     if radius >= 2 * len(SEGMENTS):
         raise ValueError("one-wildcard variants of three segments find up to five bits")
+    halves = _halves()
 
-    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(fps), 1 << 15):
-                part = fps[at : at + (1 << 15)]
-                fp, variant = np.repeat(part, 64), np.tile(np.arange(64, dtype=np.uint8), len(part))
-                bucket = _bucket(_keys(fp, variant.astype(np.int64)), partitions)
-                order = np.argsort(bucket, kind="stable")
-                fp, variant, bucket = fp[order], variant[order], bucket[order]
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                ends = np.r_[cut[1:], len(bucket)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([fp[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array([variant[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], names=["bucket", "fps", "variants"])
+            key = np.concatenate([_bits(fps, at, width) | np.uint64(k << 16) for k, (at, width, _, _) in enumerate(halves)])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.tile(fps.view(np.int64), len(halves)))], names=["half", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, variants_ = [], []
+        keys, fps, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            key, fp = np.concatenate(keys), np.concatenate(fps).view(np.uint64)
+            a, b = [], []
+            for k in np.unique(key >> 16).tolist():  # one half of one segment, all its values
+                m = key >> 16 == k
+                _, _, at, width = halves[k]
+                for variant in _wildcards(_bits(fp[m], at, width), width):
+                    x, y = _links_in(key[m].view(np.uint64) << np.uint64(width) | variant, fp[m], radius)
+                    a.append(x)
+                    b.append(y)
+            hi, lo = (x.view(np.int64) for x in _forest(np.concatenate(a), np.concatenate(b)))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(hi, lo)), pa.array(np.minimum(hi, lo))], names=["u", "v"])
+
         for batch in batches:
-            fps += batch.column(1).to_pylist()
-            variants_ += batch.column(2).to_pylist()
-        if not fps:
-            return
-        fp, variant = np.frombuffer(b"".join(fps), np.uint64), np.frombuffer(b"".join(variants_), np.uint8).astype(np.int64)
-        hi, lo = _links_in(_keys(fp, variant), fp, radius)
-        hi, lo = hi.view(np.int64), lo.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(hi, lo)), pa.array(np.minimum(hi, lo))], names=["u", "v"])
-
-    blocks = distinct.select("fp").mapInArrow(variants, "bucket long, fps binary, variants binary")
-    return blocks.repartition(partitions, "bucket").mapInArrow(meet, "u long, v long").distinct()
-
-
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, root) for every node that has a link; root is the least node reachable. Alternating large-star, small-star."""
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
-    e = written(edges, name)
-    was = mark(e)
-    while was[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        e = written(small, name)
-        now = mark(e)
-        if now == was:
-            break
-        was = now
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held > 1 << 19 and (cut := int(np.searchsorted(key, keys[-1][-1], side="right"))) < len(key):
+                keys.append(key[:cut])
+                fps.append(fp[:cut])
+                yield out()
+                keys, fps, held, key, fp = [], [], 0, key[cut:], fp[cut:]
+            if len(key):
+                keys.append(key)
+                fps.append(fp)
+                held += len(key)
+        if held:
+            yield out()
+
+    rows = distinct.select("fp").mapInArrow(deal, "half long, fp long").repartition(partitions, "half").sortWithinPartitions("half")
+    return rows.mapInArrow(meet, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS) -> DataFrame:
     """One row a document: its id, ``fp`` and ``component_id`` (the smallest id reachable by links)."""
-    prints = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words, ["id"]), "fp")
+    importable(docs.sparkSession)
+    prints = written(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", words, ["id"]), "fp")
     classes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
-    edges = links(classes, parallelism(docs, 2), radius)
-    roots = components(edges)
-    linked = classes.join(roots, classes.fp == roots.node).select("fp", "least", "root")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("lowest")), "root").select("fp", "lowest")
+    roots = components(links(classes, parallelism(docs, 2), radius))
+    linked = written(classes.join(roots, classes.fp == roots.node).select("fp", "least", "root"), "linked")
+    lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"), F.count("*").alias("n"))
+    named = joined(linked, lowest, "root", linked.count()).select("fp", "lowest")
     final = written(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("lowest", "least").alias("component_id")), "named")
-    # fingerprints of very many rows meet those rows where they lie; by their share there are at most HOT_SHARES of them
     rows = final.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT_SHARES > rows
-    here = F.broadcast(final.where(hot).select("fp", "component_id"))
-    rest = prints.join(here, "fp", "left_anti").join(final.where(~hot).select("fp", "component_id"), "fp")
-    both = prints.join(here, "fp").unionByName(rest)
-    return both.select(F.col("id").alias(id_col), "fp", "component_id")
+    return joined(prints, final, "fp", rows).select(F.col("id").alias(id_col), "fp", "component_id")
