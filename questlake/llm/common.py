@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from questlake.session import importable
@@ -133,6 +134,16 @@ def add_columns(df: DataFrame, needed: list[str], fields: ArrowFields, start: Ca
     return df.select(*[f"`{c}`" for c in cols]).mapInArrow(run, schema)
 
 
+def boxed(df: DataFrame, *inputs: str) -> DataFrame:
+    """All columns in one struct ``doc``, beside copies of ``inputs``: what operators add can't clash with them."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+    return df.select(whole, *[F.col(f"`{c}`") for c in inputs])
+
+
+def unboxed(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("doc").getField(c).alias(c) for c in columns])
+
+
 def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes, so that working arrays stay small; a single row may be longer."""
     n = batch.num_rows

@@ -1,20 +1,26 @@
-"""Near-dedup by the Jaccard similarity of word shingles.
+"""SimHash near-dedup verified by the Jaccard similarity of word shingles: operator 9 for groups of similar texts.
 
-Distinct texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come from
-MinHash: 200 least hashes in 40 bands of five; texts that share a band are candidates. A pair of similarity 0.8 shares none with
-probability (1 - 0.8**5)**40, about one in eight million; more similar pairs are likelier still. All candidates are verified on
-the whole shingle sets.
+Distinct texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come from two
+indexes:
 
-Exact copies (of the words) count once. Candidates that hang together form a group, which is split into blocks of bounded size; each
-pair of blocks is verified in its own task and gives a spanning forest of its links, so no group ends up in one task.
+- the SimHash operator's deletion variants over five-word fingerprints (``simhash.links``). Texts of similarity 0.8 differ in about
+  a seventh of the bits, far beyond any radius that few one-wildcard segments can promise, so this index alone loses most of the
+  links between different texts;
+- least hashes: 200 of each set in 40 bands of five; texts that share a band are candidates. A pair of similarity 0.8 shares none with
+  probability (1 - 0.8**5)**40, about one in eight million; more similar pairs are likelier still.
 
-Defined cases: null or blank texts are copies of each other; a text of fewer than five words is one shingle.
+All candidates are verified on the whole shingle sets. Exact copies (of the words) count once. A text is first compared with the
+least one of each of its candidate groups, which connects a group of near copies with as many comparisons as it has texts. Only
+groups that hang together by candidates and aren't connected by then are compared all with all, in blocks of bounded size; each
+pair of blocks gives a spanning forest of its links, so no group ends up in one task.
+
+Defined cases: null or blank texts are copies of each other; a text of fewer than five words is one shingle; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from questlake.llm import simhash
 from questlake.llm.common import add_columns, parallelism, utf8_rows, written
-from questlake.llm.simhash import HOT_SHARES, components
+from questlake.llm.graph import components, joined
+from questlake.session import importable
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -40,11 +48,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def shingles_of(w: list[bytes], words: int = WORDS) -> np.ndarray:
-    """Sorted distinct XXH64 (seed 42) of the word shingles."""
-    if not w:
-        return np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, max(1, len(w) - words + 1)))
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(simhash.shingle_hashes(w, words))
 
 
 def bands_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -61,49 +66,40 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, key, bands): a 128-bit hash of the words and the packed band keys, empty for blank texts."""
+    """(id, key, bands, fp): a 128-bit hash of the words, the packed band keys (empty for blank texts) and the SimHash fingerprint."""
 
     def made(batch: pa.RecordBatch) -> list:
-        keys, sets = [], []
+        keys, sets, fps = [], [], []
         for x in utf8_rows(batch.column(batch.schema.get_field_index("text"))):
             w = words_of(x)
             keys.append(xxhash.xxh3_128_digest(b" ".join(w)))
-            sets.append(shingles_of(w, words))
+            h = simhash.shingle_hashes(w, words)
+            fps.append(simhash.majority(h))
+            sets.append(np.unique(h))
         some = [i for i, s in enumerate(sets) if len(s)]
         bands = [b""] * len(sets)
         for i, row in zip(some, bands_of([sets[i] for i in some]) if some else []):
             bands[i] = row.tobytes()
-        return [keys, bands]
+        return [keys, bands, fps]
 
-    return add_columns(docs, ["text"], [("key", pa.binary(), T.BinaryType()), ("bands", pa.binary(), T.BinaryType())], lambda: made, ["id"])
+    return add_columns(docs, ["text"], [("key", pa.binary(), T.BinaryType()), ("bands", pa.binary(), T.BinaryType()), ("fp", pa.int64(), T.LongType())], lambda: made, ["id"])
 
 
-def candidates(reps: DataFrame, partitions: int) -> DataFrame:
+def band_stars(reps: DataFrame, partitions: int) -> DataFrame:
     """Star links (u, v), u > v, from each node to the least node that shares one of its bands."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(n, b) for n, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if b]
-            if not rows:
-                continue
-            node = np.repeat(np.array([n for n, _ in rows], np.int64), BANDS)
-            key = np.frombuffer(b"".join(b for _, b in rows), np.uint64)
-            bucket = ((key >> np.uint64(20)) % np.uint64(partitions)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            node, key, bucket = node[order], key[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[cut[1:], len(bucket)]
-            packed = [pa.array([x[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()) for x in (node, key)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *packed], names=["bucket", "nodes", "keys"])
+            if rows:
+                node = np.repeat(np.array([n for n, _ in rows], np.int64), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b for _, b in rows), np.int64)), pa.array(node)], names=["band", "node"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, keys = [], []
-        for batch in batches:
-            nodes += batch.column(1).to_pylist()
-            keys += batch.column(2).to_pylist()
-        if not nodes:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not got:
             return
-        node, key = np.frombuffer(b"".join(nodes), np.int64), np.frombuffer(b"".join(keys), np.uint64)
+        key, node = (np.concatenate(x) for x in zip(*got))
         order = np.lexsort((node, key))
         node, key = node[order], key[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -111,8 +107,17 @@ def candidates(reps: DataFrame, partitions: int) -> DataFrame:
         pairs = np.unique(np.stack([node, least], 1)[node != least], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    blocks = reps.select("node", "bands").mapInArrow(deal, "bucket long, nodes binary, keys binary")
-    return blocks.repartition(partitions, "bucket").mapInArrow(meet, "u long, v long").distinct()
+    return reps.select("node", "bands").mapInArrow(deal, "band long, node long").repartition(partitions, "band").mapInArrow(meet, "u long, v long").distinct()
+
+
+def fingerprint_stars(reps: DataFrame, partitions: int) -> DataFrame:
+    """Links (u, v), u > v, of the SimHash operator among ``reps`` (node, fp): equal fingerprints, and those within its radius."""
+    named = written(reps.groupBy("fp").agg(F.min("node").alias("first")), "fps")
+    same = reps.join(named, "fp").where("node > first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = simhash.links(named, partitions)
+    for c in ("u", "v"):
+        near = near.join(named.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")), c)
+    return same.unionByName(near.select(F.greatest("u_node", "v_node").alias("u"), F.least("u_node", "v_node").alias("v")))
 
 
 def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -122,10 +127,11 @@ def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
 
 
-def forest(nodes: list[int], sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Spanning links among ``nodes`` whose sets have a similarity of ``least`` or more; pairs already connected are skipped."""
+def forest(nodes: list[int], sets: list[np.ndarray], least: float = SIMILARITY, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Spanning links among ``nodes`` whose sets have a similarity of ``least`` or more; pairs already connected (nodes of one ``known``
+    group are) are skipped."""
     n = np.array([len(s) for s in sets])
-    label = np.arange(len(nodes))
+    label = np.arange(len(nodes)) if known is None else np.unique(known, return_inverse=True)[1]
     out = []
     for a in range(len(nodes) - 1):
         rest = np.arange(a + 1, len(nodes))
@@ -140,36 +146,67 @@ def forest(nodes: list[int], sets: list[np.ndarray], least: float = SIMILARITY)
     return out
 
 
-def verified(docs: DataFrame, groups: DataFrame, words: int = WORDS, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Spanning links (u, v) among the texts of each candidate group; ``groups`` has (node, root)."""
+def _as_links(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], names=["u", "v"])
 
-    def cut():
-        return lambda batch: [[shingles_of(words_of(x), words).tobytes() for x in utf8_rows(batch.column(batch.schema.get_field_index("text")))]]
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+
+
+def similar_pairs(stars: DataFrame, sets: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Those of ``stars`` (u, v) whose sets have a similarity of ``least`` or more. A node with very many links is dealt to several tasks."""
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return _as_links([])
+        one, others, v = _sets(left)[0], _sets(right), left.column("v")[0].as_py()
+        n, both = np.array([len(s) for s in others]), _shared(one, others)
+        return _as_links([(u, v) for u, ok in zip(right.column("u").to_pylist(), both / (n + len(one) - both) >= least) if ok])
+
+    stars = written(stars, "stars")
+    per = written(stars.groupBy("v").agg(F.count("*").alias("n")), "degrees").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    part = F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part")
+    members = joined(stars, per, "v", stars.count()).select("v", part, "u").join(sets.select(F.col("id").alias("u"), "set"), "u")
+    centres = sets.select(F.col("id").alias("v"), F.col("set").alias("own")).join(per, "v").select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
+    return centres.select("v", "part", F.col("own").alias("set")).groupBy("v", "part").cogroup(members.groupBy("v", "part")).applyInArrow(check, "u long, v long")
+
+
+def similar_in_groups(groups: DataFrame, sets: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Spanning links (u, v) among the nodes of each group; ``groups`` has (node, root, known), ``known`` naming nodes that are connected
+    already. A group is split into blocks of bounded size, and each pair of blocks is a task's row group."""
 
     def check(table: pa.Table) -> pa.Table:
-        got = forest(table.column("id").to_pylist(), [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()], least)
-        return pa.table([pa.array([u for u, _ in got], pa.int64()), pa.array([v for _, v in got], pa.int64())], names=["u", "v"])
+        return _as_links(forest(table.column("id").to_pylist(), _sets(table), least, table.column("known").to_pylist()))
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    held = groups.join(sizes, "root").select(F.col("node").alias("id"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
-    texts = add_columns(docs.join(held, "id"), ["text"], [("set", pa.binary(), T.BinaryType())], cut, ["id", "root", "blocks", "mine"])
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("id", "set", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).groupBy("root", "i", "j").applyInArrow(check, "u long, v long")
+    held = groups.join(sizes, "root").select(F.col("node").alias("id"), "root", "known", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
+    dealt = sets.join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("id", "set", "root", "known", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).groupBy("root", "i", "j").applyInArrow(check, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", words: int = WORDS, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(id, component_id), the smallest id reachable by links; ids must be unique longs."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def cut():
+        return lambda batch: [[shingles_of(words_of(x), words).tobytes() for x in utf8_rows(batch.column(batch.schema.get_field_index("text")))]]
+
+    importable(docs.sparkSession)
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     prints = written(signatures(docs, words), "signatures")
     classes = written(prints.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("n")), "classes")
-    reps = prints.join(classes.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), "bands")
-    groups = written(components(candidates(reps, parallelism(docs, 2)), "candidates"), "groups")
-    roots = components(verified(docs, groups, words, least, block))
+    reps = prints.join(classes.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), "bands", "fp")
+    tasks = parallelism(docs, 2)
+    stars = written(fingerprint_stars(reps.where("length(bands) > 0"), tasks).unionByName(band_stars(reps, tasks)).distinct(), "stars")
+    nodes = stars.select(F.col("u").alias("id")).unionByName(stars.select(F.col("v").alias("id"))).distinct()
+    sets = written(add_columns(docs.join(nodes, "id"), ["text"], [("set", pa.binary(), T.BinaryType())], cut, ["id"]), "sets")
+    first = written(similar_pairs(stars, sets, least, block), "similar")
+    # nodes that hang together by candidates without being connected yet are compared all with all
+    groups, known = components(stars, "candidates"), components(first).withColumnRenamed("root", "known")
+    marked = written(groups.join(known, "node", "left").withColumn("known", F.coalesce("known", "node")), "groups")
+    open_ = marked.groupBy("root").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a < b").select("root")
+    second = similar_in_groups(marked.join(open_, "root"), sets, least, block)
+    roots = components(first.unionByName(second))
     final = written(classes.join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("component_id")), "named")
-    # texts with very many copies meet those rows where they lie; by their share there are at most HOT_SHARES of them
     rows = final.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT_SHARES > rows
-    here = F.broadcast(final.where(hot).select("key", "component_id"))
-    rest = prints.select("id", "key").join(here, "key", "left_anti").join(final.where(~hot).select("key", "component_id"), "key")
-    both = prints.select("id", "key").join(here, "key").unionByName(rest)
-    return both.select(F.col("id").alias(id_col), "component_id")
+    return joined(prints.select("id", "key"), final, "key", rows).select(F.col("id").alias(id_col), "component_id")

@@ -9,7 +9,7 @@ import brute
 import numpy as np
 import pytest
 
-from questlake.llm import simhash, substringdedup, suffixdedup, winnow
+from questlake.llm import graph, simhash, substringdedup, suffixdedup, winnow
 
 SCHEMA = "doc_id long, text string, lang string, shard string, fp string"
 
@@ -78,7 +78,7 @@ def test_links_find_every_pair_within_four_bits(spark):
             x ^= 1 << int(bit)
         fps.add(x)
     edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4)
-    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    roots = {r.node: r.root for r in graph.components(edges).collect()}
     up = {f: f for f in fps}
 
     def root(f):
@@ -97,7 +97,7 @@ def test_links_find_every_pair_within_four_bits(spark):
 
 def test_long_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)], "u long, v long")
-    assert {r.root for r in simhash.components(edges).collect()} == {0}
+    assert {r.root for r in graph.components(edges).collect()} == {0}
 
 
 def test_empty_tables_and_repeated_rows(spark):
