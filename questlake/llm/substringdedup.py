@@ -82,9 +82,9 @@ class FingerprintLog:
     def _run(self, run: dict) -> DataFrame:
         return self._get(run["path"], RUN, "gram", self.state["buckets"])
 
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
-        """Take a batch in; its number."""
-        s, n = self.state, parallelism(docs, 6)
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> int:
+        """Take a batch in; its number. Its documents are dealt to ``shards`` (by default some for each partition of its scan)."""
+        s, n = self.state, shards or parallelism(docs, 6)
         first, buckets = sum(b["shards"] for b in s["batches"]), s["buckets"]
         path = f"{self.path}/shards-{uuid.uuid4().hex}"
         self.tables[path] = shard_table(docs, id_col, text_col, path, n, first)
@@ -177,9 +177,9 @@ def _texts(part: Part, mask: np.ndarray) -> list[tuple]:
 def _run(docs, finish, fields, id_col, text_col, window, gram, hot=4096, batches=BATCHES):
     spark, mark, spec = docs.sparkSession, tables_made(), Spec(window, gram, True, hot)
     path = scratch_path(spark, "fingerprints")
-    log = FingerprintLog(spark, path, spec, parallelism(docs, 2))
+    log, shards = FingerprintLog(spark, path, spec, parallelism(docs, 2)), -(-parallelism(docs, 6) // batches)
     for k in range(batches):
-        log.append(docs.where(F.pmod(F.spark_partition_id(), F.lit(batches)) == k) if batches > 1 else docs, id_col, text_col)
+        log.append(docs.where(F.pmod(F.spark_partition_id(), F.lit(batches)) == k) if batches > 1 else docs, id_col, text_col, shards)
     out = written(log.deduplicated(Rule(lambda met: by_words(met, window), True, 0, lambda v, doc: v > 0, finish, fields)), "deduplicated")
     forget(spark, mark)
     clear_scratch([path])
