@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from questlake.llm import nearcopies, substringdedup
+from questlake.llm import langid, nearcopies, simhash, substringdedup
 
 pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 SF = "/root/testdata/sf0.01"
@@ -38,10 +38,11 @@ def test_documents_with_letters_stay(stages):
     assert stages[2].count() == stages[1].where(F.col("text").rlike(r"\p{L}")).count()
 
 
-def test_one_document_of_each_group_stays(stages):
+def test_groups_of_op9_on_the_stage_s_input(stages):
+    """op9's own contract (four words, four bits); what the stage keeps is held to five words and 0.8 below."""
     docs = [(r.doc_id, r.text) for r in stages[2].collect()]
     want = {i for i, (_, root) in brute.near_duplicates(docs).items() if i == root}
-    assert {r.doc_id for r in stages[3].collect()} == want
+    assert {r.doc_id for r in simhash.near_duplicates(stages[2]).where("doc_id = component_id").collect()} == want
 
 
 def test_repeated_passages_go(stages):
@@ -100,3 +101,47 @@ def test_near_copies_in_blocks(spark, block):
         docs.append((i, " ".join(w)))
     got = nearcopies.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", block=block)
     assert {r.doc_id: r.component_id for r in got.collect()} == brute.near_copies(docs)
+
+
+def odd_documents(spark, rows):
+    """Documents with columns named like what operators add."""
+    extra = ["tox_score", "lang_pred", "lang_score", "_first", "kept_id", "_id", "_kept", "doc", "row", "group", "words", "kept", "_row", "_group", "fp", "key"]
+    made = [(i, t, lang, "s", len(t or ""), *[f"{c}{n}" for c in extra]) for n, (i, t, lang) in enumerate(rows)]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+
+
+def test_other_columns_stay_as_they_are(spark):
+    rnd = random.Random(5)
+    text = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "eins", "zwei"]) + str(rnd.randrange(99)) for _ in range(30))
+    rows = [(i, text(), "en") for i in range(20)] + [(None, None, None), (None, "", "en"), (3, text(), None), (3, text(), "en")]
+    docs = odd_documents(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        before = {tuple(r)[5:] for r in docs.collect()}
+        assert all(tuple(r)[5:] in before for r in got.collect())
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.pack(spark, docs, SF).count() == len(rows)
+    assert corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0
+
+
+def test_language_stage_without_labels_keeps_documents_with_letters(spark):
+    docs = odd_documents(spark, [(1, "abc", None), (2, "123", None), (3, None, None), (4, "é", None)])
+    assert {r.doc_id for r in corpus_pipeline.language_filter(spark, docs, SF).collect()} == {1, 4}
+
+
+def test_language_stage_fills_missing_languages(stages):
+    before, after = ({r.doc_id: r.lang for r in s.collect()} for s in (stages[1], stages[2]))
+    assert all(after[i] == before[i] for i in after if before[i] is not None) and None not in after.values()
+
+
+def test_threshold_rejects_where_predictions_are_mostly_wrong(spark):
+    """A model that knows one of two languages only: what it is unsure of is mostly wrong."""
+    rnd = random.Random(2)
+    own = {"x": "abcdef", "y": "mnopqr"}
+    rows = [(i, " ".join("".join(rnd.choice(own[k]) for _ in range(4)) for _ in range(30)), k) for i, k in enumerate(rnd.choices("xy", k=400))]
+    docs = odd_documents(spark, rows)
+    model = langid.fit(docs)
+    assert langid.threshold(docs, model) == 0.0
+    swapped = docs.withColumn("lang", F.when(F.col("lang") == "x", "y").otherwise("x"))
+    assert langid.threshold(swapped, model) > 0.5
