@@ -4,10 +4,15 @@ Each stage takes all rows its predecessor kept, its decisions take effect, and i
 again as the next one's input:
 
 1. toxicity: documents that score at or above the threshold go;
-2. language ID: documents without letters (``und``) or whose best class is hardly likelier than the rest go;
-3. near-dedup (five-word shingles, Jaccard similarity of 0.8 or more): of each group of linked documents the one with the smallest id stays (of one id, that with the least text hash);
+2. language ID: documents without letters (``und``) go, and those whose score is one at which held-out predictions are more often
+   wrong than right; a null ``lang`` is filled with the language found;
+3. SimHash near-dedup (five-word shingles, Jaccard similarity of 0.8 or more): of each group of linked documents the one with the least
+   (doc_id, text hash) stays;
 4. substring dedup: windows of 35 words that repeat anywhere are taken out of the texts; ``n_chars`` follows;
 5. best-fit packing: the remaining texts as pieces in sequences of at most 2048 tokens.
+
+Rows may have null or repeated ids, null texts and further columns of any name, which the first four stages keep as they are; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,31 +21,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questlake.llm import langid, nearcopies, packing, substringdedup, toxicity
-from questlake.llm.common import scratch_path, table, written
+from questlake.llm.common import boxed, scratch_path, table, unboxed, written
 from questlake.llm.registry import tokenizer_path
 
-#: With four classes a best one below this is hardly likelier than the others.
-LEAST_LANGUAGE_SCORE = 0.3
-
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(F.col("tox_score") < toxicity.THRESHOLD).select(docs.columns)
+    got = toxicity.scored(boxed(docs, "text"), model, keep=["doc"])
+    return unboxed(got.where(F.col("tox_score") < toxicity.THRESHOLD), docs.columns)
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    got = langid.predicted(docs, langid.fit(docs))
-    return got.where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    """Without any labelled row there is no language to find: every document with a letter stays."""
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    got = langid.predicted(boxed(docs, "text"), model, keep=["doc"])
+    kept = got.where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= langid.threshold(docs, model)))
+    return kept.select(*[(F.coalesce(F.col("doc").getField(c), "lang_pred") if c == "lang" else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows the one with the least (doc_id, text) stays, null ids first. Only rows of one group compete, so
     unrelated texts that share an id, or have none, all stay."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = nearcopies.near_duplicates(rows, "_row").select("_row", F.col("component_id").alias("_group"))
-    order = rows.select("_row", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"))
-    kept = order.join(groups, "_row").groupBy("_group").agg(F.min(F.struct("doc_id", "_text", "_row")).alias("_least")).select("_least._row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    rows = written(boxed(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = nearcopies.near_duplicates(rows, "row").select("row", F.col("component_id").alias("group"))
+    order = rows.select("row", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    kept = order.join(groups, "row").groupBy("group").agg(F.min(F.struct("doc_id", "hash", "row")).alias("least")).select("least.row")
+    return unboxed(rows.join(kept, "row", "left_semi"), docs.columns)
 
 
 def substring_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +62,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity_filter),
     ("language_id", language_filter),
-    ("near_dedup", near_dedup),
+    ("simhash_near_dedup", near_dedup),
     ("substring_dedup", substring_filter),
     ("best_fit_packing", pack),
 ]
