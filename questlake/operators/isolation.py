@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from questlake.functions.text import normalize_answer
+from questlake.session import cut
+
 
 def isolated(df: DataFrame, protected: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys, each on its own, are none of the protected ones. Catalyst broadcasts the protected side only if it is small."""
@@ -33,17 +36,41 @@ def first_occurrences(df: DataFrame, key: str, id_col: str, *order: Column) -> D
 def skip_reasons(candidates: DataFrame, protected: DataFrame, id_col: str, key: str, order: list[Column]) -> DataFrame:
     """``candidates`` with ``reason``: protected_id, protected_question, duplicate_id, duplicate_question or null, in that order.
 
-    A duplicate is one of an earlier row that isn't skipped itself. Ids come first: of rows with one id only the first can stay.
+    Rows are taken one after another in ``order`` (ascending columns that no two rows share); an id or key counts as used from the
+    first row on that isn't skipped itself. In each round all rows that come first in both their id and their key are taken, and the
+    rows that they rule out go; the rounds end when no row is open, after as many as the longest chain of rows that rule one another
+    out. Each round's state is written to the shared folder.
     """
     marks = protected.select(F.col(id_col).alias("_pid")).distinct()
     texts = protected.select(F.col(key).alias("_pkey")).distinct()
     marked = candidates.join(marks, F.col(id_col) == F.col("_pid"), "left").join(texts, F.col(key) == F.col("_pkey"), "left")
     outside = F.when(F.col("_pid").isNotNull(), "protected_id").when(F.col("_pkey").isNotNull(), "protected_question")
-    marked = marked.withColumn("reason", outside).drop("_pid", "_pkey")
-    by_id = Window.partitionBy(id_col, F.col("reason").isNull()).orderBy(*order)
-    marked = marked.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(by_id) > 1, "duplicate_id")))
-    by_key = Window.partitionBy(key, F.col("reason").isNull()).orderBy(*order)
-    return marked.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(by_key) > 1, "duplicate_question")))
+    marked = cut(marked.withColumn("reason", outside).drop("_pid", "_pkey").withColumn("_at", F.struct(*order)))
+    open_, taken = marked.where("reason IS NULL").select(id_col, key, "_at"), None
+
+    def first(rows: DataFrame, c: str, name: str) -> DataFrame:
+        return rows.groupBy(F.col(c).alias(f"_{name}")).agg(F.min("_at").alias(f"_{name}_at"))
+
+    def with_first(rows: DataFrame, firsts: DataFrame, c: str, name: str, how: str) -> DataFrame:
+        return rows.join(firsts, rows[c].eqNullSafe(firsts[f"_{name}"]), how).drop(f"_{name}")
+
+    while not open_.isEmpty():
+        both = with_first(with_first(open_, first(open_, id_col, "id"), id_col, "id", "inner"), first(open_, key, "key"), key, "key", "inner")
+        now = cut(both.where((F.col("_at") == F.col("_id_at")) & (F.col("_at") == F.col("_key_at"))).select(id_col, key, "_at"))
+        taken = now if taken is None else taken.unionByName(now)
+        left = with_first(with_first(open_, first(now, id_col, "id"), id_col, "id", "left"), first(now, key, "key"), key, "key", "left")
+        open_ = cut(left.where("_id_at IS NULL AND _key_at IS NULL").select(id_col, key, "_at"))
+    taken = marked.select(id_col, key, "_at").limit(0) if taken is None else taken
+    seen = with_first(with_first(marked, first(taken, id_col, "id"), id_col, "id", "left"), first(taken, key, "key"), key, "key", "left")
+    inside = F.when(F.col("_id_at") < F.col("_at"), "duplicate_id").when(F.col("_key_at") < F.col("_at"), "duplicate_question")
+    return seen.withColumn("reason", F.coalesce("reason", inside)).drop("_at", "_id_at", "_key_at")
+
+
+def training_overlap(evaluation: DataFrame, training: DataFrame) -> DataFrame:
+    """(id, overlap): evaluation rows (id, question) whose id, or whose question as a normalised answer text, is in ``training``."""
+    by_id = evaluation.select("id", F.col("id").cast("string").alias("_k")).join(training.select(F.col("id").cast("string").alias("_k")).distinct(), "_k", "left_semi")
+    asked = evaluation.select("id", normalize_answer("question").alias("_k")).join(training.select(normalize_answer("question").alias("_k")).distinct(), "_k", "left_semi")
+    return by_id.select("id", F.lit("id").alias("overlap")).unionByName(asked.select("id", F.lit("question").alias("overlap")))
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from questlake.operators.guards import checked
+
 RATES = ["answer_em", "answer_f1", "valid_action_rate", "strict_raw_protocol_rate", "eos_rate", "answer_completion_rate", "average_search_count", "max_turns_rate", "input_too_long_rate"]
 
 
@@ -12,8 +14,15 @@ def _share(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), 6)
 
 
-def agent_metrics(results: DataFrame, groups: list[str], by: str = "source", total: str = "overall") -> DataFrame:
-    """One row for each of ``groups`` and the total; groups without rows have zeros. Protocol rates are shares of turns, not rows."""
+#: Further rates of the evaluation under token budgets.
+BUDGET_RATES = ["average_assistant_decision_turns", "length_limit_rate", "invalid_action_rate"]
+
+
+def agent_metrics(results: DataFrame, groups: list[str], by: str = "source", total: str = "overall", budget: bool = False) -> DataFrame:
+    """One row for each of ``groups`` and the total; groups without rows have zeros. Protocol rates are shares of turns, not rows.
+
+    With ``budget`` the rates of runs under token budgets are added.
+    """
     n, turns = F.count(by), F.coalesce(F.sum("total_turns"), F.lit(0))
     of = lambda reason: F.count_if(F.col("termination_reason") == reason)
     cols = [
@@ -29,6 +38,8 @@ def agent_metrics(results: DataFrame, groups: list[str], by: str = "source", tot
         of("input_too_long").alias("input_too_long_count"),
         _share(of("input_too_long"), n).alias("input_too_long_rate"),
     ]
+    if budget:
+        cols += [c.alias(name) for name, c in zip(BUDGET_RATES, (_share(turns, n), _share(of("length_limit"), n), _share(of("invalid_action"), n)), strict=True)]
     rows = results.where(F.col(by).isin(groups)).rollup(by).agg(*cols).withColumn(by, F.coalesce(by, F.lit(total)))
     wanted = results.sparkSession.createDataFrame([(g,) for g in [*groups, total]], f"{by} string")
     counts = ["samples", "input_too_long_count"]
@@ -46,12 +57,14 @@ def depth_crosstab(df: DataFrame, depths: int = 4, by: str = "source", count: st
 def rollout_groups(rollouts: DataFrame, expected: int, selected: DataFrame | None = None, order: str = "rollout_id") -> DataFrame:
     """(question_id, record_count, valid_count, reward_sum, rewards, category) of each question, those without rollouts too.
 
-    Rewards of valid rollouts must be 0 or 1.
+    Rewards of valid rollouts must be 0 or 1, and no question may have a rollout twice; both are errors whatever is read of the result.
     """
     ok = F.col("status") == "ok"
-    value = F.when(ok & ~F.coalesce(F.col("reward").isin(0.0, 1.0), F.lit(False)), F.raise_error(F.lit("a reward is neither 0 nor 1")).cast("double")).when(ok, F.col("reward"))
+    rollouts = checked(rollouts, ~F.coalesce(ok, F.lit(False)) | F.col("reward").isin(0.0, 1.0), "a reward is neither 0 nor 1")
+    value = F.when(ok, F.col("reward"))
     rewards = F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct(F.col(order).alias("o"), F.col("reward").alias("r"))))), lambda x: x["r"])
-    g = rollouts.withColumn("_value", value).groupBy("question_id").agg(F.count("*").alias("record_count"), F.count_if(ok).alias("valid_count"), F.coalesce(F.sum("_value"), F.lit(0.0)).alias("reward_sum"), rewards.alias("rewards"))
+    g = rollouts.withColumn("_value", value).groupBy("question_id").agg(F.count("*").alias("record_count"), F.count_if(ok).alias("valid_count"), F.coalesce(F.sum("_value"), F.lit(0.0)).alias("reward_sum"), rewards.alias("rewards"), F.collect_list(order).alias("_ids"))
+    g = checked(g, F.size("_ids") == F.size(F.array_distinct("_ids")), F.concat(F.lit("a rollout occurs twice: "), F.col("question_id").cast("string"))).drop("_ids")
     if selected is not None:
         g = selected.select("question_id").distinct().join(g, "question_id", "full").select("question_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("record_count", "valid_count")], F.coalesce("reward_sum", F.lit(0.0)).alias("reward_sum"), F.coalesce("rewards", F.array().cast("array<double>")).alias("rewards"))
     complete = (F.col("record_count") == expected) & (F.col("valid_count") == expected)
@@ -89,14 +102,21 @@ def counts_as_map(df: DataFrame, key: str) -> DataFrame:
 
 
 def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row an id with both sides' figures; ids and questions must agree one to one."""
-    cols = ["question", "source", "prediction", "em", "f1", "search_count", "termination_reason"]
-    side = lambda df, s: df.select("id", *[F.col(c).alias(f"{s}_{c}") for c in cols], F.lit(True).alias(f"{s}_here"))
-    both = side(left, "left").join(side(right, "right"), "id", "full")
-    agree = F.coalesce(F.col("left_here") & F.col("right_here") & F.col("left_question").eqNullSafe(F.col("right_question")) & F.col("left_source").eqNullSafe(F.col("right_source")), F.lit(False))
-    key = F.when(agree, F.col("id")).otherwise(F.raise_error(F.lit("the two sides don't pair up")).cast(left.schema["id"].dataType))
-    d = lambda c: (F.col(f"right_{c}") - F.col(f"left_{c}")).alias(f"{c}_delta")
-    return both.select(key.alias("id"), F.col("left_source").alias("source"), *[F.col(f"{s}_{c}") for c in ("prediction", "em", "f1", "termination_reason") for s in ("left", "right")], d("em"), d("f1"), d("search_count"))
+    """One row an id with both sides' figures. Ids must be unique and the same on both sides, and questions, gold answers and sources
+    must agree; anything else is an error whatever is read of the result. One shuffle, and no product of repeated ids."""
+    same = ["question", "source", "gold_answers"]
+    cols = [*same, "prediction", "em", "f1", "search_count", "termination_reason"]
+    side = lambda df, s: df.select("id", F.lit(s).alias("_side"), F.struct(*cols).alias("_row"))
+    of = lambda s: F.max(F.when(F.col("_side") == s, F.col("_row"))).alias(s)
+    n = lambda s: F.count_if(F.col("_side") == s).alias(f"_{s}")
+    both = side(left, "left").unionByName(side(right, "right")).groupBy("id").agg(n("left"), n("right"), of("left"), of("right"))
+    name = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    both = checked(both, (F.col("_left") <= 1) & (F.col("_right") <= 1), F.concat(F.lit("an id occurs twice: "), name))
+    both = checked(both, (F.col("_left") == 1) & (F.col("_right") == 1), F.concat(F.lit("the two sides don't have the same ids: "), name))
+    for c in same:
+        both = checked(both, F.col(f"left.{c}").eqNullSafe(F.col(f"right.{c}")), F.concat(F.lit(f"the two sides disagree on {c}: "), name))
+    d = lambda c: (F.col(f"right.{c}") - F.col(f"left.{c}")).alias(f"{c}_delta")
+    return both.select("id", F.col("left.source").alias("source"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in ("prediction", "em", "f1", "termination_reason", "search_count") for s in ("left", "right")], d("em"), d("f1"), d("search_count"))
 
 
 def differing(pairs: DataFrame) -> DataFrame:
