@@ -6,41 +6,62 @@ bounded, and each one's state is written to the shared folder, so lineage stays
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 from questlake.functions.text import observation, strip
 from questlake.operators.protocol import assistant_message, parse_action, parse_raw
 from questlake.operators.trajectory import MESSAGES
+from questlake.session import cut
 
 MAX_TURNS = 5
-STEP = "struct<model_output:string,type:string,content:string,observation:string>"
+STEP = "struct<model_output:string,type:string,content:string,observation:string,input_tokens:int,generated_tokens:int,ended_with_im_end:boolean,reached_max:boolean,valid_action:boolean,strict_valid:boolean>"
 # Fixed budgets.
 PROMPT, RESPONSE, TOTAL, NEW = 2048, 6144, 8192, 512
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write and read back, in the shared folder of the session."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="questlake-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/turn-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: What a model may give instead of a text: token counts, its last token's kind, and an error for a generation that failed.
+GENERATION = "struct<raw:string,input_tokens:int,generated_tokens:int,ended:boolean,reached_max:boolean,error:string>"
 
+LOOPS: dict[str, Callable[..., DataFrame]] = {}
 
-def run_agent(questions: DataFrame, generate: Callable[[Column, int], Column], search: Callable[[DataFrame], DataFrame], system_prompt: str, strict: bool = True, max_turns: int = MAX_TURNS) -> DataFrame:
-    """``questions`` (question_id, question) with steps and termination_reason.
 
-    ``generate`` maps messages and the turn number to text. ``search`` maps (question_id, query) to (question_id, hits), hits being
-    an array of rank, title, text. With ``strict`` a turn must follow the raw protocol, end token included; an invalid turn ends
-    the loop.
+def registered(name: str):
+    """Make a loop known by name, as configurations ask for it."""
+
+    def add(loop: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        LOOPS[name] = loop
+        return loop
+
+    return add
+
+
+def loop_named(name: str) -> Callable[..., DataFrame]:
+    if name not in LOOPS:
+        raise ValueError(f"no loop is called {name}; known: {sorted(LOOPS)}")
+    return LOOPS[name]
+
+
+def as_generation(made: Column, kind: DataType) -> Column:
+    """A text as a generation whose end token is its own text."""
+    if not isinstance(kind, StringType):
+        return made
+    none = lambda t: F.lit(None).cast(t)
+    return F.struct(made.alias("raw"), none("int").alias("input_tokens"), none("int").alias("generated_tokens"), F.endswith(made, F.lit("<|im_end|>")).alias("ended"), F.lit(False).alias("reached_max"), none("string").alias("error"))
+
+
+@registered("search_agent")
+def run_agent(questions: DataFrame, generate: Callable[[Column, int], Column], search: Callable[[DataFrame], DataFrame], system_prompt: str, strict: bool = True, max_turns: int = MAX_TURNS, count_tokens: Callable[[Column], Column] | None = None, max_input_tokens: int = TOTAL) -> DataFrame:
+    """``questions`` (question_id, question) with messages, steps, termination_reason and input_tokens_at_failure.
+
+    ``generate`` maps messages and the turn number to text, or to a GENERATION. ``search`` maps (question_id, query) to
+    (question_id, hits), hits being an array of rank, title, text. With ``strict`` a turn must follow the raw protocol, end token
+    included; an invalid turn ends the loop. With ``count_tokens`` a history beyond ``max_input_tokens`` ends it as input_too_long before
+    the turn, the steps so far kept. A generation with an error ends its own question as runtime_error, not the batch.
     """
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"), F.lit(None).cast("string").alias("reasoning_content"))
     state = questions.select(
@@ -49,25 +70,39 @@ def run_agent(questions: DataFrame, generate: Callable[[Column, int], Column], s
         F.array(message("system", F.lit(system_prompt)), message("user", F.col("question"))).cast(MESSAGES).alias("messages"),
         F.array().cast(f"array<{STEP}>").alias("steps"),
         F.lit(None).cast("string").alias("termination_reason"),
+        F.lit(None).cast("int").alias("input_tokens_at_failure"),
     )
+    finished = []
     for turn in range(1, max_turns + 1):
-        live = state.where("termination_reason IS NULL")
-        raw = live.withColumn("raw", generate(F.col("messages"), turn))
-        parsed = raw.withColumn("p", parse_raw(F.col("raw"), F.endswith("raw", F.lit("<|im_end|>"))) if strict else parse_action(F.col("raw")))
-        parsed = cut(parsed)  # the model runs once a turn
-        asked = parsed.where("p.type = 'search'").select("question_id", F.col("p.content").alias("query"))
+        if count_tokens is not None:
+            state = state.withColumn("input_tokens", count_tokens(F.col("messages")).cast("int"))
+            long = F.col("input_tokens") > max_input_tokens
+            state = cut(state, "history")
+            finished.append(state.where(long).withColumns({"termination_reason": F.lit("input_too_long"), "input_tokens_at_failure": F.col("input_tokens")}).drop("input_tokens"))
+            state = state.where(~long).drop("input_tokens")
+        made = state.withColumn("made", generate(F.col("messages"), turn))
+        made = made.withColumn("g", as_generation(F.col("made"), made.schema["made"].dataType).cast(GENERATION)).drop("made")
+        parsed = cut(made, "generated")  # the model runs once a turn
+        parsed = parsed.withColumn("p", parse_raw(F.col("g.raw"), F.col("g.ended")) if strict else parse_action(F.col("g.raw")))
+        kind = F.when(F.col("g.error").isNotNull(), "error").otherwise(F.col("p.type"))
+        parsed = parsed.withColumn("kind", kind)
+        asked = parsed.where("kind = 'search'").select("question_id", F.col("p.content").alias("query"))
         seen = parsed.join(search(asked), "question_id", "left")
-        looked = F.when(F.col("p.type") == "search", observation(F.coalesce("hits", F.array().cast("array<struct<rank:int,title:string,text:string>>")))).otherwise("")
+        looked = F.when(F.col("kind") == "search", observation(F.coalesce("hits", F.array().cast("array<struct<rank:int,title:string,text:string>>")))).otherwise("")
         seen = seen.withColumn("observation", looked)
-        said = F.when(F.col("p.type") == "invalid", F.array().cast(MESSAGES)).otherwise(F.array(assistant_message(F.col("p")) if strict else message("assistant", F.col("raw"))).cast(MESSAGES))
-        told = F.when(F.col("p.type") == "search", F.array(message("user", strip(F.col("observation")))).cast(MESSAGES)).otherwise(F.array().cast(MESSAGES))
-        step = F.struct(F.col("raw").alias("model_output"), F.col("p.type").alias("type"), F.col("p.content").alias("content"), "observation")
-        reason = F.when(F.col("p.type") == "answer", "answer").when(F.col("p.type") == "invalid", "invalid_action").when(F.lit(turn == max_turns), "max_turns")
-        moved = seen.select("question_id", "question", F.concat("messages", said, told).alias("messages"), F.concat("steps", F.array(step.cast(STEP))).alias("steps"), reason.alias("termination_reason"))
-        state = cut(state.where("termination_reason IS NOT NULL").unionByName(moved))
-        if state.where("termination_reason IS NULL").isEmpty():
+        spoken = F.col("kind").isin("search", "answer")
+        said = F.when(spoken, F.array(assistant_message(F.col("p")) if strict else message("assistant", F.col("g.raw"))).cast(MESSAGES)).otherwise(F.array().cast(MESSAGES))
+        told = F.when(F.col("kind") == "search", F.array(message("user", strip(F.col("observation")))).cast(MESSAGES)).otherwise(F.array().cast(MESSAGES))
+        flags = {"valid_action": F.col("p.valid_action"), "strict_valid": F.col("p.strict_valid")} if strict else {"valid_action": F.col("kind") != "invalid", "strict_valid": F.lit(None).cast("boolean")}
+        step = F.struct(F.col("g.raw").alias("model_output"), F.col("p.type").alias("type"), F.col("p.content").alias("content"), F.col("observation"), F.col("g.input_tokens"), F.col("g.generated_tokens"), F.col("g.ended").alias("ended_with_im_end"), F.col("g.reached_max"), *[c.alias(n) for n, c in flags.items()])
+        reason = F.when(F.col("kind") == "answer", "answer").when(F.col("kind") == "invalid", "invalid_action").when(F.col("kind") == "error", "runtime_error").when(F.lit(turn == max_turns), "max_turns")
+        steps = F.when(F.col("kind") == "error", F.col("steps")).otherwise(F.concat("steps", F.array(step.cast(STEP))))
+        moved = cut(seen.select("question_id", "question", F.concat("messages", said, told).alias("messages"), steps.alias("steps"), reason.alias("termination_reason"), "input_tokens_at_failure"), "turn")
+        finished.append(moved.where("termination_reason IS NOT NULL"))
+        state = moved.where("termination_reason IS NULL")
+        if state.isEmpty():
             break
-    return state
+    return reduce(DataFrame.unionByName, finished) if finished else state.limit(0)
 
 
 def remaining(initial: Column, now: Column) -> Column:
@@ -82,29 +117,57 @@ def next_budget(initial: Column, now: Column) -> Column:
     return F.struct(status.alias("status"), F.when(status == "ok", F.least(F.lit(NEW), left)).otherwise(0).alias("max_new_tokens"))
 
 
-def budgeted(turns: Column, prompt_tokens: Column, response: int = RESPONSE, total: int = TOTAL) -> Column:
-    """A fold over turns (kind, tokens, observation_tokens, ended) under both budgets.
+TURN = "struct<kind:string,tokens:int,observation_tokens:int,ended:boolean,log_probs:array<double>>"
 
-    Gives struct(mask, n, searches, reason): the mask has 1 for model tokens and 0 for observations; an observation that doesn't fit
-    as a whole is left out and ends the rollout with length_limit; an invalid turn is length_limit only if the budget is used up and
-    the end token is missing.
+
+def budgeted(turns: Column, prompt_tokens: Column, response: int = RESPONSE, total: int = TOTAL, prompt: int = PROMPT, max_turns: int = MAX_TURNS) -> Column:
+    """A fold over turns (TURN) under both budgets and the limit of turns.
+
+    Gives struct(mask, log_probs, n, turns, searches, strict_valid, reason): the mask has 1 for model tokens and 0 for observations, whose
+    log-probabilities are 0. An observation that doesn't fit as a whole is left out and ends the rollout with length_limit; an invalid
+    turn is length_limit only if the budget is used up and the end token is missing. Errors: a prompt beyond its budget, a turn of more
+    tokens than were asked for, a turn whose log-probabilities don't match its tokens.
     """
-    ints = lambda v, n: F.array_repeat(F.lit(v), n)
-    start = F.struct(F.array().cast("array<int>").alias("mask"), F.lit(0).alias("searches"), F.lit(None).cast("string").alias("reason"))
+    kind = "struct<mask:array<int>,log_probs:array<double>,turns:int,searches:int,strict_valid:boolean,reason:string>"
+    start = F.struct(F.array().cast("array<int>").alias("mask"), F.array().cast("array<double>").alias("log_probs"), F.lit(0).alias("turns"), F.lit(0).alias("searches"), F.lit(True).alias("strict_valid"), F.lit(None).cast("string").alias("reason"))
+    fail = lambda text: F.raise_error(F.lit(text)).cast(kind)
 
     def step(s: Column, t: Column) -> Column:
         used = F.size(s["mask"])
         left = F.least(F.lit(response) - used, F.lit(total) - prompt_tokens - used)
-        made = F.least(t["tokens"], left, F.lit(NEW))
-        mask = F.concat(s["mask"], ints(1, F.greatest(made, F.lit(0))))
+        asked = F.least(F.lit(NEW), left)
+        zeros = F.array_repeat(F.lit(0), t["observation_tokens"])
+        mask = F.concat(s["mask"], F.array_repeat(F.lit(1), t["tokens"]))
+        probs = F.concat(s["log_probs"], F.coalesce(t["log_probs"], F.array_repeat(F.lit(0.0), t["tokens"])))
         full = (F.size(mask) >= response) | (prompt_tokens + F.size(mask) >= total)
-        both = F.concat(mask, ints(0, t["observation_tokens"]))
-        over = (F.size(both) > response) | (prompt_tokens + F.size(both) > total)
+        after = F.size(mask) + t["observation_tokens"]
+        over = (after > response) | (prompt_tokens + after > total)
         search = t["kind"] == "search"
-        reason = F.when(left <= 0, "length_limit").when(t["kind"] == "answer", "answer").when(t["kind"] == "invalid", F.when(full & ~t["ended"], "length_limit").otherwise("invalid_action")).when(search & over, "length_limit")
-        done = s["reason"].isNotNull()
-        out = F.when(left <= 0, s["mask"]).when(search & ~over, both).otherwise(mask)
-        return F.struct(F.when(done, s["mask"]).otherwise(out).alias("mask"), (s["searches"] + F.when(~done & (left > 0) & search, 1).otherwise(0)).alias("searches"), F.coalesce(s["reason"], reason).alias("reason"))
-
-    finish = lambda s: F.struct(s["mask"].alias("mask"), F.size(s["mask"]).alias("n"), s["searches"].alias("searches"), F.coalesce(s["reason"], F.lit("max_turns")).alias("reason"))
-    return F.aggregate(turns, start, step, finish)
+        reason = F.when(t["kind"] == "answer", "answer").when(t["kind"] == "invalid", F.when(full & ~t["ended"], "length_limit").otherwise("invalid_action")).when(search & over, "length_limit")
+        seen = search & ~over
+        moved = F.struct(
+            F.when(seen, F.concat(mask, zeros)).otherwise(mask).alias("mask"),
+            F.when(seen, F.concat(probs, zeros.cast("array<double>"))).otherwise(probs).alias("log_probs"),
+            (s["turns"] + 1).alias("turns"),
+            (s["searches"] + search.cast("int")).alias("searches"),
+            (s["strict_valid"] & (t["kind"] != "invalid")).alias("strict_valid"),
+            reason.alias("reason"),
+        )
+        stopped = F.struct(s["mask"].alias("mask"), s["log_probs"].alias("log_probs"), s["turns"].alias("turns"), s["searches"].alias("searches"), s["strict_valid"].alias("strict_valid"), F.lit("length_limit").alias("reason"))
+        return (
+            F.when(s["reason"].isNotNull() | (s["turns"] >= max_turns), s)
+            .when(left <= 0, stopped)
+            .when(t["tokens"] > asked, fail("a turn has more tokens than were asked for"))
+            .when(t["log_probs"].isNotNull() & (F.size(t["log_probs"]) != t["tokens"]), fail("log-probabilities and tokens differ in number"))
+            .otherwise(moved)
+            .cast(kind)
+        )
+
+    def finish(s: Column) -> Column:
+        used_up = (F.size(s["mask"]) >= response) | (prompt_tokens + F.size(s["mask"]) >= total)
+        reason = F.coalesce(s["reason"], F.when((s["turns"] < max_turns) & used_up, "length_limit"), F.lit("max_turns"))
+        return F.struct(s["mask"].alias("mask"), s["log_probs"].alias("log_probs"), F.size(s["mask"]).alias("n"), s["turns"].alias("turns"), s["searches"].alias("searches"), s["strict_valid"].alias("strict_valid"), reason.alias("reason"))
+
+    out = "struct<mask:array<int>,log_probs:array<double>,n:int,turns:int,searches:int,strict_valid:boolean,reason:string>"
+    long = F.raise_error(F.concat(F.lit("the prompt is beyond its budget: "), prompt_tokens.cast("string"))).cast(out)
+    return F.when(prompt_tokens > min(prompt, total), long).otherwise(F.aggregate(turns, start.cast(kind), step, finish))

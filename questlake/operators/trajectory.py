@@ -32,6 +32,7 @@ def render(events: Column, question: Column, system_prompt: str) -> Column:
         kind, content = e["type"], e["content"]
         act, think, info = kind.isin("search", "answer"), kind == "think", kind == "information"
         busy = s["waiting"] | s["answered"]
+        # The renderer's messages.
         error = F.coalesce(
             s["error"],
             F.when(think & (s["thought"].isNotNull() | busy), F.lit("think is out of order"))
@@ -61,7 +62,8 @@ def render(events: Column, question: Column, system_prompt: str) -> Column:
 def extract_events(turns: Column, steps: Column) -> Column:
     """Events of model turns (content, reasoning_content) and their steps (type, content, observation): think, action, information.
 
-    The last think element counts where the reasoning is blank; invalid actions are left out, their thoughts kept.
+    The last think element counts where the reasoning is blank; invalid actions are left out, their thoughts kept. Turns and steps of
+    different number are an error, and so is an observation without its tags.
     """
     event = "array<struct<type:string,content:string>>"
 
@@ -72,10 +74,11 @@ def extract_events(turns: Column, steps: Column) -> Column:
         pair = lambda kind, c: F.struct(kind.alias("type"), c.alias("content"))
         think = F.when(F.coalesce(strip(thought), F.lit("")) != "", F.array(pair(F.lit("think"), strip(thought)))).otherwise(F.array().cast(event))
         act = F.when(s["type"] != "invalid", F.array(pair(s["type"], s["content"]))).otherwise(F.array().cast(event))
-        info = F.when(s["type"] == "search", F.array(pair(F.lit("information"), unwrapped_observation(s["observation"])))).otherwise(F.array().cast(event))
+        info = F.when(s["type"] == "search", F.array(pair(F.lit("information"), unwrapped_observation(s["observation"], strict=True)))).otherwise(F.array().cast(event))
         return F.concat(think, act, info)
 
-    return F.flatten(F.transform(F.arrays_zip(turns.alias("turns"), steps.alias("steps")), of))
+    events = F.flatten(F.transform(F.arrays_zip(turns.alias("turns"), steps.alias("steps")), of))
+    return F.when(F.size(turns) == F.size(steps), events).otherwise(F.raise_error(F.lit("turns and steps differ in number")).cast(event))
 
 
 def consistent(events: Column, searches: Column) -> Column:
