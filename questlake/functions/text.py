@@ -40,6 +40,16 @@ def nfkc_casefold(c) -> Column:
     return F.pandas_udf(_fold, "string")(_col(c))
 
 
+def casefold(c) -> Column:
+    """Full case folding in the JVM: upper case expands what has no single lower case, and lower case folds the rest.
+
+    The translations keep what upper case would merge (dotless i, put aside as a code point that is no character), fold what it leaves
+    alone, and stop the optimizer from dropping the inner conversion.
+    """
+    up = F.upper(F.translate(_col(c), "ıẞϴ", "\uffffßθ"))
+    return F.translate(F.lower(F.translate(up, "\uffff", "\uffff")), "ς\uffff", "σı")
+
+
 def normalize_question(c) -> Column:
     """The key under which questions count as the same."""
     return normalize_whitespace(nfkc_casefold(_col(c)))
@@ -48,7 +58,7 @@ def normalize_question(c) -> Column:
 def normalize_answer(c) -> Column:
     """Lower case, no ASCII punctuation, no English articles, single spaces."""
     lowered = F.translate(F.lower(_col(c)), PUNCTUATION, "")
-    return normalize_whitespace(F.regexp_replace(lowered, r"\b(a|an|the)\b", " "))
+    return normalize_whitespace(F.regexp_replace(lowered, r"(?U)\b(a|an|the)\b", " "))
 
 
 def answer_tokens(c) -> Column:
@@ -83,10 +93,11 @@ def observation(hits: Column, most: int | None = None) -> Column:
     return F.concat(F.lit("\n\n<information>"), F.array_join(shown, "\n\n"), F.lit("</information>\n\n"))
 
 
-def unwrapped_observation(c) -> Column:
-    """The text inside one pair of information tags; null for anything else."""
+def unwrapped_observation(c, strict: bool = False) -> Column:
+    """The text inside one pair of information tags; null, or with ``strict`` an error, for anything else."""
     pattern = f"(?s)\\A{WS}*<information>(.*?)</information>{WS}*\\z"
-    return F.when(_col(c).rlike(pattern), F.regexp_extract(_col(c), pattern, 1))
+    found = F.when(_col(c).rlike(pattern), F.regexp_extract(_col(c), pattern, 1))
+    return F.coalesce(found, F.raise_error(F.lit("an observation isn't in information tags")).cast("string")) if strict else found
 
 
 def last_think(c) -> Column:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questlake.functions.text import nfkc_casefold, normalize_whitespace
+from questlake.functions.text import casefold, normalize_whitespace
+from questlake.operators.guards import checked
 
 # Ids that are left out of the multi-hop source.
 EXCLUDED = ["train_27806", "train_77497", "train_11353", "train_3027", "train_37183", "train_57311", "train_76227", "train_18953", "train_63809", "train_83381", "train_54069", "train_67184"]
 
 
 def clean_list(items: Column) -> Column:
-    """White space normalised, blanks out, the first spelling of each case-insensitive value kept in order."""
+    """White space normalised, blanks out (``row_error`` reports them), the first spelling of each value that is the same by case folding
+    kept in order."""
     tidy = F.filter(F.transform(items, normalize_whitespace), lambda x: x != "")
-    keys = F.transform(tidy, F.lower)
+    keys = F.transform(tidy, casefold)
     return F.filter(tidy, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
 
 
@@ -31,9 +33,31 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"columns are missing: {missing}")
 
 
+def _has_blank(items: Column) -> Column:
+    return F.exists(items, lambda x: F.coalesce(normalize_whitespace(x), F.lit("")) == "")
+
+
+def metadata_error(metadata: Column) -> Column:
+    """What is wrong with the multi-hop metadata (type, level, supporting_facts.title), or null."""
+    blank = lambda c: F.coalesce(normalize_whitespace(c), F.lit("")) == ""
+    titles = metadata["supporting_facts"]["title"]
+    return (
+        F.when(metadata.isNull(), "no metadata")
+        .when(blank(metadata["type"]), "blank type")
+        .when(blank(metadata["level"]), "blank level")
+        .when(titles.isNull() | (F.size(titles) == 0), "no titles")
+        .when(_has_blank(titles), "blank titles")
+    )
+
+
+def multi_hop_metadata(metadata: Column) -> dict[str, Column]:
+    """The canonical fields of the multi-hop source: type, level and supporting titles, cleaned."""
+    return {"type": normalize_whitespace(metadata["type"]), "level": normalize_whitespace(metadata["level"]), "supporting_titles": clean_list(metadata["supporting_facts"]["title"])}
+
+
 def row_error(question: Column, answers: Column) -> Column:
     """What is wrong with a raw row, or null."""
-    return F.when(F.coalesce(normalize_whitespace(question), F.lit("")) == "", "blank question").when(answers.isNull() | (F.size(answers) == 0), "no answers").when(F.size(clean_list(answers)) == 0, "blank answers")
+    return F.when(F.coalesce(normalize_whitespace(question), F.lit("")) == "", "blank question").when(answers.isNull() | (F.size(answers) == 0), "no answers").when(_has_blank(answers), "blank answers")
 
 
 def quarantine(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
@@ -42,9 +66,9 @@ def quarantine(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL")
 
 
-def strictly(df: DataFrame, error: Column, column: str) -> DataFrame:
+def strictly(df: DataFrame, error: Column) -> DataFrame:
     """The rows, or an error when a bad one is read."""
-    return df.withColumn(column, F.when(error.isNull(), F.col(column)).otherwise(F.raise_error(error).cast(df.schema[column].dataType)))
+    return checked(df, error.isNull(), error)
 
 
 def canonical(df: DataFrame, source: str, id_col: str, split: str, extra: dict[str, Column] | None = None, normalize_id: bool = False) -> DataFrame:
@@ -68,11 +92,6 @@ def counters(df: DataFrame, by: str = "source_split") -> DataFrame:
     return df.rollup(by).agg(F.count("*").alias("read"), F.sum(normalized_count(F.col("golden_answers"))).cast("long").alias("normalized"), F.sum(duplicate_count(F.col("golden_answers"))).cast("long").alias("duplicates")).withColumn(by, F.coalesce(by, F.lit("overall")))
 
 
-def casefolded_keys(df: DataFrame, column: str) -> DataFrame:
-    """For lists whose case folding goes beyond lower case: an Arrow pass over the exploded values."""
-    return df.withColumn("key", nfkc_casefold(F.col(column)))
-
-
 def training_prefix(df: DataFrame) -> DataFrame:
     """Only ids of the two sources' training splits."""
     return df.where(((F.col("source") == "nq") & F.startswith(F.col("id"), F.lit("nq_train_"))) | ((F.col("source") == "hotpotqa") & F.startswith(F.col("id"), F.lit("hotpotqa_train_"))))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from questlake.functions.text import observation, split_title, strip
+from questlake.functions.text import observation, split_title, strip, truncated
+from questlake.operators.guards import checked
+from questlake.session import cut
 
 
 def terms(c: Column) -> Column:
@@ -15,20 +17,33 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+#: Documents a part: no task gets more postings of a term.
+PART = 1 << 18
+
+
 @dataclass
 class Index:
-    """postings (doc_id, term, tf, dl), term statistics (term, df) and corpus statistics (n, avgdl; one row)."""
+    """postings (doc_id, term, tf, dl, part), term statistics (term, df) and corpus statistics (n, avgdl, parts; one row)."""
 
     postings: DataFrame
     stats: DataFrame
     corpus: DataFrame
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    words = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col)).alias("w"))
-    sizes = words.select("doc_id", F.size("w").alias("dl"))
-    postings = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> Index:
+    """Texts are read and cut into terms once: postings are written, and the statistics come from them. Ids must be unique.
+
+    Documents are dealt to parts by a hash of the id, so that no task gets all documents of a common term.
+    """
+    words = docs.select(F.col(id_col).alias("doc_id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    sized = words.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
+    found = cut(sized.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+    sizes = found.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+    corpus = cut(sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int")), "corpus")
+    known = found.where("term IS NOT NULL")
+    stats = cut(known.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    parts = corpus.first().parts
+    return Index(known.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), stats, corpus)
 
 
 def save_index(index: Index, path: str) -> None:
@@ -36,21 +51,28 @@ def save_index(index: Index, path: str) -> None:
         getattr(index, name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
-def open_index(spark, path: str) -> Index:
+def open_index(spark: SparkSession, path: str) -> Index:
+    """A saved index; a part that is missing is an error now, not when the index is searched."""
+    for name in ("postings", "stats", "corpus"):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            raise FileNotFoundError(f"{path}/{name}")
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "stats", "corpus")))
 
 
 def search(index: Index, queries: DataFrame, k: int = 3, query_id: str = "item_id", text_col: str = "text", k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(query id, rank, doc_id, score) of the ``k`` best documents of each query; ties go to the smaller id.
+    """(query id, rank, doc_id, score) of the ``k`` best documents of each query; ties go to the smaller id. A blank query is an error.
 
-    Postings are cut to the queries' terms before anything is scored; which join does so follows the sizes.
+    Postings meet the queries' terms by term and part of the documents, and keep only the best ``k`` of a query and part before the
+    last ranking; which join is used follows the sizes.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    asked = queries.select(query_id, F.explode(terms(F.col(text_col))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
+    asked = require_queries(queries, text_col).select(query_id, F.explode(terms(F.col(text_col))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(index.stats, "term").join(index.corpus, F.lit(True)).select(query_id, "term", (F.col("qf") * idf).alias("w"), "avgdl")
-    hits = index.postings.join(weights, "term")
+    weights = asked.join(index.stats, "term").join(F.broadcast(index.corpus), F.lit(True))  # one row
+    weights = weights.select(query_id, "term", (F.col("qf") * idf).alias("w"), "avgdl", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    hits = index.postings.join(weights, ["term", "part"])
     part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(query_id, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), "doc_id")
@@ -70,5 +92,31 @@ def observations(passages: DataFrame, query_id: str = "item_id", most: int | Non
 
 def require_queries(queries: DataFrame, text_col: str = "text") -> DataFrame:
     """The queries, or an error for a blank one when it is read."""
-    ok = F.coalesce(strip(F.col(text_col)), F.lit("")) != ""
-    return queries.withColumn(text_col, F.when(ok, F.col(text_col)).otherwise(F.raise_error(F.lit("a query is blank"))))
+    return checked(queries, F.coalesce(strip(F.col(text_col)), F.lit("")) != "", "a query is blank")
+
+
+def passages_of(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Only the passages that are hits: what is joined to them afterwards doesn't grow with the corpus."""
+    return docs.join(hits.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, text) of a corpus of JSON lines (id, contents); bad lines, missing fields and an empty corpus are errors."""
+    df = spark.read.schema("id string, contents string").option("mode", "FAILFAST").json(path)
+    if df.isEmpty():
+        raise ValueError("the corpus is empty")
+    good = checked(df, F.col("id").isNotNull() & F.col("contents").isNotNull(), "a passage lacks its id or contents")
+    return good.select(F.col("id").alias("doc_id"), F.col("contents").alias("text"))
+
+
+def search_tool(index: Index, docs: DataFrame, k: int = 3, most: int | None = None):
+    """A function from queries (question_id, query) to (question_id, hits) for the agent loop; texts cut to ``most`` characters if set."""
+    if most is not None and most < 1:
+        raise ValueError("most must be at least 1")
+
+    def find(queries: DataFrame) -> DataFrame:
+        hits = cut(search(index, queries, k, "question_id", "query"), "hits")
+        rows = with_passages(hits, passages_of(docs, hits)).withColumn("text", truncated("text", most))
+        return rows.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "text"))).alias("hits"))
+
+    return find

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from questlake.operators.isolation import require_empty
+
 
 def seeded(seed: int, id_col: str) -> list[Column]:
     """A reproducible pseudo-random order: MD5 of seed and id, then the id."""
@@ -17,6 +19,31 @@ def ranked(df: DataFrame, by: str, *order: Column, name: str = "rank") -> DataFr
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
+def quota_sample(df: DataFrame, by: str, id_col: str, total: int, seed: int = 123) -> DataFrame:
+    """Rows of each group up to its share of ``total``, in seeded order. No share exceeds the total, so a group's task keeps no more."""
+    r = ranked(df, by, *seeded(seed, id_col)).where(F.col("rank") <= total)
+    shares = quotas(df, by, total).select(by, "quota")
+    return r.join(F.broadcast(shares), by).where("rank <= quota").drop("rank", "quota")  # a row a group
+
+
+def taken(df: DataFrame, by: str, quota: int, *order: Column) -> DataFrame:
+    """The first ``quota`` rows of each group; a group that has fewer is an error, at once."""
+    short = df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") < quota)
+    require_empty(short, f"fewer than {quota} rows")
+    return ranked(df, by, *order).where(F.col("rank") <= quota)
+
+
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """A total order, by ordinal or uid, for sinks whose readers rely on it."""
+    return df.orderBy(*columns)
+
+
+def train_validation(df: DataFrame, train: int, validation: int, id_col: str = "id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The first rows of two tables' seeded orders, as trainers load them: ``split`` tells the tables apart."""
+    part = lambda name, n: df.where(F.col("split") == name).orderBy(*seeded(seed, id_col)).limit(n)
+    return part("train", train), part("validation", validation)
+
+
 def split_by_source(df: DataFrame, by: str, id_col: str, train: int, validation: int, seed: int = 123) -> DataFrame:
     """``split``: the first ``train`` of each source in seeded order are train, the next ``validation`` are validation."""
     r = ranked(df, by, *seeded(seed, id_col)).where(F.col("rank") <= train + validation)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +56,17 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def open_output(spark: SparkSession, path: str, resume: bool) -> None:
+    """A folder for ``append``: a run that doesn't resume needs an empty one, a run that does needs one that is there."""
+    fs, p = _hadoop(spark, path)
+    there = fs.exists(p)
+    if resume and not there:
+        raise FileNotFoundError(path)
+    if not resume and there and fs.listStatus(p):
+        raise FileExistsError(f"{path} isn't empty")
+    fs.mkdirs(p)
+
+
 def read_ids(spark: SparkSession, path: str, name: str = "uid") -> DataFrame:
     """An id a line; repeated ids are errors."""
     ids = spark.read.text(path).select(F.trim("value").alias(name)).where(F.col(name) != "")
@@ -69,7 +79,19 @@ def write_ids(df: DataFrame, path: str, name: str = "uid") -> None:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of a file or of the files in a folder. Files are read as streams, whatever their size."""
+    fs, p = _hadoop(spark, path)
+    jvm, rows = spark.sparkContext._jvm, []
+    for status in sorted(fs.globStatus(p) or [], key=lambda s: s.getPath().toString()):
+        files = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        for f in files:
+            if f.isFile():
+                stream = fs.open(f.getPath())
+                try:
+                    rows.append((f.getPath().toString(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+                finally:
+                    stream.close()
+    return spark.createDataFrame(sorted(rows), "path string, sha256 string")
 
 
 def table_digest(df: DataFrame) -> DataFrame:
@@ -77,12 +99,31 @@ def table_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")).alias("digest"))
 
 
-def write_report(rows: DataFrame, path: str, title: str) -> None:
-    """A small result as JSON and Markdown beside each other."""
-    got = [r.asDict(recursive=True) for r in rows.collect()]
-    target = Path(path)
-    target.mkdir(parents=True, exist_ok=True)
-    (target / "report.json").write_text(json.dumps(got, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
+#: Rows that a report may have.
+REPORT_ROWS = 10_000
+
+
+def write_report(rows: DataFrame, path: str, title: str, most: int = REPORT_ROWS) -> None:
+    """A small result as JSON and Markdown beside each other, in any store that Spark writes; more than ``most`` rows are an error."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    got = [r.asDict(recursive=True) for r in found]
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
     body = "\n".join("| " + " | ".join(str(r[c]) for c in rows.columns) + " |" for r in got)
-    (target / "report.md").write_text(f"# {title}\n\n{head}\n{body}\n", encoding="utf-8")
+    _write_text(rows.sparkSession, f"{path}/report.json", json.dumps(got, indent=2, ensure_ascii=False, default=str))
+    _write_text(rows.sparkSession, f"{path}/report.md", f"# {title}\n\n{head}\n{body}\n")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _hadoop(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
