@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from questlake.functions import scoring
 from questlake.functions import text as tx
 from questlake.operators import isolation, metrics, protocol, qa, resume, retrieval, rollout, sampling, trajectory
-from questlake.session import importable
+from questlake.session import cut, importable, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,15 +101,25 @@ def leakage_semi_report(spark, sf_dir):
     return isolation.leaks(rest, protected, "qkey").select("doc_id")
 
 
-@query(f"""
-    WITH k AS ({KEYED}), p AS (SELECT * FROM k WHERE doc_id % 10 = 0), o AS (
-        SELECT doc_id, qkey, CASE WHEN doc_id % 10 = 0 THEN 'protected_id' WHEN qkey IN (SELECT qkey FROM p) THEN 'protected_question' END AS r FROM k
+@query("""
+    WITH RECURSIVE d AS (SELECT doc_id, doc_id * 7 % 700 AS id, n_chars % 400 AS k, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+    p AS (SELECT * FROM d WHERE doc_id % 50 = 0),
+    m AS (SELECT *, CASE WHEN id IN (SELECT id FROM p) THEN 'protected_id' WHEN k IN (SELECT k FROM p) THEN 'protected_question' END AS outside FROM d),
+    walk AS (
+        SELECT 0::BIGINT AS r, NULL::BIGINT AS doc_id, NULL::VARCHAR AS reason, []::BIGINT[] AS ids, []::BIGINT[] AS ks
+        UNION ALL
+        SELECT r, doc_id, reason, CASE WHEN reason IS NULL THEN list_append(ids, id) ELSE ids END, CASE WHEN reason IS NULL THEN list_append(ks, k) ELSE ks END
+        FROM (
+            SELECT m.r, m.doc_id, m.id, m.k, w.ids, w.ks, coalesce(m.outside, CASE WHEN list_contains(w.ids, m.id) THEN 'duplicate_id' WHEN list_contains(w.ks, m.k) THEN 'duplicate_question' END) AS reason
+            FROM walk w JOIN m ON m.r = w.r + 1
+        )
     )
-    SELECT doc_id, coalesce(r, CASE WHEN row_number() OVER (PARTITION BY qkey, r IS NULL ORDER BY doc_id) > 1 THEN 'duplicate_question' END) AS reason FROM o
+    SELECT doc_id, reason FROM walk WHERE r > 0
 """)
 def skip_reason_isolation(spark, sf_dir):
-    k = keyed(spark, sf_dir).select("doc_id", "qkey")
-    return isolation.skip_reasons(k, k.where(F.col("doc_id") % 10 == 0), "doc_id", "qkey", [F.col("doc_id")]).select("doc_id", "reason")
+    """Ids and keys both repeat, so which row counts as used depends on the rows before it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 700).alias("id"), (F.col("n_chars") % 400).alias("k"))
+    return isolation.skip_reasons(d, d.where("doc_id % 50 = 0"), "id", "k", [F.col("doc_id")]).select("doc_id", "reason")
 
 
 @query(f"WITH {SIDES} SELECT sha256(qkey) AS qkey_sha256 FROM (SELECT qkey FROM c INTERSECT SELECT qkey FROM p)")
@@ -117,9 +127,10 @@ def overlap_keys(spark, sf_dir):
     return isolation.overlap(*_sides(spark, sf_dir), "qkey").select(F.sha2("qkey", 256).alias("qkey_sha256"))
 
 
-@query("SELECT qkey, n FROM (SELECT lower(trim(lang)) AS qkey, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
+@query("SELECT uid, n FROM (SELECT 'nq_' || (doc_id % 900) AS uid, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
 def duplicate_ids(spark, sf_dir):
-    return isolation.duplicates(table(spark, sf_dir, "documents").select(F.lower(F.trim("lang")).alias("qkey")), "qkey").withColumnRenamed("count", "n")
+    uid = F.concat(F.lit("nq_"), (F.col("doc_id") % 900).cast("string"))
+    return isolation.duplicates(table(spark, sf_dir, "documents").select(uid.alias("uid")), "uid").withColumnRenamed("count", "n")
 
 
 # 2 sampling
@@ -161,9 +172,7 @@ def largest_remainder_quota(spark, sf_dir):
     JOIN quota USING (lang) WHERE r <= quota
 """)
 def quota_sample(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    r = sampling.ranked(docs, "lang", *sampling.seeded(123, "doc_id"))
-    return r.join(sampling.quotas(docs, "lang", 150), "lang").where("rank <= quota").select("doc_id", "lang")
+    return sampling.quota_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 150)
 
 
 @query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 50")
@@ -193,6 +202,14 @@ def _hits(spark, sf_dir):
     return retrieval.search(retrieval.build_index(docs), table(spark, sf_dir, "benchmark")), docs
 
 
+@query(f"WITH {BM25} SELECT item_id, rank, doc_id, round(score, 4) AS score FROM top")
+def bm25_reopened(spark, sf_dir):
+    """The same search over an index that was saved and opened again."""
+    path = scratch_path(spark, "saved-index")
+    retrieval.save_index(retrieval.build_index(table(spark, sf_dir, "documents")), path)
+    return retrieval.search(retrieval.open_index(spark, path), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 4))
+
+
 @query(f"WITH {BM25} SELECT item_id, rank, doc_id, round(score, 4) AS score FROM top")
 def bm25_top3(spark, sf_dir):
     hits, _ = _hits(spark, sf_dir)
@@ -210,7 +227,8 @@ BODY = r"regexp_replace(CASE WHEN instr(text, chr(10)) > 0 THEN substring(text,
 """)
 def format_observation(spark, sf_dir):
     hits, docs = _hits(spark, sf_dir)
-    return retrieval.observations(retrieval.with_passages(hits, docs))
+    hits = cut(hits, "hits")
+    return retrieval.observations(retrieval.with_passages(hits, retrieval.passages_of(docs, hits)))
 
 
 @query(f"SELECT doc_id, {TITLE} AS title, sha256({BODY}) AS body_sha256 FROM documents")
@@ -239,11 +257,10 @@ RAW = [
 
 def _raw(spark, sf_dir):
     forms = F.array(*[F.lit(x) for x in RAW])
-    word = F.substring_index(F.substring("text", 1, 40), " ", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.replace(F.element_at(forms, (F.col("doc_id") % len(RAW) + 1).cast("int")), F.lit("W"), word).alias("raw"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace(F.element_at(forms, (F.col("doc_id") % len(RAW) + 1).cast("int")), F.lit("W"), F.col("text")).alias("raw"))
 
 
-RAW_SQL = "r AS (SELECT doc_id, replace(CASE doc_id % {n} {cases} END, 'W', split_part(substring(text, 1, 40), ' ', 1)) AS raw FROM documents)".format(n=len(RAW), cases=" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(RAW)))
+RAW_SQL = "r AS (SELECT doc_id, replace(CASE doc_id % {n} {cases} END, 'W', text) AS raw FROM documents)".format(n=len(RAW), cases=" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(RAW)))
 ACT_SQL = r"""
     m AS (SELECT *, regexp_extract_all(raw, '(?s)<search>.*?</search>|<answer>.*?</answer>') AS ms FROM r),
     n AS (SELECT *, trim(regexp_extract(ms[1], '(?s)^<(?:search|answer)>(.*)</(?:search|answer)>$', 1), ' ' || chr(9) || chr(10)) AS body, regexp_extract(ms[1], '^<(search|answer)>', 1) AS kind,
@@ -304,10 +321,22 @@ def trajectory_search_count(spark, sf_dir):
     return _events(spark, sf_dir).select("conv_id", n.alias("search_count"), trajectory.consistent(F.col("events"), n).alias("consistent"))
 
 
-@query()
+@query("""
+    WITH v AS (SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM conversations),
+    w AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM v WHERE role = 'assistant' OR (role = 'user' AND turn > 0)),
+    e AS (SELECT conv_id, turn, CASE
+            WHEN role = 'assistant' AND previous = 'assistant' THEN 'think is out of order'
+            WHEN role = 'user' AND (previous IS NULL OR previous = 'user' OR turn > last) THEN 'information lacks preceding search' END AS error,
+        CASE WHEN role = 'user' THEN 'user' || chr(10) || '<information>' || text || '</information>' || chr(10)
+            WHEN turn = last THEN 'assistant' || chr(10) || '<answer>' || text || '</answer>' || chr(10) || 't'
+            ELSE 'assistant' || chr(10) || '<search>' || text || '</search>' || chr(10) || 't' END AS shown FROM w),
+    g AS (SELECT conv_id, arg_min(error, turn) FILTER (error IS NOT NULL) AS error, string_agg(shown, chr(10) ORDER BY turn) AS shown FROM e GROUP BY conv_id)
+    SELECT conv_id, error, CASE WHEN error IS NULL THEN sha256('system' || chr(10) || '""" + PROMPT + """' || chr(10) || chr(10) || 'user' || chr(10) || 'q' || conv_id || chr(10) || chr(10) || shown) END AS messages_sha256 FROM g
+""")
 def render_messages(spark, sf_dir):
     r = trajectory.render(F.col("events"), F.concat(F.lit("q"), F.col("conv_id").cast("string")), PROMPT)
-    return _events(spark, sf_dir).select("conv_id", r.alias("r")).select("conv_id", F.to_json("r.messages").alias("messages"), "r.error")
+    shown = F.transform("r.messages", lambda m: F.concat_ws("\n", m["role"], m["content"], F.coalesce(m["reasoning_content"], F.lit(""))))
+    return _events(spark, sf_dir).select("conv_id", r.alias("r")).select("conv_id", F.sha2(F.array_join(shown, "\n"), 256).alias("messages_sha256"), "r.error")
 
 
 def _depths(spark, sf_dir):
@@ -373,7 +402,8 @@ RESULTS = f"""
 
 def _results(spark, sf_dir):
     """Evaluation results from events."""
-    return spark.sql(RESULTS.replace("FROM events", "FROM {e}"), e=table(spark, sf_dir, "events"))
+    rows = spark.sql(RESULTS.replace("FROM events", "FROM {e}"), e=table(spark, sf_dir, "events"))
+    return rows.withColumn("gold_answers", F.array("prediction"))
 
 
 def _pair(spark, sf_dir):
@@ -488,27 +518,28 @@ def termination_distribution(spark, sf_dir):
 
 
 def _raw_qa(spark, sf_dir):
-    """Documents as raw rows: the first words as question, some spellings of them as answers."""
-    head = F.substring("text", 1, 60)
-    answers = F.array(head, F.lower(head), F.concat(F.lit("  "), head), F.lit("x  y"), F.lit(" "))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit("train_"), F.col("doc_id").cast("string")).alias("id"), head.alias("question"), answers.alias("golden_answers"))
+    """Documents as raw rows: whole texts as questions, some spellings of them as answers."""
+    text = F.col("text")
+    answers = F.array(text, F.upper(text), F.concat(F.lit("  "), text), F.lit("x  y"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit("train_"), F.col("doc_id").cast("string")).alias("id"), text.alias("question"), answers.alias("golden_answers"))
 
 
 CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-HEAD = CLEAN.format("substring(text, 1, 60)")
+TIDY = CLEAN.format("text")
 
 
-@query(f"SELECT 'nq_train_' || doc_id AS uid, 'nq' AS source, {HEAD} AS question, CASE WHEN {HEAD} = '' THEN 'x y' ELSE {HEAD} || '|x y' END AS gold_answers FROM documents")
+@query(f"SELECT 'nq_train_' || doc_id AS uid, 'nq' AS source, {TIDY} AS question, {TIDY} || '|x y' AS gold_answers FROM documents")
 def clean_qa(spark, sf_dir):
-    rows = qa.canonical(_raw_qa(spark, sf_dir), "nq", "id", "train")
+    rows = _raw_qa(spark, sf_dir)
+    rows = qa.canonical(qa.strictly(rows, qa.row_error(F.col("question"), F.col("golden_answers"))), "nq", "id", "train")
     return rows.select("uid", "source", "question", F.array_join("gold_answers", "|").alias("gold_answers"))
 
 
 @query("""
     SELECT coalesce(lang, 'overall') AS source_split, count(*) AS read,
-        sum(CASE WHEN regexp_matches(h, '^\\s|\\s$|[\\t\\n\\r]|\\s\\s') THEN 2 ELSE 0 END + 3)::BIGINT AS normalized, sum(2)::BIGINT AS duplicates
-    FROM (SELECT lang, substring(text, 1, 60) AS h FROM documents) GROUP BY ROLLUP (lang)
-""".replace("\\\\", "\\"))
+        sum(CASE WHEN regexp_matches(text, '^\\s|\\s$|[\\t\\n\\r]|\\s\\s') THEN 2 ELSE 0 END + 2)::BIGINT AS normalized, sum(2)::BIGINT AS duplicates
+    FROM documents GROUP BY ROLLUP (lang)
+""")
 def cleaning_counters(spark, sf_dir):
     return qa.counters(_raw_qa(spark, sf_dir).withColumnRenamed("lang", "source_split"))
 
@@ -518,11 +549,12 @@ def static_exclusion(spark, sf_dir):
     return qa.without_excluded(_raw_qa(spark, sf_dir), "id").select("doc_id")
 
 
-@query("SELECT lang AS data_source, doc_id AS id, 'train' AS split, 2 AS messages, lang AS ground_truth FROM documents")
+@query(f"SELECT lang AS data_source, doc_id AS id, 'train' AS split, 'system: {PROMPT}' AS system, sha256('user: ' || text) AS user_sha256, lang AS ground_truth FROM documents")
 def trainer_records(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source"), F.col("text").alias("question"), F.array("lang").alias("answers"))
     r = qa.trainer_records(rows, "train", PROMPT)
-    return r.select("data_source", "extra_info.id", "extra_info.split", F.size("prompt").alias("messages"), F.array_join("reward_model.ground_truth", "|").alias("ground_truth"))
+    shown = lambda i: F.concat(F.get("prompt", F.lit(i))["role"], F.lit(": "), F.get("prompt", F.lit(i))["content"])
+    return r.select("data_source", "extra_info.id", "extra_info.split", shown(0).alias("system"), F.sha2(shown(1), 256).alias("user_sha256"), F.array_join("reward_model.ground_truth", "|").alias("ground_truth"))
 
 
 @query("SELECT doc_id AS uid FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0")
@@ -531,11 +563,18 @@ def resume_anti_join(spark, sf_dir):
     return resume.remaining(d, d.where("uid % 3 = 0"), d.where("uid % 3 <> 0 AND uid % 5 = 0"))
 
 
-@query("SELECT doc_id AS ordinal FROM documents WHERE doc_id < 100 AND doc_id % 17 = 0")
+@query("""
+    WITH d AS (SELECT doc_id AS ordinal, source, (SELECT count(*) FROM documents) // 2 AS half FROM documents),
+    r AS (SELECT ordinal, CASE WHEN ordinal % 17 = 0 THEN 'changed' ELSE source END AS source FROM d WHERE ordinal < half AND ordinal % 31 <> 5)
+    SELECT d.ordinal, CASE WHEN r.ordinal IS NULL THEN 'missing' ELSE 'different' END AS error
+    FROM d LEFT JOIN r USING (ordinal) WHERE (r.ordinal IS NULL AND d.ordinal < (SELECT count(*) FROM r)) OR r.source <> d.source
+""")
 def prefix_check(spark, sf_dir):
+    """Half of the table as results, with gaps and changed rows."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "lang", "source")
-    done = d.where("ordinal < 100").withColumn("source", F.when(F.col("ordinal") % 17 == 0, "changed").otherwise(F.col("source")))
-    return resume.prefix_mismatches(done, d, ["lang", "source"])
+    half = d.agg(F.expr("count(*) div 2").alias("half"))
+    done = d.join(F.broadcast(half), F.col("ordinal") < F.col("half")).where("ordinal % 31 != 5").drop("half")  # one row
+    return resume.prefix_errors(done.withColumn("source", F.when(F.col("ordinal") % 17 == 0, "changed").otherwise(F.col("source"))), d, ["lang", "source"])
 
 
 @query("SELECT count(*) AS differences FROM documents WHERE doc_id % 100 = 0")
@@ -560,12 +599,14 @@ def budget_model(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", b.alias("b")).select("doc_id", "b.status", F.col("b.max_new_tokens").cast("long").alias("max_new_tokens"))
 
 
-@query()
+@query("""
+    WITH q AS (SELECT item_id AS question_id, trim(translate(text, '<>', '')) AS answer, length(translate(text, '<>', '')) % 3 AS m FROM benchmark)
+    SELECT question_id, 'answer' AS termination_reason, (m + 2)::INTEGER AS turns, (m + 1)::INTEGER AS search_count, true AS done, answer AS final_answer, (4 + 2 * (m + 1) - 1)::INTEGER AS messages FROM q
+""")
 def agent_loop(spark, sf_dir):
     """The whole loop with a deterministic stand-in for the model: search with the question, then answer."""
     docs = table(spark, sf_dir, "documents")
-    built = retrieval.build_index(docs)
-    index = retrieval.Index(*map(rollout.cut, (built.postings, built.stats, built.corpus)))  # every turn reads it
+    index = retrieval.build_index(docs)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
     def generate(messages, turn):
@@ -573,11 +614,6 @@ def agent_loop(spark, sf_dir):
         act = F.when(F.size(messages) > 2 + 2 * (F.length(word) % 3), F.concat(F.lit("<answer>"), word, F.lit("</answer>"))).otherwise(F.concat(F.lit("<search>"), word, F.lit("</search>")))
         return F.concat(F.lit("<think>step"), F.lit(str(turn)), F.lit("</think>"), act, F.lit("<|im_end|>"))
 
-    def find(queries):
-        hits = retrieval.search(index, queries, query_id="question_id", text_col="query")
-        rows = retrieval.with_passages(hits, docs)
-        return rows.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "text"))), lambda h: h).alias("hits"))
-
-    done = rollout.run_agent(asked, generate, find, PROMPT)
+    done = rollout.loop_named("search_agent")(asked, generate, retrieval.search_tool(index, docs), PROMPT)
     cols = trajectory.loop_columns(F.col("steps"))
-    return done.select("question_id", "termination_reason", *[c.alias(n) for n, c in cols.items()])
+    return done.select("question_id", "termination_reason", *[c.alias(n) for n, c in cols.items()], F.size("messages").alias("messages"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import collections
+import hashlib
+import json
 import random
 import re
 import string
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from questlake.functions import scoring
 from questlake.functions import text as tx
-from questlake.operators import isolation, metrics, protocol, qa, resume, rollout, sampling, trajectory
+from questlake.operators import assembly, guards, isolation, metrics, protocol, qa, resume, retrieval, rollout, sampling, trajectory
 from questlake.sources import io
 
 
@@ -61,28 +63,44 @@ def test_answer_scores_match_python(spark):
 
 @pytest.mark.parametrize(
     ("prediction", "golds", "termination", "strict", "want"),
-    [("Paris", ["paris!"], "answer", True, 1.0), ("Paris", ["Rome", "the Paris"], "answer", True, 1.0), ("Paris", ["Rome"], "answer", True, 0.0), ("Paris", ["Paris"], "max_turns", True, 0.0), ("Paris", ["Paris"], "answer", False, 0.0), ("", ["Paris"], "answer", True, 0.0), ("Paris", [], "answer", True, 0.0), (None, ["Paris"], "answer", True, 0.0)],
+    [
+        ("Mount Kenya", ["mount kenya."], "answer", True, 1.0),
+        ("1912", ["1911", "the 1912"], "answer", True, 1.0),
+        ("1912", ["1911"], "answer", True, 0.0),
+        ("1912", ["1912"], "max_turns", True, 0.0),
+        ("1912", ["1912"], "answer", False, 0.0),
+        ("", ["1912"], "answer", True, 0.0),
+        ("1912", [], "answer", True, 0.0),
+        (None, ["1912"], "answer", True, 0.0),
+    ],
 )
 def test_reward(spark, prediction, golds, termination, strict, want):
     df = spark.createDataFrame([(prediction, golds, termination, strict)], "p string, g array<string>, t string, s boolean")
     assert df.select(scoring.reward(F.col("p"), F.col("g"), F.col("t"), F.col("s"))).first()[0] == want
 
 
+def turn(thought="which river", *acts, end="<|im_end|>"):
+    return f"<think>{thought}</think>" + "".join(f"<{k}>{c}</{k}>" for k, c in acts) + end
+
+
+RIVER, NILE = ("search", "longest river"), ("answer", "the Nile")
+
+
 @pytest.mark.parametrize(
     ("raw", "ended", "error", "valid"),
     [
-        ("<think>x</think><search>A</search><|im_end|>", True, None, True),
-        ("<think>x</think>\n\n<answer> A </answer><|im_end|>", True, None, True),
-        ("<think>x</think><search>A</search><|im_end|>", False, "missing_im_end", True),
-        ("<think>x�</think><search>A</search><|im_end|>", True, "decode_error", True),
-        ("<search>A</search><|im_end|>", True, "invalid_think_count", True),
-        ("<think>x</think><search>A</search><information>y</information><|im_end|>", True, "forged_information", False),
-        ("<think>x</think><search>A</search> <|im_end|>", True, "raw_protocol_mismatch", True),
-        ("<think>x</think><search>A</search><answer>B</answer><|im_end|>", True, "raw_protocol_mismatch", False),
-        ("<think> </think><search>A</search><|im_end|>", True, "empty_think", True),
-        ("<think>x</think><search> \n</search><|im_end|>", True, "empty_action", False),
-        ("<think>a</search></think><answer>A</answer><|im_end|>", True, "reserved_tag_in_think", True),
-        ("<think>x</think><search>A</search><search>B</search><|im_end|>", True, "reserved_tag_in_action", False),
+        (turn("which river", RIVER), True, None, True),
+        ("<think>done</think>\n \t<answer>  the Nile\n</answer><|im_end|>", True, None, True),
+        (turn("which river", RIVER), False, "missing_im_end", True),
+        (turn("which \ufffd river", RIVER), True, "decode_error", True),
+        ("<answer>the Nile</answer><|im_end|>", True, "invalid_think_count", True),
+        (turn("which river", RIVER, ("information", "made up")), True, "forged_information", False),
+        (turn("which river", RIVER, end="\n<|im_end|>"), True, "raw_protocol_mismatch", True),
+        (turn("which river", NILE, RIVER), True, "raw_protocol_mismatch", False),
+        (turn("\t", NILE), True, "empty_think", True),
+        (turn("which river", ("answer", "\n \n")), True, "empty_action", False),
+        (turn("no </answer> yet", NILE), True, "reserved_tag_in_think", True),
+        (turn("which river", NILE, NILE), True, "reserved_tag_in_action", False),
     ],
 )
 def test_raw_protocol(spark, raw, ended, error, valid):
@@ -123,19 +141,84 @@ def test_events_come_from_turns_and_steps(spark):
     assert [tuple(x) for x in got] == [("think", "r1"), ("search", "s"), ("information", "i"), ("think", "b")]
 
 
-def budget(spark, turns, prompt=10, response=20, total=100):
-    df = spark.createDataFrame([(turns, prompt)], "t array<struct<kind:string,tokens:int,observation_tokens:int,ended:boolean>>, p int")
-    return df.select(rollout.budgeted(F.col("t"), F.col("p"), response, total).alias("b")).first().b
+def budget(spark, turns, prompt=10, response=20, total=100, **k):
+    rows = [(*t, None) if len(t) == 4 else t for t in turns]
+    df = spark.createDataFrame([(rows, prompt)], f"t array<{rollout.TURN}>, p int")
+    return df.select(rollout.budgeted(F.col("t"), F.col("p"), response, total, **k).alias("b")).first().b
 
 
 def test_budgets(spark):
-    b = budget(spark, [("search", 3, 3, True), ("answer", 3, 0, True)])
-    assert (b.mask, b.reason, b.searches) == ([1, 1, 1, 0, 0, 0, 1, 1, 1], "answer", 1)
-    assert budget(spark, [("search", 5, 16, True), ("answer", 3, 0, True)])[1:] == (5, 1, "length_limit")
-    assert budget(spark, [("invalid", 30, 0, False)])[1:] == (20, 0, "length_limit")
-    assert budget(spark, [("invalid", 5, 0, False)]).reason == "invalid_action"
-    assert budget(spark, [("search", 1, 1, True)] * 2).reason == "max_turns"
-    assert budget(spark, [("answer", 5, 0, True)], prompt=100)[1:] == (0, 0, "length_limit")
+    b = budget(spark, [("search", 2, 4, True), ("search", 1, 2, True), ("answer", 3, 0, True)])
+    assert (b.mask, b.reason, b.searches, b.turns, b.n) == ([1, 1, 0, 0, 0, 0, 1, 0, 0, 1, 1, 1], "answer", 2, 3, 12)
+    b = budget(spark, [("search", 5, 16, True), ("answer", 3, 0, True)])
+    assert (b.n, b.searches, b.reason) == (5, 1, "length_limit")
+    assert budget(spark, [("invalid", 20, 0, False)]).reason == "length_limit"
+    assert budget(spark, [("invalid", 20, 0, True)]).reason == "invalid_action"
+    assert budget(spark, [("invalid", 5, 0, False)]).strict_valid is False
+    b = budget(spark, [("answer", 5, 0, True)], prompt=100)
+    assert (b.n, b.turns, b.reason) == (0, 0, "length_limit")
+    assert budget(spark, [("search", 10, 10, True)]).reason == "length_limit"  # nothing is left for the next turn
+
+
+def test_budgets_stop_after_five_turns(spark):
+    b = budget(spark, [("search", 1, 1, True)] * 7)
+    assert (b.turns, b.searches, b.n, b.reason) == (5, 5, 10, "max_turns")
+
+
+def test_log_probabilities_follow_the_mask(spark):
+    b = budget(spark, [("search", 2, 2, True, [-0.5, -0.25]), ("answer", 1, 0, True, [-1.0])])
+    assert b.log_probs == [-0.5, -0.25, 0.0, 0.0, -1.0] and len(b.log_probs) == len(b.mask)
+    with pytest.raises(Exception, match="log-probabilities"):
+        budget(spark, [("search", 2, 2, True, [-0.5])])
+
+
+def test_budgets_are_errors_when_exceeded(spark):
+    with pytest.raises(Exception, match="more tokens than were asked for"):
+        budget(spark, [("invalid", 30, 0, False)])
+    with pytest.raises(Exception, match="more tokens than were asked for"):
+        budget(spark, [("search", 600, 1, True)], response=6144, total=8192)
+    with pytest.raises(Exception, match="prompt is beyond"):
+        budget(spark, [("answer", 1, 0, True)], prompt=101)
+    with pytest.raises(Exception, match="prompt is beyond"):
+        budget(spark, [("answer", 1, 0, True)], prompt=2049, response=6144, total=8192)
+
+
+def plain_budget(turns, prompt, response, total):
+    mask, searches, n = [], 0, 0
+    for kind, tokens, seen, ended in turns:
+        if n == 5:
+            break
+        if min(response - len(mask), total - prompt - len(mask)) <= 0:
+            return mask, searches, n, "length_limit"
+        n += 1
+        mask += [1] * tokens
+        if kind == "answer":
+            return mask, searches, n, "answer"
+        if kind == "invalid":
+            full = len(mask) >= response or prompt + len(mask) >= total
+            return mask, searches, n, "length_limit" if full and not ended else "invalid_action"
+        searches += 1
+        if len(mask) + seen > response or prompt + len(mask) + seen > total:
+            return mask, searches, n, "length_limit"
+        mask += [0] * seen
+    full = len(mask) >= response or prompt + len(mask) >= total
+    return mask, searches, n, "length_limit" if n < 5 and full else "max_turns"
+
+
+def test_budgets_match_a_plain_loop(spark):
+    rnd, cases = random.Random(3), []
+    while len(cases) < 300:
+        prompt, response, total, turns, used = rnd.randint(1, 30), 40, 60, [], 0
+        for _ in range(rnd.randint(0, 7)):
+            left = min(response - used, total - prompt - used)
+            tokens, seen = rnd.randint(0, max(0, left)), rnd.randint(0, 25)
+            turns.append((rnd.choice(["search"] * 6 + ["answer", "invalid"]), tokens, seen, rnd.random() < 0.5))
+            used += tokens + seen
+        cases.append((turns, prompt))
+    df = spark.createDataFrame([(i, [(*t, None) for t in turns], p) for i, (turns, p) in enumerate(cases)], f"i int, t array<{rollout.TURN}>, p int")
+    got = df.select("i", rollout.budgeted(F.col("t"), F.col("p"), 40, 60).alias("b")).orderBy("i").collect()
+    for r, (turns, prompt) in zip(got, cases):
+        assert (r.b.mask, r.b.searches, r.b.turns, r.b.reason) == plain_budget(turns, prompt, 40, 60)
 
 
 def test_agent_loop_stops_for_each_reason(spark):
@@ -157,8 +240,11 @@ def test_rollout_guards(spark):
     rows = [(1, k, "ok", 1.0) for k in range(4)] + [(2, k, "ok", float(k % 2)) for k in range(4)] + [(3, 0, "error", None)]
     got = {r.question_id: (r.category, r.rewards) for r in metrics.rollout_groups(spark.createDataFrame(rows, schema), 4, spark.createDataFrame([(9,)], "question_id long")).collect()}
     assert got == {1: ("all_one", "[1.0,1.0,1.0,1.0]"), 2: ("mixed", "[0.0,1.0,0.0,1.0]"), 3: ("incomplete", "[]"), 9: ("incomplete", "[]")}
-    with pytest.raises(Exception, match="neither 0 nor 1"):
-        metrics.rollout_groups(spark.createDataFrame([(1, 0, "ok", 0.5)], schema), 4).collect()
+    for columns in (["*"], ["question_id"], ["record_count"]):
+        with pytest.raises(Exception, match="neither 0 nor 1"):
+            metrics.rollout_groups(spark.createDataFrame([(1, 0, "ok", 0.5)], schema), 4).select(*columns).collect()
+        with pytest.raises(Exception, match="a rollout occurs twice: 1"):
+            metrics.rollout_groups(spark.createDataFrame([(1, 0, "ok", 1.0)] * 2, schema), 4).select(*columns).collect()
     with pytest.raises(Exception, match="out of range"):
         metrics.depth_crosstab(spark.createDataFrame([("nq", 5)], "source string, search_count int")).collect()
 
@@ -176,6 +262,201 @@ def test_skip_reasons_ignore_skipped_rows(spark):
     assert [r.reason for r in got.orderBy("o").collect()] == [None, "protected_question", "protected_question", "duplicate_question", "duplicate_id", None]
 
 
+def test_skip_reasons_match_a_plain_walk(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, *range(40)]), rnd.choice([None, *"abcdefghijklmnopqrstuvwxyz"]), o) for o in range(150)]
+    protected, ids, keys, want = {(3, "c"), (9, "d")}, set(), set(), []
+    for i, k, _ in rows:
+        reason = "protected_id" if i in {p for p, _ in protected} else "protected_question" if k in {p for _, p in protected} else "duplicate_id" if i in ids else "duplicate_question" if k in keys else None
+        want.append(reason)
+        if reason is None:
+            ids.add(i)
+            keys.add(k)
+    got = isolation.skip_reasons(spark.createDataFrame(rows, "id long, k string, o long"), spark.createDataFrame(list(protected), "id long, k string"), "id", "k", [F.col("o")])
+    assert [r.reason for r in got.orderBy("o").collect()] == want
+    chain = [(1, "a", 0), (2, "a", 1), (2, "b", 2)]  # the second is skipped, so its id isn't used
+    got = isolation.skip_reasons(spark.createDataFrame(chain, "id long, k string, o long"), spark.createDataFrame([], "id long, k string"), "id", "k", [F.col("o")])
+    assert [r.reason for r in got.orderBy("o").collect()] == [None, "duplicate_question", None]
+
+
+RESULT = "id long, question string, source string, gold_answers array<string>, prediction string, em double, f1 double, search_count int, termination_reason string"
+
+
+@pytest.mark.parametrize("columns", [["em_delta"], ["source"], ["id"]])
+def test_pairs_must_agree_whatever_is_read(spark, columns):
+    row = lambda i, q="q", g=("g",), s="nq": (i, q, s, list(g), "p", 1.0, 1.0, 1, "answer")
+    side = lambda *rows: spark.createDataFrame(list(rows), RESULT)
+    assert metrics.paired(side(row(1), row(2)), side(row(2), row(1))).select(*columns).count() == 2
+    for left, right, error in (
+        ([row(1), row(1)], [row(1)], "an id occurs twice: 1"),
+        ([row(1)], [row(1), row(1)], "an id occurs twice: 1"),
+        ([row(1), row(2)], [row(1)], "don't have the same ids: 2"),
+        ([row(1)], [row(1, q="other")], "disagree on question: 1"),
+        ([row(1)], [row(1, g=("g", "h"))], "disagree on gold_answers: 1"),
+        ([row(1)], [row(1, s="hotpotqa")], "disagree on source: 1"),
+    ):
+        with pytest.raises(Exception, match=error):
+            metrics.paired(side(*left), side(*right)).select(*columns).collect()
+        with pytest.raises(Exception, match=error):
+            metrics.contingency(metrics.paired(side(*left), side(*right))).collect()
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([("nq", "train", 1), ("nq", "dev", 2)], "source string, split string, n int")
+    assert guards.from_source(df, "nq").select("n").count() == 2
+    with pytest.raises(Exception, match="source is not hotpotqa: nq"):
+        guards.from_source(df, "hotpotqa").select("n").collect()
+    with pytest.raises(Exception, match="training split"):
+        guards.training_only(df, "split").select("n").collect()
+    assert guards.require_quotas(df, {"nq": 2}).count() == 2
+    for wrong in ({"nq": 1}, {"nq": 2, "hotpotqa": 1}, {}):
+        with pytest.raises(ValueError, match="expected"):
+            guards.require_quotas(df, wrong)
+    assert guards.require_balance(df, df.where("n = 1"), df.where("n = 2"), "source").first()[1:] == (2, 1, 1)
+    with pytest.raises(ValueError, match="lost"):
+        guards.require_balance(df, df.limit(0), df.where("n = 2"), "source")
+    with pytest.raises(ValueError, match="twice"):
+        guards.require_unique(df, "source")
+    with pytest.raises(ValueError, match="fewer than 3"):
+        sampling.taken(df, "source", 3, F.col("n"))
+
+
+def test_assembly(spark):
+    turn = "array<struct<valid_action:boolean,strict_valid:boolean,ended_with_im_end:boolean>>"
+    schema = f"id long, source string, question string, answers array<string>, termination_reason string, final_answer string, input_tokens_at_failure int, max_input_tokens int, search_count int, turns {turn}"
+    rows = [
+        (1, "nq", "q", ["An Owl"], "answer", "owl", None, None, 1, [(True, True, True), (True, False, None)]),
+        (2, "nq", "q", ["owl"], "input_too_long", "owl", 9000, 8192, 0, []),
+        (3, "nq", "q", ["owl"], "max_turns", None, None, None, 0, []),
+        (4, "nq", "q", ["the"], "max_turns", None, None, None, 0, []),
+    ]
+    got = assembly.results(spark.createDataFrame(rows, schema))
+    by = {r.id: r for r in got.collect()}
+    assert {i: (r.em, r.f1) for i, r in by.items()} == {1: (1.0, 1.0), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (1.0, 1.0)}
+    assert (by[1].valid_action_count, by[1].strict_protocol_count, by[1].eos_count, by[1].total_turns) == (2, 1, 1, 2)
+    assert [t.turn for t in by[1].turns] == [1, 2] and by[2].input_tokens_at_failure == 9000 and by[3].predicted_answer == ""
+    after = {r.id: (r.termination_reason, r.em, r.assistant_decision_turns) for r in assembly.budget_scored(got.withColumn("budget_stop", F.col("id") == 1)).collect()}
+    assert after == {1: ("length_limit", 0.0, 2), 2: ("input_too_long", 0.0, 0), 3: ("max_turns", 0.0, 0), 4: ("max_turns", 0.0, 0)}
+    versions = spark.createDataFrame([([(3, 5), (2, 4)],), ([(1, None)],)], "v array<struct<min_global_steps:long,max_global_steps:long>>")
+    assert tuple(versions.where("size(v) = 2").select(assembly.version_range(F.col("v")).alias("r")).first().r) == (2, 5)
+    with pytest.raises(Exception, match="lacks its versions"):
+        versions.select(assembly.version_range(F.col("v"))).collect()
+
+
+def test_strict_turns_and_steps(spark):
+    df = spark.createDataFrame([([("<think>a</think>", None)], [])], "t array<struct<content:string,reasoning_content:string>>, s array<struct<type:string,content:string,observation:string>>")
+    with pytest.raises(Exception, match="differ in number"):
+        df.select(trajectory.extract_events(F.col("t"), F.col("s"))).collect()
+    bare = spark.createDataFrame([([("x", "r")], [("search", "s", "no tags")])], df.schema)
+    with pytest.raises(Exception, match="information tags"):
+        bare.select(trajectory.extract_events(F.col("t"), F.col("s"))).collect()
+
+
+def test_case_folding_is_python_s(spark):
+    rnd = random.Random(2)
+    texts = ["Straße", "STRASSE", "ẞ", "ﬁn", "FIN", "İı", "Ii", "ΣΑΣ σας", "ſ", "ϴθ", "µμ", "ŉ", "Å", "ǰ", "ᾳ"] + ["".join(rnd.choice("ßẞsSıIiİσςΣſﬁﬀµμϴθΩΩKk") for _ in range(6)) for _ in range(300)]
+    assert column(spark, texts, tx.casefold) == [t.casefold() for t in texts]
+
+
+def test_prefix_errors(spark):
+    want = spark.createDataFrame([(i, f"v{i}") for i in range(6)], "ordinal long, v string")
+    got = spark.createDataFrame([(0, "v0"), (1, "x"), (3, "v3"), (3, "v3"), (9, "v9")], "ordinal long, v string")
+    assert {r.ordinal: r.error for r in resume.prefix_errors(got, want, ["v"]).collect()} == {1: "different", 2: "missing", 3: "twice", 4: "missing", 9: "unknown"}
+    assert resume.prefix_errors(want.where("ordinal < 3"), want, ["v"]).isEmpty() and resume.prefix_errors(want.limit(0), want, ["v"]).isEmpty()
+
+
+def test_index_is_saved_checked_and_opened(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common text {i}") for i in range(60)] + [(60, None), (61, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "word3"), (2, "common common"), (3, "nothing here")], "item_id long, text string")
+    index = retrieval.build_index(docs)
+    want = [tuple(r) for r in retrieval.search(index, asked).orderBy("item_id", "rank").collect()]
+    assert [r[0] for r in want] == [1, 1, 1, 2, 2, 2]
+    retrieval.save_index(index, str(tmp_path / "index"))
+    assert [tuple(r) for r in retrieval.search(retrieval.open_index(spark, str(tmp_path / "index")), asked).orderBy("item_id", "rank").collect()] == want
+    parts = retrieval.build_index(docs, part=5)  # common terms in several parts
+    assert parts.corpus.first().parts == 13 and [tuple(r) for r in retrieval.search(parts, asked).orderBy("item_id", "rank").collect()] == want
+    with pytest.raises(FileNotFoundError):
+        retrieval.open_index(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        retrieval.search(index, asked, k=0)
+    with pytest.raises(Exception, match="a query is blank"):
+        retrieval.search(index, spark.createDataFrame([(1, " \t")], "item_id long, text string")).collect()
+
+
+def test_corpus_and_search_tool(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"id": "a", "contents": "\\"Nile\\"\\nlongest river of Africa"}\n{"id": "b", "contents": "Rhine\\na river"}\n')
+    docs = retrieval.read_corpus(spark, str(tmp_path / "c.jsonl"))
+    find = retrieval.search_tool(retrieval.build_index(docs), docs, k=1, most=9)
+    got = find(spark.createDataFrame([(1, "longest river")], "question_id long, query string")).first()
+    assert [tuple(h) for h in got.hits] == [(1, "Nile", "longest r")]
+    with pytest.raises(ValueError):
+        retrieval.search_tool(None, docs, most=0)
+    (tmp_path / "d.jsonl").write_text('{"id": "a"}\n')
+    with pytest.raises(Exception, match="lacks its id or contents"):
+        retrieval.read_corpus(spark, str(tmp_path / "d.jsonl")).collect()
+    (tmp_path / "e.jsonl").write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        retrieval.read_corpus(spark, str(tmp_path / "e.jsonl"))
+
+
+def test_agent_loop_keeps_steps_and_captures_errors(spark):
+    q = spark.createDataFrame([(1, "grows"), (2, "fails"), (3, "long question " * 20), (4, "fine")], "question_id long, question string")
+
+    def generate(messages, turn):
+        ask = F.element_at(messages, 2)["content"]
+        act = F.when(ask == "grows", "<search>more</search>").otherwise("<answer>ok</answer>")
+        raw = F.when((ask != "fails"), F.concat(F.lit("<think>t</think>"), act, F.lit("<|im_end|>")))
+        return F.struct(raw.alias("raw"), F.lit(7).alias("input_tokens"), F.lit(5).alias("generated_tokens"), raw.isNotNull().alias("ended"), F.lit(False).alias("reached_max"), F.when(ask == "fails", "server gone").alias("error"))
+
+    find = lambda asked: asked.select("question_id", F.array(F.struct(F.lit(1).alias("rank"), F.lit("T").alias("title"), F.lit("B" * 40).alias("text"))).alias("hits"))
+    tokens = lambda messages: F.aggregate(messages, F.lit(0), lambda n, m: n + F.length(m["content"]))
+    got = {r.question_id: r for r in rollout.run_agent(q, generate, find, "S", count_tokens=tokens, max_input_tokens=150).collect()}
+    assert {k: (r.termination_reason, len(r.steps)) for k, r in got.items()} == {1: ("input_too_long", 2), 2: ("runtime_error", 0), 3: ("input_too_long", 0), 4: ("answer", 1)}
+    assert got[1].input_tokens_at_failure > 150 and got[4].input_tokens_at_failure is None
+    step = got[4].steps[0]
+    assert (step.input_tokens, step.generated_tokens, step.ended_with_im_end, step.strict_valid) == (7, 5, True, True)
+
+
+def test_visible_loop_and_named_loops(spark):
+    q = spark.createDataFrame([(1, "x")], "question_id long, question string")
+    find = lambda asked: asked.select("question_id", F.array().cast("array<struct<rank:int,title:string,text:string>>").alias("hits"))
+    generate = lambda messages, turn: F.lit("I think <search>a</search>" if turn < 2 else "so <answer> b </answer>")
+    r = rollout.loop_named("search_agent")(q, generate, find, "S", strict=False).first()
+    assert (r.termination_reason, [s.type for s in r.steps]) == ("answer", ["search", "answer"])
+    assert r.messages[2].content == "I think <search>a</search>"
+    with pytest.raises(ValueError, match="no loop"):
+        rollout.loop_named("other")
+
+
+def test_trainer_tables_and_order(spark):
+    df = spark.createDataFrame([(i, "train" if i % 3 else "validation") for i in range(30)], "id long, split string")
+    a, b = sampling.train_validation(df, 5, 3)
+    assert [len({r.id for r in x.collect()}) for x in (a, b)] == [5, 3] and {r.split for r in a.collect()} == {"train"}
+    assert a.collect() == sampling.train_validation(df.repartition(7), 5, 3)[0].collect()
+    assert [r.id for r in sampling.in_order(df.repartition(5), "id").collect()] == list(range(30))
+
+
+def test_splits_outputs_and_digests(spark, tmp_path):
+    for name in ("train", "dev"):
+        (tmp_path / f"{name}.jsonl").write_text(f'{{"id": "{name}"}}\n\n')
+    got = io.read_splits(spark, {n: str(tmp_path / f"{n}.jsonl") for n in ("train", "dev")}, "id string")
+    assert {(r.id, r.source_split) for r in got.collect()} == {("train", "train"), ("dev", "dev")}
+    out = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        io.open_output(spark, out, resume=True)
+    io.open_output(spark, out, resume=False)
+    io.append(got, out)
+    io.open_output(spark, out, resume=True)
+    with pytest.raises(FileExistsError):
+        io.open_output(spark, out, resume=False)
+    (tmp_path / "big").write_bytes(b"x" * 3_000_000)
+    assert io.file_digests(spark, str(tmp_path / "big")).first().sha256 == hashlib.sha256(b"x" * 3_000_000).hexdigest()
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        io.write_report(spark.range(6), str(tmp_path / "r"), "T", most=5)
+    io.write_messages(spark.createDataFrame([([("user", "ä")],)], "messages array<struct<role:string,content:string>>"), str(tmp_path / "m"))
+    assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0])["messages"][0]["content"] == "ä"
+
+
 def test_resume(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "uid long")
     assert [r.uid for r in resume.remaining(ids(1, 2, 3, 4), ids(1), ids(3)).orderBy("uid").collect()] == [2, 4]
@@ -186,13 +467,23 @@ def test_resume(spark):
 
 
 def test_cleaning(spark):
-    raw = spark.createDataFrame([("1", " Who  is\tit ", ["A b", "a  B", " ", "C"]), ("2", " ", ["x"]), ("3", "q", [])], "id string, question string, golden_answers array<string>")
+    raw = spark.createDataFrame([("1", " Who  is\tit ", ["A b", "a  B", "Maße", "C", "MASSE"]), ("2", " ", ["x"]), ("3", "q", []), ("4", "q", ["a", " "]), ("5", "q", ["a", None])], "id string, question string, golden_answers array<string>")
     good, bad = qa.quarantine(raw, qa.row_error(F.col("question"), F.col("golden_answers")))
     row = qa.canonical(good, "nq", "id", "train").first()
-    assert (row.uid, row.question, row.gold_answers) == ("nq_1", "Who is it", ["A b", "C"])
-    assert {r.id: r.error for r in bad.collect()} == {"2": "blank question", "3": "no answers"}
-    with pytest.raises(Exception, match="blank question|no answers"):
-        qa.strictly(raw, qa.row_error(F.col("question"), F.col("golden_answers")), "question").collect()
+    assert (row.uid, row.question, row.gold_answers) == ("nq_1", "Who is it", ["A b", "Maße", "C"])
+    assert {r.id: r.error for r in bad.collect()} == {"2": "blank question", "3": "no answers", "4": "blank answers", "5": "blank answers"}
+    with pytest.raises(Exception, match="blank question|no answers|blank answers"):
+        qa.strictly(raw, qa.row_error(F.col("question"), F.col("golden_answers"))).select("id").collect()
+    meta = "m struct<type:string,level:string,supporting_facts:struct<title:array<string>>>"
+    rows = [(("bridge ", "hard", (["A", "a ", "B"],)),), ((" ", "hard", (["A"],)),), (("x", None, (["A"],)),), (("x", "y", ([],)),), (("x", "y", (["A", " "],)),), (None,)]
+    df = spark.createDataFrame(rows, meta)
+    assert [r[0] for r in df.select(qa.metadata_error(F.col("m"))).collect()] == [None, "blank type", "blank level", "no titles", "blank titles", "no metadata"]
+    assert tuple(df.limit(1).select(*[c.alias(n) for n, c in qa.multi_hop_metadata(F.col("m")).items()]).first()) == ("bridge", "hard", ["A", "B"])
+    q = spark.createDataFrame([("nq_train_1", "nq"), ("nq_dev_1", "nq"), ("hotpotqa_train_1", "nq"), ("hotpotqa_train_1", "hotpotqa")], "id string, source string")
+    assert qa.training_prefix(q).count() == 2
+    asked = spark.createDataFrame([("1", None, [("user", "a"), ("user", "b")]), ("2", "c", None)], "id string, question string, prompt array<struct<role:string,content:string>>")
+    asked = asked.withColumn("extra_info", F.struct("id"))
+    assert {tuple(r) for r in qa.training_questions(asked).collect()} == {("1", "b"), ("2", "c")}
     with pytest.raises(ValueError, match="missing"):
         qa.require_columns(raw, ["nothing"])
 
