@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from questlake.session import importable
+from questlake.session import clear_scratch, importable, scratch_path, shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,43 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local session that names none gets one of its own; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        found = sc.getCheckpointDir() or ""
-        if not found:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="questlake-"))
-            found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-_SCRATCH: list[str] = []
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate rows; ``clear_scratch`` removes it, at the latest when Python ends."""
-    path = f"{shared_dir(spark)}/questlake-{name}-{uuid.uuid4().hex}"
-    if not _SCRATCH:
-        atexit.register(clear_scratch)
-    _SCRATCH.append(path)
-    return path
-
-
-def clear_scratch(paths: list[str] | None = None) -> None:
-    """Remove intermediate folders, by default all that this process made; results that still read them are no longer valid."""
-    sc, jvm = SparkContext._active_spark_context, SparkContext._jvm
-    for path in list(_SCRATCH if paths is None else paths):
-        with contextlib.suppress(Exception):  # the session may be gone
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration() if sc else jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
-        if path in _SCRATCH:
-            _SCRATCH.remove(path)
-
-
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession

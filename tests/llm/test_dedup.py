@@ -180,7 +180,7 @@ def test_tables_and_folders_of_a_run_go(spark):
         f(frame(spark, corpus(1, 10))).collect()
         assert {t.name for t in spark.catalog.listTables()} == before
         common.clear_scratch()
-        assert not os.listdir(common.shared_dir(spark).removeprefix("file:"))
+        assert not os.listdir(common.shared_folder(spark).removeprefix("file:"))
 
 
 def test_cleaned_with_clashing_columns(spark):
