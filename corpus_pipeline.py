@@ -44,9 +44,9 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows the one with the least (doc_id, text) stays, null ids first. Only rows of one group compete, so
     unrelated texts that share an id, or have none, all stay."""
-    rows = written(boxed(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-    groups = nearcopies.near_duplicates(rows, "row").select("row", F.col("component_id").alias("group"))
-    order = rows.select("row", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    rows = written(boxed(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = nearcopies.near_duplicates(rows.select("row", "doc.text"), "row").select("row", F.col("component_id").alias("group"))
+    order = rows.select("row", "doc.doc_id", F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("hash"))
     kept = order.join(groups, "row").groupBy("group").agg(F.min(F.struct("doc_id", "hash", "row")).alias("least")).select("least.row")
     return unboxed(rows.join(kept, "row", "left_semi"), docs.columns)
 
