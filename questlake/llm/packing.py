@@ -220,27 +220,30 @@ def pack(rows: DataFrame, partitions: int, size: int = SIZE) -> DataFrame:
     keys = ["length", *[c for c in ("doc_id", "piece", "start") if c in rows.columns]]
     placed = written(ranked(rows, keys, partitions), "ranked")
     spark = rows.sparkSession
-    per_part = sorted((r.length, r.part, r.n) for r in placed.groupBy("length", "part").agg(F.count("*").alias("n")).collect())  # rows <= partitions + size
-    base: dict[tuple[int, int], int] = {}
-    counts: dict[int, int] = {}
-    for length, part, n in per_part:
-        base[part, length] = counts.get(length, 0)
-        counts[length] = base[part, length] + n
-    steps = sorted(plan(counts, size))
-    table = np.array(steps, np.int64).reshape(-1, 6)
-    sent = spark.sparkContext.broadcast((base, table))
+    # at most a row for each partition and length, as lengths are sorted over the partitions: so many as partitions + lengths
+    found = placed.groupBy("length", "part").agg(F.count("*").alias("n")).toArrow().sort_by([("length", "ascending"), ("part", "ascending")])
+    length, part, n = (found.column(c).to_numpy() for c in ("length", "part", "n"))
+    before = np.cumsum(n) - n
+    first = np.flatnonzero(np.r_[True, length[1:] != length[:-1]]) if len(length) else np.zeros(0, int)
+    before -= np.repeat(before[first], np.diff(np.r_[first, len(length)]))  # documents of the length in earlier partitions
+    counts = dict(zip(length[first].tolist(), np.add.reduceat(n, first).tolist())) if len(first) else {}
+    # only the least length of a partition can have begun before it
+    some = np.flatnonzero(before)
+    opened, base = np.full(partitions, -1, np.int64), np.zeros(partitions, np.int64)
+    opened[part[some]], base[part[some]] = length[some], before[some]
+    table = np.array(sorted(plan(counts, size)), np.int64).reshape(-1, 6)
+    sent = spark.sparkContext.broadcast((opened, base, table))  # 16 bytes a partition, and some thousand intervals
     names = rows.columns
     at = {c: placed.columns.index(c) for c in placed.columns}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base_, steps_ = sent.value
+        opened_, base_, steps_ = sent.value
         key = steps_[:, 0] << 44 | steps_[:, 1]
         for batch in batches:
             if not batch.num_rows:
                 continue
             length, part, local = (batch.column(at[c]).to_numpy() for c in ("length", "part", "local"))
-            pair, back = np.unique(part.astype(np.int64) << 32 | length, return_inverse=True)
-            rank = local + np.array([base_[p >> 32, p & 0xFFFFFFFF] for p in pair.tolist()])[back]
+            rank = local + np.where(opened_[part] == length, base_[part], 0)
             step = steps_[np.searchsorted(key, length << 44 | rank, side="right") - 1]
             inside = rank - step[:, 1]
             sequence, offset = step[:, 3] + inside // step[:, 4], step[:, 5] + inside % step[:, 4] * length
