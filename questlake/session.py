@@ -46,6 +46,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_paths() -> list[str]:
+    """The intermediate folders that this process made and that are still there, oldest first."""
+    return list(_SCRATCH)
+
+
 def clear_scratch(paths: list[str] | None = None) -> None:
     """Remove intermediate folders, by default all that this process made; results that still read them are no longer valid."""
     sc, jvm = SparkContext._active_spark_context, SparkContext._jvm
