@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from questlake.session import clear_scratch, importable, scratch_path, shared_folder  # noqa: F401
+from questlake.session import clear_scratch, importable, scratch_path, scratch_paths, shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,16 @@ def utf8_rows(col: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
 
 
+@contextlib.contextmanager
+def kept_only(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for a result; the other intermediate folders that were made meanwhile are removed at the end."""
+    path, before = scratch_path(spark, name), len(scratch_paths())
+    try:
+        yield path
+    finally:
+        clear_scratch(scratch_paths()[before:])
+
+
 ArrowFields = list[tuple[str, pa.DataType, T.DataType]]
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from questlake.llm.common import parallelism, written
+from questlake.llm.common import kept_only, parallelism, written
 from questlake.session import importable
 
 PAGE = 256
@@ -251,17 +251,18 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     """(query_id, rank, vec_id, score) of every row for which ``is_query`` (a condition on ``id``) holds, against all rows."""
     spark = df.sparkSession
     importable(spark)
-    clean = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("vector")).where(F.col("id").isNotNull() & F.col("vector").isNotNull())
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = F.transform("vector", lambda x: F.floor(x.cast("double") * 256).cast("double"))
-    clean = clean.where(F.coalesce(finite, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), "id", F.when(F.size("vector") == 0, F.array(F.lit(0.0))).otherwise(v).alias("v"), F.size("vector").alias("length"))
-    rows = written(clean.withColumn("q", F.coalesce(is_query, F.lit(False))), "vectors")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    lengths = rows.groupBy("length").agg(F.count("*").alias("n"), F.max(square).alias("top")).orderBy("length").limit(LENGTHS + 1).collect()
-    if len(lengths) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} lengths")
-    hits = spark.createDataFrame([], "row long, query_id long, vec_id long, score long")
-    for r in lengths:
-        hits = hits.unionByName(_search_length(rows.where(F.col("length") == r.length).select("row", "id", "v", "q"), max(1, r.length), r.n, r.top, k, block, cells, chunk))
-    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with kept_only(spark, "top") as path:
+        clean = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("vector")).where(F.col("id").isNotNull() & F.col("vector").isNotNull())
+        finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        v = F.transform("vector", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+        clean = clean.where(F.coalesce(finite, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), "id", F.when(F.size("vector") == 0, F.array(F.lit(0.0))).otherwise(v).alias("v"), F.size("vector").alias("length"))
+        rows = written(clean.withColumn("q", F.coalesce(is_query, F.lit(False))), "vectors")
+        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+        lengths = rows.groupBy("length").agg(F.count("*").alias("n"), F.max(square).alias("top")).orderBy("length").limit(LENGTHS + 1).collect()
+        if len(lengths) > LENGTHS:
+            raise ValueError(f"vectors of more than {LENGTHS} lengths")
+        hits = spark.createDataFrame([], "row long, query_id long, vec_id long, score long")
+        for r in lengths:
+            hits = hits.unionByName(_search_length(rows.where(F.col("length") == r.length).select("row", "id", "v", "q"), max(1, r.length), r.n, r.top, k, block, cells, chunk))
+        order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+        return written(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top", path)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from questlake.llm import simhash
-from questlake.llm.common import add_columns, parallelism, utf8_rows, written
+from questlake.llm.common import add_columns, kept_only, parallelism, utf8_rows, written
 from questlake.llm.graph import components, joined
 from questlake.session import importable
 
@@ -65,24 +65,31 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def keys(docs: DataFrame) -> DataFrame:
+    """(id, key): a 128-bit hash of a text's words."""
+
+    def made(batch: pa.RecordBatch) -> list:
+        return [[xxhash.xxh3_128_digest(b" ".join(words_of(x))) for x in utf8_rows(batch.column(batch.schema.get_field_index("text")))]]
+
+    return add_columns(docs, ["text"], [("key", pa.binary(), T.BinaryType())], lambda: made, ["id"])
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, key, bands, fp): a 128-bit hash of the words, the packed band keys (empty for blank texts) and the SimHash fingerprint."""
+    """(node, bands, fp): the packed band keys (empty for blank texts) and the SimHash fingerprint."""
 
     def made(batch: pa.RecordBatch) -> list:
-        keys, sets, fps = [], [], []
+        sets, fps = [], []
         for x in utf8_rows(batch.column(batch.schema.get_field_index("text"))):
-            w = words_of(x)
-            keys.append(xxhash.xxh3_128_digest(b" ".join(w)))
-            h = simhash.shingle_hashes(w, words)
+            h = simhash.shingle_hashes(words_of(x), words)
             fps.append(simhash.majority(h))
             sets.append(np.unique(h))
         some = [i for i, s in enumerate(sets) if len(s)]
         bands = [b""] * len(sets)
         for i, row in zip(some, bands_of([sets[i] for i in some]) if some else []):
             bands[i] = row.tobytes()
-        return [keys, bands, fps]
+        return [bands, fps]
 
-    return add_columns(docs, ["text"], [("key", pa.binary(), T.BinaryType()), ("bands", pa.binary(), T.BinaryType()), ("fp", pa.int64(), T.LongType())], lambda: made, ["id"])
+    return add_columns(docs, ["text"], [("bands", pa.binary(), T.BinaryType()), ("fp", pa.int64(), T.LongType())], lambda: made, ["id"]).withColumnRenamed("id", "node")
 
 
 def band_stars(reps: DataFrame, partitions: int) -> DataFrame:
@@ -150,63 +157,59 @@ def _as_links(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], names=["u", "v"])
 
 
-def _sets(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+def _sets(table: pa.Table, words: int) -> list[np.ndarray]:
+    return [shingles_of(words_of(x), words) for x in utf8_rows(table.column("text"))]
 
 
-def similar_pairs(stars: DataFrame, sets: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Those of ``stars`` (u, v) whose sets have a similarity of ``least`` or more. A node with very many links is dealt to several tasks."""
+def similar_pairs(stars: DataFrame, texts: DataFrame, words: int = WORDS, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Those of ``stars`` (u, v) whose shingle sets have a similarity of ``least`` or more; ``texts`` has (id, text). Texts travel rather
+    than their sets, which are larger. A node with very many links is dealt to several tasks."""
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):
             return _as_links([])
-        one, others, v = _sets(left)[0], _sets(right), left.column("v")[0].as_py()
+        one, others, v = _sets(left, words)[0], _sets(right, words), left.column("v")[0].as_py()
         n, both = np.array([len(s) for s in others]), _shared(one, others)
         return _as_links([(u, v) for u, ok in zip(right.column("u").to_pylist(), both / (n + len(one) - both) >= least) if ok])
 
-    stars = written(stars, "stars")
     per = written(stars.groupBy("v").agg(F.count("*").alias("n")), "degrees").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     part = F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part")
-    members = joined(stars, per, "v", stars.count()).select("v", part, "u").join(sets.select(F.col("id").alias("u"), "set"), "u")
-    centres = sets.select(F.col("id").alias("v"), F.col("set").alias("own")).join(per, "v").select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
-    return centres.select("v", "part", F.col("own").alias("set")).groupBy("v", "part").cogroup(members.groupBy("v", "part")).applyInArrow(check, "u long, v long")
+    members = joined(stars, per, "v", stars.count()).select("v", part, F.col("u").alias("id")).join(texts, "id").select("v", "part", F.col("id").alias("u"), F.col("text"))
+    centres = per.select(F.col("v").alias("id"), "parts").join(texts, "id").select(F.col("id").alias("v"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("text"))
+    return centres.groupBy("v", "part").cogroup(members.groupBy("v", "part")).applyInArrow(check, "u long, v long")
 
 
-def similar_in_groups(groups: DataFrame, sets: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def similar_in_groups(groups: DataFrame, texts: DataFrame, words: int = WORDS, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Spanning links (u, v) among the nodes of each group; ``groups`` has (node, root, known), ``known`` naming nodes that are connected
     already. A group is split into blocks of bounded size, and each pair of blocks is a task's row group."""
 
     def check(table: pa.Table) -> pa.Table:
-        return _as_links(forest(table.column("id").to_pylist(), _sets(table), least, table.column("known").to_pylist()))
+        return _as_links(forest(table.column("id").to_pylist(), _sets(table, words), least, table.column("known").to_pylist()))
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     held = groups.join(sizes, "root").select(F.col("node").alias("id"), "root", "known", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
-    dealt = sets.join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("id", "set", "root", "known", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).groupBy("root", "i", "j").applyInArrow(check, "u long, v long")
+    dealt = held.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("id", "text", "root", "known", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).groupBy("root", "i", "j").applyInArrow(check, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", words: int = WORDS, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(id, component_id), the smallest id reachable by links; ids must be unique longs."""
-
-    def cut():
-        return lambda batch: [[shingles_of(words_of(x), words).tobytes() for x in utf8_rows(batch.column(batch.schema.get_field_index("text")))]]
-
+    """(id, component_id), the smallest id reachable by links; ids must be unique longs. Texts of a table that is bucketed by the id
+    aren't shuffled to find candidates' texts; they then only go to the tasks that compare them."""
     importable(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    prints = written(signatures(docs, words), "signatures")
-    classes = written(prints.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("n")), "classes")
-    reps = prints.join(classes.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), "bands", "fp")
-    tasks = parallelism(docs, 2)
-    stars = written(fingerprint_stars(reps.where("length(bands) > 0"), tasks).unionByName(band_stars(reps, tasks)).distinct(), "stars")
-    nodes = stars.select(F.col("u").alias("id")).unionByName(stars.select(F.col("v").alias("id"))).distinct()
-    sets = written(add_columns(docs.join(nodes, "id"), ["text"], [("set", pa.binary(), T.BinaryType())], cut, ["id"]), "sets")
-    first = written(similar_pairs(stars, sets, least, block), "similar")
-    # nodes that hang together by candidates without being connected yet are compared all with all
-    groups, known = components(stars, "candidates"), components(first).withColumnRenamed("root", "known")
-    marked = written(groups.join(known, "node", "left").withColumn("known", F.coalesce("known", "node")), "groups")
-    open_ = marked.groupBy("root").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a < b").select("root")
-    second = similar_in_groups(marked.join(open_, "root"), sets, least, block)
-    roots = components(first.unionByName(second))
-    final = written(classes.join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("component_id")), "named")
-    rows = final.agg(F.sum("n")).first()[0] or 0
-    return joined(prints.select("id", "key"), final, "key", rows).select(F.col("id").alias(id_col), "component_id")
+    with kept_only(docs.sparkSession, "components") as path:
+        prints = written(keys(docs), "keys")
+        classes = written(prints.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("n")), "classes")
+        reps = docs.join(classes.select(F.col("node").alias("id")), "id", "left_semi")
+        signed, tasks = written(signatures(reps, words), "signatures"), parallelism(docs, 2)
+        stars = written(fingerprint_stars(signed.where("length(bands) > 0"), tasks).unionByName(band_stars(signed, tasks)).distinct(), "stars")
+        first = written(similar_pairs(stars, docs, words, least, block), "similar")
+        # nodes that hang together by candidates without being connected yet are compared all with all
+        groups, known = components(stars, "candidates"), components(first).withColumnRenamed("root", "known")
+        marked = written(groups.join(known, "node", "left").withColumn("known", F.coalesce("known", "node")), "groups")
+        open_ = marked.groupBy("root").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a < b").select("root")
+        second = similar_in_groups(marked.join(open_, "root"), docs, words, least, block)
+        roots = components(first.unionByName(second))
+        final = written(classes.join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("component_id")), "named")
+        rows = final.agg(F.sum("n")).first()[0] or 0
+        return written(joined(prints, final, "key", rows).select(F.col("id").alias(id_col), "component_id"), "components", path)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from questlake.llm.common import add_columns, parallelism, utf8_rows, written
+from questlake.llm.common import add_columns, kept_only, parallelism, utf8_rows, written
 from questlake.llm.graph import components, joined
 from questlake.session import importable
 
@@ -180,12 +180,13 @@ def links(distinct: DataFrame, partitions: int, radius: int = RADIUS) -> DataFra
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS) -> DataFrame:
     """One row a document: its id, ``fp`` and ``component_id`` (the smallest id reachable by links)."""
     importable(docs.sparkSession)
-    prints = written(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", words, ["id"]), "fp")
-    classes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
-    roots = components(links(classes, parallelism(docs, 2), radius))
-    linked = written(classes.join(roots, classes.fp == roots.node).select("fp", "least", "root"), "linked")
-    lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"), F.count("*").alias("n"))
-    named = joined(linked, lowest, "root", linked.count()).select("fp", "lowest")
-    final = written(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("lowest", "least").alias("component_id")), "named")
-    rows = final.agg(F.sum("n")).first()[0] or 0
-    return joined(prints, final, "fp", rows).select(F.col("id").alias(id_col), "fp", "component_id")
+    with kept_only(docs.sparkSession, "components") as path:
+        prints = written(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", words, ["id"]), "fp")
+        classes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
+        roots = components(links(classes, parallelism(docs, 2), radius))
+        linked = written(classes.join(roots, classes.fp == roots.node).select("fp", "least", "root"), "linked")
+        lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"), F.count("*").alias("n"))
+        named = joined(linked, lowest, "root", linked.count()).select("fp", "lowest")
+        final = written(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("lowest", "least").alias("component_id")), "named")
+        rows = final.agg(F.sum("n")).first()[0] or 0
+        return written(joined(prints, final, "fp", rows).select(F.col("id").alias(id_col), "fp", "component_id"), "components", path)

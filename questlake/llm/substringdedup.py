@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questlake.llm.common import clear_scratch, hadoop_fs, parallelism, scratch_path, written
+from questlake.llm.common import hadoop_fs, kept_only, parallelism, scratch_path, written
 from questlake.llm.winnow import GRAMS, Met, Part, Rule, Spec, applied, bucketed, cut, forget, gram_rows, in_runs, known_buckets, resolved, shard_table, stretch_rows, tables_made
 from questlake.session import importable
 
@@ -176,13 +176,12 @@ def _texts(part: Part, mask: np.ndarray) -> list[tuple]:
 
 def _run(docs, finish, fields, id_col, text_col, window, gram, hot=4096, batches=BATCHES):
     spark, mark, spec = docs.sparkSession, tables_made(), Spec(window, gram, True, hot)
-    path = scratch_path(spark, "fingerprints")
-    log, shards = FingerprintLog(spark, path, spec, parallelism(docs, 2)), -(-parallelism(docs, 6) // batches)
-    for k in range(batches):
-        log.append(docs.where(F.pmod(F.spark_partition_id(), F.lit(batches)) == k) if batches > 1 else docs, id_col, text_col, shards)
-    out = written(log.deduplicated(Rule(lambda met: by_words(met, window), True, 0, lambda v, doc: v > 0, finish, fields)), "deduplicated")
-    forget(spark, mark)
-    clear_scratch([path])
+    with kept_only(spark, "deduplicated") as path:
+        log, shards = FingerprintLog(spark, scratch_path(spark, "fingerprints"), spec, parallelism(docs, 2)), -(-parallelism(docs, 6) // batches)
+        for k in range(batches):
+            log.append(docs.where(F.pmod(F.spark_partition_id(), F.lit(batches)) == k) if batches > 1 else docs, id_col, text_col, shards)
+        out = written(log.deduplicated(Rule(lambda met: by_words(met, window), True, 0, lambda v, doc: v > 0, finish, fields)), "deduplicated", path)
+        forget(spark, mark)
     return out
 
 

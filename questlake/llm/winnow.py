@@ -18,6 +18,8 @@ together.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questlake.llm.common import clear_scratch, ids_array, parallelism, pieces, scratch_path, utf8_arrays, utf8_rows, written
+from questlake.llm.common import ids_array, kept_only, parallelism, pieces, scratch_path, utf8_arrays, utf8_rows, written
 
 CHUNK = 1 << 20
 SLAB = 1 << 15
@@ -157,10 +159,18 @@ def bucketed(df: DataFrame, path: str, by: str, buckets: int, ordered: bool = Fa
     name = f"questlake_{uuid.uuid4().hex}"
     out = df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").format("parquet")
     (out.sortBy(by) if ordered else out).saveAsTable(name)
+    if not _TABLES:
+        atexit.register(_forget_all)
     _TABLES.append(name)
     return df.sparkSession.table(name)
 
 
+def _forget_all() -> None:
+    if (spark := SparkSession.getActiveSession()) is not None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            forget(spark)
+
+
 _TABLES: list[str] = []
 
 
@@ -432,11 +442,10 @@ def applied(shards: DataFrame, grams: DataFrame, answers: DataFrame, spec: Spec,
 def dedup(docs: DataFrame, spec: Spec, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """Run the passes. The result is written, and the tables that led to it are dropped."""
     spark, n, mark = docs.sparkSession, parallelism(docs, 6), len(_TABLES)
-    paths = [scratch_path(spark, "shards"), scratch_path(spark, "grams")]
-    shards = shard_table(docs, id_col, text_col, paths[0], n)
-    grams = written(repeated_grams(gram_rows(shards, spec, not rule.count), n, spec.hot), "grams", paths[1])
-    answers = resolved(stretch_rows(shards, grams, spec, n, rule.count), n, rule.resolver)
-    out = written(applied(shards, grams, answers, spec, rule, n), "deduplicated")
-    forget(spark, mark)
-    clear_scratch(paths)
+    with kept_only(spark, "deduplicated") as path:
+        shards = shard_table(docs, id_col, text_col, scratch_path(spark, "shards"), n)
+        grams = written(repeated_grams(gram_rows(shards, spec, not rule.count), n, spec.hot), "grams")
+        answers = resolved(stretch_rows(shards, grams, spec, n, rule.count), n, rule.resolver)
+        out = written(applied(shards, grams, answers, spec, rule, n), "deduplicated", path)
+        forget(spark, mark)
     return out

@@ -8,8 +8,9 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from questlake.llm import graph, simhash, substringdedup, suffixdedup, winnow
+from questlake.llm import graph, mtree, nearcopies, simhash, substringdedup, suffixdedup, winnow
 
 SCHEMA = "doc_id long, text string, lang string, shard string, fp string"
 
@@ -172,15 +173,20 @@ def test_rows_without_id_are_spread_over_shards(spark, tmp_path):
 
 
 def test_tables_and_folders_of_a_run_go(spark):
-    from questlake.llm import common
+    from questlake import session
 
+    folder = session.shared_folder(spark).removeprefix("file:")
     before = {t.name for t in spark.catalog.listTables()}
-    for f in (substringdedup.substring_dedup, suffixdedup.suffix_dedup):
-        common.clear_scratch()
-        f(frame(spark, corpus(1, 10))).collect()
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    runs = (lambda: substringdedup.substring_dedup(frame(spark, corpus(1, 10))), lambda: suffixdedup.suffix_dedup(frame(spark, corpus(1, 10))), lambda: simhash.near_duplicates(frame(spark, corpus(1, 10))), lambda: nearcopies.near_duplicates(frame(spark, corpus(1, 10)), "doc_id"), lambda: mtree.top_k(vectors, F.col("id") == 0))
+    for f in runs:
+        session.clear_scratch()
+        there = set(os.listdir(folder))
+        assert f().collect()
         assert {t.name for t in spark.catalog.listTables()} == before
-        common.clear_scratch()
-        assert not os.listdir(common.shared_folder(spark).removeprefix("file:"))
+        assert len(set(os.listdir(folder)) - there) == 1  # the result
+        session.clear_scratch()
+        assert set(os.listdir(folder)) == there
 
 
 def test_cleaned_with_clashing_columns(spark):
