@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questlake.llm import langid, nearcopies, packing, substringdedup, toxicity
-from questlake.llm.common import boxed, scratch_path, table, unboxed, written
+from questlake.llm.common import boxed, parallelism, scratch_path, table, unboxed
 from questlake.llm.registry import tokenizer_path
+from questlake.llm.winnow import bucketed
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,8 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows the one with the least (doc_id, text) stays, null ids first. Only rows of one group compete, so
     unrelated texts that share an id, or have none, all stay."""
-    rows = written(boxed(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    # dealt by row once, so that neither candidates' texts nor the rows that stay are shuffled to find them
+    rows = bucketed(boxed(docs).withColumn("row", F.monotonically_increasing_id()), scratch_path(spark, "rows"), "row", parallelism(docs, 2))
     groups = nearcopies.near_duplicates(rows.select("row", "doc.text"), "row").select("row", F.col("component_id").alias("group"))
     order = rows.select("row", "doc.doc_id", F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("hash"))
     kept = order.join(groups, "row").groupBy("group").agg(F.min(F.struct("doc_id", "hash", "row")).alias("least")).select("least.row")
