@@ -55,9 +55,10 @@ def multi_hop_metadata(metadata: Column) -> dict[str, Column]:
     return {"type": normalize_whitespace(metadata["type"]), "level": normalize_whitespace(metadata["level"]), "supporting_titles": clean_list(metadata["supporting_facts"]["title"])}
 
 
-def row_error(question: Column, answers: Column) -> Column:
-    """What is wrong with a raw row, or null."""
-    return F.when(F.coalesce(normalize_whitespace(question), F.lit("")) == "", "blank question").when(answers.isNull() | (F.size(answers) == 0), "no answers").when(_has_blank(answers), "blank answers")
+def row_error(question: Column, answers: Column, identity: Column | None = None) -> Column:
+    """What is wrong with a raw row, or null; a blank ``identity`` is wrong too where one is given."""
+    start = F.when(F.lit(False), "") if identity is None else F.when(F.coalesce(normalize_whitespace(identity), F.lit("")) == "", "blank id")
+    return start.when(F.coalesce(normalize_whitespace(question), F.lit("")) == "", "blank question").when(answers.isNull() | (F.size(answers) == 0), "no answers").when(_has_blank(answers), "blank answers")
 
 
 def quarantine(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:

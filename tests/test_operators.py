@@ -17,6 +17,7 @@ from questlake.functions import scoring
 from questlake.functions import text as tx
 from questlake.operators import assembly, guards, isolation, metrics, protocol, qa, resume, retrieval, rollout, sampling, trajectory
 from questlake.sources import io
+from questlake.streaming import rollouts
 
 
 def column(spark, values, expr, schema="v string"):
@@ -474,6 +475,7 @@ def test_cleaning(spark):
     assert {r.id: r.error for r in bad.collect()} == {"2": "blank question", "3": "no answers", "4": "blank answers", "5": "blank answers"}
     with pytest.raises(Exception, match="blank question|no answers|blank answers"):
         qa.strictly(raw, qa.row_error(F.col("question"), F.col("golden_answers"))).select("id").collect()
+    assert spark.range(1).select(qa.row_error(F.lit("q"), F.array(F.lit("a")), F.lit(" "))).first()[0] == "blank id"
     meta = "m struct<type:string,level:string,supporting_facts:struct<title:array<string>>>"
     rows = [(("bridge ", "hard", (["A", "a ", "B"],)),), ((" ", "hard", (["A"],)),), (("x", None, (["A"],)),), (("x", "y", ([],)),), (("x", "y", (["A", " "],)),), (None,)]
     df = spark.createDataFrame(rows, meta)
@@ -523,3 +525,14 @@ def test_entry_has_names_without_the_training_data_operators():
     import __spark_entry__ as entry
 
     assert len(entry.queries()) >= 40 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_terminations_of_a_stream(spark, tmp_path):
+    rows = [{"ts": f"2024-01-01T0{h}:10:00Z", "termination_reason": r} for h, r in ((1, "answer"), (1, "answer"), (1, "max_turns"), (2, "answer"))]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    counts = rollouts.termination_counts(rollouts.read_rollouts(spark, str(tmp_path / "in"), "ts timestamp, termination_reason string"))
+    run = counts.writeStream.format("memory").queryName("terminations").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = {(r.window.start.hour, r.termination_reason): r.n for r in spark.table("terminations").collect()}
+    assert got == {(1, "answer"): 2, (1, "max_turns"): 1, (2, "answer"): 1}
