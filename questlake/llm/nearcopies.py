@@ -180,14 +180,15 @@ def similar_pairs(stars: DataFrame, texts: DataFrame, words: int = WORDS, least:
 
 
 def similar_in_groups(groups: DataFrame, texts: DataFrame, words: int = WORDS, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Spanning links (u, v) among the nodes of each group; ``groups`` has (node, root, known), ``known`` naming nodes that are connected
-    already. A group is split into blocks of bounded size, and each pair of blocks is a task's row group."""
+    """Spanning links (u, v) among the nodes of each group that has unconnected ones; ``groups`` has (node, root, known), ``known`` naming
+    nodes that are connected already. A group is split into blocks of bounded size, and each pair of blocks is a task's row group."""
 
     def check(table: pa.Table) -> pa.Table:
         return _as_links(forest(table.column("id").to_pylist(), _sets(table, words), least, table.column("known").to_pylist()))
 
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    held = groups.join(sizes, "root").select(F.col("node").alias("id"), "root", "known", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
+    per = groups.groupBy("root").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    per = written(per.where("a < b").select("root", "n", "blocks"), "open")
+    held = joined(groups, per, "root", groups.count()).select(F.col("node").alias("id"), "root", "known", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
     dealt = held.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select("id", "text", "root", "known", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).groupBy("root", "i", "j").applyInArrow(check, "u long, v long")
 
@@ -207,8 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", words:
         # nodes that hang together by candidates without being connected yet are compared all with all
         groups, known = components(stars, "candidates"), components(first).withColumnRenamed("root", "known")
         marked = written(groups.join(known, "node", "left").withColumn("known", F.coalesce("known", "node")), "groups")
-        open_ = marked.groupBy("root").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a < b").select("root")
-        second = similar_in_groups(marked.join(open_, "root"), docs, words, least, block)
+        second = similar_in_groups(marked, docs, words, least, block)
         roots = components(first.unionByName(second))
         final = written(classes.join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("component_id")), "named")
         rows = final.agg(F.sum("n")).first()[0] or 0
