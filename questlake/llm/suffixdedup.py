@@ -102,7 +102,7 @@ def by_suffix_sort(met: Met, window: int = WINDOW) -> list[bytes]:
         if (was := least.get(c)) is None or v < was:
             least[c] = v
         groups.setdefault(h, {})[c] = None
-    windows: dict[bytes, np.ndarray] = {}
+    found: dict[bytes, tuple[int, bytes]] = {}  # the least of all, and the answer
     batch: list[list[bytes]] = []
     held = 0
 
@@ -114,7 +114,8 @@ def by_suffix_sort(met: Met, window: int = WINDOW) -> list[bytes]:
         sizes = np.array([len(c) for c in flat])
         at = np.cumsum(sizes) - sizes
         n = sizes - window + 1
-        suffix = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = np.cumsum(n) - n
+        suffix = np.repeat(at - first, n) + np.arange(n.sum())
         group = np.repeat(np.repeat(np.arange(len(batch)), [len(g) for g in batch]), n)
         value = np.repeat(np.array([least[c] for c in flat]), n)
         out = np.empty(len(text), np.int64)
@@ -132,8 +133,11 @@ def by_suffix_sort(met: Met, window: int = WINDOW) -> list[bytes]:
                 best[k] = min(v, best.get(k, v))
             for s in suffix.tolist():
                 out[s] = best[raw[s : s + window]]
-        for c, a, m in zip(flat, at.tolist(), n.tolist()):
-            windows[c] = out[a : a + m].copy()
+        each = out[suffix]
+        low, high = np.minimum.reduceat(each, first), np.maximum.reduceat(each, first)
+        one = low.astype("<i8").tobytes()
+        for i, (c, k, m, lo, hi) in enumerate(zip(flat, first.tolist(), n.tolist(), low.tolist(), high.tolist())):
+            found[c] = lo, one[8 * i : 8 * i + 8] if lo == hi else in_runs(each[k : k + m])
         batch.clear()
 
     for g in groups.values():
@@ -144,9 +148,8 @@ def by_suffix_sort(met: Met, window: int = WINDOW) -> list[bytes]:
                 flush()
                 held = 0
     flush()
-    packed = {c: (int(v.min()), in_runs(v)) for c, v in windows.items()}
     alone = lambda c: (least[c], least[c].to_bytes(8, "little", signed=True))
-    return [a if low < last else b"" for c, last in zip(met.contents, met.lasts.tolist()) for low, a in (packed.get(c) or alone(c),)]
+    return [a if low < last else b"" for c, last in zip(met.contents, met.lasts.tolist()) for low, a in (found.get(c) or alone(c),)]
 
 
 def _rows(part: Part, mask: np.ndarray) -> list[tuple]:

@@ -201,9 +201,12 @@ def shard_table(docs: DataFrame, id_col: str, text_col: str, path: str, shards:
 GRAMS = "gram long, shard long, n int, kinds int"
 
 
-def gram_rows(shards: DataFrame, spec: Spec, other_document: bool) -> DataFrame:
+PACKED_GRAMS = "gram long, packed long"
+
+
+def gram_rows(shards: DataFrame, spec: Spec, other_document: bool, packed: bool = False) -> DataFrame:
     """A shard's distinct gram hashes. n is 2 for those that repeat inside the shard (in another document), else 1; kinds is the number of
-    distinct contents around them."""
+    distinct contents around them. ``packed`` puts shard, kinds (up to 2^23 - 1) and n - 1 into one long."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -226,30 +229,33 @@ def gram_rows(shards: DataFrame, spec: Spec, other_document: bool) -> DataFrame:
         g, c = g[order], c[order]
         fresh = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])] if len(g) else np.zeros(0, bool)
         kinds = np.maximum(np.bincount(g[fresh], minlength=len(first)), 1).astype(np.int32)
+        if packed:
+            meta = np.int64(shard) << 24 | np.minimum(kinds, (1 << 23) - 1).astype(np.int64) << 1 | again.astype(np.int64)
+            return pa.table([pa.array(h[first].astype(np.int64)), pa.array(meta)], names=["gram", "packed"])
         cols = h[first].astype(np.int64), np.full(len(first), shard, np.int64), again.astype(np.int32) + np.int32(1), kinds
         return pa.table([pa.array(x) for x in cols], names=["gram", "shard", "n", "kinds"])
 
-    return shards.groupBy("shard").applyInArrow(run, GRAMS)
+    return shards.groupBy("shard").applyInArrow(run, PACKED_GRAMS if packed else GRAMS)
 
 
 def repeated_grams(rows: DataFrame, partitions: int, hot: int) -> DataFrame:
-    """(shard, gram): each shard's gram hashes that repeat anywhere; bit 62 marks those with very many contents."""
+    """(shard, gram): each shard's gram hashes that repeat anywhere, of packed ``rows``; bit 62 marks those with very many contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[], [], [], []]
+        cols = [[], []]
         for batch in batches:
             for c, x in zip(cols, batch.columns):
                 c.append(x.to_numpy())
         if not cols[0]:
             return
-        gram, shard, n, kinds = map(np.concatenate, cols)
+        gram, packed = map(np.concatenate, cols)
         order = np.argsort(gram, kind="stable")
-        gram, shard, n, kinds = gram[order], shard[order], n[order], kinds[order]
+        gram, packed = gram[order], packed[order]
         first = _first(gram)
         sizes = np.diff(np.r_[first, len(gram)])
-        again = np.repeat(np.add.reduceat(n, first) > 1, sizes)
-        flag = np.repeat(np.add.reduceat(kinds.astype(np.int64), first) > hot, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(shard[again]), pa.array(gram[again] | flag[again].astype(np.int64) << 62)], names=["shard", "gram"])
+        again = np.repeat(sizes + np.add.reduceat(packed & 1, first) > 1, sizes)
+        flag = np.repeat(np.add.reduceat(packed >> 1 & ((1 << 23) - 1), first) > hot, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(packed[again] >> 24), pa.array(gram[again] | flag[again].astype(np.int64) << 62)], names=["shard", "gram"])
 
     return rows.repartition(partitions, "gram").mapInArrow(run, "shard long, gram long")
 
@@ -299,12 +305,13 @@ class Stretches:
                     self.uses.append((k, r, seen(part.content(a, b + w - 1), h, doc)))
 
 
-CONTENTS = "anchor long, shard long, number int, content binary, value long, last long"
+# place: the shard, and the content's number in it, in one long; more: the greatest id less the value, or 0
+CONTENTS = "anchor long, place long, content binary, value long, more long"
 
 
 def stretch_rows(shards: DataFrame, grams: DataFrame, spec: Spec, partitions: int, count: bool) -> DataFrame:
     """The distinct contents of each shard around its repeated grams, a row each; ``anchor`` brings those together that may share windows."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
     names = [x.split()[0] for x in CONTENTS.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -312,7 +319,9 @@ def stretch_rows(shards: DataFrame, grams: DataFrame, spec: Spec, partitions: in
             return pa.table([pa.array([], t) for t in kinds], names=names)
         s = Stretches(spec, left, right.column("gram").to_numpy(), count)
         n, shard = len(s.anchor), left.column("shard")[0].as_py()
-        cols = (s.anchor, np.full(n, shard), np.arange(n, dtype=np.int32), list(s.contents), s.value, s.last)
+        value = np.array(s.value, np.int64)
+        more = np.zeros(n, np.int64) if count else np.array(s.last, np.int64) - value
+        cols = (s.anchor, np.int64(shard) << 32 | np.arange(n), list(s.contents), value, more)
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
     return shards.groupBy("shard").cogroup(grams.repartition(partitions, "shard").groupBy("shard")).applyInArrow(run, CONTENTS)
@@ -347,10 +356,11 @@ def resolved(rows: DataFrame, partitions: int, resolver: Callable[[Met], list[by
 
         def out() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            answers = resolver(Met(t.column(0).to_numpy(), t.column(3).to_pylist(), t.column(4).to_numpy(), t.column(5).to_numpy()))
+            value = t.column(3).to_numpy()
+            answers = resolver(Met(t.column(0).to_numpy(), t.column(2).to_pylist(), value, value + t.column(4).to_numpy()))
             some = [i for i, a in enumerate(answers) if a]
-            at = pa.array(some, pa.int64())
-            return pa.RecordBatch.from_arrays([t.column(1).combine_chunks().take(at), t.column(2).combine_chunks().take(at), pa.array([answers[i] for i in some], pa.binary())], names=["shard", "number", "answer"])
+            place = t.column(1).to_numpy()[some]
+            return pa.RecordBatch.from_arrays([pa.array(place >> 32), pa.array((place & 0xFFFFFFFF).astype(np.int32)), pa.array([answers[i] for i in some], pa.binary())], names=["shard", "number", "answer"])
 
         size = 0
         for whole in batches:
@@ -444,7 +454,7 @@ def dedup(docs: DataFrame, spec: Spec, rule: Rule, id_col: str, text_col: str) -
     spark, n, mark = docs.sparkSession, parallelism(docs, 6), len(_TABLES)
     with kept_only(spark, "deduplicated") as path:
         shards = shard_table(docs, id_col, text_col, scratch_path(spark, "shards"), n)
-        grams = written(repeated_grams(gram_rows(shards, spec, not rule.count), n, spec.hot), "grams")
+        grams = written(repeated_grams(gram_rows(shards, spec, not rule.count, packed=True), n, spec.hot), "grams")
         answers = resolved(stretch_rows(shards, grams, spec, n, rule.count), n, rule.resolver)
         out = written(applied(shards, grams, answers, spec, rule, n), "deduplicated", path)
         forget(spark, mark)

@@ -158,7 +158,7 @@ def test_rows_that_are_shuffled_don_t_grow_with_the_shards(spark):
     docs = spark.createDataFrame([(None, f"{text} d{i}") for i in range(12)], "doc_id long, text string")
     for n in (4, 32):
         shards = docs.selectExpr("doc_id AS id", "text", f"pmod(xxhash64(text), {n}) AS shard")
-        grams = winnow.gram_rows(shards, spec, False)
+        grams = winnow.gram_rows(shards, spec, False, packed=True)
         known = winnow.repeated_grams(grams, n, spec.hot)
         rows.append((grams.count(), known.count(), winnow.stretch_rows(shards, known, spec, n, True).count()))
     # documents have the same grams, so each row is a gram of a shard that holds some
