@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from questlake.functions.text import answer_tokens, normalize_answer
-
-
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once: inside lambdas, expressions are otherwise evaluated again for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+from questlake.functions.text import answer_tokens, normalize_answer, once
 
 
 def exact_match(prediction: Column, gold: Column) -> Column:
@@ -25,17 +20,17 @@ def f1_of_tokens(p: Column, g: Column) -> Column:
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
-    return _once(F.struct(answer_tokens(prediction).alias("p"), answer_tokens(gold).alias("g")), lambda s: f1_of_tokens(s["p"], s["g"]))
+    return once(F.struct(answer_tokens(prediction).alias("p"), answer_tokens(gold).alias("g")), lambda s: f1_of_tokens(s["p"], s["g"]))
 
 
 def best_scores(prediction: Column, golds: Column) -> tuple[Column, Column]:
     """Best exact match and, on its own, best F1 over all gold answers."""
-    em = _once(normalize_answer(prediction), lambda p: F.array_max(F.transform(golds, lambda g: (normalize_answer(g) == p).cast("double"))))
-    f1 = _once(answer_tokens(prediction), lambda p: F.array_max(F.transform(F.transform(golds, answer_tokens), lambda g: f1_of_tokens(p, g))))
+    em = once(normalize_answer(prediction), lambda p: F.array_max(F.transform(golds, lambda g: (normalize_answer(g) == p).cast("double"))))
+    f1 = once(answer_tokens(prediction), lambda p: F.array_max(F.transform(F.transform(golds, answer_tokens), lambda g: f1_of_tokens(p, g))))
     return em, f1
 
 
 def reward(prediction: Column, golds: Column, termination: Column, strict: Column) -> Column:
     """1 for a strictly valid answer that matches any gold one, else 0."""
-    hit = _once(normalize_answer(prediction), lambda p: F.exists(golds, lambda g: normalize_answer(g) == p))
+    hit = once(normalize_answer(prediction), lambda p: F.exists(golds, lambda g: normalize_answer(g) == p))
     return F.coalesce(((termination == "answer") & strict & hit).cast("double"), F.lit(0.0))

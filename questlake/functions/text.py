@@ -17,9 +17,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: inside lambdas, expressions are otherwise evaluated again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_whitespace(c) -> Column:
-    """Runs of white space become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(_col(c), f"{WS}+", " "))
+    """Runs of white space become one space; ends are trimmed. Single spaces, which are most of it, aren't touched."""
+    return F.trim(F.regexp_replace(_col(c), f"{WS.replace('-\\x20', '-\\x1f')}{WS}*| {WS}+", " "))
 
 
 def strip(c) -> Column:
@@ -40,6 +45,10 @@ def nfkc_casefold(c) -> Column:
     return F.pandas_udf(_fold, "string")(_col(c))
 
 
+# Beyond Latin letters that lower case folds as well.
+_UNUSUAL = "[^\\x00-\\xb4\\xb6-\\xde\\xe0-\\u012f\\u0132-\\u0148\\u014a-\\u017e]"
+
+
 def casefold(c) -> Column:
     """Full case folding in the JVM: upper case expands what has no single lower case, and lower case folds the rest.
 
@@ -47,7 +56,8 @@ def casefold(c) -> Column:
     alone, and stop the optimizer from dropping the inner conversion.
     """
     up = F.upper(F.translate(_col(c), "ıẞϴ", "\uffffßθ"))
-    return F.translate(F.lower(F.translate(up, "\uffff", "\uffff")), "ς\uffff", "σı")
+    full = F.translate(F.lower(F.translate(up, "\uffff", "\uffff")), "ς\uffff", "σı")
+    return F.when(_col(c).rlike(_UNUSUAL), full).otherwise(F.lower(_col(c)))
 
 
 def normalize_question(c) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questlake.functions.text import casefold, normalize_whitespace
+from questlake.functions.text import casefold, normalize_whitespace, once
 from questlake.operators.guards import checked
 
 # Ids that are left out of the multi-hop source.
@@ -16,8 +16,8 @@ def clean_list(items: Column) -> Column:
     """White space normalised, blanks out (``row_error`` reports them), the first spelling of each value that is the same by case folding
     kept in order."""
     tidy = F.filter(F.transform(items, normalize_whitespace), lambda x: x != "")
-    keys = F.transform(tidy, casefold)
-    return F.filter(tidy, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    first = lambda t: once(F.transform(t, casefold), lambda keys: F.filter(t, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    return once(tidy, first)
 
 
 def normalized_count(items: Column) -> Column:
@@ -25,7 +25,8 @@ def normalized_count(items: Column) -> Column:
 
 
 def duplicate_count(items: Column) -> Column:
-    return F.size(F.filter(F.transform(items, normalize_whitespace), lambda x: x != "")) - F.size(clean_list(items))
+    keys = F.transform(F.filter(F.transform(items, normalize_whitespace), lambda x: x != ""), casefold)
+    return once(keys, lambda k: F.size(k) - F.size(F.array_distinct(k)))
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:
@@ -90,7 +91,10 @@ def first_rows(df: DataFrame, n: int | None, ordinal: str = "ordinal") -> DataFr
 
 def counters(df: DataFrame, by: str = "source_split") -> DataFrame:
     """Rows, normalised answers and dropped duplicates per split and overall, of raw ``golden_answers``."""
-    return df.rollup(by).agg(F.count("*").alias("read"), F.sum(normalized_count(F.col("golden_answers"))).cast("long").alias("normalized"), F.sum(duplicate_count(F.col("golden_answers"))).cast("long").alias("duplicates")).withColumn(by, F.coalesce(by, F.lit("overall")))
+    # per row before the rollup, which doubles the rows
+    each = df.select(by, normalized_count(F.col("golden_answers")).alias("a"), duplicate_count(F.col("golden_answers")).alias("b"))
+    sums = [F.count("*").alias("read"), F.sum("a").cast("long").alias("normalized"), F.sum("b").cast("long").alias("duplicates")]
+    return each.groupBy(by).agg(*sums).rollup(by).agg(*[F.sum(c).cast("long").alias(c) for c in ("read", "normalized", "duplicates")]).withColumn(by, F.coalesce(by, F.lit("overall")))
 
 
 def training_prefix(df: DataFrame) -> DataFrame:
