@@ -239,7 +239,10 @@ def gram_rows(shards: DataFrame, spec: Spec, other_document: bool, packed: bool
 
 
 def repeated_grams(rows: DataFrame, partitions: int, hot: int) -> DataFrame:
-    """(shard, gram): each shard's gram hashes that repeat anywhere, of packed ``rows``; bit 62 marks those with very many contents."""
+    """(shard, grams): each shard's gram hashes that repeat anywhere, of packed ``rows``; bit 62 marks those with very many contents.
+
+    A task packs what it has for one shard, so there are never more rows than grams.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[], []]
@@ -255,9 +258,20 @@ def repeated_grams(rows: DataFrame, partitions: int, hot: int) -> DataFrame:
         sizes = np.diff(np.r_[first, len(gram)])
         again = np.repeat(sizes + np.add.reduceat(packed & 1, first) > 1, sizes)
         flag = np.repeat(np.add.reduceat(packed >> 1 & ((1 << 23) - 1), first) > hot, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(packed[again] >> 24), pa.array(gram[again] | flag[again].astype(np.int64) << 62)], names=["shard", "gram"])
+        shard, marked = packed[again] >> 24, gram[again] | flag[again].astype(np.int64) << 62
+        order = np.argsort(shard, kind="stable")
+        shard, marked = shard[order], marked[order]
+        some = list(cut(shard))
+        yield pa.RecordBatch.from_arrays([pa.array(shard[_first(shard)]), pa.array([marked[a:b].tobytes() for a, b in some], pa.binary())], names=["shard", "grams"])
+
+    return rows.repartition(partitions, "gram").mapInArrow(run, "shard long, grams binary")
+
 
-    return rows.repartition(partitions, "gram").mapInArrow(run, "shard long, gram long")
+def _grams(table: pa.Table) -> np.ndarray:
+    """The gram hashes of a shard, packed or a row each."""
+    if "grams" in table.schema.names:
+        return np.frombuffer(b"".join(table.column("grams").to_pylist()), np.int64)
+    return table.column("gram").to_numpy()
 
 
 class Stretches:
@@ -317,7 +331,7 @@ def stretch_rows(shards: DataFrame, grams: DataFrame, spec: Spec, partitions: in
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        s = Stretches(spec, left, right.column("gram").to_numpy(), count)
+        s = Stretches(spec, left, _grams(right), count)
         n, shard = len(s.anchor), left.column("shard")[0].as_py()
         value = np.array(s.value, np.int64)
         more = np.zeros(n, np.int64) if count else np.array(s.last, np.int64) - value
@@ -346,9 +360,10 @@ def in_runs(values: np.ndarray) -> bytes:
 
 
 def resolved(rows: DataFrame, partitions: int, resolver: Callable[[Met], list[bytes]], batch_bytes: int = 1 << 20) -> DataFrame:
-    """(shard, number, answer): ``resolver`` gives ``in_runs`` of an answer a window, or b"" where nothing goes.
+    """(shard, numbers, sizes, answers): ``resolver`` gives ``in_runs`` of an answer a window, or b"" where nothing goes.
 
-    Rows come sorted by anchor, so a task holds the contents of few anchors at once.
+    Rows come sorted by anchor, so a task holds the contents of few anchors at once, and packs the answers that it then has for one shard;
+    there are never more rows than answers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,9 +373,14 @@ def resolved(rows: DataFrame, partitions: int, resolver: Callable[[Met], list[by
             t = pa.Table.from_batches(held).combine_chunks()
             value = t.column(3).to_numpy()
             answers = resolver(Met(t.column(0).to_numpy(), t.column(2).to_pylist(), value, value + t.column(4).to_numpy()))
-            some = [i for i, a in enumerate(answers) if a]
+            sizes = np.fromiter(map(len, answers), np.int32, len(answers))
+            some = np.flatnonzero(sizes)
             place = t.column(1).to_numpy()[some]
-            return pa.RecordBatch.from_arrays([pa.array(place >> 32), pa.array((place & 0xFFFFFFFF).astype(np.int32)), pa.array([answers[i] for i in some], pa.binary())], names=["shard", "number", "answer"])
+            order = np.argsort(place, kind="stable")
+            some, shard, number = some[order], place[order] >> 32, (place[order] & 0xFFFFFFFF).astype(np.int32)
+            packed = [(number[a:b].tobytes(), sizes[some[a:b]].tobytes(), b"".join([answers[i] for i in some[a:b].tolist()])) for a, b in cut(shard)]
+            cols = zip(*packed) if packed else [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(shard[_first(shard)]), *(pa.array(c, pa.binary()) for c in cols)], names=["shard", "numbers", "sizes", "answers"])
 
         size = 0
         for whole in batches:
@@ -368,29 +388,33 @@ def resolved(rows: DataFrame, partitions: int, resolver: Callable[[Met], list[by
                 anchors = batch.column(0).to_numpy()
                 if held and size > batch_bytes:
                     # close what is held where a new anchor starts
-                    cut = int(np.searchsorted(anchors, held[-1].column(0)[-1].as_py(), side="right"))
-                    if cut < len(anchors):
-                        held.append(batch.slice(0, cut))
+                    stop = int(np.searchsorted(anchors, held[-1].column(0)[-1].as_py(), side="right"))
+                    if stop < len(anchors):
+                        held.append(batch.slice(0, stop))
                         yield out()
                         held.clear()
-                        size, batch = 0, batch.slice(cut)
+                        size, batch = 0, batch.slice(stop)
                 held.append(batch)
                 size += batch.nbytes
         if held:
             yield out()
 
-    return rows.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "shard long, number int, answer binary")
+    return rows.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "shard long, numbers binary, sizes binary, answers binary")
 
 
-def removed_spans(stretches: Stretches, numbers: np.ndarray, answers: pa.ChunkedArray, spec: Spec, neutral: int, gone: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[Part, np.ndarray]]:
+def removed_spans(stretches: Stretches, told: Iterator[tuple[bytes, bytes, bytes]], spec: Spec, neutral: int, gone: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[Part, np.ndarray]]:
     """Each part with a mask of the symbols that windows cover for which ``gone(answers, ids)`` holds."""
     one, many = np.full(len(stretches.anchor), neutral, np.int64), {}
-    for i, a in zip(numbers.tolist(), answers.to_pylist()):
-        if len(a) == 8:
-            one[i] = int.from_bytes(a, "little", signed=True)
-        else:
-            k = len(a) // 12
-            many[i] = np.repeat(np.frombuffer(a, "<i8", k), np.frombuffer(a, "<i4", k, 8 * k))
+    for numbers, sizes, answers in told:
+        number, size = np.frombuffer(numbers, np.int32), np.frombuffer(sizes, np.int32)
+        end = np.cumsum(size)
+        data, plain = np.frombuffer(answers, np.uint8), size == 8
+        at = (end - size)[plain]
+        if len(at):
+            one[number[plain]] = data[at[:, None] + np.arange(8)].reshape(-1).view("<i8")
+        for i, b, m in zip(number[~plain].tolist(), end[~plain].tolist(), size[~plain].tolist()):
+            k = m // 12
+            many[i] = np.repeat(np.frombuffer(answers, "<i8", k, b - m), np.frombuffer(answers, "<i4", k, b - m + 8 * k))
     several = np.zeros(len(one), bool)
     several[list(many)] = True
     w = spec.window
@@ -433,16 +457,17 @@ class Rule:
 
 def applied(shards: DataFrame, grams: DataFrame, answers: DataFrame, spec: Spec, rule: Rule, partitions: int) -> DataFrame:
     """The rows that ``rule.finish`` makes of each shard's documents."""
-    side = grams.select("shard", "gram", F.lit(None).cast("int").alias("number"), F.lit(None).cast("binary").alias("answer"))
-    side = side.unionByName(answers.select("shard", F.lit(None).cast("long").alias("gram"), "number", "answer")).repartition(partitions, "shard")
+    name, kind = grams.columns[1], grams.schema[1].dataType
+    side = grams.select("shard", name, *[F.lit(None).cast("binary").alias(c) for c in ("numbers", "sizes", "answers")])
+    side = side.unionByName(answers.select("shard", F.lit(None).cast(kind).alias(name), "numbers", "sizes", "answers")).repartition(partitions, "shard")
     schema, finish, count, neutral, gone = pa.schema([(f, t) for f, t, _ in rule.fields]), rule.finish, rule.count, rule.neutral, rule.gone
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows:
-            known, told = right.filter(pc.field("gram").is_valid()), right.filter(pc.field("number").is_valid())
-            s = Stretches(spec, left, known.column("gram").to_numpy(), count)
-            for part, mask in removed_spans(s, told.column("number").to_numpy(), told.column("answer"), spec, neutral, gone):
+            known, told = right.filter(pc.field(name).is_valid()), right.filter(pc.field("numbers").is_valid())
+            s = Stretches(spec, left, _grams(known), count)
+            for part, mask in removed_spans(s, zip(*(told.column(c).to_pylist() for c in ("numbers", "sizes", "answers"))), spec, neutral, gone):
                 rows += finish(part, mask)
         return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema) if rows else schema.empty_table()
 
