@@ -33,8 +33,8 @@ from questlake.llm.common import ids_array, parallelism, pieces, written
 from questlake.session import importable
 
 SIZE = 2048
-#: Words that a worker remembers (some 40 MB).
-MOST_CACHED = 150_000
+#: Words that a worker remembers (some 100 MB).
+MOST_CACHED = 500_000
 #: Characters for which white-space words can be tokenized apart: printable ASCII, Latin letters that NFC and lower-casing keep apart.
 #: Their lower case in Python is that of the tokenizer.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-įĲ-ɏ]")
