@@ -57,7 +57,8 @@ def casefold(c) -> Column:
     """
     up = F.upper(F.translate(_col(c), "ıẞϴ", "\uffffßθ"))
     full = F.translate(F.lower(F.translate(up, "\uffff", "\uffff")), "ς\uffff", "σı")
-    return F.when(_col(c).rlike(_UNUSUAL), full).otherwise(F.lower(_col(c)))
+    # the empty string keeps the optimizer from taking lower(upper(x)) for lower(x)
+    return F.when(_col(c).rlike(_UNUSUAL), full).otherwise(F.lower(F.concat(_col(c), F.lit(""))))
 
 
 def normalize_question(c) -> Column:

@@ -357,6 +357,7 @@ def test_case_folding_is_python_s(spark):
     rnd = random.Random(2)
     texts = ["Straße", "STRASSE", "ẞ", "ﬁn", "FIN", "İı", "Ii", "ΣΑΣ σας", "ſ", "ϴθ", "µμ", "ŉ", "Å", "ǰ", "ᾳ"] + ["".join(rnd.choice("ßẞsSıIiİσςΣſﬁﬀµμϴθΩΩKk") for _ in range(6)) for _ in range(300)]
     assert column(spark, texts, tx.casefold) == [t.casefold() for t in texts]
+    assert column(spark, ["Maße", "STRASSE ẞ", "x"], lambda c: tx.casefold(F.upper(c))) == ["masse", "strasse ss", "x"]
 
 
 def test_prefix_errors(spark):
