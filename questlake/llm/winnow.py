@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questlake.llm.common import ids_array, kept_only, parallelism, pieces, scratch_path, utf8_arrays, utf8_rows, written
+from questlake.session import free_shuffles
 
 CHUNK = 1 << 20
 SLAB = 1 << 15
@@ -475,12 +476,16 @@ def applied(shards: DataFrame, grams: DataFrame, answers: DataFrame, spec: Spec,
 
 
 def dedup(docs: DataFrame, spec: Spec, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Run the passes. The result is written, and the tables that led to it are dropped."""
+    """Run the passes. The result is written, and the tables that led to it are dropped. Each pass ends in a table, and what it shuffled
+    goes before the next one writes: on disk are the tables and one pass's shuffle, not all passes'."""
     spark, n, mark = docs.sparkSession, parallelism(docs, 6), len(_TABLES)
     with kept_only(spark, "deduplicated") as path:
         shards = shard_table(docs, id_col, text_col, scratch_path(spark, "shards"), n)
+        free_shuffles(spark)
         grams = written(repeated_grams(gram_rows(shards, spec, not rule.count, packed=True), n, spec.hot), "grams")
-        answers = resolved(stretch_rows(shards, grams, spec, n, rule.count), n, rule.resolver)
+        free_shuffles(spark)
+        answers = written(resolved(stretch_rows(shards, grams, spec, n, rule.count), n, rule.resolver), "answers")
+        free_shuffles(spark)
         out = written(applied(shards, grams, answers, spec, rule, n), "deduplicated", path)
         forget(spark, mark)
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -67,3 +68,13 @@ def cut(df: DataFrame, name: str = "rows", path: str | None = None) -> DataFrame
     path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed. Spark removes them once the driver has collected what planned them, which a driver
+    with little to do may not do until the session ends."""
+    gc.collect()
+    spark.sql("SELECT 1").collect()  # the listeners hold the last query until another one ends
+    with contextlib.suppress(Exception):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark.sparkContext._jvm.System.gc()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 import brute
 import numpy as np
@@ -198,3 +199,21 @@ def test_cleaned_with_clashing_columns(spark):
     docs = spark.createDataFrame([(1, f"a {w}", *"123456", None), (1, f"b {w}", *"abcdef", "z")], ", ".join(f"`{n}` string" if i else "doc_id long" for i, n in enumerate(names)))
     got = sorted((tuple(r) for r in substringdedup.cleaned(docs).collect()), key=repr)
     assert got == [(1, "a", *"123456", None), (1, "b", *"abcdef", "z")]
+
+
+def test_suffix_dedup_frees_what_a_pass_shuffled(spark, monkeypatch):
+    """When the last pass starts, the shuffle files of the earlier ones are gone."""
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before, seen, applied = held(), [], winnow.applied
+
+    def last(*args):
+        until = time.time() + 20
+        while held() > before and time.time() < until:
+            time.sleep(0.2)
+        seen.append(held())
+        return applied(*args)
+
+    monkeypatch.setattr(winnow, "applied", last)
+    docs = corpus(7)
+    got = suffixdedup.suffix_dedup(frame(spark, docs)).count()
+    assert got == len(docs) and len(seen) == 1 and seen[0] <= before
