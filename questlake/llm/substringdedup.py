@@ -37,12 +37,27 @@ BATCHES = 3
 RUN = "gram long, n int, kinds long"
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("gram").agg(F.sum("n").cast("int").alias("n"), F.sum("kinds").alias("kinds"))
+
+
+def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A row a fingerprint, of two that have a row each. Not by grouping their union: Spark 4.1 takes a union of bucketed scans for
+    dealt by the key, but puts its partitions one after the other, so that the rows of a key don't meet."""
+    other = b.select("gram", F.col("n").alias("n_b"), F.col("kinds").alias("kinds_b"))
+    both = lambda c: F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}_b", F.lit(0))
+    return a.join(other.hint("merge"), "gram", "full").select("gram", both("n").cast("int").alias("n"), both("kinds").cast("long").alias("kinds"))
+
+
 class FingerprintLog:
     """The index of the fingerprints of all batches so far: sorted immutable runs in a folder that all executors share.
 
-    ``append`` takes a batch of arrivals: its fingerprints are sorted and merge-joined with every run; those that now repeat are noted;
-    the batch's own become a new run. When a run is no longer much larger than the one after it, the two are merged, so there are few
-    runs and each entry is rewritten a logarithmic number of times. ``deduplicated`` verifies what was noted on the words themselves.
+    ``append`` takes a batch of arrivals: its fingerprints become a sorted run. Runs that are not much larger than what comes after them
+    are merged with it and written once, together, so there are few runs and each entry is rewritten a logarithmic number of times.
+    ``deduplicated`` merge-joins the batches' fingerprints with what repeats in the runs and verifies what it finds on the words themselves.
+
+    Each file written starts processes for its permissions where Hadoop has no native library, so nothing is written that a join or
+    a scan of the runs gives as well.
 
     Runs are bucketed and sorted by fingerprint, so joins shuffle nothing. A manifest, replaced after each batch, lists what is valid;
     ``FingerprintLog`` on the same folder goes on from it. One writer at a time.
@@ -51,7 +66,7 @@ class FingerprintLog:
     def __init__(self, spark: SparkSession, path: str, spec: Spec, buckets: int = 64, ratio: int = 3):
         self.spark, self.path, self.spec, self.ratio = spark, path.rstrip("/"), spec, ratio
         importable(spark)
-        self.state = {"buckets": buckets, "window": spec.window, "gram": spec.gram, "batches": [], "runs": [], "repeats": []}
+        self.state = {"buckets": buckets, "window": spec.window, "gram": spec.gram, "batches": [], "runs": []}
         fs, p = hadoop_fs(spark, f"{self.path}/manifest.json")
         if fs.exists(p):
             self.state = json.loads(spark.read.text(p.toString(), wholetext=True).first()[0])
@@ -80,7 +95,8 @@ class FingerprintLog:
         return self.tables[path]
 
     def _run(self, run: dict) -> DataFrame:
-        return self._get(run["path"], RUN, "gram", self.state["buckets"])
+        rows = self._get(run["path"], RUN, "gram", self.state["buckets"])
+        return _summed(rows) if "repeats" in self.state else rows  # runs of earlier versions may have several rows a fingerprint
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> int:
         """Take a batch in; its number. Its documents are dealt to ``shards`` (by default some for each partition of its scan)."""
@@ -89,36 +105,28 @@ class FingerprintLog:
         path = f"{self.path}/shards-{uuid.uuid4().hex}"
         self.tables[path] = shard_table(docs, id_col, text_col, path, n, first)
         grams, table = self._put(gram_rows(self.tables[path], self.spec, False), "grams", "gram", buckets)
-        mine = table.groupBy("gram").agg(F.sum("n").cast("int").alias("n"), F.sum("kinds").alias("kinds"))
-        met = mine
-        for i, run in enumerate(s["runs"]):
-            other = self._run(run).select("gram", F.col("n").alias(f"n{i}"), F.col("kinds").alias(f"kinds{i}"))
-            met = met.join(other.hint("merge"), "gram", "left")
-        total = lambda c: sum((F.coalesce(f"{c}{i}", F.lit(0)) for i in range(len(s["runs"]))), F.col(c))
-        found = met.select("gram", total("kinds").cast("long").alias("kinds"), total("n").alias("n")).where("n > 1").select("gram", "kinds")
-        s["repeats"].append(self._put(found, "repeats", "gram", buckets)[0])
+        runs, mine, rows = list(s["runs"]), _summed(table), table.count()
+        while runs and runs[-1]["rows"] < self.ratio * rows:
+            rows += runs[-1]["rows"]
+            mine = _merged(mine, self._run(runs.pop()))
         made, run = self._put(mine, "run", "gram", buckets)
-        s["runs"].append({"path": made, "rows": run.count()})
+        s["runs"] = [*runs, {"path": made, "rows": run.count()}]
         s["batches"].append({"path": path, "grams": grams, "first": first, "shards": n})
-        while len(s["runs"]) > 1 and s["runs"][-2]["rows"] < self.ratio * s["runs"][-1]["rows"]:
-            a, b = s["runs"][-2:]
-            both = self._run(a).unionByName(self._run(b)).groupBy("gram").agg(F.sum("n").cast("int").alias("n"), F.sum("kinds").alias("kinds"))
-            made, run = self._put(both, "run", "gram", buckets)
-            s["runs"][-2:] = [{"path": made, "rows": run.count()}]
         self._commit()
         return len(s["batches"]) - 1
 
     def deduplicated(self, rule: Rule, batch: int | None = None) -> DataFrame:
         """What ``rule`` makes of all documents, or of one batch's, judged against everything in the log."""
         s, buckets, n = self.state, self.state["buckets"], max((b["shards"] for b in self.state["batches"]), default=1)
-        repeats = [self._get(p, "gram long, kinds long", "gram", buckets) for p in s["repeats"]]
-        known = reduce(DataFrame.unionByName, repeats).groupBy("gram").agg((F.max("kinds") > self.spec.hot).alias("hot"))
         each = [(b, self._get(b["path"], "id long, text string, shard long", "shard", b["shards"]), self._get(b["grams"], GRAMS, "gram", buckets)) for b in s["batches"]]
+        runs = [self._run(r) for r in s["runs"]]
+        known = reduce(_merged, runs).where("n > 1").select("gram", (F.col("kinds") > self.spec.hot).alias("hot"))
         if batch is not None:
             known = known.join(each[batch][2].select("gram"), "gram", "left_semi")
-        known = written(known, "known")
+        if batch is not None or len(runs) > 1:  # else a scan of the run, which needs no shuffle
+            known = bucketed(known, scratch_path(self.spark, "known"), "gram", buckets, ordered=True)
         flagged = F.when(F.col("hot"), F.col("gram").bitwiseOR(F.lit(1 << 62))).otherwise(F.col("gram")).alias("gram")
-        sides = [written(g.join(known, "gram").select("shard", flagged), "side") for _, _, g in each]
+        sides = [g.join(known.hint("merge"), "gram").select("shard", flagged) for _, _, g in each]
         contents = reduce(DataFrame.unionByName, [stretch_rows(t, side, self.spec, b["shards"], rule.count) for (b, t, _), side in zip(each, sides)])
         answers = written(resolved(contents, sum(b["shards"] for b in s["batches"]), rule.resolver), "answers")
         out = []
@@ -177,7 +185,7 @@ def _texts(part: Part, mask: np.ndarray) -> list[tuple]:
 def _run(docs, finish, fields, id_col, text_col, window, gram, hot=4096, batches=BATCHES):
     spark, mark, spec = docs.sparkSession, tables_made(), Spec(window, gram, True, hot)
     with kept_only(spark, "deduplicated") as path:
-        log, shards = FingerprintLog(spark, scratch_path(spark, "fingerprints"), spec, parallelism(docs, 2)), -(-parallelism(docs, 6) // batches)
+        log, shards = FingerprintLog(spark, scratch_path(spark, "fingerprints"), spec, parallelism(docs, 1)), -(-parallelism(docs, 4) // batches)
         for k in range(batches):
             log.append(docs.where(F.pmod(F.spark_partition_id(), F.lit(batches)) == k) if batches > 1 else docs, id_col, text_col, shards)
         out = written(log.deduplicated(Rule(lambda met: by_words(met, window), True, 0, lambda v, doc: v > 0, finish, fields)), "deduplicated", path)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import random
 import time
+from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +219,26 @@ def test_suffix_dedup_frees_what_a_pass_shuffled(spark, monkeypatch):
     docs = corpus(7)
     got = suffixdedup.suffix_dedup(frame(spark, docs)).count()
     assert got == len(docs) and len(seen) == 1 and seen[0] <= before
+
+
+def test_fingerprint_log_writes_nothing_that_its_runs_give(spark, tmp_path):
+    """Like batches end in one run: each is merged before it is written, and what repeats is read off the run."""
+    from questlake import session
+
+    docs, path = corpus(8, 90), tmp_path / "log"
+    log = substringdedup.FingerprintLog(spark, str(path), substringdedup.Spec(35, 8, True), buckets=4)
+    for k in range(3):
+        log.append(frame(spark, docs[k::3]), shards=3)
+    there = session.scratch_paths()
+    fields = [("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
+    rule = substringdedup.Rule(substringdedup.by_words, True, 0, lambda v, doc: v > 0, substringdedup._rows, fields)
+    assert {r[0]: tuple(r)[1:] for r in log.deduplicated(rule).collect()} == brute.substring_dedup(docs)
+    assert sorted(p.name.split("-")[0] for p in path.iterdir() if p.is_dir()) == ["grams"] * 3 + ["run"] * 3 + ["shards"] * 3
+    assert [p.rsplit("/questlake-", 1)[1].split("-")[0] for p in session.scratch_paths() if p not in there] == ["answers"]
+    assert len(log.state["runs"]) == 1
+    whole, sums = Counter(), Counter()
+    for b in log.state["batches"]:
+        for r in spark.read.parquet(b["grams"]).collect():
+            whole[r.gram] += r.n
+            sums[r.gram] += r.kinds
+    assert sorted(tuple(r) for r in log._run(log.state["runs"][0]).collect()) == sorted((g, whole[g], sums[g]) for g in whole)
