@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questlake.llm import bpe, langid, media, mtree, packing, sharding, simhash, substringdedup, suffixdedup, toxicity
+from questlake.llm import bpe, langid, lexical, media, mtree, packing, pairbpe, sharding, simhash, substringdedup, suffixdedup, toxicity, whitening
 from questlake.llm.common import scratch_path, table
 
 
@@ -68,7 +68,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", toxicity.held_out().alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_sharding, op4_sentencepiece, op5_substring_dedup, op6_best_fit_packing, op7_media_columns, op8_exact_top_k, op9_simhash, op10_toxicity)}
+def op11_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairbpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep=["doc_id"])
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that doesn't fit 64 bits is null."""
+    got = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return got.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_sharding, op4_sentencepiece, op5_substring_dedup, op6_best_fit_packing, op7_media_columns, op8_exact_top_k, op9_simhash, op10_toxicity, op11_pair_bpe, op12_lexical_search, op13_whitening)}
 
 ORACLE: dict[str, str] = {
     "op3_sharding": "SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars FROM documents",
@@ -83,4 +97,18 @@ ORACLE: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 5
     """,
+    "op12_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        b AS (SELECT row_number() OVER () AS r, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+        c AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, n),
+        q AS (SELECT r, term, count(*) AS times FROM (SELECT r, unnest(t) AS term FROM b) GROUP BY ALL),
+        s AS (
+            SELECT q.r AS qr, d.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(t) * n) // l))))::BIGINT AS score
+            FROM q JOIN w USING (term) JOIN p USING (term) JOIN d ON d.r = p.r CROSS JOIN c GROUP BY q.r, d.r, d.doc_id
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY qr ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+        FROM s JOIN b ON b.r = qr WHERE score > 0 QUALIFY rank <= 10
+    """,
 }
