@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from questlake.llm.common import importable, parallelism, pieces, utf8_rows, written
 
 #: Bytes of text that a shard holds before it is closed; a longer document has a shard of its own.
-SHARD = 8 << 20
+SHARD = 4 << 20
 #: Terms and queries a block.
 BLOCK_TERMS, BLOCK_QUERIES = 1 << 17, 1 << 12
 #: Packed queries up to this size are broadcast.
@@ -192,7 +192,7 @@ def query_blocks(index: Index, queries: DataFrame, query_id: str, text_col: str)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([held], pa.list_(ITEM))], schema=schema)
 
-    return written(whole.repartition(parts, "row").mapInArrow(blocks, "items array<struct<row: bigint, item: bigint, terms: array<struct<term: binary, times: bigint, df: bigint>>>>"), "lexical-blocks")
+    return written(whole.coalesce(parts).mapInArrow(blocks, "items array<struct<row: bigint, item: bigint, terms: array<struct<term: binary, times: bigint, df: bigint>>>>"), "lexical-blocks")
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, query_id: str = "item_id", text_col: str = "text", broadcast: int = BROADCAST) -> DataFrame:

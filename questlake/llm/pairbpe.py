@@ -14,13 +14,14 @@ results are replaced by them, other extra columns are kept (or only those named
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,11 @@ _RUNS = re.compile(r"\s\s|\0")
 #: Stands before a unit without a space.
 _BARE = "\0"
 #: Units and words that a worker remembers.
-MOST_CACHED = 250_000
+MOST_CACHED = 400_000
 #: Bytes of words that share one index; a longer word has its own.
-ROW = 1 << 20
+ROW = 1 << 21
+#: Positions of one rank that are merged by array operations.
+MANY = 150
 
 
 def shown_bytes() -> dict[str, int]:
@@ -87,7 +90,7 @@ class PairBPE:
         self.order = np.argsort(codes)
         self.codes = codes[self.order]
         self.library = Tokenizer.from_file(path).pre_tokenizer
-        self.pack = (lambda ids: b"".join([b",%d" % i for i in ids])) if decimal else (lambda ids: np.array(ids, "<u4").tobytes())
+        self.form = [b",%d" % i if decimal else i.to_bytes(4, "little") for i in range(self.size)]
         self.words: dict[str, tuple[bytes, bytes]] = {}
         self.units: dict[str, tuple[bytes, bytes]] = {}
         self.known = {chr(c) for c in range(128)}
@@ -111,6 +114,7 @@ class PairBPE:
         sym = array("i", row.astype(np.int32).tobytes())
         nxt = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes())
         prv = array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+        views = [np.frombuffer(x, np.int32) for x in (sym, nxt, prv)]  # the same memory
         active = list(places)
         heapq.heapify(active)
         size, rank_of = self.size, self.rank.get
@@ -118,6 +122,14 @@ class PairBPE:
             r = heapq.heappop(active)
             a, b, made = self.merges[r]
             spots = places.pop(r)
+            if len(spots) >= MANY and a != b:
+                for k, more in self.merge_many(np.array(spots), a, b, made, *views):
+                    if k in places:
+                        places[k] += more
+                    else:
+                        places[k] = more
+                        heapq.heappush(active, k)
+                continue
             spots.sort()
             for p in spots:
                 if sym[p] != a:
@@ -129,25 +141,47 @@ class PairBPE:
                 nxt[p] = after = nxt[q]
                 prv[after] = p  # each word ends in a mark, so there is a symbol after it
                 before = prv[p]
-                pairs = []
-                if before >= 0 and sym[before] >= 0:
-                    pairs.append((sym[before] * size + made, before))
-                if sym[after] >= 0:
-                    pairs.append((made * size + sym[after], p))
-                for c, spot in pairs:
-                    k = rank_of(c)
-                    if k is not None:
-                        if k in places:
-                            places[k].append(spot)
-                        else:
-                            places[k] = [spot]
-                            heapq.heappush(active, k)
+                if before >= 0 and (c := sym[before]) >= 0 and (k := rank_of(c * size + made)) is not None:
+                    if k in places:
+                        places[k].append(before)
+                    else:
+                        places[k] = [before]
+                        heapq.heappush(active, k)
+                if (c := sym[after]) >= 0 and (k := rank_of(made * size + c)) is not None:
+                    if k in places:
+                        places[k].append(p)
+                    else:
+                        places[k] = [p]
+                        heapq.heappush(active, k)
         left = np.frombuffer(sym, np.int32)
         alive = left >= 0
         upto = np.r_[0, np.cumsum(alive)]
         ids, cut = left[alive].tolist(), upto[np.r_[starts, n]]
         return [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
+    def merge_many(self, p: np.ndarray, a: int, b: int, made: int, sym: np.ndarray, nxt: np.ndarray, prv: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """One rank at many positions at once (of different tokens, so none overlap), and the positions that it adds by rank."""
+        p = p[sym[p] == a]
+        p = p[sym[nxt[p]] == b]
+        q = nxt[p]
+        sym[p], sym[q] = made, -2
+        nxt[p] = after = nxt[q]
+        prv[after] = p
+        before = prv[p]
+        left = before[before >= 0]
+        left = left[sym[left] >= 0]
+        right = p[sym[after] >= 0]
+        code = np.r_[sym[left].astype(np.int64) * self.size + made, made * self.size + sym[nxt[right]].astype(np.int64)]
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = np.flatnonzero(self.codes[at] == code)
+        if len(hit):
+            rank = self.order[at[hit]]
+            by = np.argsort(rank)
+            rank, spots = rank[by], np.r_[left, right][hit[by]].tolist()
+            cuts = [0, *(np.flatnonzero(np.diff(rank)) + 1).tolist(), len(rank)]
+            for i, j in zip(cuts, cuts[1:]):
+                yield int(rank[i]), spots[i:j]
+
     def learn(self, words: Iterable[str]) -> None:
         """Encode words that aren't remembered, as many together as fit in a row."""
         if len(self.words) > MOST_CACHED:
@@ -155,8 +189,9 @@ class PairBPE:
         row, length = [], 0
         for w in [*words, None]:
             if row and (w is None or length + len(w) > ROW):
+                form, shown = self.form, self.shown
                 for x, ids in zip(row, self.merged([x.encode() for x in row])):
-                    self.words[x] = self.pack(ids), b"".join([self.shown[i] for i in ids])
+                    self.words[x] = (form[ids[0]], shown[ids[0]]) if len(ids) == 1 else (b"".join([form[i] for i in ids]), b"".join([shown[i] for i in ids]))
                 row, length = [], 0
             if w is not None:
                 row.append(w)
@@ -164,7 +199,7 @@ class PairBPE:
 
     def cut_words(self, text: str) -> list[str]:
         if text.isascii():
-            return ASCII.findall(text)
+            return [text] if text.isalpha() or text[:1] == " " and text[1:].isalpha() else ASCII.findall(text)
         if not self.known.issuperset(text):
             new = set(text) - self.known
             if any(unicodedata.category(c) == "Cn" for c in new):
@@ -185,7 +220,16 @@ class PairBPE:
         return out
 
     def encode_many(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids and decoded bytes of each text."""
+        """Packed ids and decoded bytes of each text. What is made here has no cycles, so their collector needn't look at it."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_many(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         if len(self.units) > MOST_CACHED:
             self.units.clear()
         parts = [[(x, self.special.get(x)) for x in (self.cut.split(t) if self.cut else [t]) if x] for t in texts]
@@ -208,8 +252,8 @@ class PairBPE:
         done = {x: [known[u] for u in keys] for x, keys in keyed.items()} | {x: [words[w] for w in ws] for x, ws in plain.items()}
         out = []
         for p in parts:
-            got = [e for x, s in p for e in (done[x] if s is None else [(self.pack([s]), self.shown[s])])]
-            out.append((b"".join([a for a, _ in got]), b"".join([b for _, b in got])))
+            got = done[p[0][0]] if len(p) == 1 and p[0][1] is None else [e for x, s in p for e in (done[x] if s is None else [(self.form[s], self.shown[s])])]
+            out.append((b"".join([e[0] for e in got]), b"".join([e[1] for e in got])))
         return out
 
 
