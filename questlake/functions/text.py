@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 # The white space of Unicode-aware regular expressions, which Java's class lacks in part.
 WS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 PUNCTUATION = string.punctuation
+# Letters and numerals of Unicode 14 to 15.1, which Java 17 doesn't know.
+_NEWER = """
+870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7d0-a7d1 a7d3 a7d5-a7d9 a7f2-a7f4 10570-1057a
+1057c-1058a 1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc 10780-10785 10787-107b0 107b2-107ba 10f70-10f81
+11071-11072 11075 1123f-11240 11740-11746 11ab0-11abf 11f02 11f04-11f10 11f12-11f33 11f50-11f59 12f90-12ff0 1342f 13441-13446
+16a70-16abe 16ac0-16ac9 1aff0-1aff3 1aff5-1affb 1affd-1affe 1b11f-1b122 1b132 1b155 1d2c0-1d2d3 1df00-1df1e 1df25-1df2a 1e030-1e06d
+1e290-1e2ad 1e4d0-1e4eb 1e4f0-1e4f9 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 2ebf0-2ee5d 31350-323af
+"""
+WORD = "[\\p{L}\\p{N}_" + "".join("-".join(f"\\x{{{x}}}" for x in r.split("-")) for r in _NEWER.split()) + "]"
 
 
 def _col(c) -> Column:
@@ -47,18 +56,26 @@ def nfkc_casefold(c) -> Column:
 
 # Beyond Latin letters that lower case folds as well.
 _UNUSUAL = "[^\\x00-\\xb4\\xb6-\\xde\\xe0-\\u012f\\u0132-\\u0148\\u014a-\\u017e]"
+#: Stands for the dotless i while upper case would merge it; a code point that is no character.
+_ASIDE = "\uffff"
+# Cherokee folds to its capitals, which lower case turns into small letters.
+_SMALL = "".join(map(chr, [*range(0x13F8, 0x13FE), *range(0xAB70, 0xABC0)]))
+_CAPITAL = "".join(map(chr, [*range(0x13F0, 0x13F6), *range(0x13A0, 0x13F0)]))
 
 
-def casefold(c) -> Column:
-    """Full case folding in the JVM: upper case expands what has no single lower case, and lower case folds the rest.
+def _folded(c: Column) -> Column:
+    """Upper case expands what has no single lower case, and lower case folds the rest. The translations keep what upper case would merge,
+    fold what it leaves alone, and stop the optimizer from dropping the inner conversion."""
+    up = F.upper(F.translate(c, "ıẞϴ", f"{_ASIDE}ßθ"))
+    return F.translate(F.lower(F.translate(up, _ASIDE, _ASIDE)), f"ς{_ASIDE}{_SMALL}", f"σı{_CAPITAL}")
 
-    The translations keep what upper case would merge (dotless i, put aside as a code point that is no character), fold what it leaves
-    alone, and stop the optimizer from dropping the inner conversion.
-    """
-    up = F.upper(F.translate(_col(c), "ıẞϴ", "\uffffßθ"))
-    full = F.translate(F.lower(F.translate(up, "\uffff", "\uffff")), "ς\uffff", "σı")
+
+def casefold(c) -> Column:
+    """Full case folding in the JVM. Texts that hold the code point put aside are folded around it."""
+    whole = F.array_join(F.transform(F.split(_col(c), _ASIDE), _folded), _ASIDE)
+    odd = F.when(F.contains(_col(c), F.lit(_ASIDE)), whole).otherwise(_folded(_col(c)))
     # the empty string keeps the optimizer from taking lower(upper(x)) for lower(x)
-    return F.when(_col(c).rlike(_UNUSUAL), full).otherwise(F.lower(F.concat(_col(c), F.lit(""))))
+    return F.when(_col(c).rlike(_UNUSUAL), odd).otherwise(F.lower(F.concat(_col(c), F.lit(""))))
 
 
 def normalize_question(c) -> Column:
@@ -67,9 +84,13 @@ def normalize_question(c) -> Column:
 
 
 def normalize_answer(c) -> Column:
-    """Lower case, no ASCII punctuation, no English articles, single spaces."""
+    """Lower case, no ASCII punctuation, no English articles, single spaces.
+
+    An article stands between characters that are no part of words: letters, numerals of any kind and the underscore are, combining marks
+    aren't, as in Python and unlike Java's word boundary. (Looking behind, Java counts UTF-16 units, of which a character has up to two.)
+    """
     lowered = F.translate(F.lower(_col(c)), PUNCTUATION, "")
-    return normalize_whitespace(F.regexp_replace(lowered, r"(?U)\b(a|an|the)\b", " "))
+    return normalize_whitespace(F.regexp_replace(lowered, f"(?<!{WORD}{{1,2}})(a|an|the)(?!{WORD})", " "))
 
 
 def answer_tokens(c) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from questlake.functions.scoring import best_scores
+from questlake.functions.text import strip
 from questlake.operators import trajectory
 from questlake.operators.guards import checked
 
@@ -81,8 +82,8 @@ def questions(rows: DataFrame) -> DataFrame:
 
 
 def without_empty(generated: DataFrame, content: str = "content", key: str = "uid") -> tuple[DataFrame, DataFrame]:
-    """Generations with visible content, and the ids of the others, for the list of skipped ones."""
-    blank = F.trim(F.coalesce(F.col(content), F.lit(""))) == ""
+    """Generations with content other than white space, and the ids of the others, for the list of skipped ones."""
+    blank = F.coalesce(strip(F.col(content)), F.lit("")) == ""
     return generated.where(~blank), generated.where(blank).select(key)
 
 

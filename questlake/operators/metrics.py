@@ -14,6 +14,7 @@ def _share(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), 6)
 
 
+COUNTS = ["samples", "input_too_long_count"]
 #: Further rates of the evaluation under token budgets.
 BUDGET_RATES = ["average_assistant_decision_turns", "length_limit_rate", "invalid_action_rate"]
 
@@ -42,9 +43,8 @@ def agent_metrics(results: DataFrame, groups: list[str], by: str = "source", tot
         cols += [c.alias(name) for name, c in zip(BUDGET_RATES, (_share(turns, n), _share(of("length_limit"), n), _share(of("invalid_action"), n)), strict=True)]
     rows = results.where(F.col(by).isin(groups)).rollup(by).agg(*cols).withColumn(by, F.coalesce(by, F.lit(total)))
     wanted = results.sparkSession.createDataFrame([(g,) for g in [*groups, total]], f"{by} string")
-    counts = ["samples", "input_too_long_count"]
     filled = wanted.join(F.broadcast(rows), by, "left")  # a row a group
-    return filled.select(by, *[F.coalesce(c, F.lit(0) if c in counts else F.lit(0.0)).alias(c) for c in rows.columns if c != by])
+    return filled.select(by, *[F.coalesce(c, F.lit(0) if c in COUNTS else F.lit(0.0)).alias(c) for c in rows.columns if c != by])
 
 
 def depth_crosstab(df: DataFrame, depths: int = 4, by: str = "source", count: str = "search_count") -> DataFrame:
@@ -130,8 +130,9 @@ def contingency(pairs: DataFrame) -> DataFrame:
 
 
 def metric_deltas(left: DataFrame, right: DataFrame, by: str = "source") -> DataFrame:
-    """Right minus left for each group and rate."""
-    long = lambda df, name: df.unpivot([by], RATES, "metric", name)
+    """Right minus left for each group and figure, counts included."""
+    figures = [*COUNTS, *(c for c in left.columns if c not in [by, *COUNTS])]
+    long = lambda df, name: df.select(by, *[F.col(c).cast("double").alias(c) for c in figures]).unpivot([by], figures, "metric", name)
     return long(left, "l").join(long(right, "r"), [by, "metric"]).select(by, "metric", F.round(F.col("r") - F.col("l"), 6).alias("delta"))
 
 

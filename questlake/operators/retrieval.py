@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,64 +20,134 @@ def terms(c: Column) -> Column:
 
 #: Documents a part: no task gets more postings of a term.
 PART = 1 << 18
+#: Documents of rare terms that are looked at for a query's floor, and how many of them are scored in full.
+RARE, SEEDS = 400, 24
+#: What part of the floor the lists that are left out may add up to. With more of it fewer postings are read and more documents completed.
+SKIPPED = 0.75
+#: Scores are rounded to six decimals; what could round to the floor still counts.
+MARGIN = 2e-6
 
 
 @dataclass
 class Index:
-    """postings (doc_id, term, tf, dl, part), term statistics (term, df) and corpus statistics (n, avgdl, parts; one row)."""
+    """postings (doc_id, term, impact, band, part), term statistics (term, df), lists of a term and band (term, band, df, top: the greatest
+    impact) and corpus statistics (n, avgdl, parts; one row). Bands are documents of similar length, in which impacts are alike.
+
+    ``analyzer`` is the function from a text column to its terms; the same one cuts the documents and the queries."""
 
     postings: DataFrame
     stats: DataFrame
+    lists: DataFrame
     corpus: DataFrame
+    analyzer: Callable[[Column], Column] = terms
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, k1: float = 0.9, b: float = 0.4, analyzer: Callable[[Column], Column] = terms) -> Index:
     """Texts are read and cut into terms once: postings are written, and the statistics come from them. Ids must be unique.
 
     Documents are dealt to parts by a hash of the id, so that no task gets all documents of a common term.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    words = docs.select(F.col(id_col).alias("doc_id"), analyzer(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     sized = words.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
     found = cut(sized.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
-    sizes = found.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    corpus = cut(sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int")), "corpus")
-    known = found.where("term IS NOT NULL")
-    stats = cut(known.groupBy("term").agg(F.count("*").alias("df")), "terms")
-    parts = corpus.first().parts
-    return Index(known.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), stats, corpus)
+    # a document counts once: by its row without a term, or by the shares that its terms have in its length
+    once = F.when(F.col("term").isNull(), F.lit(1.0)).otherwise(F.col("tf") / F.col("dl"))
+    corpus = cut(found.agg(F.round(F.sum(once)).cast("long").alias("n"), F.sum("tf").alias("_l"), F.count_if(F.col("term").isNull()).alias("_e")).select("n", (F.coalesce(F.col("_l") - F.col("_e"), F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl"), F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int").alias("parts")), "corpus")
+    total = corpus.first()
+    impact = F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / (total.avgdl or 1.0)))
+    postings = found.where("term IS NOT NULL").select("doc_id", "term", impact.alias("impact"), F.floor(4 * F.log2(F.col("dl"))).cast("int").alias("band"), F.pmod(F.xxhash64("doc_id"), F.lit(total.parts)).cast("int").alias("part"))
+    lists = cut(postings.groupBy("term", "band").agg(F.count("*").alias("df"), F.max("impact").alias("top")), "lists")
+    stats = cut(lists.groupBy("term").agg(F.sum("df").alias("df")), "terms")
+    return Index(postings, stats, lists, corpus, analyzer)
+
+
+INDEX_TABLES = ("postings", "stats", "lists", "corpus")
 
 
 def save_index(index: Index, path: str) -> None:
-    for name in ("postings", "stats", "corpus"):
+    for name in INDEX_TABLES:
         getattr(index, name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
-def open_index(spark: SparkSession, path: str) -> Index:
-    """A saved index; a part that is missing is an error now, not when the index is searched."""
-    for name in ("postings", "stats", "corpus"):
+def open_index(spark: SparkSession, path: str, analyzer: Callable[[Column], Column] = terms) -> Index:
+    """A saved index; a part that is missing is an error now, not when the index is searched. ``analyzer`` must be the one that it was
+    built with."""
+    for name in INDEX_TABLES:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             raise FileNotFoundError(f"{path}/{name}")
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "stats", "corpus")))
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES), analyzer)
+
+
+def _ranked(scored: DataFrame, query_id: str, k: int) -> DataFrame:
+    w = Window.partitionBy(query_id).orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _met(index: Index, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Postings of wanted lists; every part of a list is wanted."""
+    parts = index.corpus.first().parts
+    if parts == 1:
+        return index.postings.drop("part").join(wanted, list(keys))
+    return index.postings.join(wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "part"])
+
 
+def query_weights(index: Index, queries: DataFrame, query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(query id, term, df, w) of terms that the corpus has."""
+    asked = require_queries(queries, text_col).select(query_id, F.explode(index.analyzer(F.col(text_col))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
+    idf = F.log(1.0 + (F.lit(index.corpus.first().n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return asked.join(index.stats, "term").select(query_id, "term", "df", (F.col("qf") * idf).alias("w"))
 
-def search(index: Index, queries: DataFrame, k: int = 3, query_id: str = "item_id", text_col: str = "text", k1: float = 0.9, b: float = 0.4) -> DataFrame:
+
+def floors(index: Index, weights: DataFrame, k: int, query_id: str = "item_id", rare: int = RARE, seeds: int = SEEDS) -> DataFrame:
+    """(query id, floor): a score that ``k`` documents reach. The documents of a query's rarest terms (one at least, then as many as have
+    ``rare`` postings together) are ranked by these, and the best are scored in full. Queries with fewer documents have no row."""
+    by_df = Window.partitionBy(query_id).orderBy("df", "term")
+    few = weights.withColumn("_upto", F.sum("df").over(by_df)).withColumn("_n", F.row_number().over(by_df)).where((F.col("_upto") <= rare) | (F.col("_n") == 1)).select(query_id, "term", "w")
+    near = _met(index, few, "term").groupBy(query_id, "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+    best = cut(_ranked(near, query_id, max(seeds, 4 * k)).select(query_id, "doc_id"), "seeds")
+    whole = index.postings.select("doc_id", "term", "impact").join(best.join(weights, query_id).select(query_id, "doc_id", "term", "w"), ["doc_id", "term"])
+    scored = whole.groupBy(query_id, "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+    return _ranked(scored, query_id, k).where(F.col("rank") == k).select(query_id, F.col("score").alias("floor"))
+
+
+def planned_lists(index: Index, weights: DataFrame, floor: DataFrame, query_id: str = "item_id", skipped: float = SKIPPED) -> DataFrame:
+    """(query id, term, band, w, floor, skip, rest): the lists of each query's terms. Those with the least bound for their length are left
+    out (``skip``) as long as their bounds add up to less than a part of the floor: no document in these alone can reach it. ``rest`` is
+    what they could add to a document of the band; bands whose lists together can't reach the floor are gone."""
+    rows = weights.select(query_id, "term", "w").join(index.lists, "term").join(floor, query_id, "left")
+    least = F.col("floor") - MARGIN
+    bounds = rows.withColumn("floor", F.coalesce("floor", F.lit(0.0))).withColumn("ub", F.col("w") * F.col("top"))
+    band = Window.partitionBy(query_id, "band")
+    upto = F.sum("ub").over(band.orderBy(F.col("ub") / F.col("df"), "term"))
+    marked = bounds.withColumn("all", F.sum("ub").over(band)).withColumn("skip", upto < skipped * least).where(F.col("all") >= least)
+    return marked.withColumn("rest", F.sum(F.when(F.col("skip"), F.col("ub")).otherwise(0.0)).over(band)).select(query_id, "term", "band", "w", "floor", "skip", "rest")
+
+
+def candidates(index: Index, lists: DataFrame, query_id: str = "item_id") -> DataFrame:
+    """(query id, doc_id, band, part_score) of documents that may still reach their query's floor, from the lists that aren't left out."""
+    hits = _met(index, lists.where("NOT skip").select(query_id, "term", "band", "w", "floor", "rest"), "term", "band")
+    partial = hits.groupBy(query_id, "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("part_score"), F.first("band").alias("band"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+    return partial.where(F.col("part_score") + F.col("rest") >= F.col("floor") - MARGIN).select(query_id, "doc_id", "band", "part_score")
+
+
+def search(index: Index, queries: DataFrame, k: int = 3, query_id: str = "item_id", text_col: str = "text", rare: int = RARE, seeds: int = SEEDS, skipped: float = SKIPPED) -> DataFrame:
     """(query id, rank, doc_id, score) of the ``k`` best documents of each query; ties go to the smaller id. A blank query is an error.
 
-    Postings meet the queries' terms by term and part of the documents, and keep only the best ``k`` of a query and part before the
-    last ranking; which join is used follows the sizes.
+    Exact, but most postings of common terms aren't read: rare terms give each query a floor, by upper bounds the lists that can't lift
+    a document above it are left out, and only documents that may reach it are completed from these. Which joins are used follows the
+    sizes.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    asked = require_queries(queries, text_col).select(query_id, F.explode(terms(F.col(text_col))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(index.stats, "term").join(F.broadcast(index.corpus), F.lit(True))  # one row
-    weights = weights.select(query_id, "term", (F.col("qf") * idf).alias("w"), "avgdl", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    hits = index.postings.join(weights, ["term", "part"])
-    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy(query_id, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", "doc_id", "score")
+    weights = cut(query_weights(index, queries, query_id, text_col), "weights")
+    floor = cut(floors(index, weights, k, query_id, rare, seeds), "floors")
+    lists = cut(planned_lists(index, weights, floor, query_id, skipped), "planned")
+    open_ = cut(candidates(index, lists, query_id), "candidates")
+    missing = open_.join(lists.where("skip").select(query_id, "band", "term", "w"), [query_id, "band"]).select(query_id, "doc_id", "term", "w")
+    found = index.postings.select("doc_id", "term", "impact").join(missing, ["doc_id", "term"]).select(query_id, "doc_id", (F.col("w") * F.col("impact")).alias("score"))
+    scored = open_.select(query_id, "doc_id", F.col("part_score").alias("score")).unionByName(found).groupBy(query_id, "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    return _ranked(scored, query_id, k).select(query_id, "rank", "doc_id", "score")
 
 
 def with_passages(hits: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -449,9 +449,12 @@ def contingency_2x2(spark, sf_dir):
     return metrics.contingency(metrics.paired(*_pair(spark, sf_dir)))
 
 
+FIGURES = ", ".join(f"{c}::DOUBLE AS {c}" for c in metrics.COUNTS + metrics.RATES)
+
+
 @query(f"""
     WITH {PAIR_SQL}, ml AS ({sql_metrics('l')}), mr AS ({sql_metrics('r')}),
-    ul AS (UNPIVOT ml ON {', '.join(metrics.RATES)} INTO NAME metric VALUE v), ur AS (UNPIVOT mr ON {', '.join(metrics.RATES)} INTO NAME metric VALUE v)
+    ul AS (UNPIVOT (SELECT source, {FIGURES} FROM ml) ON COLUMNS(* EXCLUDE source) INTO NAME metric VALUE v), ur AS (UNPIVOT (SELECT source, {FIGURES} FROM mr) ON COLUMNS(* EXCLUDE source) INTO NAME metric VALUE v)
     SELECT source, metric, round(ur.v - ul.v, 6) AS delta FROM ul JOIN ur USING (source, metric)
 """)
 def metric_delta(spark, sf_dir):

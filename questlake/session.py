@@ -8,7 +8,9 @@ import contextlib
 import gc
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark import SparkContext
@@ -36,6 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _SCRATCH: list[str] = []
+_MADE = threading.local()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -44,9 +47,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not _SCRATCH:
         atexit.register(clear_scratch)
     _SCRATCH.append(path)
+    for run in getattr(_MADE, "runs", [])[-1:]:
+        run.append(path)
     return path
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The intermediate folders that this thread makes meanwhile; other threads' operators have lists of their own."""
+    runs = _MADE.__dict__.setdefault("runs", [])
+    runs.append([])
+    try:
+        yield runs[-1]
+    finally:
+        runs.pop()
+
+
 def scratch_paths() -> list[str]:
     """The intermediate folders that this process made and that are still there, oldest first."""
     return list(_SCRATCH)
@@ -59,7 +75,7 @@ def clear_scratch(paths: list[str] | None = None) -> None:
         with contextlib.suppress(Exception):  # the session may be gone
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration() if sc else jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
-        if path in _SCRATCH:
+        with contextlib.suppress(ValueError):  # another thread may have been first
             _SCRATCH.remove(path)
 
 

@@ -4,16 +4,39 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from questlake.functions.text import strip
+from questlake.operators.guards import checked
 from questlake.operators.isolation import duplicates, require_empty
+from questlake.session import cut
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Bad lines raise; blank ones are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, ordinal: bool = False) -> DataFrame:
+    """Bad lines raise; blank ones are skipped. With ``ordinal`` rows are numbered from 0 in the order of the files' names and lines."""
+    if not ordinal:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    row = F.from_json("value", schema if isinstance(schema, str) else schema.json(), {"mode": "FAILFAST"})
+    return numbered_lines(spark, path).select(row.alias("row"), "ordinal").select("row.*", "ordinal")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, ordinal): the lines that aren't blank, numbered from 0 by file name and place in the file.
+
+    Files are read in splits, many tasks to a file. A first pass counts each split's lines; the sums of the splits before it are where
+    a split's numbers begin, so only one row a split, not the lines, goes through a window. Files that change between the passes are
+    an error.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    placed = lines.where(strip("value") != "").withColumn("_at", F.monotonically_increasing_id())  # rises within a split
+    counts = cut(placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), F.max("_at").alias("_last")), "splits")
+    before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
+    begins = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    found = placed.join(begins, ["_file", "_start"], "left")
+    same = F.col("_at").between(F.col("_first"), F.col("_last"))
+    return checked(found, same, "a file changed while it was read").select("value", (F.col("_before") + F.col("_at") - F.col("_first")).alias("ordinal"))
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: StructType | str, form: str = "json") -> DataFrame:
@@ -26,8 +49,12 @@ def read_splits(spark: SparkSession, paths: dict[str, str], schema: StructType |
 
 
 def read_eval(spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None) -> DataFrame:
-    """Evaluation rows (with ``ordinal``), the first ``limit``; empty tables and repeated ids are errors."""
-    df = read_jsonl(spark, path, schema)
+    """Evaluation rows with ``ordinal``, of the first ``limit`` lines; empty tables and repeated ids are errors. Rows that have an ordinal
+    of their own keep it, others get the file's order."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
+    known = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    df = read_jsonl(spark, path, schema, ordinal="ordinal" not in known.names)
     df = df if limit is None else df.where(F.col("ordinal") < limit)
     require_empty(duplicates(df, "id"), "ids occur twice")
     if df.isEmpty():
@@ -68,8 +95,8 @@ def open_output(spark: SparkSession, path: str, resume: bool) -> None:
 
 
 def read_ids(spark: SparkSession, path: str, name: str = "uid") -> DataFrame:
-    """An id a line; repeated ids are errors."""
-    ids = spark.read.text(path).select(F.trim("value").alias(name)).where(F.col(name) != "")
+    """An id a line, without white space around it; blank lines are skipped, repeated ids are errors."""
+    ids = spark.read.text(path).select(strip("value").alias(name)).where(F.col(name) != "")
     require_empty(duplicates(ids, name), "ids occur twice")
     return ids
 

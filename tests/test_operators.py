@@ -537,3 +537,206 @@ def test_terminations_of_a_stream(spark, tmp_path):
     run.awaitTermination(120)
     got = {(r.window.start.hour, r.termination_reason): r.n for r in spark.table("terminations").collect()}
     assert got == {(1, "answer"): 2, (1, "max_turns"): 1, (2, "answer"): 1}
+
+
+# texts over all code points, file order, samples, components, pruned search
+
+
+def every_character():
+    return [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+
+
+def test_articles_stand_between_python_s_word_boundaries(spark):
+    texts = [f"x{c}a {c}an the{c}b" for c in every_character()] + ["a² end", "thé end", "a٣", "an_", "_the"]
+    got = column(spark, texts, tx.normalize_answer)
+    wrong = [t for t, g in zip(texts, got) if g != plain_answer(t)]
+    assert all(unicodedata.category(t[1].lower()) == "Cn" or unicodedata.category(t[1]) == "Cn" for t in wrong) and len(wrong) < 60  # newer than Python's tables
+
+
+def test_case_folding_of_every_character_is_python_s(spark):
+    texts = every_character()
+    got = column(spark, texts, tx.casefold)
+    wrong = [t for t, g in zip(texts, got) if g != t.casefold()]
+    assert len(wrong) < 40 and all(unicodedata.category(t) == "Cn" for t in wrong)  # newer than Python's tables
+    assert column(spark, [["ı", "￿", "I￿ẞ", "i￿ß"]], qa.clean_list, "v array<string>") == [["ı", "￿", "I￿ẞ"]]
+
+
+def test_figures_of_a_comparison_include_counts(spark):
+    schema = "source string, em double, f1 double, total_turns long, valid_action_count long, strict_protocol_count long, eos_count long, search_count long, termination_reason string"
+    row = ("nq", 1.0, 1.0, 2, 1, 2, 2, 1)
+    left = metrics.agent_metrics(spark.createDataFrame([(*row, "answer")], schema), ["nq"])
+    right = metrics.agent_metrics(spark.createDataFrame([(*row, "answer"), (*row, "input_too_long")], schema), ["nq"])
+    got = {r.metric: r.delta for r in metrics.metric_deltas(left, right).where("source = 'nq'").collect()}
+    assert len(got) == 11 and got["samples"] == 1.0 and got["input_too_long_count"] == 1.0 and got["input_too_long_rate"] == 0.5
+
+
+def test_lines_keep_their_order_over_many_splits(spark, tmp_path):
+    rnd = random.Random(2)
+    rows, folder = [], tmp_path / "in"
+    folder.mkdir()
+    for name in ("a", "b", "c"):
+        with open(folder / f"{name}.jsonl", "w") as f:
+            for _ in range(rnd.randint(200, 900)):
+                f.write(json.dumps({"id": f"q{len(rows)}", "t": "x" * rnd.randint(0, 60)}) + "\n" + "\n \t\n" * rnd.randint(0, 1))
+                rows.append(f"q{len(rows)}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = io.read_jsonl(spark, str(folder), "id string, t string", ordinal=True)
+        plan = df._jdf.queryExecution().toString()
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 30 and "SinglePartition" in plan  # the window over the splits' counts
+        assert [r.id for r in df.orderBy("ordinal").collect()] == rows and [r.ordinal for r in df.orderBy("ordinal").collect()] == list(range(len(rows)))
+        some = io.read_eval(spark, str(folder), "id string, t string", 300)
+        assert [r.id for r in some.orderBy("ordinal").collect()] == rows[:300]
+        first = qa.without_excluded(qa.first_rows(df, 250), "id", ["q3", "q249", "q250"])
+        assert [r.id for r in first.orderBy("ordinal").collect()] == [q for q in rows[:250] if q not in ("q3", "q249")]
+        with pytest.raises(ValueError):
+            io.read_eval(spark, str(folder), "id string", 0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def sampled(spark, sizes):
+    rows = [(s, f"{s}{i}") for s, n in sizes.items() for i in range(n)]
+    return rows, spark.createDataFrame(rows, "s string, id string").repartition(5)
+
+
+def test_cuts_give_the_rows_of_the_whole_order(spark):
+    rows, df = sampled(spark, {"a": 6000, "b": 2500, "c": 30, None: 2200})
+    md5 = lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest()
+    order = {s: sorted((r[1] for r in rows if r[0] == s), key=lambda i: (md5(i), i)) for s in ("a", "b", "c", None)}
+    got = sampling.seeded_first(df, "s", "id", 2000, 7, slack=20)
+    assert {(r.s, r.id, r["rank"]) for r in got.collect()} == {(s, i, k) for s, ids in order.items() for k, i in enumerate(ids[:2000], 1)}
+    shares = spark.createDataFrame([("a", 1500), ("b", 0), ("c", 50), (None, 7)], "s string, n long")
+    got = sampling.seeded_first(df, "s", "id", shares, 7, slack=5)
+    assert {(r.s, r.id) for r in got.collect()} == {(s, i) for s, n in (("a", 1500), ("c", 50), (None, 7)) for i in order[s][:n]}
+    assert got.columns == ["s", "id", "rank"]
+    windows = [x for x in sampling.seeded_first(df, "s", "id", 2000, 7)._jdf.queryExecution().executedPlan().toString().split("\n") if "Filter" in x and "_cut" in x]
+    assert windows  # rows are cut before the window
+    firsts = {(r.s, r.id) for r in sampling.first_of_groups(df, "s", 1500, F.col("id")).collect()}
+    assert firsts == {(s, i) for s, ids in order.items() for i in sorted(ids)[:1500]}
+    assert sampling.seeded_first(df.limit(0), "s", "id", 2000, 7).count() == 0
+
+
+def test_samples_are_those_of_python_s_generator(spark):
+    rows, df = sampled(spark, {"nq": 5000, "hotpotqa": 3000, "other": 10})
+    rng, want = random.Random(123), set()
+    for s, n in (("nq", 400), ("hotpotqa", 3)):
+        want.update(rng.sample(sorted(i for t, i in rows if t == s), n))
+    assert {r.id for r in sampling.exact_sample(df, "s", "id", {"nq": 400, "hotpotqa": 3}).collect()} == want
+    with pytest.raises(ValueError, match="fewer than 11"):
+        sampling.exact_sample(df, "s", "id", {"other": 11})
+
+
+def test_round_robin_needs_rows_and_sources(spark):
+    _, df = sampled(spark, {"a": 4, "b": 2})
+    got = sampling.round_robin(df, "s", "id", 6, sources=2).orderBy("position").collect()
+    assert [r.s for r in got] == ["a", "b", "a", "b", "a", "a"]
+    with pytest.raises(ValueError, match="fewer than 7"):
+        sampling.round_robin(df, "s", "id", 7)
+    with pytest.raises(ValueError, match="expected 2 sources, found 1"):
+        sampling.round_robin(df.where("s = 'a'"), "s", "id", 1, sources=2)
+    with pytest.raises(ValueError, match="twice"):
+        sampling.round_robin(df.union(df), "s", "id", 2)
+
+
+@pytest.mark.parametrize("walk", [50, 100_000])
+def test_long_chains_are_walked_in_few_rounds(spark, walk, monkeypatch):
+    n = 2000 if walk > 50 else 40
+    chain = [(k // 2 + k % 2, k // 2, k) for k in range(n)]  # each row shares its id or its key with the one before
+    hot = [(10_000 + k, 777_777, n + k) for k in range(300)]
+    rows = chain + hot + [(None, None, 5000), (None, 1, 5001), (3, None, 5002)]
+    ids, keys, want = set(), set(), []
+    for i, k, _ in rows:
+        reason = "duplicate_id" if i in ids else "duplicate_question" if k in keys else None
+        want.append(reason)
+        if reason is None:
+            ids.add(i)
+            keys.add(k)
+    written = []
+    keep = isolation.cut
+    monkeypatch.setattr(isolation, "cut", lambda *a: (written.append(1), keep(*a))[1])
+    df = spark.createDataFrame(rows, "id long, k long, o long").repartition(7)
+    got = isolation.skip_reasons(df, spark.createDataFrame([], "id long, k long"), "id", "k", [F.col("o")], walk=walk)
+    assert [r.reason for r in got.orderBy("o").collect()] == want
+    assert walk == 50 or len(written) == 4
+
+
+def test_components_are_least_nodes(spark):
+    from questlake.operators.components import components
+
+    rnd = random.Random(6)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(300)] + [(2000, 2001 + k) for k in range(300)] + [(5000, 5000)]
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in up}
+
+
+def plain_bm25(docs, queries, k, k1=0.9, b=0.4):
+    import math
+
+    cut_words = lambda t: [w for w in re.split(r"[^a-z0-9]+", t.lower()) if w]
+    tf = {i: collections.Counter(cut_words(t)) for i, t in docs}
+    avg = sum(sum(c.values()) for c in tf.values()) / len(tf)
+    df = collections.Counter(w for c in tf.values() for w in c)
+    out = []
+    for q, text in queries:
+        scores = {}
+        for i, c in tf.items():
+            s = sum(n * math.log(1 + (len(tf) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] / (c[w] + k1 * (1 - b + b * sum(c.values()) / avg)) for w, n in collections.Counter(cut_words(text)).items() if w in c)
+            if s:
+                scores[i] = round(s, 6)
+        out += [(q, r, i) for r, (s, i) in enumerate(sorted((-s, i) for i, s in scores.items())[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("part, rare, seeds, skipped", [(1 << 18, 400, 24, 0.75), (50, 5, 1, 1.0), (1 << 18, 10, 3, 0.3), (64, 1000, 100, 0.0)])
+def test_pruned_search_is_exact(spark, part, rare, seeds, skipped):
+    rnd = random.Random(part + rare)
+    words = [f"w{int(300 * rnd.random() ** 3)}" for _ in range(4000)]
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 80)))) for i in range(400)] + [(1000 + i, "w0 w1 w0") for i in range(60)] + [(2000, ""), (2001, None)]
+    queries = [(q, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 14)))) for q in range(25)] + [(100, "w0"), (101, "w0 w1"), (102, "zzz"), (103, docs[5][1])]
+    index = retrieval.build_index(spark.createDataFrame(docs, "doc_id long, text string"), part=part)
+    got = retrieval.search(index, spark.createDataFrame(queries, "item_id long, text string"), 3, rare=rare, seeds=seeds, skipped=skipped)
+    assert sorted((r.item_id, r["rank"], r.doc_id) for r in got.collect()) == plain_bm25([(i, t or "") for i, t in docs], queries, 3)
+
+
+def test_a_stop_word_reads_no_more_postings(spark):
+    rnd = random.Random(9)
+    docs = [(i, " ".join(["the"] * rnd.randint(0, 3) + [f"w{int(2000 * rnd.random() ** 2)}" for _ in range(40)])) for i in range(1500)]
+    index = retrieval.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    asked = [(q, " ".join(rnd.sample(docs[q][1].split()[5:], 8))) for q in range(20)]
+
+    def read(queries):
+        weights = retrieval.cut(retrieval.query_weights(index, spark.createDataFrame(queries, "item_id long, text string")))
+        lists = retrieval.cut(retrieval.planned_lists(index, weights, retrieval.floors(index, weights, 3)))
+        kept = lists.where("NOT skip").join(index.lists, ["term", "band"])
+        return kept.agg(F.sum("df").alias("n")).first().n, retrieval.candidates(index, lists).count(), kept.where("term = 'the'").count()
+
+    (rows, pairs, _), (more, as_many, the) = read(asked), read([(q, t + " the") for q, t in asked])
+    assert the == 0 and more <= rows * 1.05 and as_many <= pairs * 1.2 + 20
+    assert pairs < 20 * 1500 / 10
+
+
+def test_an_analyzer_of_one_s_own(spark, tmp_path):
+    letters = lambda c: F.filter(F.split(F.lower(c), ""), lambda t: t != "")
+    index = retrieval.build_index(spark.createDataFrame([(1, "abc"), (2, "xyz")], "doc_id long, text string"), analyzer=letters)
+    retrieval.save_index(index, str(tmp_path / "i"))
+    again = retrieval.open_index(spark, str(tmp_path / "i"), letters)
+    assert [r.doc_id for r in retrieval.search(again, spark.createDataFrame([(1, "z")], "item_id long, text string")).collect()] == [2]
+
+
+def test_white_space_is_no_content(spark, tmp_path):
+    kept, skipped = assembly.without_empty(spark.createDataFrame([(1, "\n"), (2, " x\n"), (3, None), (4, "　")], "uid long, content string"))
+    assert [r.uid for r in kept.collect()] == [2] and {r.uid for r in skipped.collect()} == {1, 3, 4}
+    (tmp_path / "ids.txt").write_text("a\t\n \n\x0bb\n")
+    assert {r.uid for r in io.read_ids(spark, str(tmp_path / "ids.txt")).collect()} == {"a", "b"}
