@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from questlake.session import clear_scratch, importable, scratch_path, scratch_paths, shared_folder  # noqa: F401
+from questlake.session import clear_scratch, importable, recorded, scratch_path, shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,13 @@ def utf8_rows(col: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 @contextlib.contextmanager
 def kept_only(spark: SparkSession, name: str) -> Iterator[str]:
-    """A folder for a result; the other intermediate folders that were made meanwhile are removed at the end."""
-    path, before = scratch_path(spark, name), len(scratch_paths())
-    try:
-        yield path
-    finally:
-        clear_scratch(scratch_paths()[before:])
+    """A folder for a result; the other intermediate folders that this thread makes meanwhile are removed at the end."""
+    path = scratch_path(spark, name)
+    with recorded() as made:
+        try:
+            yield path
+        finally:
+            clear_scratch(made)
 
 
 ArrowFields = list[tuple[str, pa.DataType, T.DataType]]

@@ -6,7 +6,8 @@ codec, duration and the byte ranges of key frames without touching the payload;
 
 Defined cases: null and empty texts store 64 zero bytes; equal texts give equal files; long texts are stored whole; a broken or
 foreign file gives None from ``probe`` instead of an error: tables that are longer than their boxes, counts beyond what the file can
-hold, samples outside it and boxes nested too deep are refused before memory is taken for them. Repeated rows repeat their result; an
+hold, chunks and samples outside it, key frames that are no samples and boxes nested too deep are refused before memory is taken for them;
+files with compact sample sizes (stz2) or without sample tables of their own (fragments: moof, traf, trun) give None too. Repeated rows repeat their result; an
 empty table gives no rows; columns named like the results are replaced, other extra columns are kept (or only those in ``keep``).
 """
 
@@ -139,6 +140,10 @@ def tracks(data: bytes) -> list[dict]:
             t["stss"] = _table(view, at, end, ">u4")[:, 0]
     for t in found:
         runs, chunks, sizes = t["stsc"], t["chunks"], t["sizes"]
+        if len(chunks) and (chunks.min() < 0 or chunks.max() > len(view)):
+            raise ValueError("a chunk lies outside the file")
+        if t["stss"] is not None and len(t["stss"]) and (t["stss"].min() < 1 or t["stss"].max() > len(sizes)):
+            raise ValueError("a key frame that isn't a sample")
         n, first = len(sizes), runs[:, 0] - 1
         per = np.repeat(runs[:, 1], np.diff(np.r_[first, len(chunks)]))
         ends = np.cumsum(per)  # forged counts cost no memory: tables are looked up, not expanded

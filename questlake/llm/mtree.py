@@ -19,7 +19,8 @@ pays only where vectors cluster. ``search`` counts what it reads, and the tests
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; vectors of
 another length are searched on their own (an error beyond ``LENGTHS`` lengths); empty vectors score 0 with each other; queries with
 fewer than k candidates return all; repeated vectors tie by id; of repeated ids, each row is a query or candidate of its own, and only
-the query's own row is left out; an empty table gives no rows; extra columns are ignored, whatever their names.
+the query's own row is left out; components of any size are exact up to squared norms of 2^62, beyond which scores may not fit 64 bits and the table is an error;
+an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,7 +124,9 @@ def search(tree: tuple[Node, np.ndarray], ids: np.ndarray, query: np.ndarray, ow
             seen["entries"] += len(live) if node.leaf else 0
         if node.leaf:
             whole = len(live) == len(node.rows)
-            scores = np.rint((node.pivots if whole else node.pivots[live]) @ q).astype(np.int64)
+            points = node.pivots if whole else node.pivots[live]
+            # beyond 2^53 floating sums may round; products and their sums are at most top, which fits 64 bits
+            scores = np.rint(points @ q).astype(np.int64) if top < 2.0**53 else points[:, :-1].astype(np.int64) @ query.astype(np.int64)
             near = np.flatnonzero(scores >= worst)
             rows = node.rows[live[near]]
             for s, i, r in zip(scores[near].tolist(), ids[rows].tolist(), rows.tolist()):
@@ -199,7 +202,7 @@ def _search_length(rows: DataFrame, d: int, n: int, top: float, k: int, block: i
         out = [(at, pickle.dumps((ids, tree)), None, None, None, None, None, None)]
         for i in np.flatnonzero(q).tolist():
             got = search(tree, ids, v[i], i, k, top)
-            floor = float(got[-1][0]) if len(got) == k else -np.inf
+            floor = np.nextafter(float(got[-1][0]), -np.inf) if len(got) == k else -np.inf
             out.append((at, None, int(row[i]), int(ids[i]), v[i].tobytes(), floor, None, None))
             out += [(at, None, int(row[i]), int(ids[i]), None, None, n, s) for s, n in got]
         return as_table(out)
@@ -261,6 +264,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
         lengths = rows.groupBy("length").agg(F.count("*").alias("n"), F.max(square).alias("top")).orderBy("length").limit(LENGTHS + 1).collect()
         if len(lengths) > LENGTHS:
             raise ValueError(f"vectors of more than {LENGTHS} lengths")
+        if any(r.top >= 2.0**62 for r in lengths):
+            raise ValueError("scores beyond 64 bits")
         hits = spark.createDataFrame([], "row long, query_id long, vec_id long, score long")
         for r in lengths:
             hits = hits.unionByName(_search_length(rows.where(F.col("length") == r.length).select("row", "id", "v", "q"), max(1, r.length), r.n, r.top, k, block, cells, chunk))

@@ -96,6 +96,10 @@ class ShardStore:
             if scheme not in OBJECT_STORES:
                 fs.delete(hadoop_fs(self.spark, temp)[1], False)
 
+    def create(self, version: int, text: str) -> None:
+        """The manifest of a version in one step; FileExistsError if it is there."""
+        self._create(f"{self.path}/manifests/v{version:012d}.json", text)
+
     def versions(self) -> list[int]:
         names = [f.rpartition("/")[2] for f, _, _ in self._list(f"{self.path}/manifests")]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
@@ -107,7 +111,7 @@ class ShardStore:
 
     def _commit(self, base: int, shards: list[dict]) -> int:
         """Version base + 1, or FileExistsError if another writer made it first."""
-        self._create(f"{self.path}/manifests/v{base + 1:012d}.json", json.dumps({"version": base + 1, "shards": shards}))
+        self.create(base + 1, json.dumps({"version": base + 1, "shards": shards}))
         return base + 1
 
     def _added(self, shards: list[dict]) -> int:

@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from questlake.llm.common import hadoop_fs, kept_only, parallelism, scratch_path, written
-from questlake.llm.winnow import GRAMS, Met, Part, Rule, Spec, applied, bucketed, cut, forget, gram_rows, in_runs, known_buckets, resolved, shard_table, stretch_rows, tables_made
+from questlake.llm.sharding import ShardStore
+from questlake.llm.winnow import GRAMS, Met, Part, Rule, Spec, applied, bucketed, cut, gram_rows, in_runs, known_buckets, own_tables, resolved, shard_table, stretch_rows
 from questlake.session import importable
 
 WINDOW = 35
@@ -59,29 +61,39 @@ class FingerprintLog:
     Each file written starts processes for its permissions where Hadoop has no native library, so nothing is written that a join or
     a scan of the runs gives as well.
 
-    Runs are bucketed and sorted by fingerprint, so joins shuffle nothing. A manifest, replaced after each batch, lists what is valid;
-    ``FingerprintLog`` on the same folder goes on from it. One writer at a time.
+    Runs are bucketed and sorted by fingerprint, so joins shuffle nothing. Each batch ends in a manifest of the next number, which appears
+    whole and in one step (as the sharded store's do) and lists what is valid: a driver that dies leaves the log as it was before the
+    batch, and of two writers the later one fails. ``FingerprintLog`` on the same folder goes on from the newest manifest; a folder that
+    holds runs but no manifest is an error. Runs that were merged away are removed one batch later.
+
+    The number of buckets is fixed when the log is made; choose it for the history that is expected.
     """
 
     def __init__(self, spark: SparkSession, path: str, spec: Spec, buckets: int = 64, ratio: int = 3):
         self.spark, self.path, self.spec, self.ratio = spark, path.rstrip("/"), spec, ratio
         importable(spark)
         self.state = {"buckets": buckets, "window": spec.window, "gram": spec.gram, "batches": [], "runs": []}
-        fs, p = hadoop_fs(spark, f"{self.path}/manifest.json")
-        if fs.exists(p):
-            self.state = json.loads(spark.read.text(p.toString(), wholetext=True).first()[0])
+        self.manifests = ShardStore(spark, self.path, StructType())
+        fs, p = hadoop_fs(spark, self.path)
+        known = max(self.manifests.versions(), default=0)
+        if known:
+            self.state = self.manifests.manifest(known)
+        elif any(s.isDirectory() and s.getPath().getName().partition("-")[0] in ("run", "grams", "shards") for s in fs.listStatus(p)):
+            raise ValueError(f"{path} holds runs but no manifest")
+        if known:
             if (self.state["window"], self.state["gram"]) != (spec.window, spec.gram):
                 raise ValueError("the log holds fingerprints of other windows")
         self.tables: dict[str, DataFrame] = {}
 
-    def _commit(self) -> None:
-        fs, temp = hadoop_fs(self.spark, f"{self.path}/manifest-{uuid.uuid4().hex}")
-        out = fs.create(temp, True)
-        out.write(bytearray(json.dumps(self.state).encode()))
-        out.close()
-        _, final = hadoop_fs(self.spark, f"{self.path}/manifest.json")
-        fs.delete(final, False)
-        fs.rename(temp, final)
+    def _commit(self, state: dict) -> None:
+        """``state`` as the next version; FileExistsError, and nothing changed, if another writer made it first."""
+        old = self.state.get("merged", [])
+        state = {**state, "version": self.state.get("version", 0) + 1}
+        self.manifests.create(state["version"], json.dumps(state))
+        self.state = state
+        for path in old:  # no reader of the version before needs them any more
+            fs, p = hadoop_fs(self.spark, path)
+            fs.delete(p, True)
 
     def _put(self, df: DataFrame, kind: str, by: str, buckets: int) -> tuple[str, DataFrame]:
         path = f"{self.path}/{kind}-{uuid.uuid4().hex}"
@@ -96,7 +108,7 @@ class FingerprintLog:
 
     def _run(self, run: dict) -> DataFrame:
         rows = self._get(run["path"], RUN, "gram", self.state["buckets"])
-        return _summed(rows) if "repeats" in self.state else rows  # runs of earlier versions may have several rows a fingerprint
+        return rows
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> int:
         """Take a batch in; its number. Its documents are dealt to ``shards`` (by default some for each partition of its scan)."""
@@ -105,18 +117,19 @@ class FingerprintLog:
         path = f"{self.path}/shards-{uuid.uuid4().hex}"
         self.tables[path] = shard_table(docs, id_col, text_col, path, n, first)
         grams, table = self._put(gram_rows(self.tables[path], self.spec, False), "grams", "gram", buckets)
-        runs, mine, rows = list(s["runs"]), _summed(table), table.count()
+        runs, mine, rows, gone = list(s["runs"]), _summed(table), table.count(), []
         while runs and runs[-1]["rows"] < self.ratio * rows:
             rows += runs[-1]["rows"]
-            mine = _merged(mine, self._run(runs.pop()))
+            gone.append(runs.pop())
+            mine = _merged(mine, self._run(gone[-1]))
         made, run = self._put(mine, "run", "gram", buckets)
-        s["runs"] = [*runs, {"path": made, "rows": run.count()}]
-        s["batches"].append({"path": path, "grams": grams, "first": first, "shards": n})
-        self._commit()
-        return len(s["batches"]) - 1
+        batches = [*s["batches"], {"path": path, "grams": grams, "first": first, "shards": n}]
+        self._commit({**s, "runs": [*runs, {"path": made, "rows": run.count()}], "batches": batches, "merged": [r["path"] for r in gone]})
+        return len(batches) - 1
 
     def deduplicated(self, rule: Rule, batch: int | None = None) -> DataFrame:
-        """What ``rule`` makes of all documents, or of one batch's, judged against everything in the log."""
+        """What ``rule`` makes of all documents, or of one batch's, judged against everything in the log. For one batch, only those shards
+        of the history are read that share a fingerprint with it; their numbers pass through the driver."""
         s, buckets, n = self.state, self.state["buckets"], max((b["shards"] for b in self.state["batches"]), default=1)
         each = [(b, self._get(b["path"], "id long, text string, shard long", "shard", b["shards"]), self._get(b["grams"], GRAMS, "gram", buckets)) for b in s["batches"]]
         runs = [self._run(r) for r in s["runs"]]
@@ -127,7 +140,8 @@ class FingerprintLog:
             known = bucketed(known, scratch_path(self.spark, "known"), "gram", buckets, ordered=True)
         flagged = F.when(F.col("hot"), F.col("gram").bitwiseOR(F.lit(1 << 62))).otherwise(F.col("gram")).alias("gram")
         sides = [g.join(known.hint("merge"), "gram").select("shard", flagged) for _, _, g in each]
-        contents = reduce(DataFrame.unionByName, [stretch_rows(t, side, self.spec, b["shards"], rule.count) for (b, t, _), side in zip(each, sides)])
+        texts = [self._hit(t, side) if batch not in (None, k) else t for k, ((_, t, _), side) in enumerate(zip(each, sides))]
+        contents = reduce(DataFrame.unionByName, [stretch_rows(t, side, self.spec, b["shards"], rule.count) for (b, _, _), t, side in zip(each, texts, sides) if t is not None])
         answers = written(resolved(contents, sum(b["shards"] for b in s["batches"]), rule.resolver), "answers")
         out = []
         for k, ((b, t, _), side) in enumerate(zip(each, sides)):
@@ -137,6 +151,12 @@ class FingerprintLog:
         return reduce(DataFrame.unionByName, out)
 
 
+    def _hit(self, texts: DataFrame, side: DataFrame) -> DataFrame | None:
+        """The shards that ``side`` names, by their buckets, or None if there are none."""
+        wanted = [r.shard for r in side.select("shard").distinct().collect()]  # one row a shard, each of some megabytes of text
+        return texts.where(F.col("shard").isin(wanted)) if wanted else None
+
+
 def by_words(met: Met, window: int = WINDOW) -> list[bytes]:
     """Verification: which windows of the contents occur more than once, by their words; b"" where none does.
 
@@ -183,18 +203,18 @@ def _texts(part: Part, mask: np.ndarray) -> list[tuple]:
 
 
 def _run(docs, finish, fields, id_col, text_col, window, gram, hot=4096, batches=BATCHES):
-    spark, mark, spec = docs.sparkSession, tables_made(), Spec(window, gram, True, hot)
-    with kept_only(spark, "deduplicated") as path:
+    spark, spec = docs.sparkSession, Spec(window, gram, True, hot)
+    # by value: a row belongs to the same arrival in each job, however its input is partitioned then
+    arrival = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(batches))
+    with kept_only(spark, "deduplicated") as path, own_tables(spark):
         log, shards = FingerprintLog(spark, scratch_path(spark, "fingerprints"), spec, parallelism(docs, 1)), -(-parallelism(docs, 4) // batches)
         for k in range(batches):
-            log.append(docs.where(F.pmod(F.spark_partition_id(), F.lit(batches)) == k) if batches > 1 else docs, id_col, text_col, shards)
-        out = written(log.deduplicated(Rule(lambda met: by_words(met, window), True, 0, lambda v, doc: v > 0, finish, fields)), "deduplicated", path)
-        forget(spark, mark)
-    return out
+            log.append(docs.where(arrival == k) if batches > 1 else docs, id_col, text_col, shards)
+        return written(log.deduplicated(Rule(lambda met: by_words(met, window), True, 0, lambda v, doc: v > 0, finish, fields)), "deduplicated", path)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = 8, hot: int = 4096, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) a document; the input arrives in ``batches``, by its scan's partitions."""
+    """(doc_id, n_words, n_removed, kept_sha256) a document; the input arrives in ``batches``, dealt by a hash of its rows."""
     fields = [("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
     return _run(docs, _rows, fields, id_col, text_col, window, gram, hot, batches)
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -162,8 +163,7 @@ def bucketed(df: DataFrame, path: str, by: str, buckets: int, ordered: bool = Fa
     (out.sortBy(by) if ordered else out).saveAsTable(name)
     if not _TABLES:
         atexit.register(_forget_all)
-    _TABLES.append(name)
-    return df.sparkSession.table(name)
+    return df.sparkSession.table(_noted(name))
 
 
 def _forget_all() -> None:
@@ -173,24 +173,44 @@ def _forget_all() -> None:
 
 
 _TABLES: list[str] = []
+_OWN = threading.local()
+
+
+def _noted(name: str) -> str:
+    _TABLES.append(name)
+    for run in getattr(_OWN, "runs", [])[-1:]:
+        run.append(name)
+    return name
 
 
-def tables_made() -> int:
-    return len(_TABLES)
+@contextlib.contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """The catalog entries that this thread makes meanwhile are dropped at the end."""
+    runs = _OWN.__dict__.setdefault("runs", [])
+    runs.append([])
+    try:
+        yield
+    finally:
+        _drop(spark, runs.pop())
+
+
+def _drop(spark: SparkSession, names: list[str]) -> None:
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        with contextlib.suppress(ValueError):  # another thread may have been first
+            _TABLES.remove(name)
 
 
 def known_buckets(spark: SparkSession, path: str, schema: str, by: str, buckets: int) -> DataFrame:
     """A table that ``bucketed`` wrote, sorted, maybe in an earlier session."""
     name = f"questlake_{uuid.uuid4().hex}"
     spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
-    _TABLES.append(name)
-    return spark.table(name)
+    return spark.table(_noted(name))
 
 
-def forget(spark: SparkSession, since: int = 0) -> None:
-    """Drop the catalog entries made since then; files are removed with the scratch folders."""
-    while len(_TABLES) > since:
-        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+def forget(spark: SparkSession) -> None:
+    """Drop all catalog entries that this process made; files are removed with the scratch folders."""
+    _drop(spark, list(_TABLES))
 
 
 def shard_table(docs: DataFrame, id_col: str, text_col: str, path: str, shards: int, first: int = 0) -> DataFrame:
@@ -478,14 +498,12 @@ def applied(shards: DataFrame, grams: DataFrame, answers: DataFrame, spec: Spec,
 def dedup(docs: DataFrame, spec: Spec, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """Run the passes. The result is written, and the tables that led to it are dropped. Each pass ends in a table, and what it shuffled
     goes before the next one writes: on disk are the tables and one pass's shuffle, not all passes'."""
-    spark, n, mark = docs.sparkSession, parallelism(docs, 6), len(_TABLES)
-    with kept_only(spark, "deduplicated") as path:
+    spark, n = docs.sparkSession, parallelism(docs, 6)
+    with kept_only(spark, "deduplicated") as path, own_tables(spark):
         shards = shard_table(docs, id_col, text_col, scratch_path(spark, "shards"), n)
         free_shuffles(spark)
         grams = written(repeated_grams(gram_rows(shards, spec, not rule.count, packed=True), n, spec.hot), "grams")
         free_shuffles(spark)
         answers = written(resolved(stretch_rows(shards, grams, spec, n, rule.count), n, rule.resolver), "answers")
         free_shuffles(spark)
-        out = written(applied(shards, grams, answers, spec, rule, n), "deduplicated", path)
-        forget(spark, mark)
-    return out
+        return written(applied(shards, grams, answers, spec, rule, n), "deduplicated", path)

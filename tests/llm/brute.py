@@ -83,7 +83,7 @@ def near_duplicates(docs: list[tuple[int, str | None]], radius: int = 4) -> dict
 
 
 def top_k(rows: list[tuple[int, list[float] | None]], k: int = 5) -> list[tuple]:
-    good = [(i, [np.floor(256 * float(x)) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, v in good:
         if q % 50:

@@ -233,7 +233,8 @@ def test_fingerprint_log_writes_nothing_that_its_runs_give(spark, tmp_path):
     fields = [("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
     rule = substringdedup.Rule(substringdedup.by_words, True, 0, lambda v, doc: v > 0, substringdedup._rows, fields)
     assert {r[0]: tuple(r)[1:] for r in log.deduplicated(rule).collect()} == brute.substring_dedup(docs)
-    assert sorted(p.name.split("-")[0] for p in path.iterdir() if p.is_dir()) == ["grams"] * 3 + ["run"] * 3 + ["shards"] * 3
+    # the run that the second batch merged went with the third; the one that the third merged is still there for readers of the version before
+    assert sorted(p.name.split("-")[0] for p in path.iterdir() if p.is_dir()) == ["grams"] * 3 + ["manifests"] + ["run"] * 2 + ["shards"] * 3
     assert [p.rsplit("/questlake-", 1)[1].split("-")[0] for p in session.scratch_paths() if p not in there] == ["answers"]
     assert len(log.state["runs"]) == 1
     whole, sums = Counter(), Counter()
@@ -242,3 +243,104 @@ def test_fingerprint_log_writes_nothing_that_its_runs_give(spark, tmp_path):
             whole[r.gram] += r.n
             sums[r.gram] += r.kinds
     assert sorted(tuple(r) for r in log._run(log.state["runs"][0]).collect()) == sorted((g, whole[g], sums[g]) for g in whole)
+
+
+def log_of(spark, path, buckets=4):
+    return substringdedup.FingerprintLog(spark, str(path), substringdedup.Spec(35, 8, True), buckets=buckets)
+
+
+def judged(log, spark, batch, **options):
+    return {r[0]: tuple(r)[1:] for r in substringdedup.incremental(log, frame(spark, batch), **options).collect()}
+
+
+def test_a_crash_in_a_commit_leaves_the_log_as_it_was(spark, tmp_path, monkeypatch):
+    docs = corpus(11, 40)
+    first, second = docs[::2], docs[1::2]
+    log = log_of(spark, tmp_path / "log")
+    log.append(frame(spark, first))
+
+    def dies(*a):
+        raise RuntimeError("the driver died")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(log.manifests), "create", dies)
+        with pytest.raises(RuntimeError):
+            log.append(frame(spark, second))
+    again = log_of(spark, tmp_path / "log")
+    assert len(again.state["batches"]) == 1
+    want = brute.substring_dedup(docs)
+    assert judged(again, spark, second) == {i: want[i] for i, _ in second}  # the history is still there
+
+
+def test_a_log_without_its_manifest_and_a_second_writer_are_errors(spark, tmp_path):
+    docs = corpus(12, 20)
+    one = log_of(spark, tmp_path / "log")
+    one.append(frame(spark, docs[:10]))
+    other = log_of(spark, tmp_path / "log")
+    one.append(frame(spark, docs[10:15]))
+    with pytest.raises(FileExistsError):
+        other.append(frame(spark, docs[15:]))
+    assert len(log_of(spark, tmp_path / "log").state["batches"]) == 2
+    for f in (tmp_path / "log" / "manifests").iterdir():
+        f.unlink()
+    with pytest.raises(ValueError, match="no manifest"):
+        log_of(spark, tmp_path / "log")
+
+
+def test_a_new_batch_reads_only_the_shards_that_it_hits(spark, tmp_path):
+    """The texts read for a batch of the same kind don't grow with the history."""
+    rnd = random.Random(13)
+    words = [f"w{i}" for i in range(5000)]
+    text = lambda k: " ".join(rnd.choice(words) for _ in range(k))
+    passage, log, seen, read = text(50), log_of(spark, tmp_path / "log"), [], []
+    hit = substringdedup.FingerprintLog._hit
+
+    def counted(self, texts, side):
+        got = hit(self, texts, side)
+        read[-1] += 0 if got is None else got.count()
+        return got
+
+    substringdedup.FingerprintLog._hit = counted
+    try:
+        for k in range(5):
+            old = [(1000 * k + i, text(60)) for i in range(100)] + [(1000 * k + 500, text(3) + " " + passage)] * (k == 0)
+            log.append(frame(spark, old), shards=25)
+            new = [(1000 * k + 900 + i, text(40)) for i in range(19)] + [(1000 * k + 950, passage)]
+            read.append(0)
+            seen += [*old, *new]
+            want = brute.substring_dedup(seen)
+            assert judged(log, spark, new) == {i: want[i] for i, _ in new}
+    finally:
+        substringdedup.FingerprintLog._hit = hit
+    assert 0 < max(read) <= 60 and read[-1] <= read[1] + 60  # of some 500 documents
+
+
+def test_arrivals_are_dealt_by_value(spark):
+    """Every arrival has rows, whatever the partitions are, also of an input that isn't a scan."""
+    docs = corpus(14)
+    made = frame(spark, docs).repartition(6).groupBy("doc_id").agg(F.first("text").alias("text")).coalesce(1)
+    sizes = []
+    append = substringdedup.FingerprintLog.append
+
+    def noted(self, batch, *a, **k):
+        sizes.append(batch.count())
+        return append(self, batch, *a, **k)
+
+    substringdedup.FingerprintLog.append = noted
+    try:
+        got = {r[0]: tuple(r)[1:] for r in substringdedup.substring_dedup(made).collect()}
+    finally:
+        substringdedup.FingerprintLog.append = append
+    assert got == brute.substring_dedup(docs) and sum(sizes) == len(docs) and min(sizes) > 0
+
+
+def test_operators_in_two_threads_keep_to_their_own_folders(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = [corpus(15), corpus(16)]
+    runs = [lambda d=d, f=f: {r[0]: tuple(r)[1:] for r in f(frame(spark, d)).collect()} for d in docs for f in (substringdedup.substring_dedup, suffixdedup.suffix_dedup)]
+    want = [f(d) for d in docs for f in (brute.substring_dedup, brute.suffix_dedup)]
+    before = {t.name for t in spark.catalog.listTables()}
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda f: f(), runs)) == want
+    assert {t.name for t in spark.catalog.listTables()} == before

@@ -64,6 +64,43 @@ def test_forged_files_give_none_without_taking_memory():
         media.probe(bytes(b))
 
 
+def test_forged_offsets_and_key_frames_are_refused():
+    file = media.container(media.padded(b"hello" * 1000))
+    i = file.index(b"stco")
+    chunks = struct.unpack(">I", file[i + 8 : i + 12])[0]
+    head, tail = file[: i - 4], file[i + 12 + 4 * chunks :]
+
+    def wide(first: int) -> bytes:
+        """The same file with 64-bit offsets, the first of which is forged; the boxes around it grow by what it needs."""
+        offsets = [first, *struct.unpack(f">{chunks}I", file[i + 12 : i + 12 + 4 * chunks])[1:]]
+        body = struct.pack(">I4sII", 16 + 8 * chunks, b"co64", 0, chunks) + struct.pack(f">{chunks}Q", *offsets)
+        out = bytearray(head + body + tail)
+        for kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+            at = out.index(kind) - 4
+            out[at : at + 4] = struct.pack(">I", struct.unpack(">I", out[at : at + 4])[0] + 4 * chunks)
+        return bytes(out)
+
+    right = struct.unpack(">I", file[i + 12 : i + 16])[0]
+    assert media.payload(wide(right)) == media.payload(file) and media.probe(wide(right)) is not None
+    for first in (2**64 - 100, 2**63, 2**63 - 1, len(file) + 1, 2**40):
+        assert media.probe(wide(first)) is None
+    assert media.probe(forged(file, b"stss", 12, 0)) is None and media.probe(forged(file, b"stss", 12, 10**6)) is None
+    assert media.probe(file.replace(b"stsz", b"stz2")) is None
+
+
+@pytest.mark.parametrize("size", [1e4, 1e6, 2.5e6])
+def test_top_k_of_large_components_is_exact(spark, size):
+    rng = np.random.default_rng(int(size))
+    near = rng.normal(0, size, 24)
+    rows = [(i, [float(np.float32(x)) for x in near + rng.normal(0, size * 1e-6, 24)]) for i in range(300)]  # scores differ in their last digits
+    assert ranks(vectors(spark, rows), block=32) == sorted(brute.top_k(rows), key=repr)
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    with pytest.raises(ValueError, match="64 bits"):
+        ranks(vectors(spark, [(0, [1e10, 1.0]), (1, [1.0, 1.0])]))
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, row string, block int")
 
