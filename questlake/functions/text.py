@@ -41,6 +41,15 @@ def strip(c) -> Column:
     return F.regexp_replace(_col(c), f"\\A{WS}+|{WS}+\\z", "")
 
 
+def is_blank(c) -> Column:
+    """Null, empty or white space only; reads a text up to its first other character."""
+    return F.coalesce(~_col(c).rlike(f"[^{WS[1:]}"), F.lit(True))
+
+
+def lstrip(c) -> Column:
+    return F.regexp_replace(_col(c), f"\\A{WS}+", "")
+
+
 def rstrip(c) -> Column:
     return F.regexp_replace(_col(c), f"{WS}+\\z", "")
 

@@ -96,6 +96,18 @@ def distribution(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
+#: Rank error of the quantiles below, as one part in so many rows of a group.
+ACCURACY = 10_000
+
+
+def length_audit(df: DataFrame, length: Column, by: str = "source", accuracy: int = ACCURACY) -> DataFrame:
+    """(group, rows, mean, p50, p90, p95, p99, max) of lengths. Quantiles come from sketches that tasks merge: the rank of each is off by
+    at most rows / ``accuracy``, so groups of fewer rows than that are exact. Null lengths don't count."""
+    marks = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    got = df.select(by, length.cast("long").alias("_n")).groupBy(by).agg(F.count("_n").alias("rows"), F.round(F.avg("_n"), 6).alias("mean"), F.percentile_approx("_n", list(marks.values()), accuracy).alias("_q"), F.max("_n").alias("max"))
+    return got.select(by, "rows", "mean", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(marks)], "max")
+
+
 def counts_as_map(df: DataFrame, key: str) -> DataFrame:
     """The same as one row with a map."""
     return distribution(df, key).agg(F.map_from_entries(F.collect_list(F.struct(key, "n"))).alias("counts"))

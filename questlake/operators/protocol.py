@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from questlake.functions.text import WS, occurrences, strip
+from questlake.functions.text import lstrip, occurrences, strip
 
 # Fixed values of the protocol.
 ACTION = r"(?s)<(search|answer)>(.*?)</\1>"
-STRICT = rf"(?s)\A<think>(.*?)</think>{WS}*<(search|answer)>(.*?)</\2><\|im_end\|>\z"
 RESERVED = r"</?(?:think|search|answer|information)>|<\|(?:im_end|endoftext)\|>"
 
 INVALID = "invalid"
@@ -38,18 +37,32 @@ def action_candidate(raw: Column) -> Column:
     return _action(raw, True)
 
 
+def strict_parts(raw: Column) -> tuple[Column, Column, Column, Column]:
+    """(fits, reasoning, type, content) of a turn of one think element, white space, and one search or answer element that ends in the end
+    token; only for texts in which the think tags stand once each. By places of tags, so nothing is matched twice."""
+    close = F.instr(raw, "</think>")
+    after = lstrip(F.substr(raw, close + len("</think>")))
+    kind = F.when(F.startswith(after, F.lit("<search>")), "search").when(F.startswith(after, F.lit("<answer>")), "answer")
+    head, tail = len("<search>"), len("</search><|im_end|>")  # the other kind's tags are as long
+    ends = F.endswith(after, F.concat(F.lit("</"), kind, F.lit("><|im_end|>")))
+    fits = F.startswith(raw, F.lit("<think>")) & (close > 0) & F.coalesce(ends, F.lit(False)) & (F.length(after) >= head + tail)
+    begin = F.lit(len("<think>") + 1)
+    return fits, F.substr(raw, begin, close - begin), kind, F.substr(after, F.lit(head + 1), F.length(after) - (head + tail))
+
+
 def parse_raw(raw: Column, ended: Column) -> Column:
     """struct(strict_valid, valid_action, ended_with_im_end, reasoning_content, type, content, error).
 
     ``ended``: the last token is the end token.
     """
-    reasoning, kind, content = strip(F.regexp_extract(raw, STRICT, 1)), F.regexp_extract(raw, STRICT, 2), strip(F.regexp_extract(raw, STRICT, 3))
+    fits, thought, kind, body = strict_parts(raw)
+    reasoning, content = strip(thought), strip(body)
     error = (
         F.when(~F.coalesce(ended, F.lit(False)), "missing_im_end")
         .when(raw.contains("�"), "decode_error")
         .when((occurrences(raw, "<think>") != 1) | (occurrences(raw, "</think>") != 1), "invalid_think_count")
         .when(has_information(raw), "forged_information")
-        .when(~raw.rlike(STRICT), "raw_protocol_mismatch")
+        .when(~fits, "raw_protocol_mismatch")
         .when(reasoning == "", "empty_think")
         .when(content == "", "empty_action")
         .when(reasoning.rlike(RESERVED), "reserved_tag_in_think")

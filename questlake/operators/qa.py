@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from questlake.functions.text import casefold, normalize_whitespace, once
+from questlake.functions.text import casefold, is_blank, normalize_whitespace, once
 from questlake.operators.guards import checked
 
 # Ids that are left out of the multi-hop source.
@@ -15,18 +15,25 @@ EXCLUDED = ["train_27806", "train_77497", "train_11353", "train_3027", "train_37
 def clean_list(items: Column) -> Column:
     """White space normalised, blanks out (``row_error`` reports them), the first spelling of each value that is the same by case folding
     kept in order."""
-    tidy = F.filter(F.transform(items, normalize_whitespace), lambda x: x != "")
+    tidy = _tidied(F.transform(items, normalize_whitespace))
     first = lambda t: once(F.transform(t, casefold), lambda keys: F.filter(t, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
     return once(tidy, first)
 
 
-def normalized_count(items: Column) -> Column:
-    return F.size(F.filter(items, lambda x: normalize_whitespace(x) != x))
+def _tidied(tidy: Column) -> Column:
+    return F.filter(tidy, lambda x: x != "")
 
 
-def duplicate_count(items: Column) -> Column:
-    keys = F.transform(F.filter(F.transform(items, normalize_whitespace), lambda x: x != ""), casefold)
-    return once(keys, lambda k: F.size(k) - F.size(F.array_distinct(k)))
+def answer_counts(items: Column) -> Column:
+    """struct(normalized, duplicates): how many items white space changes, and how many repeat another by case folding. White space is
+    normalised once for both."""
+
+    def counts(tidy: Column) -> Column:
+        changed = F.size(F.filter(F.arrays_zip(items.alias("raw"), tidy.alias("tidy")), lambda x: x["raw"] != x["tidy"]))
+        keys = once(F.transform(_tidied(tidy), casefold), lambda k: F.size(k) - F.size(F.array_distinct(k)))
+        return F.struct(changed.alias("normalized"), keys.alias("duplicates"))
+
+    return once(F.transform(items, normalize_whitespace), counts)
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:
@@ -35,17 +42,16 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
 
 
 def _has_blank(items: Column) -> Column:
-    return F.exists(items, lambda x: F.coalesce(normalize_whitespace(x), F.lit("")) == "")
+    return F.exists(items, is_blank)
 
 
 def metadata_error(metadata: Column) -> Column:
     """What is wrong with the multi-hop metadata (type, level, supporting_facts.title), or null."""
-    blank = lambda c: F.coalesce(normalize_whitespace(c), F.lit("")) == ""
     titles = metadata["supporting_facts"]["title"]
     return (
         F.when(metadata.isNull(), "no metadata")
-        .when(blank(metadata["type"]), "blank type")
-        .when(blank(metadata["level"]), "blank level")
+        .when(is_blank(metadata["type"]), "blank type")
+        .when(is_blank(metadata["level"]), "blank level")
         .when(titles.isNull() | (F.size(titles) == 0), "no titles")
         .when(_has_blank(titles), "blank titles")
     )
@@ -58,8 +64,8 @@ def multi_hop_metadata(metadata: Column) -> dict[str, Column]:
 
 def row_error(question: Column, answers: Column, identity: Column | None = None) -> Column:
     """What is wrong with a raw row, or null; a blank ``identity`` is wrong too where one is given."""
-    start = F.when(F.lit(False), "") if identity is None else F.when(F.coalesce(normalize_whitespace(identity), F.lit("")) == "", "blank id")
-    return start.when(F.coalesce(normalize_whitespace(question), F.lit("")) == "", "blank question").when(answers.isNull() | (F.size(answers) == 0), "no answers").when(_has_blank(answers), "blank answers")
+    start = F.when(F.lit(False), "") if identity is None else F.when(is_blank(identity), "blank id")
+    return start.when(is_blank(question), "blank question").when(answers.isNull() | (F.size(answers) == 0), "no answers").when(_has_blank(answers), "blank answers")
 
 
 def quarantine(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
@@ -68,6 +74,19 @@ def quarantine(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL")
 
 
+def quarantined(df: DataFrame, error: Column, path: str, by: str = "source_split") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Good rows, bad ones with their ``error``, and (split, read, excluded, written): the input is read, and the error found, once, in the
+    write to ``path``; all three are read from there. A write that lost rows is an error."""
+    seen = Observation()
+    marked = df.withColumn("error", error).withColumn("excluded", F.col("error").isNotNull())
+    marked.observe(seen, F.count(F.lit(1)).alias("read")).write.partitionBy("excluded").parquet(path)
+    back = df.sparkSession.read.schema(marked.schema).parquet(path)
+    counts = back.groupBy(by).agg(F.count("*").alias("read"), F.count_if("excluded").alias("excluded"), F.count_if(~F.col("excluded")).alias("written"))
+    if back.count() != seen.get["read"]:
+        raise ValueError("rows got lost")
+    return back.where("NOT excluded").drop("excluded", "error"), back.where("excluded").drop("excluded"), counts
+
+
 def strictly(df: DataFrame, error: Column) -> DataFrame:
     """The rows, or an error when a bad one is read."""
     return checked(df, error.isNull(), error)
@@ -92,8 +111,8 @@ def first_rows(df: DataFrame, n: int | None, ordinal: str = "ordinal") -> DataFr
 def counters(df: DataFrame, by: str = "source_split") -> DataFrame:
     """Rows, normalised answers and dropped duplicates per split and overall, of raw ``golden_answers``."""
     # per row before the rollup, which doubles the rows
-    each = df.select(by, normalized_count(F.col("golden_answers")).alias("a"), duplicate_count(F.col("golden_answers")).alias("b"))
-    sums = [F.count("*").alias("read"), F.sum("a").cast("long").alias("normalized"), F.sum("b").cast("long").alias("duplicates")]
+    each = df.select(by, answer_counts(F.col("golden_answers")).alias("n"))
+    sums = [F.count("*").alias("read"), F.sum("n.normalized").cast("long").alias("normalized"), F.sum("n.duplicates").cast("long").alias("duplicates")]
     return each.groupBy(by).agg(*sums).rollup(by).agg(*[F.sum(c).cast("long").alias(c) for c in ("read", "normalized", "duplicates")]).withColumn(by, F.coalesce(by, F.lit("overall")))
 
 

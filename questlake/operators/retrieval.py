@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from questlake.functions.text import observation, split_title, strip, truncated
+from questlake.functions.text import observation, once, split_title, strip, truncated
 from questlake.operators.guards import checked
 from questlake.session import cut
 
@@ -41,21 +42,33 @@ class Index:
     corpus: DataFrame
     analyzer: Callable[[Column], Column] = terms
 
+    @cached_property
+    def total(self) -> Row:
+        return self.corpus.first()
+
+
+def counted(terms: Column) -> Column:
+    """array<struct(term, tf)> of sorted terms: runs of equal ones."""
+    starts = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    runs = lambda w: once(starts(w), lambda s: F.transform(s, lambda at, j: F.struct(F.get(w, at).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(w)) - at).alias("tf"))))
+    return F.when(F.size(terms) > 0, runs(terms))
+
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, k1: float = 0.9, b: float = 0.4, analyzer: Callable[[Column], Column] = terms) -> Index:
-    """Texts are read and cut into terms once: postings are written, and the statistics come from them. Ids must be unique.
+    """Texts are read and cut into terms once: each document's terms are counted where it is read, postings are written without a shuffle,
+    and the statistics come from them. Ids must be unique.
 
     Documents are dealt to parts by a hash of the id, so that no task gets all documents of a common term.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), analyzer(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    sized = words.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
-    found = cut(sized.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+    words = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(analyzer(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
+    sized = words.select("doc_id", F.size("w").alias("dl"), F.explode_outer(counted(F.col("w"))).alias("t"))
+    found = cut(sized.select("doc_id", "dl", "t.term", F.coalesce("t.tf", F.lit(1)).alias("tf")), "postings")
     # a document counts once: by its row without a term, or by the shares that its terms have in its length
-    once = F.when(F.col("term").isNull(), F.lit(1.0)).otherwise(F.col("tf") / F.col("dl"))
-    corpus = cut(found.agg(F.round(F.sum(once)).cast("long").alias("n"), F.sum("tf").alias("_l"), F.count_if(F.col("term").isNull()).alias("_e")).select("n", (F.coalesce(F.col("_l") - F.col("_e"), F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl"), F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int").alias("parts")), "corpus")
+    share = F.when(F.col("term").isNull(), F.lit(1.0)).otherwise(F.col("tf") / F.col("dl"))
+    corpus = cut(found.agg(F.round(F.sum(share)).cast("long").alias("n"), F.sum("tf").alias("_l"), F.count_if(F.col("term").isNull()).alias("_e")).select("n", (F.coalesce(F.col("_l") - F.col("_e"), F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl"), F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int").alias("parts")), "corpus")
     total = corpus.first()
     impact = F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / (total.avgdl or 1.0)))
-    postings = found.where("term IS NOT NULL").select("doc_id", "term", impact.alias("impact"), F.floor(4 * F.log2(F.col("dl"))).cast("int").alias("band"), F.pmod(F.xxhash64("doc_id"), F.lit(total.parts)).cast("int").alias("part"))
+    postings = found.where("term IS NOT NULL").select("doc_id", "term", impact.alias("impact"), F.floor(2 * F.log2(F.col("dl"))).cast("int").alias("band"), F.pmod(F.xxhash64("doc_id"), F.lit(total.parts)).cast("int").alias("part"))
     lists = cut(postings.groupBy("term", "band").agg(F.count("*").alias("df"), F.max("impact").alias("top")), "lists")
     stats = cut(lists.groupBy("term").agg(F.sum("df").alias("df")), "terms")
     return Index(postings, stats, lists, corpus, analyzer)
@@ -86,7 +99,7 @@ def _ranked(scored: DataFrame, query_id: str, k: int) -> DataFrame:
 
 def _met(index: Index, wanted: DataFrame, *keys: str) -> DataFrame:
     """Postings of wanted lists; every part of a list is wanted."""
-    parts = index.corpus.first().parts
+    parts = index.total.parts
     if parts == 1:
         return index.postings.drop("part").join(wanted, list(keys))
     return index.postings.join(wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "part"])
@@ -95,7 +108,7 @@ def _met(index: Index, wanted: DataFrame, *keys: str) -> DataFrame:
 def query_weights(index: Index, queries: DataFrame, query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query id, term, df, w) of terms that the corpus has."""
     asked = require_queries(queries, text_col).select(query_id, F.explode(index.analyzer(F.col(text_col))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
-    idf = F.log(1.0 + (F.lit(index.corpus.first().n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(1.0 + (F.lit(index.total.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return asked.join(index.stats, "term").select(query_id, "term", "df", (F.col("qf") * idf).alias("w"))
 
 
@@ -105,8 +118,9 @@ def floors(index: Index, weights: DataFrame, k: int, query_id: str = "item_id",
     by_df = Window.partitionBy(query_id).orderBy("df", "term")
     few = weights.withColumn("_upto", F.sum("df").over(by_df)).withColumn("_n", F.row_number().over(by_df)).where((F.col("_upto") <= rare) | (F.col("_n") == 1)).select(query_id, "term", "w")
     near = _met(index, few, "term").groupBy(query_id, "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
-    best = cut(_ranked(near, query_id, max(seeds, 4 * k)).select(query_id, "doc_id"), "seeds")
-    whole = index.postings.select("doc_id", "term", "impact").join(best.join(weights, query_id).select(query_id, "doc_id", "term", "w"), ["doc_id", "term"])
+    best = _ranked(near, query_id, max(seeds, 4 * k)).select(query_id, "doc_id")
+    asked = cut(best.join(weights, query_id).select(query_id, "doc_id", "term", "w"), "seeds")
+    whole = index.postings.select("doc_id", "term", "impact").join(asked, ["doc_id", "term"])
     scored = whole.groupBy(query_id, "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
     return _ranked(scored, query_id, k).where(F.col("rank") == k).select(query_id, F.col("score").alias("floor"))
 
@@ -141,10 +155,9 @@ def search(index: Index, queries: DataFrame, k: int = 3, query_id: str = "item_i
     if k < 1:
         raise ValueError("k must be at least 1")
     weights = cut(query_weights(index, queries, query_id, text_col), "weights")
-    floor = cut(floors(index, weights, k, query_id, rare, seeds), "floors")
-    lists = cut(planned_lists(index, weights, floor, query_id, skipped), "planned")
+    lists = cut(planned_lists(index, weights, floors(index, weights, k, query_id, rare, seeds), query_id, skipped), "planned")
     open_ = cut(candidates(index, lists, query_id), "candidates")
-    missing = open_.join(lists.where("skip").select(query_id, "band", "term", "w"), [query_id, "band"]).select(query_id, "doc_id", "term", "w")
+    missing = cut(open_.join(lists.where("skip").select(query_id, "band", "term", "w"), [query_id, "band"]).select(query_id, "doc_id", "term", "w"), "missing")
     found = index.postings.select("doc_id", "term", "impact").join(missing, ["doc_id", "term"]).select(query_id, "doc_id", (F.col("w") * F.col("impact")).alias("score"))
     scored = open_.select(query_id, "doc_id", F.col("part_score").alias("score")).unionByName(found).groupBy(query_id, "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
     return _ranked(scored, query_id, k).select(query_id, "rank", "doc_id", "score")

@@ -6,9 +6,11 @@ bounded, and each one's state is written to the shared folder, so lineage stays
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
@@ -54,6 +56,54 @@ def as_generation(made: Column, kind: DataType) -> Column:
     return F.struct(made.alias("raw"), none("int").alias("input_tokens"), none("int").alias("generated_tokens"), F.endswith(made, F.lit("<|im_end|>")).alias("ended"), F.lit(False).alias("reached_max"), none("string").alias("error"))
 
 
+_MODELS: dict[str, Callable[[list[str]], list[str]]] = {}
+
+
+def loaded_model(name: str, load: Callable[[], Callable[[list[str]], list[str]]]) -> Callable[[list[str]], list[str]]:
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+def model_function(load: Callable[[], Callable[[list[str]], list[str]]], batch: int = 64) -> Callable[[Column, int], Column]:
+    """``generate`` of a model that is loaded once a worker process and asked for ``batch`` histories (messages as JSON) at a time. A batch
+    that fails is asked for one by one; a history that fails alone gives an error for its own question."""
+    name = uuid.uuid4().hex
+
+    def made(histories: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from questlake.operators.rollout import loaded_model  # the worker's own module, which outlives a task
+
+        model = loaded_model(name, load)
+
+        def one(text: str) -> tuple[str | None, str | None]:
+            try:
+                return model([text])[0], None
+            except Exception as e:  # kept with its question
+                return None, f"{type(e).__name__}: {e}"
+
+        for texts in histories:
+            out = []
+            for at in range(0, len(texts), batch):
+                part = texts[at : at + batch].tolist()
+                try:
+                    said = model(part)
+                    if len(said) != len(part):
+                        raise ValueError("a model gave another number of texts")
+                    out += [(x, None) for x in said]
+                except Exception:
+                    out += [one(x) for x in part]
+            yield pd.DataFrame(out, columns=["raw", "error"])
+
+    udf = F.pandas_udf(made, "raw string, error string")
+
+    def generate(messages: Column, turn: int) -> Column:
+        none = lambda t: F.lit(None).cast(t)
+        said = F.struct(udf(F.to_json(messages)).alias("m"))["m"]
+        return F.struct(said["raw"].alias("raw"), none("int").alias("input_tokens"), none("int").alias("generated_tokens"), F.endswith(said["raw"], F.lit("<|im_end|>")).alias("ended"), F.lit(False).alias("reached_max"), said["error"].alias("error"))
+
+    return generate
+
+
 @registered("search_agent")
 def run_agent(questions: DataFrame, generate: Callable[[Column, int], Column], search: Callable[[DataFrame], DataFrame], system_prompt: str, strict: bool = True, max_turns: int = MAX_TURNS, count_tokens: Callable[[Column], Column] | None = None, max_input_tokens: int = TOTAL) -> DataFrame:
     """``questions`` (question_id, question) with messages, steps, termination_reason and input_tokens_at_failure.

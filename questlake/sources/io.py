@@ -85,7 +85,7 @@ def append(df: DataFrame, path: str) -> None:
 
 def open_output(spark: SparkSession, path: str, resume: bool) -> None:
     """A folder for ``append``: a run that doesn't resume needs an empty one, a run that does needs one that is there."""
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop(spark, path)
     there = fs.exists(p)
     if resume and not there:
         raise FileNotFoundError(path)
@@ -105,20 +105,26 @@ def write_ids(df: DataFrame, path: str, name: str = "uid") -> None:
     df.select(F.col(name).cast("string").alias("value")).write.mode("append").text(path)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of a file or of the files in a folder. Files are read as streams, whatever their size."""
-    fs, p = _hadoop(spark, path)
+#: Files up to this size are hashed by executors, each in one row.
+WHOLE = 256 << 20
+
+
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """(path, sha256) of a file or of the files in a folder. Executors read and hash files of up to ``whole`` bytes; longer ones, which
+    don't fit a row, are read as streams by the driver."""
+    fs, p = hadoop(spark, path)
     jvm, rows = spark.sparkContext._jvm, []
-    for status in sorted(fs.globStatus(p) or [], key=lambda s: s.getPath().toString()):
-        files = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-        for f in files:
-            if f.isFile():
+    for found in fs.globStatus(p) or []:
+        for f in fs.listStatus(found.getPath()) if found.isDirectory() else [found]:
+            if f.isFile() and (f.getLen() == 0 or f.getLen() > whole):  # Spark leaves empty files out
                 stream = fs.open(f.getPath())
                 try:
                     rows.append((f.getPath().toString(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
                 finally:
                     stream.close()
-    return spark.createDataFrame(sorted(rows), "path string, sha256 string")
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(spark.createDataFrame(rows, "path string, sha256 string"))
 
 
 def table_digest(df: DataFrame) -> DataFrame:
@@ -138,17 +144,17 @@ def write_report(rows: DataFrame, path: str, title: str, most: int = REPORT_ROWS
     got = [r.asDict(recursive=True) for r in found]
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
     body = "\n".join("| " + " | ".join(str(r[c]) for c in rows.columns) + " |" for r in got)
-    _write_text(rows.sparkSession, f"{path}/report.json", json.dumps(got, indent=2, ensure_ascii=False, default=str))
-    _write_text(rows.sparkSession, f"{path}/report.md", f"# {title}\n\n{head}\n{body}\n")
+    write_text(rows.sparkSession, f"{path}/report.json", json.dumps(got, indent=2, ensure_ascii=False, default=str))
+    write_text(rows.sparkSession, f"{path}/report.md", f"# {title}\n\n{head}\n{body}\n")
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _hadoop(spark, path)
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = hadoop(spark, path)
     out = fs.create(p, True)
     try:
         out.write(bytearray(text.encode()))
