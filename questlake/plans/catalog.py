@@ -547,9 +547,12 @@ def cleaning_counters(spark, sf_dir):
     return qa.counters(_raw_qa(spark, sf_dir).withColumnRenamed("lang", "source_split"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE 'train_' || doc_id NOT IN ({', '.join(repr(x) for x in qa.EXCLUDED)})")
+@query(f"SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 40 < 12 THEN [{', '.join(repr(x) for x in qa.EXCLUDED)}][doc_id % 40 + 1] ELSE 'train_' || doc_id END AS id FROM documents) WHERE id NOT IN ({', '.join(repr(x) for x in qa.EXCLUDED)})")
 def static_exclusion(spark, sf_dir):
-    return qa.without_excluded(_raw_qa(spark, sf_dir), "id").select("doc_id")
+    """The excluded ids occur, several times each, among others."""
+    listed = F.element_at(F.array(*map(F.lit, qa.EXCLUDED)), (F.col("doc_id") % 40 + 1).cast("int"))
+    rows = _raw_qa(spark, sf_dir).withColumn("id", F.when(F.col("doc_id") % 40 < len(qa.EXCLUDED), listed).otherwise(F.col("id")))
+    return qa.without_excluded(rows, "id").select("doc_id")
 
 
 @query(f"SELECT lang AS data_source, doc_id AS id, 'train' AS split, 'system: {PROMPT}' AS system, sha256('user: ' || text) AS user_sha256, lang AS ground_truth FROM documents")

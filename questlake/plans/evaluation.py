@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from questlake.functions import text as tx
 from questlake.operators import assembly, guards, isolation, metrics, qa, sampling, trajectory
-from questlake.plans.catalog import CLEAN, EVENTS_SQL, PROMPT, RESULTS, SCORES_SQL, _answers, _events, _results, query, sql_metrics, sql_tokens, table
+from questlake.plans.catalog import CLEAN, EVENTS_SQL, LANGS, PROMPT, RESULTS, SCORES_SQL, _answers, _events, _results, query, sql_metrics, sql_tokens, table
 
 # 1 results
 
@@ -122,21 +122,25 @@ def count_balance(spark, sf_dir):
     return guards.require_balance(d, d.where("doc_id % 5 = 0"), d.where("doc_id % 5 != 0"))
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id FROM documents")
 def source_check(spark, sf_dir):
-    return guards.from_source(table(spark, sf_dir, "documents").where("lang = 'en'"), "en", "lang").select("doc_id")
+    """The source is read off the ids of all rows; a row of another would end the query."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("nq_"), F.col("doc_id").cast("string")).alias("uid"))
+    return guards.from_source(rows.withColumn("source", F.substring_index("uid", "_", 1)), "nq").select("doc_id")
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 3 > 0")
+@query("SELECT doc_id AS id FROM documents")
 def training_guard(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select(F.struct(F.col("doc_id").alias("id"), F.lit("train").alias("split")).alias("extra_info"))
+    """The split is read off the ids of all rows."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("nq_train_"), F.col("doc_id").cast("string")).alias("uid"))
+    rows = rows.select(F.struct(F.col("doc_id").alias("id"), F.get(F.split("uid", "_"), F.lit(1)).alias("split")).alias("extra_info"))
     return guards.training_only(rows).select("extra_info.id")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('123:' || doc_id), doc_id) <= 20")
+@query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('123:' || doc_id), doc_id) <= 10")
 def quota_check(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang").where("lang IN ('en', 'de')")
-    return guards.require_quotas(sampling.taken(d, "lang", 20, *sampling.seeded(123, "doc_id")), {"en": 20, "de": 20}, "lang").select("doc_id", "lang")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return guards.require_quotas(sampling.taken(d, "lang", 10, *sampling.seeded(123, "doc_id")), dict.fromkeys(LANGS, 10), "lang").select("doc_id", "lang")
 
 
 # 3 projections
@@ -179,10 +183,10 @@ def multi_hop_cleaning(spark, sf_dir):
     return rows.select("uid", "metadata.type", "metadata.level", F.array_join("metadata.supporting_titles", "|").alias("titles"))
 
 
-@query("SELECT doc_id, replace(lower(text), 'ß', 'ss') = replace(lower(upper(text)), 'ß', 'ss') AS same FROM documents WHERE contains(text, 'ß')")
+@query("SELECT doc_id, replace(lower(text), 'ß', 'ss') = replace(lower(upper(text)), 'ß', 'ss') AS same FROM documents")
 def casefolded_spellings(spark, sf_dir):
-    """Texts with a letter whose upper case has two letters: both spellings fold to one key."""
-    d = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("ß")))
+    """Texts, some with a letter whose upper case has two letters, and their upper case: both spellings fold to one key."""
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", (tx.casefold("text") == tx.casefold(F.upper("text"))).alias("same"))
 
 
