@@ -99,6 +99,35 @@ def ids_resumed(spark, sf_dir):
     return resume.remaining(d, done, io.read_ids(spark, f"{path}/skipped")).select(F.col("uid").cast("long").alias("uid"))
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, sha256(text) AS text_sha256 FROM documents")
+def corpus_read(spark, sf_dir):
+    """Documents as a corpus file of ids and contents, read and checked as retrieval reads it."""
+    path = scratch_path(spark, "corpus")
+    io.write_jsonl(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("contents")), path)
+    return retrieval.read_corpus(spark, path).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT doc_id FROM documents")
+def resumed_output(spark, sf_dir):
+    """Half of the rows by one run, the others by one that resumes its output."""
+    path, d = f"{scratch_path(spark, 'resumed')}/out", table(spark, sf_dir, "documents").select("doc_id")
+    io.open_output(spark, path, resume=False)
+    io.append(d.where("doc_id % 2 = 0"), path)
+    io.open_output(spark, path, resume=True)
+    done = io.read_jsonl(spark, path, "doc_id long").select(F.col("doc_id").alias("uid"))
+    io.append(resume.remaining(d.select(F.col("doc_id").alias("uid")), resume.completed_ids(done), done.limit(0)).withColumnRenamed("uid", "doc_id"), path)
+    return io.read_jsonl(spark, path, "doc_id long")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def report_read_back(spark, sf_dir):
+    """A small result as a report beside its Markdown, read back from the JSON."""
+    path, rows = scratch_path(spark, "report"), table(spark, sf_dir, "documents")
+    qa.require_columns(rows, ["doc_id", "lang"])
+    io.write_report(metrics.distribution(rows, "lang"), path, "Documents by language")
+    return spark.read.schema("lang string, n long").option("multiLine", True).json(f"{path}/report.json")
+
+
 @query("SELECT source_split, read, excluded, read - excluded AS written FROM (SELECT lang AS source_split, count(*) AS read, count(*) FILTER (doc_id % 4 = 1) AS excluded FROM documents GROUP BY lang)")
 def quarantined_once(spark, sf_dir):
     """Rows with blank questions go aside; counts come from the one write."""
