@@ -133,10 +133,11 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, windows: int = 6) -> ByteCNN:
-    """Train on a bounded sample of the labelled rows that aren't held out."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, windows: int = 6, most_langs: int = 100) -> ByteCNN:
+    """Train on a bounded sample of the labelled rows that aren't held out: about ``per_lang`` of each of the ``most_langs`` most frequent
+    languages (ties by name), which are those that can be predicted."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_langs).collect()}
     langs = sorted(counts)
     if not langs:
         return train(np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), [])

@@ -43,6 +43,15 @@ def test_language_id_learns_and_marks_texts_without_letters(spark):
     assert {i for i, r in got.items() if r.h} == {i for i in got if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
+def test_languages_beyond_the_bound_are_the_rarer_ones(spark):
+    rows = [(i, f"{'abcdefghij'[i % 10] * 5} " * 4, f"l{i % 10}") for i in range(400)] + [(1000 + i, "zzz zzz", f"free text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.fit(df, most_langs=10)
+    assert net.langs == [f"l{k}" for k in range(10)]
+    got = langid.predicted(df, net, keep=["doc_id"]).collect()
+    assert len(got) == 700 and {r.lang_pred for r in got} <= set(net.langs)
+
+
 def test_language_id_without_labels(spark):
     docs = frame(spark, ["abc"], [None])
     assert [r.lang_pred for r in langid.predicted(docs, langid.fit(docs)).collect()] == ["und"]
