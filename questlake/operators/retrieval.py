@@ -61,11 +61,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents are dealt to parts by a hash of the id, so that no task gets all documents of a common term.
     """
     words = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(analyzer(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    sized = words.select("doc_id", F.size("w").alias("dl"), F.explode_outer(counted(F.col("w"))).alias("t"))
-    found = cut(sized.select("doc_id", "dl", "t.term", F.coalesce("t.tf", F.lit(1)).alias("tf")), "postings")
-    # a document counts once: by its row without a term, or by the shares that its terms have in its length
-    share = F.when(F.col("term").isNull(), F.lit(1.0)).otherwise(F.col("tf") / F.col("dl"))
-    corpus = cut(found.agg(F.round(F.sum(share)).cast("long").alias("n"), F.sum("tf").alias("_l"), F.count_if(F.col("term").isNull()).alias("_e")).select("n", (F.coalesce(F.col("_l") - F.col("_e"), F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl"), F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int").alias("parts")), "corpus")
+    sized = words.select("doc_id", F.size("w").alias("dl"), F.posexplode_outer(counted(F.col("w"))).alias("at", "t"))
+    first = F.coalesce(F.col("at") == 0, F.lit(True))  # a document without terms has one row, too
+    found = cut(sized.select("doc_id", "dl", "t.term", F.coalesce("t.tf", F.lit(0)).alias("tf"), first.alias("first")), "postings")
+    sums = found.agg(F.count_if("first").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("length"))
+    corpus = cut(sums.select("n", (F.col("length") / F.greatest("n", F.lit(1))).alias("avgdl"), F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int").alias("parts")), "corpus")
     total = corpus.first()
     impact = F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / (total.avgdl or 1.0)))
     postings = found.where("term IS NOT NULL").select("doc_id", "term", impact.alias("impact"), F.floor(2 * F.log2(F.col("dl"))).cast("int").alias("band"), F.pmod(F.xxhash64("doc_id"), F.lit(total.parts)).cast("int").alias("part"))
