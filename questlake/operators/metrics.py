@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from questlake.operators.guards import checked
@@ -96,16 +96,24 @@ def distribution(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
-#: Rank error of the quantiles below, as one part in so many rows of a group.
-ACCURACY = 10_000
-
-
-def length_audit(df: DataFrame, length: Column, by: str = "source", accuracy: int = ACCURACY) -> DataFrame:
-    """(group, rows, mean, p50, p90, p95, p99, max) of lengths. Quantiles come from sketches that tasks merge: the rank of each is off by
-    at most rows / ``accuracy``, so groups of fewer rows than that are exact. Null lengths don't count."""
-    marks = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    got = df.select(by, length.cast("long").alias("_n")).groupBy(by).agg(F.count("_n").alias("rows"), F.round(F.avg("_n"), 6).alias("mean"), F.percentile_approx("_n", list(marks.values()), accuracy).alias("_q"), F.max("_n").alias("max"))
-    return got.select(by, "rows", "mean", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(marks)], "max")
+def length_audit(df: DataFrame, length: Column, by: str = "source", accuracy: int | None = None) -> DataFrame:
+    """(group, rows, mean, p50, p90, p95, p99, max) of lengths. Null lengths don't count. Quantiles are exact: rows are counted by length
+    first, so a window sees one row for each distinct length of a group. With ``accuracy`` they come from sketches that tasks merge, and
+    the rank of each is off by at most rows / ``accuracy``; for measures of very many distinct values."""
+    marks = {"p50": 50, "p90": 90, "p95": 95, "p99": 99}
+    n = df.select(by, length.cast("long").alias("_n"))
+    if accuracy is not None:
+        got = n.groupBy(by).agg(F.count("_n").alias("rows"), F.round(F.avg("_n"), 6).alias("mean"), F.percentile_approx("_n", [m / 100 for m in marks.values()], accuracy).alias("_q"), F.max("_n").alias("max"))
+        return got.select(by, "rows", "mean", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(marks)], "max")
+    # null lengths keep their group, with no rows
+    each = n.groupBy(by, "_n").agg(F.count("_n").alias("_rows"))
+    group = Window.partitionBy(by)
+    upto, whole = F.sum("_rows").over(group.orderBy("_n")), F.sum("_rows").over(group)
+    ranked = each.withColumns({"_upto": upto, "_all": whole})
+    rows = F.sum("_rows")
+    at = lambda m: F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * m, F.col("_n")))
+    mean = F.round(F.try_divide(F.sum(F.col("_n") * F.col("_rows")).cast("double"), rows.cast("double")), 6)
+    return ranked.groupBy(by).agg(rows.alias("rows"), mean.alias("mean"), *[at(m).alias(c) for c, m in marks.items()], F.max("_n").alias("max"))
 
 
 def counts_as_map(df: DataFrame, key: str) -> DataFrame:

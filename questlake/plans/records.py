@@ -191,7 +191,7 @@ def questions_of_prompts(spark, sf_dir):
     FROM n GROUP BY source
 """)
 def length_audit(spark, sf_dir):
-    """Words a text by source; quantiles are exact for groups of fewer rows than the sketch's accuracy."""
+    """Words a text by source."""
     return metrics.length_audit(table(spark, sf_dir, "documents"), F.size(F.split(tx.normalize_whitespace("text"), " ")), "source")
 
 

@@ -107,6 +107,16 @@ def test_quantiles_stay_within_their_rank_error(spark):
     assert got["a"].max == values[-1] and tuple(got["b"])[1:] == (1, 5.0, 5, 5, 5, 5, 5)
 
 
+def test_quantiles_of_large_groups_are_exact(spark):
+    rnd = random.Random(4)
+    values = sorted(int(rnd.paretovariate(0.9) * 100) for _ in range(40_000))
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None), (None, 7)], "source string, n long").repartition(7)
+    got = {r.source: tuple(r)[1:] for r in metrics.length_audit(df, F.col("n")).collect()}
+    at = [values[-(-m * len(values) // 100) - 1] for m in (50, 90, 95, 99)]
+    assert got["a"] == (len(values), pytest.approx(sum(values) / len(values), abs=1e-6), *at, values[-1])
+    assert got["b"] == (0, *[None] * 6) and got[None] == (1, 7.0, *[7] * 5)
+
+
 def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
     folder = str(tmp_path)
 
