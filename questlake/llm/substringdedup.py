@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from questlake.llm.common import hadoop_fs, kept_only, parallelism, scratch_path, written
 from questlake.llm.sharding import ShardStore
-from questlake.llm.winnow import GRAMS, Met, Part, Rule, Spec, applied, bucketed, cut, gram_rows, in_runs, known_buckets, own_tables, resolved, shard_table, stretch_rows
+from questlake.llm.winnow import GRAMS, Met, Part, Rule, Spec, applied, bucketed, cut, gram_rows, in_runs, known_buckets, own_tables, resolved, shard_count, shard_table, stretch_rows
 from questlake.session import importable
 
 WINDOW = 35
@@ -111,8 +111,8 @@ class FingerprintLog:
         return rows
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> int:
-        """Take a batch in; its number. Its documents are dealt to ``shards`` (by default some for each partition of its scan)."""
-        s, n = self.state, shards or parallelism(docs, 6)
+        """Take a batch in; its number. Its documents are dealt to ``shards`` (by default some for each partition of its scan, none of much more than ``winnow.SHARD`` bytes)."""
+        s, n = self.state, shards or shard_count(docs, text_col, 6)
         first, buckets = sum(b["shards"] for b in s["batches"]), s["buckets"]
         path = f"{self.path}/shards-{uuid.uuid4().hex}"
         self.tables[path] = shard_table(docs, id_col, text_col, path, n, first)
@@ -207,7 +207,7 @@ def _run(docs, finish, fields, id_col, text_col, window, gram, hot=4096, batches
     # by value: a row belongs to the same arrival in each job, however its input is partitioned then
     arrival = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(batches))
     with kept_only(spark, "deduplicated") as path, own_tables(spark):
-        log, shards = FingerprintLog(spark, scratch_path(spark, "fingerprints"), spec, parallelism(docs, 1)), -(-parallelism(docs, 4) // batches)
+        log, shards = FingerprintLog(spark, scratch_path(spark, "fingerprints"), spec, parallelism(docs, 1)), -(-shard_count(docs, text_col, 4) // batches)
         for k in range(batches):
             log.append(docs.where(arrival == k) if batches > 1 else docs, id_col, text_col, shards)
         return written(log.deduplicated(Rule(lambda met: by_words(met, window), True, 0, lambda v, doc: v > 0, finish, fields)), "deduplicated", path)

@@ -213,6 +213,17 @@ def forget(spark: SparkSession) -> None:
     _drop(spark, list(_TABLES))
 
 
+#: Bytes of text a shard, on average. A task holds its shard's text, stretches and contents, some tens of times as much.
+SHARD = 8 << 20
+
+
+def shard_count(docs: DataFrame, text_col: str, factor: int) -> int:
+    """Shards for ``docs``: some for each partition of the scan, and as many as keep each to ``SHARD`` bytes, however large the scan's
+    partitions are."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).first()[0] or 0
+    return max(parallelism(docs, factor), -(-size // SHARD))
+
+
 def shard_table(docs: DataFrame, id_col: str, text_col: str, path: str, shards: int, first: int = 0) -> DataFrame:
     """(id, text, shard): rows are dealt to shards whatever their ids, so that null or repeated ids don't meet in one of them."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -498,7 +509,7 @@ def applied(shards: DataFrame, grams: DataFrame, answers: DataFrame, spec: Spec,
 def dedup(docs: DataFrame, spec: Spec, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """Run the passes. The result is written, and the tables that led to it are dropped. Each pass ends in a table, and what it shuffled
     goes before the next one writes: on disk are the tables and one pass's shuffle, not all passes'."""
-    spark, n = docs.sparkSession, parallelism(docs, 6)
+    spark, n = docs.sparkSession, shard_count(docs, text_col, 6)
     with kept_only(spark, "deduplicated") as path, own_tables(spark):
         shards = shard_table(docs, id_col, text_col, scratch_path(spark, "shards"), n)
         free_shuffles(spark)

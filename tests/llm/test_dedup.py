@@ -59,6 +59,24 @@ def test_substring_dedup(spark, hot):
     assert got == brute.substring_dedup(docs)
 
 
+def test_shards_follow_the_bytes_of_the_texts(spark, monkeypatch):
+    docs, dealt, deal = corpus(4), [], winnow.shard_table
+
+    def noted(rows, id_col, text_col, path, shards, first=0):
+        dealt.append(shards)
+        return deal(rows, id_col, text_col, path, shards, first)
+
+    monkeypatch.setattr(winnow, "SHARD", 2000, raising=False)
+    monkeypatch.setattr(winnow, "shard_table", noted)
+    monkeypatch.setattr(substringdedup, "shard_table", noted)
+    rows = frame(spark, docs).coalesce(1)
+    size = sum(len((t or "").encode()) for _, t in docs)
+    assert {r[0]: tuple(r)[1:] for r in suffixdedup.suffix_dedup(rows).collect()} == brute.suffix_dedup(docs)
+    assert size > 40_000 and dealt == [-(-size // 2000)]
+    assert {r[0]: tuple(r)[1:] for r in substringdedup.substring_dedup(rows, batches=1).collect()} == brute.substring_dedup(docs)
+    assert dealt[1:] == dealt[:1]
+
+
 def test_substring_cleaned_keeps_columns_and_untouched_texts(spark):
     w = " ".join(f"w{i}" for i in range(40))
     docs = frame(spark, [(1, "x  y"), (2, f"a {w} b"), (3, f"c {w}"), (4, None)])
