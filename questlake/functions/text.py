@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import string
+import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space of Unicode-aware regular expressions, which Java's class lacks in part.
 WS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+#: Visible ASCII is passed over at one comparison, before classes of many ranges are tried.
+_NOT_SEEN = "(?![!-~])"
 PUNCTUATION = string.punctuation
 # Letters and numerals of Unicode 14 to 15.1, which Java 17 doesn't know.
 _NEWER = """
@@ -33,7 +36,7 @@ def once(value: Column, use) -> Column:
 
 def normalize_whitespace(c) -> Column:
     """Runs of white space become one space; ends are trimmed. Single spaces, which are most of it, aren't touched."""
-    return F.trim(F.regexp_replace(_col(c), f"{WS.replace('-\\x20', '-\\x1f')}{WS}*| {WS}+", " "))
+    return F.trim(F.regexp_replace(_col(c), f"{_NOT_SEEN}(?:{WS.replace('-\\x20', '-\\x1f')}{WS}*| {_NOT_SEEN}{WS}+)", " "))
 
 
 def strip(c) -> Column:
@@ -54,17 +57,42 @@ def rstrip(c) -> Column:
     return F.regexp_replace(_col(c), f"{WS}+\\z", "")
 
 
-def _fold(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC").str.casefold()
+#: Bytes of text that are Python strings at once.
+_SLICE = 1 << 20
+
+
+def sliced(values: pa.Array, make, kind: pa.DataType) -> pa.Array:
+    """``make(value)`` of each value, some of them as Python objects at a time."""
+    step = max(1, len(values) * _SLICE // max(1, values.nbytes))
+    made = [pa.array([make(x) for x in values.slice(at, step).to_pylist()], kind) for at in range(0, len(values), step)]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
+def _fold(texts: pa.Array) -> pa.Array:
+    return sliced(texts, lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold(), pa.string())
+
+
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+# Beyond Latin letters that NFKC keeps, alone or before any of them.
+_COMPOSED = "[^\\x00-\\x9f\\xa1-\\xa7\\xa9\\xab-\\xae\\xb0\\xb1\\xb6\\xb7\\xbb\\xbf-\\u012f\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e]"
 
 
 def nfkc_casefold(c) -> Column:
-    """NFKC, then full case folding."""
-    return F.pandas_udf(_fold, "string")(_col(c))
+    """NFKC, then full case folding. Only texts with other than composed Latin letters and ASCII go to Python."""
+    other = F.when(~_ascii(_col(c)) & _col(c).rlike(f"(?![\\x00-\\x7f]){_COMPOSED}"), _col(c))
+    return F.coalesce(F.arrow_udf(_fold, "string")(other), _latin_folded(_col(c)))
+
+
+def _latin_folded(c: Column) -> Column:
+    """Case folding of Latin letters. The empty string keeps the optimizer from taking lower(upper(x)) for lower(x)."""
+    return F.replace(F.lower(F.concat(c, F.lit(""))), F.lit("ß"), F.lit("ss"))
 
 
 # Beyond Latin letters that lower case folds as well.
-_UNUSUAL = "[^\\x00-\\xb4\\xb6-\\xde\\xe0-\\u012f\\u0132-\\u0148\\u014a-\\u017e]"
+_UNUSUAL = "(?![\\x00-\\x7f])[^\\x00-\\xb4\\xb6-\\u012f\\u0132-\\u0148\\u014a-\\u017e]"
 #: Stands for the dotless i while upper case would merge it; a code point that is no character.
 _ASIDE = "\uffff"
 # Cherokee folds to its capitals, which lower case turns into small letters.
@@ -83,8 +111,7 @@ def casefold(c) -> Column:
     """Full case folding in the JVM. Texts that hold the code point put aside are folded around it."""
     whole = F.array_join(F.transform(F.split(_col(c), _ASIDE), _folded), _ASIDE)
     odd = F.when(F.contains(_col(c), F.lit(_ASIDE)), whole).otherwise(_folded(_col(c)))
-    # the empty string keeps the optimizer from taking lower(upper(x)) for lower(x)
-    return F.when(_col(c).rlike(_UNUSUAL), odd).otherwise(F.lower(F.concat(_col(c), F.lit(""))))
+    return F.when(_ascii(_col(c)), F.lower(F.concat(_col(c), F.lit("")))).when(_col(c).rlike(_UNUSUAL), odd).otherwise(_latin_folded(_col(c)))
 
 
 def normalize_question(c) -> Column:
@@ -99,7 +126,9 @@ def normalize_answer(c) -> Column:
     aren't, as in Python and unlike Java's word boundary. (Looking behind, Java counts UTF-16 units, of which a character has up to two.)
     """
     lowered = F.translate(F.lower(_col(c)), PUNCTUATION, "")
-    return normalize_whitespace(F.regexp_replace(lowered, f"(?<!{WORD}{{1,2}})(a|an|the)(?!{WORD})", " "))
+    # what ASCII alone decides comes first: the classes of words, of some hundred ranges, are tried at few places
+    near = "(?=a|the)(?<![a-z0-9])(?=(?:an?|the)(?![a-z0-9]))"
+    return normalize_whitespace(F.regexp_replace(lowered, f"{near}(?<!{WORD}{{1,2}})(a|an|the)(?!{WORD})", " "))
 
 
 def answer_tokens(c) -> Column:

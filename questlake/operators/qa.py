@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from questlake.functions.text import casefold, is_blank, normalize_whitespace, once
+from questlake.functions.text import is_blank, normalize_whitespace, sliced
 from questlake.operators.guards import checked
 
 # Ids that are left out of the multi-hop source.
 EXCLUDED = ["train_27806", "train_77497", "train_11353", "train_3027", "train_37183", "train_57311", "train_76227", "train_18953", "train_63809", "train_83381", "train_54069", "train_67184"]
 
 
-def clean_list(items: Column) -> Column:
-    """White space normalised, blanks out (``row_error`` reports them), the first spelling of each value that is the same by case folding
-    kept in order."""
-    tidy = _tidied(F.transform(items, normalize_whitespace))
-    first = lambda t: once(F.transform(t, casefold), lambda keys: F.filter(t, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
-    return once(tidy, first)
+def _tidied(items: list[str | None]) -> list[str]:
+    """White space normalised (Python's is that of ``normalize_whitespace``), nulls out."""
+    return [" ".join(x.split()) for x in items if x is not None]
 
 
-def _tidied(tidy: Column) -> Column:
-    return F.filter(tidy, lambda x: x != "")
+def _cleaned(items: list[str | None] | None) -> list[str] | None:
+    if items is None:
+        return None
+    first: dict[str, str] = {}
+    for x in _tidied(items):
+        if x:
+            first.setdefault(x.casefold(), x)
+    return list(first.values())
 
 
-def answer_counts(items: Column) -> Column:
-    """struct(normalized, duplicates): how many items white space changes, and how many repeat another by case folding. White space is
-    normalised once for both."""
+def _counted(items: list[str | None] | None) -> dict[str, int] | None:
+    if items is None:
+        return None
+    tidy = _tidied(items)
+    keys = [x.casefold() for x in tidy if x]
+    changed = sum(x != raw for x, raw in zip(tidy, (x for x in items if x is not None)))
+    return {"normalized": changed, "duplicates": len(keys) - len(set(keys))}
+
 
-    def counts(tidy: Column) -> Column:
-        changed = F.size(F.filter(F.arrays_zip(items.alias("raw"), tidy.alias("tidy")), lambda x: x["raw"] != x["tidy"]))
-        keys = once(F.transform(_tidied(tidy), casefold), lambda k: F.size(k) - F.size(F.array_distinct(k)))
-        return F.struct(changed.alias("normalized"), keys.alias("duplicates"))
+def clean_list(items: Column) -> Column:
+    """White space normalised, blanks out (``row_error`` reports them), the first spelling of each value that is the same by case folding
+    kept in order."""
+    kind = pa.list_(pa.string())
+    return F.arrow_udf(lambda lists: sliced(lists, _cleaned, kind), "array<string>")(items)
 
-    return once(F.transform(items, normalize_whitespace), counts)
+
+def answer_counts(items: Column) -> Column:
+    """struct(normalized, duplicates): how many items white space changes, and how many repeat another by case folding."""
+    kind = pa.struct([("normalized", pa.int32()), ("duplicates", pa.int32())])
+    return F.arrow_udf(lambda lists: sliced(lists, _counted, kind), "normalized int, duplicates int")(items)
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:

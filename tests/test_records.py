@@ -6,7 +6,10 @@ import hashlib
 import os
 import random
 import re
+import time
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +110,48 @@ def test_quantiles_stay_within_their_rank_error(spark):
     assert got["a"].max == values[-1] and tuple(got["b"])[1:] == (1, 5.0, 5, 5, 5, 5, 5)
 
 
+def test_lists_are_cleaned_in_slices_and_without_regular_expressions(spark):
+    seen, make = [], lambda x: seen.append(x) or x
+    lists = pa.array([["ab" * 1000] * 4] * 1000 + [None, [], [None, ""]])
+    assert tx.sliced(lists, make, lists.type).equals(lists) and len(seen) == len(lists)
+    assert tx.sliced(lists.slice(0, 0), make, lists.type).equals(lists.slice(0, 0))
+    df = spark.createDataFrame([("s", ["A  b", "a B", None, " ", "ß", "SS", "x"]), ("t", None), (None, [])], "source_split string, golden_answers array<string>")
+    assert [r.v for r in df.select(qa.clean_list(F.col("golden_answers")).alias("v")).collect()] == [["A b", "ß", "x"], None, []]
+    counts = qa.counters(df)
+    assert {tuple(r) for r in counts.collect()} == {("s", 1, 2, 2), ("t", 1, None, None), ("overall", 1, 0, 0), ("overall", 3, 2, 2)}
+    plan = counts._jdf.queryExecution().toString() + df.select(qa.clean_list(F.col("golden_answers"))).withColumn("x", F.lit(1))._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan
+
+
+def test_latin_questions_need_no_python(spark, monkeypatch):
+    def fold(texts):
+        if texts.null_count < len(texts):
+            raise ValueError("a text went to Python")
+        return texts.cast(pa.string())
+
+    said = ["The SAME\u0000", "Straße", "ÀÉÎ ¿qué? «Œuvre»", "\t", "", None]
+    monkeypatch.setattr(tx, "_fold", fold)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string").repartition(2)
+    got = dict(map(tuple, df.select("i", tx.normalize_question("t")).collect()))
+    assert [got[i] for i in range(len(said))] == [None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()) for x in said]
+
+
+def test_articles_cost_little_more_than_white_space(spark):
+    words = "banana tea atlas others than athena plan and theatre Anna café Straße".split() + ["the", "a", "An"]
+    rnd = random.Random(6)
+    df = spark.createDataFrame([(" ".join(rnd.choice(words) for _ in range(4000)),) for _ in range(40)], "t string").coalesce(1).cache()
+
+    def seconds(c):
+        took = []
+        for _ in range(4):
+            began = time.time()
+            df.select(F.sum(F.length(c))).collect()
+            took.append(time.time() - began)
+        return min(took)
+
+    assert seconds(tx.normalize_answer("t")) < 12 * seconds(tx.normalize_whitespace("t"))
+
+
 def test_quantiles_of_large_groups_are_exact(spark):
     rnd = random.Random(4)
     values = sorted(int(rnd.paretovariate(0.9) * 100) for _ in range(40_000))
