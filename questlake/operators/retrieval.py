@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from questlake.functions.text import observation, once, split_title, strip, truncated
 from questlake.operators.guards import checked
-from questlake.session import cut
+from questlake.session import cut, importable
 
 
 def terms(c: Column) -> Column:
@@ -29,16 +33,20 @@ SKIPPED = 0.75
 MARGIN = 2e-6
 
 
+#: Tokens that are sorted at once where lists are packed.
+TOKENS = 1 << 22
+
+
 @dataclass
 class Index:
-    """postings (doc_id, term, impact, band, part), term statistics (term, df), lists of a term and band (term, band, df, top: the greatest
-    impact) and corpus statistics (n, avgdl, parts; one row). Bands are documents of similar length, in which impacts are alike.
+    """packed lists, a row for each term, band and block of documents (term, band, n documents, tf: the greatest, dl: the least, and doc_ids,
+    tfs, dls), and corpus statistics (n, avgdl, parts, k1, b; one row). Bands are documents of similar length, in which impacts are alike.
+    tfs and dls, and doc_ids if they are longs, are little-endian bytes: what isn't wanted is passed over as one value.
 
-    ``analyzer`` is the function from a text column to its terms; the same one cuts the documents and the queries."""
+    ``analyzer`` is the function from a text column to its terms; the same one cuts the documents and the queries. Postings and statistics
+    are views of the packed lists."""
 
-    postings: DataFrame
-    stats: DataFrame
-    lists: DataFrame
+    packed: DataFrame
     corpus: DataFrame
     analyzer: Callable[[Column], Column] = terms
 
@@ -46,6 +54,38 @@ class Index:
     def total(self) -> Row:
         return self.corpus.first()
 
+    def impact(self, tf, dl):
+        """Of columns or of arrays."""
+        t = self.total
+        return tf / (tf + t.k1 * (1.0 - t.b + t.b * dl / (t.avgdl or 1.0)))
+
+    def unpacked(self, lists: DataFrame) -> DataFrame:
+        """A row for each document of packed lists: doc_id, impact and the other columns, also those that were joined to them."""
+        kept = [c for c in lists.columns if c not in PACKED]
+        ids = lists.schema["doc_ids"].dataType
+        schema = StructType([lists.schema[c] for c in kept] + [StructField("doc_id", ids.elementType if isinstance(ids, ArrayType) else LongType()), StructField("impact", DoubleType())])
+        total = self.total
+        return lists.select(*kept, "doc_ids", "tfs", "dls").mapInArrow(lambda batches: _unpack(batches, Index(None, _Known(total))), schema)
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, band, doc_id, impact)"""
+        return self.unpacked(self.packed)
+
+    @property
+    def stats(self) -> DataFrame:
+        """(term, df)"""
+        return self.packed.groupBy("term").agg(F.sum("n").alias("df"))
+
+    @property
+    def lists(self) -> DataFrame:
+        """(term, band, df, top: no impact is greater)"""
+        return self.packed.groupBy("term", "band").agg(F.sum("n").alias("df"), F.max(self.impact(F.col("tf"), F.col("dl"))).alias("top"))
+
+    def of_terms(self, wanted: DataFrame) -> Index:
+        """The lists of some terms (term, distinct), read out of the whole index once; the corpus stays what it is."""
+        return Index(cut(self.packed.join(wanted, "term", "left_semi"), "lists"), self.corpus, self.analyzer)
+
 
 def counted(terms: Column) -> Column:
     """array<struct(term, tf)> of sorted terms: runs of equal ones."""
@@ -54,27 +94,100 @@ def counted(terms: Column) -> Column:
     return F.when(F.size(terms) > 0, runs(terms))
 
 
+PACKED = ("n", "tf", "dl", "doc_ids", "tfs", "dls")
+
+
+@dataclass
+class _Known:
+    """A corpus whose row is at hand."""
+
+    row: Row
+
+    def first(self) -> Row:
+        return self.row
+
+
+def _packed(ids: pa.Array, words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Packed lists of some documents, and a row without a term that has their number and their terms'."""
+    if ids.null_count:
+        raise ValueError("a document lacks its id")
+    size = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = words.flatten().dictionary_encode()
+    code, doc = found.indices, np.repeat(np.arange(len(size)), size)
+    if code.null_count:  # counts as length only
+        doc = doc[code.is_valid().to_numpy(zero_copy_only=False)]
+        code = code.drop_null()
+    starts = lambda key: np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    key = np.sort(code.to_numpy().astype(np.int64) * len(size) + doc)
+    at = starts(key)
+    tf = np.diff(np.r_[at, len(key)])
+    code, doc = np.divmod(key[at], max(1, len(size)))
+    key = code * 128 + np.floor(2 * np.log2(size[doc])).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, tf, doc = key[order], tf[order].astype("<i4"), doc[order]
+    dl, at = size[doc].astype("<i4"), starts(key)
+    ends = np.r_[at, len(key)].astype(np.int32)
+    of = lambda x: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends * np.int32(x.itemsize)), pa.py_buffer(x)])
+    listed = of(ids.to_numpy()[doc].astype("<i8")) if pa.types.is_int64(ids.type) else pa.ListArray.from_arrays(pa.array(ends), ids.take(pa.array(doc)))
+    most, least = (np.maximum.reduceat(tf, at), np.minimum.reduceat(dl, at)) if len(at) else (tf, dl)
+    rows = [found.dictionary.take(pa.array(key[at] // 128)), pa.array((key[at] % 128).astype(np.int32)), pa.array(np.diff(ends).astype(np.int64)), pa.array(most), pa.array(least), listed, of(tf), of(dl), pa.nulls(len(at), pa.int64())]
+    names = ["term", "band", *PACKED, "length"]
+    yield pa.RecordBatch.from_arrays(rows, names)
+    total = {"n": len(size), "length": int(size.sum())}
+    yield pa.RecordBatch.from_arrays([pa.array([total.get(name)], c.type) for name, c in zip(names, rows)], names)
+
+
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each value of a binary column has, and all of them."""
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // np.dtype(kind).itemsize
+    return np.diff(at), np.frombuffer(data, kind)[at[0] : at[-1]] if data is not None and len(at) and at[-1] else np.empty(0, kind)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends = np.cumsum(_numbers(batch.column("tfs"), "<i4")[0])
+        at = 0
+        while at < len(ends):  # lists of at most a million documents together, one list at least
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+            part = batch.slice(at, upto - at)
+            (n, tf), (_, dl), ids = _numbers(part.column("tfs"), "<i4"), _numbers(part.column("dls"), "<i4"), part.column("doc_ids")
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            kept = [c for c in batch.schema.names if c not in PACKED]
+            ids = ids.flatten() if pa.types.is_list(ids.type) else pa.array(_numbers(ids, "<i8")[1])
+            yield pa.RecordBatch.from_arrays([part.column(c).take(row) for c in kept] + [ids, pa.array(index.impact(tf, dl))], [*kept, "doc_id", "impact"])
+            at = upto
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(ends):  # as many documents as have TOKENS terms, one at least
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")))
+            part = batch.slice(at, upto - at)
+            yield from _packed(part.column(0), part.column(1))
+            at = upto
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, k1: float = 0.9, b: float = 0.4, analyzer: Callable[[Column], Column] = terms) -> Index:
-    """Texts are read and cut into terms once: each document's terms are counted where it is read, postings are written without a shuffle,
-    and the statistics come from them. Ids must be unique.
+    """Texts are read and cut into terms once. The documents of an Arrow batch are a block: their terms are counted and packed into lists
+    where they are read, which are written without a shuffle. Ids must be unique.
 
-    Documents are dealt to parts by a hash of the id, so that no task gets all documents of a common term.
+    Blocks are dealt to parts, so that no task gets all documents of a common term.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(analyzer(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    sized = words.select("doc_id", F.size("w").alias("dl"), F.posexplode_outer(counted(F.col("w"))).alias("at", "t"))
-    first = F.coalesce(F.col("at") == 0, F.lit(True))  # a document without terms has one row, too
-    found = cut(sized.select("doc_id", "dl", "t.term", F.coalesce("t.tf", F.lit(0)).alias("tf"), first.alias("first")), "postings")
-    sums = found.agg(F.count_if("first").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("length"))
-    corpus = cut(sums.select("n", (F.col("length") / F.greatest("n", F.lit(1))).alias("avgdl"), F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int").alias("parts")), "corpus")
-    total = corpus.first()
-    impact = F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / (total.avgdl or 1.0)))
-    postings = found.where("term IS NOT NULL").select("doc_id", "term", impact.alias("impact"), F.floor(2 * F.log2(F.col("dl"))).cast("int").alias("band"), F.pmod(F.xxhash64("doc_id"), F.lit(total.parts)).cast("int").alias("part"))
-    lists = cut(postings.groupBy("term", "band").agg(F.count("*").alias("df"), F.max("impact").alias("top")), "lists")
-    stats = cut(lists.groupBy("term").agg(F.sum("df").alias("df")), "terms")
-    return Index(postings, stats, lists, corpus, analyzer)
+    importable(docs.sparkSession)
+    words = docs.select(F.col(id_col).alias("doc_id"), analyzer(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    kind = words.schema["doc_id"].dataType
+    ids = "binary" if isinstance(kind, LongType) else f"array<{kind.simpleString()}>"
+    schema = f"term string, band int, n long, tf int, dl int, doc_ids {ids}, tfs binary, dls binary, length long"
+    found = cut(words.mapInArrow(_pack, schema), "postings")
+    sums = found.where("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
+    corpus = cut(sums.select("n", (F.col("length") / F.greatest("n", F.lit(1))).alias("avgdl"), F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int").alias("parts"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")), "corpus")
+    return Index(found.where("term IS NOT NULL").drop("length"), corpus, analyzer)
 
 
-INDEX_TABLES = ("postings", "stats", "lists", "corpus")
+INDEX_TABLES = ("packed", "corpus")
 
 
 def save_index(index: Index, path: str) -> None:
@@ -89,6 +202,7 @@ def open_index(spark: SparkSession, path: str, analyzer: Callable[[Column], Colu
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             raise FileNotFoundError(f"{path}/{name}")
+    importable(spark)
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES), analyzer)
 
 
@@ -101,13 +215,26 @@ def _met(index: Index, wanted: DataFrame, *keys: str) -> DataFrame:
     """Postings of wanted lists; every part of a list is wanted."""
     parts = index.total.parts
     if parts == 1:
-        return index.postings.drop("part").join(wanted, list(keys))
-    return index.postings.join(wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "part"])
+        return index.unpacked(index.packed.join(wanted, list(keys)))
+    dealt = index.packed.withColumn("part", F.pmod(F.xxhash64("doc_ids"), F.lit(parts)).cast("int"))
+    return index.unpacked(dealt.join(wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "part"]).drop("part"))
+
+
+def _of_documents(index: Index, wanted: DataFrame, *keys: str) -> DataFrame:
+    """(*wanted, impact) of wanted documents' terms; only lists with one of the wanted ``keys`` are unpacked."""
+    lists = index.packed.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+    return index.unpacked(lists).select("doc_id", "term", "impact").join(wanted, ["doc_id", "term"])
+
+
+def query_terms(index: Index, queries: DataFrame, query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(query id, term, qf)"""
+    words = require_queries(queries, text_col).select(query_id, F.explode(index.analyzer(F.col(text_col))).alias("term"))
+    return words.groupBy(query_id, "term").agg(F.count("*").alias("qf"))
 
 
 def query_weights(index: Index, queries: DataFrame, query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query id, term, df, w) of terms that the corpus has."""
-    asked = require_queries(queries, text_col).select(query_id, F.explode(index.analyzer(F.col(text_col))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
+    asked = query_terms(index, queries, query_id, text_col)
     idf = F.log(1.0 + (F.lit(index.total.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return asked.join(index.stats, "term").select(query_id, "term", "df", (F.col("qf") * idf).alias("w"))
 
@@ -120,7 +247,7 @@ def floors(index: Index, weights: DataFrame, k: int, query_id: str = "item_id",
     near = _met(index, few, "term").groupBy(query_id, "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
     best = _ranked(near, query_id, max(seeds, 4 * k)).select(query_id, "doc_id")
     asked = cut(best.join(weights, query_id).select(query_id, "doc_id", "term", "w"), "seeds")
-    whole = index.postings.select("doc_id", "term", "impact").join(asked, ["doc_id", "term"])
+    whole = _of_documents(index, asked, "term")
     scored = whole.groupBy(query_id, "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
     return _ranked(scored, query_id, k).where(F.col("rank") == k).select(query_id, F.col("score").alias("floor"))
 
@@ -150,15 +277,16 @@ def search(index: Index, queries: DataFrame, k: int = 3, query_id: str = "item_i
 
     Exact, but most postings of common terms aren't read: rare terms give each query a floor, by upper bounds the lists that can't lift
     a document above it are left out, and only documents that may reach it are completed from these. Which joins are used follows the
-    sizes.
+    sizes. The whole index is read once, for the lists of the queries' terms.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    index = index.of_terms(cut(query_terms(index, queries, query_id, text_col).select("term").distinct(), "asked"))
     weights = cut(query_weights(index, queries, query_id, text_col), "weights")
     lists = cut(planned_lists(index, weights, floors(index, weights, k, query_id, rare, seeds), query_id, skipped), "planned")
     open_ = cut(candidates(index, lists, query_id), "candidates")
-    missing = cut(open_.join(lists.where("skip").select(query_id, "band", "term", "w"), [query_id, "band"]).select(query_id, "doc_id", "term", "w"), "missing")
-    found = index.postings.select("doc_id", "term", "impact").join(missing, ["doc_id", "term"]).select(query_id, "doc_id", (F.col("w") * F.col("impact")).alias("score"))
+    missing = cut(open_.join(lists.where("skip").select(query_id, "band", "term", "w"), [query_id, "band"]).select(query_id, "doc_id", "band", "term", "w"), "missing")
+    found = _of_documents(index, missing, "term", "band").select(query_id, "doc_id", (F.col("w") * F.col("impact")).alias("score"))
     scored = open_.select(query_id, "doc_id", F.col("part_score").alias("score")).unionByName(found).groupBy(query_id, "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
     return _ranked(scored, query_id, k).select(query_id, "rank", "doc_id", "score")
 

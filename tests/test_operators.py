@@ -740,3 +740,21 @@ def test_white_space_is_no_content(spark, tmp_path):
     assert [r.uid for r in kept.collect()] == [2] and {r.uid for r in skipped.collect()} == {1, 3, 4}
     (tmp_path / "ids.txt").write_text("a\t\n \n\x0bb\n")
     assert {r.uid for r in io.read_ids(spark, str(tmp_path / "ids.txt")).collect()} == {"a", "b"}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_search_reads_the_whole_index_once(spark, monkeypatch, kind):
+    """What a search reads doesn't have a row for each posting, and only the lists of the queries' terms are read again."""
+    docs = spark.createDataFrame([(i, f"common w{i % 3} W{i % 3} only{i}") for i in range(300)] + [(300, ""), (301, None)], "doc_id long, text string")
+    index = retrieval.build_index(docs.select(F.col("doc_id").cast(kind), "text"))
+    assert index.packed.where("term = 'common'").count() < 30 and index.packed.where("n > 1").count() > 0
+    got = {(str(r.doc_id), r.term) for r in index.postings.collect()}
+    assert got == {(str(i), t) for i in range(300) for t in ("common", f"w{i % 3}", f"only{i}")}
+    assert {r.term: r.df for r in index.stats.collect()}["common"] == 300 and index.total.n == 302
+    top = {(r.term, r.band): r.top for r in index.lists.collect()}
+    assert all(r.impact <= top[r.term, r.band] for r in index.postings.collect())
+    made, cut = {}, retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda df, name="rows": made.setdefault(name, cut(df, name)))
+    hits = retrieval.search(index, spark.createDataFrame([(1, "w1 only7 nothing")], "item_id long, text string")).orderBy("rank").collect()
+    assert [str(r.doc_id) for r in hits] == (["7", "1", "4"] if kind == "long" else ["7", "1", "10"])
+    assert {r.term for r in made["lists"].collect()} == {"w1", "only7"}
