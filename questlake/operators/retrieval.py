@@ -39,12 +39,12 @@ TOKENS = 1 << 22
 
 @dataclass
 class Index:
-    """packed lists, a row for each term, band and block of documents (term, band, n documents, tf: the greatest, dl: the least, and doc_ids,
-    tfs, dls), and corpus statistics (n, avgdl, parts, k1, b; one row). Bands are documents of similar length, in which impacts are alike.
-    tfs and dls, and doc_ids if they are longs, are little-endian bytes: what isn't wanted is passed over as one value.
+    """packed lists, a row for each term and block of documents (term, n documents, and doc_ids, tfs, dls, the shortest documents first),
+    and corpus statistics (n, avgdl, parts, k1, b; one row). tfs and dls, and doc_ids if they are longs, are little-endian bytes: what
+    isn't wanted is passed over as one value.
 
-    ``analyzer`` is the function from a text column to its terms; the same one cuts the documents and the queries. Postings and statistics
-    are views of the packed lists."""
+    ``analyzer`` is the function from a text column to its terms; the same one cuts the documents and the queries. Bands, postings and
+    statistics are views of the packed lists."""
 
     packed: DataFrame
     corpus: DataFrame
@@ -67,10 +67,20 @@ class Index:
         total = self.total
         return lists.select(*kept, "doc_ids", "tfs", "dls").mapInArrow(lambda batches: _unpack(batches, Index(None, _Known(total))), schema)
 
+    @cached_property
+    def banded(self) -> DataFrame:
+        """Lists cut into bands, documents of similar length, in which impacts are alike: (term, band, n, tf: the greatest, dl: the least,
+        doc_ids, tfs, dls)."""
+        if "band" in self.packed.columns:
+            return self.packed
+        kind = self.packed.schema["doc_ids"].dataType.simpleString()
+        schema = f"term string, band int, n long, tf int, dl int, doc_ids {kind}, tfs binary, dls binary"
+        return self.packed.select("term", "doc_ids", "tfs", "dls").mapInArrow(_bands, schema)
+
     @property
     def postings(self) -> DataFrame:
         """(term, band, doc_id, impact)"""
-        return self.unpacked(self.packed)
+        return self.unpacked(self.banded)
 
     @property
     def stats(self) -> DataFrame:
@@ -80,11 +90,12 @@ class Index:
     @property
     def lists(self) -> DataFrame:
         """(term, band, df, top: no impact is greater)"""
-        return self.packed.groupBy("term", "band").agg(F.sum("n").alias("df"), F.max(self.impact(F.col("tf"), F.col("dl"))).alias("top"))
+        return self.banded.groupBy("term", "band").agg(F.sum("n").alias("df"), F.max(self.impact(F.col("tf"), F.col("dl"))).alias("top"))
 
     def of_terms(self, wanted: DataFrame) -> Index:
-        """The lists of some terms (term, distinct), read out of the whole index once; the corpus stays what it is."""
-        return Index(cut(self.packed.join(wanted, "term", "left_semi"), "lists"), self.corpus, self.analyzer)
+        """The lists of some terms (term, distinct), read out of the whole index once and cut into bands; the corpus stays what it is."""
+        few = Index(self.packed.join(wanted, "term", "left_semi"), self.corpus, self.analyzer)
+        return Index(cut(few.banded, "lists"), self.corpus, self.analyzer)
 
 
 def counted(terms: Column) -> Column:
@@ -107,36 +118,56 @@ class _Known:
         return self.row
 
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+
+
+def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value for each run of numbers."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
 def _packed(ids: pa.Array, words: pa.Array) -> Iterator[pa.RecordBatch]:
     """Packed lists of some documents, and a row without a term that has their number and their terms'."""
     if ids.null_count:
         raise ValueError("a document lacks its id")
     size = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    by_size = np.argsort(size, kind="stable")
+    place = np.empty_like(by_size)
+    place[by_size] = np.arange(len(size))
     found = words.flatten().dictionary_encode()
-    code, doc = found.indices, np.repeat(np.arange(len(size)), size)
+    code, doc = found.indices, np.repeat(place, size)
     if code.null_count:  # counts as length only
         doc = doc[code.is_valid().to_numpy(zero_copy_only=False)]
         code = code.drop_null()
-    starts = lambda key: np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    key = np.sort(code.to_numpy().astype(np.int64) * len(size) + doc)
-    at = starts(key)
-    tf = np.diff(np.r_[at, len(key)])
-    code, doc = np.divmod(key[at], max(1, len(size)))
-    key = code * 128 + np.floor(2 * np.log2(size[doc])).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    key, tf, doc = key[order], tf[order].astype("<i4"), doc[order]
-    dl, at = size[doc].astype("<i4"), starts(key)
-    ends = np.r_[at, len(key)].astype(np.int32)
-    of = lambda x: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends * np.int32(x.itemsize)), pa.py_buffer(x)])
-    listed = of(ids.to_numpy()[doc].astype("<i8")) if pa.types.is_int64(ids.type) else pa.ListArray.from_arrays(pa.array(ends), ids.take(pa.array(doc)))
-    most, least = (np.maximum.reduceat(tf, at), np.minimum.reduceat(dl, at)) if len(at) else (tf, dl)
-    rows = [found.dictionary.take(pa.array(key[at] // 128)), pa.array((key[at] % 128).astype(np.int32)), pa.array(np.diff(ends).astype(np.int64)), pa.array(most), pa.array(least), listed, of(tf), of(dl), pa.nulls(len(at), pa.int64())]
-    names = ["term", "band", *PACKED, "length"]
+    bits = len(size).bit_length()
+    key = np.sort(code.to_numpy().astype(np.int64) << bits | doc)
+    at = _starts(key)
+    tf = np.diff(np.r_[at, len(key)]).astype("<i4")
+    code, doc = key[at] >> bits, by_size[key[at] & ((1 << bits) - 1)]
+    dl, at = size[doc].astype("<i4"), _starts(code)
+    ends = np.r_[at, len(code)]
+    listed = _bytes(ids.to_numpy()[doc].astype("<i8"), ends) if pa.types.is_int64(ids.type) else pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids.take(pa.array(doc)))
+    rows = [found.dictionary.take(pa.array(code[at])), pa.array(np.diff(ends)), listed, _bytes(tf, ends), _bytes(dl, ends), pa.nulls(len(at), pa.int64())]
+    names = ["term", "n", "doc_ids", "tfs", "dls", "length"]
     yield pa.RecordBatch.from_arrays(rows, names)
     total = {"n": len(size), "length": int(size.sum())}
     yield pa.RecordBatch.from_arrays([pa.array([total.get(name)], c.type) for name, c in zip(names, rows)], names)
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (n, tf), (_, dl), ids = _numbers(batch.column("tfs"), "<i4"), _numbers(batch.column("dls"), "<i4"), batch.column("doc_ids")
+        row, band = np.repeat(np.arange(len(n)), n), np.floor(2 * np.log2(dl)).astype(np.int32)
+        at = _starts(row * 128 + band)
+        ends = np.r_[at, len(row)]
+        listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids.flatten()) if pa.types.is_list(ids.type) else _bytes(_numbers(ids, "<i8")[1], ends)
+        most, least = (np.maximum.reduceat(tf, at), np.minimum.reduceat(dl, at)) if len(at) else (tf, dl)
+        rows = [batch.column("term").take(pa.array(row[at])), pa.array(band[at]), pa.array(np.diff(ends)), pa.array(most), pa.array(least), listed, _bytes(tf, ends), _bytes(dl, ends)]
+        yield pa.RecordBatch.from_arrays(rows, ["term", "band", *PACKED])
+
+
 def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """How many numbers each value of a binary column has, and all of them."""
     _, offsets, data = column.cast(pa.binary()).buffers()
@@ -170,26 +201,32 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = upto
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, k1: float = 0.9, b: float = 0.4, analyzer: Callable[[Column], Column] = terms) -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, k1: float = 0.9, b: float = 0.4, analyzer: Callable[[Column], Column] = terms, path: str | None = None) -> Index:
     """Texts are read and cut into terms once. The documents of an Arrow batch are a block: their terms are counted and packed into lists
     where they are read, which are written without a shuffle. Ids must be unique.
 
-    Blocks are dealt to parts, so that no task gets all documents of a common term.
+    Blocks are dealt to parts, so that no task gets all documents of a common term. With a ``path`` the index is made there, where
+    ``open_index`` finds it: nothing is written twice.
     """
     importable(docs.sparkSession)
     words = docs.select(F.col(id_col).alias("doc_id"), analyzer(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     kind = words.schema["doc_id"].dataType
     ids = "binary" if isinstance(kind, LongType) else f"array<{kind.simpleString()}>"
-    schema = f"term string, band int, n long, tf int, dl int, doc_ids {ids}, tfs binary, dls binary, length long"
-    found = cut(words.mapInArrow(_pack, schema), "postings")
+    schema = f"term string, n long, doc_ids {ids}, tfs binary, dls binary, length long"
+    packed, corpus = (path and f"{path}/{name}" for name in INDEX_TABLES)
+    found = cut(words.mapInArrow(_pack, schema), "postings", packed)
     sums = found.where("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
-    corpus = cut(sums.select("n", (F.col("length") / F.greatest("n", F.lit(1))).alias("avgdl"), F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int").alias("parts"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")), "corpus")
-    return Index(found.where("term IS NOT NULL").drop("length"), corpus, analyzer)
+    made = sums.select("n", (F.col("length") / F.greatest("n", F.lit(1))).alias("avgdl"), F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int").alias("parts"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
+    return Index(_lists(found), cut(made, "corpus", corpus), analyzer)
 
 
 INDEX_TABLES = ("packed", "corpus")
 
 
+def _lists(packed: DataFrame) -> DataFrame:
+    return packed.where("term IS NOT NULL").drop("length")
+
+
 def save_index(index: Index, path: str) -> None:
     for name in INDEX_TABLES:
         getattr(index, name).write.mode("errorifexists").parquet(f"{path}/{name}")
@@ -203,7 +240,8 @@ def open_index(spark: SparkSession, path: str, analyzer: Callable[[Column], Colu
         if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             raise FileNotFoundError(f"{path}/{name}")
     importable(spark)
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES), analyzer)
+    packed, corpus = (spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES)
+    return Index(_lists(packed), corpus, analyzer)
 
 
 def _ranked(scored: DataFrame, query_id: str, k: int) -> DataFrame:
@@ -215,14 +253,14 @@ def _met(index: Index, wanted: DataFrame, *keys: str) -> DataFrame:
     """Postings of wanted lists; every part of a list is wanted."""
     parts = index.total.parts
     if parts == 1:
-        return index.unpacked(index.packed.join(wanted, list(keys)))
-    dealt = index.packed.withColumn("part", F.pmod(F.xxhash64("doc_ids"), F.lit(parts)).cast("int"))
+        return index.unpacked(index.banded.join(wanted, list(keys)))
+    dealt = index.banded.withColumn("part", F.pmod(F.xxhash64("doc_ids"), F.lit(parts)).cast("int"))
     return index.unpacked(dealt.join(wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "part"]).drop("part"))
 
 
 def _of_documents(index: Index, wanted: DataFrame, *keys: str) -> DataFrame:
     """(*wanted, impact) of wanted documents' terms; only lists with one of the wanted ``keys`` are unpacked."""
-    lists = index.packed.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+    lists = index.banded.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
     return index.unpacked(lists).select("doc_id", "term", "impact").join(wanted, ["doc_id", "term"])
 
 

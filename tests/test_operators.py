@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import string
@@ -13,6 +14,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from questlake import session
 from questlake.functions import scoring
 from questlake.functions import text as tx
 from questlake.operators import assembly, guards, isolation, metrics, protocol, qa, resume, retrieval, rollout, sampling, trajectory
@@ -385,6 +387,27 @@ def test_index_is_saved_checked_and_opened(spark, tmp_path):
         retrieval.search(index, spark.createDataFrame([(1, " \t")], "item_id long, text string")).collect()
 
 
+def test_an_index_is_written_once_a_row_for_each_term_and_block(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "common " * (1 + i % 90) + f"only{i} Only{i}") for i in range(200)] + [(200, "")], "doc_id long, text string").coalesce(1)
+    with session.recorded() as made:
+        index = retrieval.build_index(docs, path=str(tmp_path / "index"))
+    assert made == [] and sorted(p.name for p in (tmp_path / "index").iterdir()) == sorted(retrieval.INDEX_TABLES)
+    again = retrieval.open_index(spark, str(tmp_path / "index"))
+    assert again.packed.count() == 201 and [r.n for r in again.packed.where("term = 'common'").collect()] == [200]
+    assert again.total == index.total and again.total.n == 201
+    bands = {r.band: (r.n, r.tf, r.dl) for r in again.banded.where("term = 'common'").collect()}
+    tfs = [1 + i % 90 for i in range(200)]
+    want = {}
+    for tf in tfs:
+        want.setdefault(math.floor(2 * math.log2(tf + 2)), []).append(tf)
+    assert bands == {b: (len(x), max(x), min(x) + 2) for b, x in want.items()} and len(bands) > 5
+    asked = spark.createDataFrame([(1, "only7 common"), (2, "common")], "item_id long, text string")
+    hits = [[tuple(r) for r in retrieval.search(i, asked).orderBy("item_id", "rank").collect()] for i in (index, again, retrieval.build_index(docs))]
+    assert hits[0][0][2] == 7 and len(hits[0]) == 6 and hits[0] == hits[1] == hits[2]
+    with pytest.raises(Exception, match="exist"):
+        retrieval.build_index(docs, path=str(tmp_path / "index"))
+
+
 def test_corpus_and_search_tool(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"id": "a", "contents": "\\"Nile\\"\\nlongest river of Africa"}\n{"id": "b", "contents": "Rhine\\na river"}\n')
     docs = retrieval.read_corpus(spark, str(tmp_path / "c.jsonl"))
