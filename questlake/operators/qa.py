@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -18,12 +20,12 @@ def _tidied(items: list[str | None]) -> list[str]:
     return [" ".join(x.split()) for x in items if x is not None]
 
 
-def _cleaned(items: list[str | None] | None) -> list[str] | None:
+def _cleaned(items: list[str | None] | None, blanks: bool = False) -> list[str] | None:
     if items is None:
         return None
     first: dict[str, str] = {}
     for x in _tidied(items):
-        if x:
+        if x or blanks:
             first.setdefault(x.casefold(), x)
     return list(first.values())
 
@@ -37,11 +39,11 @@ def _counted(items: list[str | None] | None) -> dict[str, int] | None:
     return {"normalized": changed, "duplicates": len(keys) - len(set(keys))}
 
 
-def clean_list(items: Column) -> Column:
+def clean_list(items: Column, blanks: bool = False) -> Column:
     """White space normalised, blanks out (``row_error`` reports them), the first spelling of each value that is the same by case folding
-    kept in order."""
-    kind = pa.list_(pa.string())
-    return F.arrow_udf(lambda lists: sliced(lists, _cleaned, kind), "array<string>")(items)
+    kept in order. With ``blanks`` a blank is a value like others, the empty string."""
+    kind, cleaned = pa.list_(pa.string()), partial(_cleaned, blanks=blanks)
+    return F.arrow_udf(lambda lists: sliced(lists, cleaned, kind), "array<string>")(items)
 
 
 def answer_counts(items: Column) -> Column:
@@ -106,11 +108,12 @@ def strictly(df: DataFrame, error: Column) -> DataFrame:
     return checked(df, error.isNull(), error)
 
 
-def canonical(df: DataFrame, source: str, id_col: str, split: str, extra: dict[str, Column] | None = None, normalize_id: bool = False) -> DataFrame:
-    """(uid, source, source_split, question, gold_answers, metadata) of raw rows with ``question`` and ``golden_answers``."""
+def canonical(df: DataFrame, source: str, id_col: str, split: str, extra: dict[str, Column] | None = None, normalize_id: bool = False, blanks: bool = False) -> DataFrame:
+    """(uid, source, source_split, question, gold_answers, metadata) of raw rows with ``question`` and ``golden_answers``. Blank answers
+    are left out, with ``blanks`` kept."""
     key = normalize_whitespace(F.col(id_col).cast("string")) if normalize_id else F.col(id_col).cast("string")
     meta = [F.col(id_col).cast("string").alias("original_id"), *[c.alias(n) for n, c in (extra or {}).items()]]
-    return df.select(F.concat(F.lit(f"{source}_"), key).alias("uid"), F.lit(source).alias("source"), F.lit(split).alias("source_split"), normalize_whitespace("question").alias("question"), clean_list(F.col("golden_answers")).alias("gold_answers"), F.struct(*meta).alias("metadata"))
+    return df.select(F.concat(F.lit(f"{source}_"), key).alias("uid"), F.lit(source).alias("source"), F.lit(split).alias("source_split"), normalize_whitespace("question").alias("question"), clean_list(F.col("golden_answers"), blanks).alias("gold_answers"), F.struct(*meta).alias("metadata"))
 
 
 def without_excluded(df: DataFrame, id_col: str, excluded: list[str] = EXCLUDED) -> DataFrame:
